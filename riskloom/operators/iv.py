@@ -22,7 +22,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import normal as _normal
 from ..functions.normal import norm_cdf_np
+from ..shipping import ship_by_value
+
+# The UDF is pickled by value (with the numpy kernels it calls), so executors
+# need no copy of this package on their path.
+ship_by_value(_normal)
+ship_by_value(__name__)
 
 IV_LOWER = 0.001
 IV_UPPER = 5.0
