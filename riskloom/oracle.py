@@ -108,6 +108,144 @@ def all_ctes() -> list[tuple[str, str]]:
     return FIXTURE_CTES + PROCESSED_CTES + EXTRA_CTES
 
 
-def with_ctes(select_sql: str) -> str:
-    body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in all_ctes())
+def with_ctes(select_sql: str, extra: list[tuple[str, str]] | None = None) -> str:
+    body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in all_ctes() + list(extra or []))
     return f"WITH RECURSIVE {body}\n{select_sql}"
+
+
+# ---------------------------------------------------------------------------
+# Portfolio / scenario / VaR text
+# ---------------------------------------------------------------------------
+
+from .operators.scenario import SHOCKED_RATE, SHOCKED_SPOT, SHOCKED_VOL  # noqa: E402
+
+GREEK_NAMES = ["delta", "gamma", "vega", "theta", "rho"]
+OPT_MKT = "spot, iv, rate, div_yield, dte, delta, gamma, vega, theta, rho"
+
+EXTRA_CTES += [
+    ("pos_lot", """SELECT p.portfolio_id, upper(trim(p.symbol)) AS symbol, p.trade_date, p.expiry_date, p.strike,
+  upper(trim(p.option_type)) AS option_type, p.quantity, p.entry_date, p.entry_price,
+  CAST(coalesce(l.lot_size, 1) AS INT) AS lot_size, l.lot_size IS NULL AS lot_size_missing,
+  p.quantity * CAST(coalesce(l.lot_size, 1) AS INT) AS multiplier
+FROM positions p LEFT JOIN lot_size l ON upper(trim(p.symbol)) = l.symbol AND l.start_date <= p.trade_date
+  AND (l.end_date IS NULL OR l.end_date >= p.trade_date)"""),
+    ("pos_opt", f"""SELECT p.*, c.spot, c.iv, c.rate, c.div_yield, c.dte, c.delta, c.gamma, c.vega, c.theta, c.rho,
+  c.trade_date IS NOT NULL AS _matched
+FROM (SELECT * FROM pos_lot WHERE option_type <> 'XX') p LEFT JOIN chain c ON p.symbol = c.symbol
+  AND p.trade_date = c.trade_date AND p.expiry_date = c.expiry_date AND p.strike = c.strike AND p.option_type = c.option_type"""),
+    ("pos_fut", """SELECT p.*, f.spot, f.rate, f.div_yield, f.dte, f.settle, f.trade_date IS NOT NULL AS _matched
+FROM (SELECT * FROM pos_lot WHERE option_type = 'XX') p LEFT JOIN cfut f ON p.symbol = f.symbol
+  AND p.trade_date = f.trade_date AND p.expiry_date = f.expiry_date"""),
+]
+
+
+def base_price_sql(src: str) -> str:
+    """``src`` + base_price (BS at iv when dte > 0 and iv > 0)."""
+    inner = stages_sql(f"(SELECT *, dte / 365e0 AS t_years, div_yield / 100e0 AS q FROM {src} AS z)",
+                       bs_stages("spot", "strike", "t_years", "rate", "q", "iv", "option_type = 'CE'", "_bp"))
+    return f"(SELECT *, CASE WHEN dte > 0 AND iv > 0 THEN _bp_price END AS base_price FROM {inner} AS bp)"
+
+
+def scenario_option_sql(src: str) -> str:
+    """``src`` (with base_price and shock columns) + method, base_price,
+    shocked_price, pnl_per_lot, pnl_total (original base_price replaced)."""
+    inner = stages_sql(f"(SELECT *, dte / 365e0 AS t_years, div_yield / 100e0 AS q FROM {src} AS z)",
+                       bs_stages(SHOCKED_SPOT, "strike", "t_years", SHOCKED_RATE, "q", SHOCKED_VOL,
+                                 "option_type = 'CE'", "_sp"))
+    ds = f"(({SHOCKED_SPOT}) - spot)"
+    method = ("CASE WHEN NOT _matched THEN 'no_data' WHEN dte <= 0 THEN 'expired' "
+              "WHEN iv IS NOT NULL AND iv > 0 THEN 'full_reprice' "
+              "WHEN delta IS NOT NULL AND gamma IS NOT NULL AND vega IS NOT NULL AND rho IS NOT NULL "
+              "THEN 'greeks_approx' ELSE 'no_data' END")
+    approx = (f"delta * {ds} + 0.5e0 * gamma * {ds} * {ds} + vega * vol_shock_abs"
+              " + rho * (rate_shock_bps / 100e0)")
+    m = f"(SELECT *, {method} AS method FROM {inner} AS mm)"
+    p = (f"(SELECT * REPLACE (CASE WHEN method = 'full_reprice' THEN base_price END AS base_price), "
+         f"CASE WHEN method = 'full_reprice' THEN _sp_price END AS shocked_price, "
+         f"CASE WHEN method = 'full_reprice' THEN _sp_price - base_price "
+         f"WHEN method = 'greeks_approx' THEN {approx} ELSE 0e0 END AS pnl_per_lot FROM {m} AS pp)")
+    return f"(SELECT *, pnl_per_lot * multiplier AS pnl_total FROM {p} AS pt)"
+
+
+def scenario_futures_sql(src: str) -> str:
+    s = f"({SHOCKED_SPOT})"
+    return (f"(SELECT *, CASE WHEN _matched THEN 'futures_linear' ELSE 'no_data' END AS method, "
+            f"CASE WHEN _matched THEN spot END AS base_price, CASE WHEN _matched THEN {s} END AS shocked_price, "
+            f"CASE WHEN _matched THEN {s} - spot ELSE 0e0 END AS pnl_per_lot, "
+            f"(CASE WHEN _matched THEN {s} - spot ELSE 0e0 END) * multiplier AS pnl_total FROM {src} AS sf)")
+
+
+def shock_cols(spot: float, vol: float, rate: float) -> str:
+    return f"{float(spot)!r}e0 AS spot_shock_pct, {float(vol)!r}e0 AS vol_shock_abs, {float(rate)!r}e0 AS rate_shock_bps"
+
+
+POSITION_RESULT_SQL = ("portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, lot_size, "
+                       "entry_date, entry_price, current_price, mtm_pnl, scenario_pnl, total_pnl, method, "
+                       "delta, gamma, vega, theta, rho")
+
+
+def position_results_sql(spot: float, vol: float, rate: float) -> str:
+    """One row per position under a fixed shock (portfolio_risk)."""
+    o_src = f"(SELECT *, {shock_cols(spot, vol, rate)} FROM pos_opt)"
+    o = base_price_sql(o_src)
+    o = (f"(SELECT *, CASE WHEN base_price IS NOT NULL AND _matched THEN base_price END AS current_price, "
+         f"CASE WHEN base_price IS NOT NULL AND _matched THEN (base_price - entry_price) * multiplier ELSE 0e0 END AS mtm_pnl "
+         f"FROM {o} AS mo)")
+    o = scenario_option_sql(o)
+    o = (f"SELECT portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, lot_size, entry_date, "
+         f"entry_price, current_price, mtm_pnl, pnl_total AS scenario_pnl, mtm_pnl + pnl_total AS total_pnl, method, "
+         f"CASE WHEN _matched THEN delta END AS delta, CASE WHEN _matched THEN gamma END AS gamma, "
+         f"CASE WHEN _matched THEN vega END AS vega, CASE WHEN _matched THEN theta END AS theta, "
+         f"CASE WHEN _matched THEN rho END AS rho FROM {o} AS ro")
+    f_src = f"(SELECT *, {shock_cols(spot, vol, rate)} FROM pos_fut)"
+    f = (f"(SELECT *, CASE WHEN _matched THEN spot END AS current_price, "
+         f"CASE WHEN _matched THEN (spot - entry_price) * multiplier ELSE 0e0 END AS mtm_pnl FROM {f_src} AS mf)")
+    f = scenario_futures_sql(f)
+    f = (f"SELECT portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, lot_size, entry_date, "
+         f"entry_price, current_price, mtm_pnl, pnl_total AS scenario_pnl, mtm_pnl + pnl_total AS total_pnl, method, "
+         f"CASE WHEN _matched THEN 1e0 END AS delta, CASE WHEN _matched THEN 0e0 END AS gamma, "
+         f"CASE WHEN _matched THEN 0e0 END AS vega, CASE WHEN _matched THEN 0e0 END AS theta, "
+         f"CASE WHEN _matched THEN 0e0 END AS rho FROM {f} AS rf")
+    return f"({o} UNION ALL {f})"
+
+
+def net_portfolio_sql(results: str, by: str = "portfolio_id") -> str:
+    greeks = ", ".join(f"sum(coalesce({g}, 0e0) * (quantity * lot_size)) AS net_{g}" for g in GREEK_NAMES)
+    return (f"SELECT {by}, sum(mtm_pnl) AS total_mtm_pnl, sum(scenario_pnl) AS total_scenario_pnl, "
+            f"sum(total_pnl) AS total_pnl, {greeks}, count(*) AS positions, "
+            f"count(*) FILTER (WHERE method = 'no_data') AS no_data_count FROM {results} AS r GROUP BY {by}")
+
+
+def returns_sql(lookback: int = 252) -> str:
+    return f"""(SELECT symbol, trade_date, spot, prev_spot, (spot - prev_spot) / prev_spot AS daily_return FROM (
+  SELECT symbol, trade_date, spot, lag(spot) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev_spot FROM (
+    SELECT symbol, trade_date, close AS spot,
+      row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM p_spot) a
+  WHERE rn <= {lookback + 1}) b WHERE prev_spot IS NOT NULL)"""
+
+
+def scenarios_sql(lookback: int = 252) -> str:
+    return (f"(SELECT symbol AS driver_symbol, trade_date AS scenario_date, daily_return * 100e0 AS spot_shock_pct, "
+            f"0e0 AS vol_shock_abs, 0e0 AS rate_shock_bps FROM {returns_sql(lookback)} AS rr)")
+
+
+def scenario_pnl_sql(lookback: int = 252, driver: str = "NIFTY") -> str:
+    """(portfolio_id, scenario_date, portfolio_pnl) — positions x scenarios."""
+    sc = scenarios_sql(lookback)
+    o = base_price_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
+                       f"FROM pos_opt p JOIN {sc} s ON s.driver_symbol = '{driver}')")
+    o = scenario_option_sql(o)
+    f = scenario_futures_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
+                             f"FROM pos_fut p JOIN {sc} s ON s.driver_symbol = '{driver}')")
+    return (f"(SELECT portfolio_id, scenario_date, sum(pnl_total) AS portfolio_pnl FROM "
+            f"(SELECT portfolio_id, scenario_date, pnl_total FROM {o} AS so UNION ALL "
+            f"SELECT portfolio_id, scenario_date, pnl_total FROM {f} AS sf2) u GROUP BY portfolio_id, scenario_date)")
+
+
+def var_cvar_sql(pnl: str) -> str:
+    return f"""SELECT g.portfolio_id, g.scenario_count, round(-g.q95, 2) AS var_95, round(-g.q99, 2) AS var_99,
+  round(coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q95), -g.q95), 2) AS cvar_95,
+  round(coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q99), -g.q99), 2) AS cvar_99,
+  round(g.m, 2) AS mean_pnl, round(g.lo, 2) AS min_pnl, round(g.hi, 2) AS max_pnl
+FROM (SELECT portfolio_id, count(*) AS scenario_count, quantile_cont(_p, 0.05) AS q95, quantile_cont(_p, 0.01) AS q99,
+        avg(_p) AS m, min(_p) AS lo, max(_p) AS hi FROM r GROUP BY portfolio_id) g"""

@@ -33,3 +33,262 @@ def q_curate_join_options(spark, sf_dir):
 @register("curate_join_futures", with_ctes("SELECT * FROM cfut"))
 def q_curated_futures(spark, sf_dir):
     return ctx(spark, sf_dir).futures
+
+
+# ---------------------------------------------------------------------------
+# 2.K  scenario, portfolio, VaR
+# ---------------------------------------------------------------------------
+
+from . import oracle as O  # noqa: E402
+from .operators import portfolio as PF  # noqa: E402
+from .operators import scenario as SC  # noqa: E402
+from .operators import var as VR  # noqa: E402
+
+# Default stress used by the registered portfolio queries.
+SHOCK = (-3.0, 2.0, 25.0)  # spot %, vol points, rate bps
+GRID = ([-10.0, -5.0, 0.0, 5.0, 10.0], [-10.0, 0.0, 10.0], [-100.0, 0.0, 100.0])
+LOOKBACK = 252
+
+
+def _pf(spark, sf_dir):
+    c = ctx(spark, sf_dir)
+    return c, c.market.positions, c.chain, c.futures, c.processed.lot_size
+
+
+@register("portfolio_risk", with_ctes(f"SELECT * FROM {O.position_results_sql(*SHOCK)} AS x"))
+def q_portfolio_risk(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    return PF.portfolio_risk(pos, chain, fut, lots, *SHOCK)
+
+
+@register("portfolio_summary", with_ctes(O.net_portfolio_sql(O.position_results_sql(*SHOCK))))
+def q_portfolio_summary(spark, sf_dir):
+    return PF.net_portfolio(q_portfolio_risk(spark, sf_dir))
+
+
+@register("net_portfolio", with_ctes(O.net_portfolio_sql(O.position_results_sql(*SHOCK),
+                                                         "portfolio_id, trade_date")))
+def q_net_portfolio(spark, sf_dir):
+    return PF.net_portfolio(q_portfolio_risk(spark, sf_dir), ["portfolio_id", "trade_date"])
+
+
+@register("no_data_count", with_ctes(
+    f"SELECT portfolio_id, count(*) FILTER (WHERE method = 'no_data') AS no_data_count "
+    f"FROM {O.position_results_sql(*SHOCK)} AS x GROUP BY portfolio_id"))
+def q_no_data_count(spark, sf_dir):
+    r = q_portfolio_risk(spark, sf_dir)
+    return r.groupBy("portfolio_id").agg(F.count_if(F.col("method") == "no_data").alias("no_data_count"))
+
+
+@register("lot_size_asof", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, lot_size, "
+    "lot_size_missing FROM pos_lot"))
+def q_lot_size_asof(spark, sf_dir):
+    from .operators.joins import lot_size_asof
+    c = ctx(spark, sf_dir)
+    p = lot_size_asof(c.market.positions, c.processed.lot_size)
+    return p.select("portfolio_id", "symbol", "trade_date", "expiry_date", "strike", "option_type",
+                    "quantity", "lot_size", "lot_size_missing")
+
+
+@register("join_contract_option", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, spot, iv, "
+    "_matched AS matched FROM pos_opt"))
+def q_join_contract_option(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    o, _ = PF.resolve_positions(pos, chain, fut, lots)
+    return o.select("portfolio_id", "symbol", "trade_date", "expiry_date", "strike", "option_type",
+                    "quantity", "spot", "iv", F.col("_matched").alias("matched"))
+
+
+@register("join_contract_futures", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, quantity, spot, settle, _matched AS matched FROM pos_fut"))
+def q_join_contract_futures(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    _, f = PF.resolve_positions(pos, chain, fut, lots)
+    return f.select("portfolio_id", "symbol", "trade_date", "expiry_date", "quantity", "spot", "settle",
+                    F.col("_matched").alias("matched"))
+
+
+def _chain_contracts(c):
+    """Every chain row as a one-lot contract with the as-of lot size."""
+    from .operators.joins import lot_size_asof
+    ch = lot_size_asof(c.chain, c.processed.lot_size)
+    return ch.withColumn("multiplier", F.col("lot_size"))
+
+
+CHAIN_CONTRACTS_SQL = """(SELECT c.*, CAST(coalesce(l.lot_size, 1) AS INT) AS lot_size,
+  CAST(coalesce(l.lot_size, 1) AS INT) AS multiplier, true AS _matched
+FROM chain c LEFT JOIN lot_size l ON c.symbol = l.symbol AND l.start_date <= c.trade_date
+  AND (l.end_date IS NULL OR l.end_date >= c.trade_date))"""
+
+
+@register("apply_shock", with_ctes(
+    f"SELECT trade_date, symbol, expiry_date, strike, option_type, {SC.SHOCKED_SPOT} AS spot_shocked, "
+    f"{SC.SHOCKED_RATE} AS rate_shocked, {SC.SHOCKED_VOL} AS vol_shocked "
+    f"FROM (SELECT *, {O.shock_cols(*SHOCK)} FROM chain) x"))
+def q_apply_shock(spark, sf_dir):
+    d = SC.apply_shock(SC.with_shock(ctx(spark, sf_dir).chain, *SHOCK))
+    return d.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "spot_shocked",
+                    "rate_shocked", "vol_shocked")
+
+
+@register("base_price", with_ctes(
+    "SELECT trade_date, symbol, expiry_date, strike, option_type, "
+    "CASE WHEN dte <= 0 THEN 'expired' ELSE 'base_price_only' END AS method, "
+    f"CASE WHEN dte > 0 THEN base_price END AS base_price FROM {O.base_price_sql('chain')} AS x"))
+def q_base_price(spark, sf_dir):
+    d = SC.base_price_method(ctx(spark, sf_dir).chain)
+    return d.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "method", "base_price")
+
+
+SCEN_OUT = "trade_date, symbol, expiry_date, strike, option_type, lot_size, method, base_price, shocked_price, pnl_per_lot, pnl_total"
+
+
+@register("scenario_option", with_ctes(
+    f"SELECT {SCEN_OUT} FROM "
+    f"{O.scenario_option_sql(O.base_price_sql(f'(SELECT *, {O.shock_cols(*SHOCK)} FROM {CHAIN_CONTRACTS_SQL} cc)'))} AS x"))
+def q_scenario_option(spark, sf_dir):
+    """Every contract of the chain x the default shock (one lot each)."""
+    d = SC.scenario_option(SC.with_shock(_chain_contracts(ctx(spark, sf_dir)), *SHOCK))
+    return d.select(*[s.strip() for s in SCEN_OUT.split(",")])
+
+
+@register("scenario_single", with_ctes(
+    f"SELECT {SCEN_OUT}, spot_shock_pct, vol_shock_abs, rate_shock_bps FROM "
+    f"{O.scenario_option_sql(O.base_price_sql(f'(SELECT cc.*, rq.spot_shock_pct, rq.vol_shock_abs, rq.rate_shock_bps FROM {CHAIN_CONTRACTS_SQL} cc JOIN (SELECT trade_date, symbol, expiry_date, strike, option_type, (strike - spot) / spot * 100e0 AS spot_shock_pct, 1e0 AS vol_shock_abs, 10e0 AS rate_shock_bps FROM chain) rq USING (trade_date, symbol, expiry_date, strike, option_type))'))} AS x"))
+def q_scenario_single(spark, sf_dir):
+    """Scenario requests as a table: each contract shocked to move spot onto
+    its strike (+1 vol pt, +10 bps) — request ⋈ chain ⋈ lots in one plan."""
+    c = ctx(spark, sf_dir)
+    keys = ["trade_date", "symbol", "expiry_date", "strike", "option_type"]
+    req = c.chain.select(*keys, ((F.col("strike") - F.col("spot")) / F.col("spot") * 100.0).alias("spot_shock_pct"),
+                         F.lit(1.0).alias("vol_shock_abs"), F.lit(10.0).alias("rate_shock_bps"))
+    d = SC.scenario_option(_chain_contracts(c).join(req, keys))
+    return d.select(*[s.strip() for s in SCEN_OUT.split(",")], "spot_shock_pct", "vol_shock_abs", "rate_shock_bps")
+
+
+@register("scenario_futures", with_ctes(
+    "SELECT trade_date, symbol, expiry_date, method, base_price, shocked_price, pnl_per_lot, pnl_total FROM "
+    + O.scenario_futures_sql(f"(SELECT f.*, CAST(coalesce(l.lot_size, 1) AS INT) AS multiplier, true AS _matched, "
+                             f"{O.shock_cols(*SHOCK)} FROM cfut f LEFT JOIN lot_size l ON f.symbol = l.symbol AND "
+                             f"l.start_date <= f.trade_date AND (l.end_date IS NULL OR l.end_date >= f.trade_date))")
+    + " AS x"))
+def q_scenario_futures(spark, sf_dir):
+    from .operators.joins import lot_size_asof
+    c = ctx(spark, sf_dir)
+    f = lot_size_asof(c.futures, c.processed.lot_size).withColumn("multiplier", F.col("lot_size"))
+    d = SC.scenario_futures(SC.with_shock(f, *SHOCK))
+    return d.select("trade_date", "symbol", "expiry_date", "method", "base_price", "shocked_price",
+                    "pnl_per_lot", "pnl_total")
+
+
+@register("mtm_option", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, strike, option_type, quantity, "
+    "CASE WHEN base_price IS NOT NULL AND _matched THEN base_price END AS current_price, "
+    "CASE WHEN base_price IS NOT NULL AND _matched THEN (base_price - entry_price) * multiplier ELSE 0e0 END AS mtm_pnl "
+    f"FROM {O.base_price_sql('pos_opt')} AS x"))
+def q_mtm_option(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    o, _ = PF.resolve_positions(pos, chain, fut, lots)
+    return SC.mtm_option(o).select("portfolio_id", "symbol", "trade_date", "expiry_date", "strike",
+                                   "option_type", "quantity", "current_price", "mtm_pnl")
+
+
+@register("mtm_futures", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, quantity, CASE WHEN _matched THEN spot END AS current_price, "
+    "CASE WHEN _matched THEN (spot - entry_price) * multiplier ELSE 0e0 END AS mtm_pnl FROM pos_fut"))
+def q_mtm_futures(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    _, f = PF.resolve_positions(pos, chain, fut, lots)
+    return SC.mtm_futures(f).select("portfolio_id", "symbol", "trade_date", "expiry_date", "quantity",
+                                    "current_price", "mtm_pnl")
+
+
+def _grid_sql():
+    vals = ",".join(f"({s!r}e0,{v!r}e0,{r!r}e0)" for s in GRID[0] for v in GRID[1] for r in GRID[2])
+    g = f"(SELECT * FROM (VALUES {vals}) AS t(spot_shock_pct, vol_shock_abs, rate_shock_bps))"
+    o = O.scenario_option_sql(O.base_price_sql(f"(SELECT p.*, g.* FROM pos_opt p CROSS JOIN {g} g)"))
+    f = O.scenario_futures_sql(f"(SELECT p.*, g.* FROM pos_fut p CROSS JOIN {g} g)")
+    k = "portfolio_id, spot_shock_pct, vol_shock_abs, rate_shock_bps"
+    return (f"SELECT {k}, sum(pnl_total) AS scenario_pnl FROM (SELECT {k}, pnl_total FROM {o} AS a "
+            f"UNION ALL SELECT {k}, pnl_total FROM {f} AS b) u GROUP BY {k}")
+
+
+@register("shock_grid", with_ctes(_grid_sql()))
+def q_shock_grid(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    return PF.shock_grid(pos, chain, fut, lots, *GRID)
+
+
+@register("daily_returns", with_ctes(f"SELECT * FROM {O.returns_sql(LOOKBACK)} AS x"))
+def q_daily_returns(spark, sf_dir):
+    return VR.daily_returns(ctx(spark, sf_dir).processed.spot, LOOKBACK)
+
+
+@register("historical_scenarios", with_ctes(f"SELECT * FROM {O.scenarios_sql(LOOKBACK)} AS x"))
+def q_historical_scenarios(spark, sf_dir):
+    return VR.historical_scenarios(q_daily_returns(spark, sf_dir))
+
+
+def _pnl(spark, sf_dir):
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
+    return VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, "NIFTY")
+
+
+_PNL_R = [("r", f"SELECT portfolio_id, scenario_date, round(portfolio_pnl, 2) AS _p FROM {O.scenario_pnl_sql(LOOKBACK)} AS s")]
+
+
+@register("scenario_pnl_by_date", with_ctes(
+    f"SELECT portfolio_id, scenario_date, round(portfolio_pnl, 2) AS portfolio_pnl FROM {O.scenario_pnl_sql(LOOKBACK)} AS x"))
+def q_scenario_pnl_by_date(spark, sf_dir):
+    return _pnl(spark, sf_dir).select("portfolio_id", "scenario_date",
+                                      F.round("portfolio_pnl", 2).alias("portfolio_pnl"))
+
+
+@register("scenario_cross", with_ctes(
+    f"SELECT p.portfolio_id, count(*) AS pairs FROM (SELECT portfolio_id FROM pos_opt UNION ALL "
+    f"SELECT portfolio_id FROM pos_fut) p JOIN {O.scenarios_sql(LOOKBACK)} s ON s.driver_symbol = 'NIFTY' "
+    "GROUP BY p.portfolio_id"))
+def q_scenario_cross(spark, sf_dir):
+    """Positions x scenarios pair count per portfolio (the expansion size),
+    via the broadcast equi-join on the driver symbol."""
+    c = ctx(spark, sf_dir)
+    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
+    pos = c.market.positions.select("portfolio_id").withColumn("driver_symbol", F.lit("NIFTY"))
+    return pos.join(F.broadcast(sc), "driver_symbol").groupBy("portfolio_id").agg(
+        F.count(F.lit(1)).alias("pairs"))
+
+
+@register("portfolio_var", with_ctes(O.var_cvar_sql("r"), _PNL_R))
+def q_portfolio_var(spark, sf_dir):
+    return VR.var_cvar(_pnl(spark, sf_dir))
+
+
+@register("var_cvar", with_ctes(O.var_cvar_sql("r"), _PNL_R))
+def q_var_cvar(spark, sf_dir):
+    return VR.var_cvar(_pnl(spark, sf_dir))
+
+
+@register("scenario_rank", with_ctes(
+    "SELECT portfolio_id, scenario_date, _p AS pnl, row_number() OVER (PARTITION BY portfolio_id "
+    "ORDER BY _p, scenario_date) AS loss_rank FROM r", _PNL_R))
+def q_scenario_rank(spark, sf_dir):
+    return VR.scenario_rank(_pnl(spark, sf_dir))
+
+
+@register("worst_best_days", with_ctes(
+    "SELECT portfolio_id, arg_min(scenario_date, (_p, scenario_date)) AS worst_date, min(_p) AS worst_pnl, "
+    "arg_min(scenario_date, (-_p, scenario_date)) AS best_date, max(_p) AS best_pnl FROM r GROUP BY portfolio_id",
+    _PNL_R))
+def q_worst_best_days(spark, sf_dir):
+    return VR.worst_best_days(_pnl(spark, sf_dir))
+
+
+@register("pnl_histogram", with_ctes(
+    "SELECT r.portfolio_id, CAST(CASE WHEN g.hi = g.lo THEN 0 ELSE least(floor((r._p - g.lo) / ((g.hi - g.lo) / 40)), 39) END AS INT) AS bin, "
+    "count(*) AS n, min(g.lo) AS range_lo, max(g.hi) AS range_hi FROM r JOIN (SELECT portfolio_id, min(_p) AS lo, "
+    "max(_p) AS hi FROM r GROUP BY portfolio_id) g ON r.portfolio_id = g.portfolio_id GROUP BY 1, 2", _PNL_R))
+def q_pnl_histogram(spark, sf_dir):
+    return VR.pnl_histogram(_pnl(spark, sf_dir))
