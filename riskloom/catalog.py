@@ -45,22 +45,41 @@ class Context:
         self.market = Market(spark, sf_dir)
 
     @functools.cached_property
-    def processed(self) -> ProcessedLayer:
+    def layers(self):
+        """Processed + curated tables, written once to the shared folder."""
+        from .plans.layers import materialize
+        return materialize(self.spark, self.sf_dir, self.market)
+
+    @property
+    def raw_processed(self) -> ProcessedLayer:
+        """Processed layer as a lazy plan over the raw fixture (not persisted)."""
         return ProcessedLayer.from_market(self.market)
 
-    @functools.cached_property
+    @property
+    def processed(self) -> ProcessedLayer:
+        return self.layers.processed
+
+    @property
     def chain(self) -> DataFrame:
-        from .plans.curated import curated_option_chain
-        return curated_option_chain(self.processed)
+        return self.layers.chain
 
-    @functools.cached_property
+    @property
     def futures(self) -> DataFrame:
-        from .plans.curated import curated_futures
-        return curated_futures(self.processed)
+        return self.layers.futures
+
+    @property
+    def positions(self) -> DataFrame:
+        return self.layers.positions
+
+
+_CTX: dict[tuple[int, str], Context] = {}
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> Context:
-    return Context(spark, sf_dir)
+    key = (id(spark), sf_dir)
+    if key not in _CTX:
+        _CTX[key] = Context(spark, sf_dir)
+    return _CTX[key]
 
 
 def queries() -> dict[str, QueryFn]:

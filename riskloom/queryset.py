@@ -19,8 +19,10 @@ from .schemas import CURATED_OPTION_COLUMNS
 
 @register("curate_greeks", with_ctes("SELECT * FROM chain"))
 def q_curate_greeks(spark, sf_dir):
-    """Flagship: full curated option chain with rate, IV and Greeks."""
-    return ctx(spark, sf_dir).chain
+    """Flagship: curated option chain (rate, IV, Greeks) computed from the
+    stored processed layer."""
+    from .plans.curated import curated_option_chain
+    return curated_option_chain(ctx(spark, sf_dir).processed)
 
 
 @register("curate_join_options", with_ctes(f"SELECT {CHAIN_COLS} FROM c_base"))
@@ -32,7 +34,8 @@ def q_curate_join_options(spark, sf_dir):
 
 @register("curate_join_futures", with_ctes("SELECT * FROM cfut"))
 def q_curated_futures(spark, sf_dir):
-    return ctx(spark, sf_dir).futures
+    from .plans.curated import curated_futures
+    return curated_futures(ctx(spark, sf_dir).processed)
 
 
 # ---------------------------------------------------------------------------
@@ -52,7 +55,7 @@ LOOKBACK = 252
 
 def _pf(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return c, c.market.positions, c.chain, c.futures, c.processed.lot_size
+    return c, c.positions, c.chain, c.futures, c.processed.lot_size
 
 
 @register("portfolio_risk", with_ctes(f"SELECT * FROM {O.position_results_sql(*SHOCK)} AS x"))
@@ -86,7 +89,7 @@ def q_no_data_count(spark, sf_dir):
 def q_lot_size_asof(spark, sf_dir):
     from .operators.joins import lot_size_asof
     c = ctx(spark, sf_dir)
-    p = lot_size_asof(c.market.positions, c.processed.lot_size)
+    p = lot_size_asof(c.positions, c.processed.lot_size)
     return p.select("portfolio_id", "symbol", "trade_date", "expiry_date", "strike", "option_type",
                     "quantity", "lot_size", "lot_size_missing")
 
@@ -256,7 +259,7 @@ def q_scenario_cross(spark, sf_dir):
     via the broadcast equi-join on the driver symbol."""
     c = ctx(spark, sf_dir)
     sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
-    pos = c.market.positions.select("portfolio_id").withColumn("driver_symbol", F.lit("NIFTY"))
+    pos = c.positions.select("portfolio_id").withColumn("driver_symbol", F.lit("NIFTY"))
     return pos.join(F.broadcast(sc), "driver_symbol").groupBy("portfolio_id").agg(
         F.count(F.lit(1)).alias("pairs"))
 
