@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_dec
+
 from ..dims import DISPLAY_NAMES, SYMBOLS
 from .joins import checked_broadcast, join_last_n_dates, pivot_tenors
 
@@ -95,9 +97,9 @@ def index_change(spot: DataFrame) -> DataFrame:
     pct = F.when((pc.isNull()) | (pc == 0), F.lit(0.0)).otherwise(chg / pc * 100.0)
     return j.select(
         "trade_date", "symbol", display_name_col().alias("display_name"),
-        F.round("open", 2).alias("open"), F.round("high", 2).alias("high"),
-        F.round("low", 2).alias("low"), F.round("close", 2).alias("close"),
-        F.round(chg, 2).alias("change"), F.round(pct, 2).alias("change_pct"),
+        round_dec("open", 2).alias("open"), round_dec("high", 2).alias("high"),
+        round_dec("low", 2).alias("low"), round_dec("close", 2).alias("close"),
+        round_dec(chg, 2).alias("change"), round_dec(pct, 2).alias("change_pct"),
         symbol_order_col().alias("sym_order"),
     )
 
@@ -105,7 +107,7 @@ def index_change(spot: DataFrame) -> DataFrame:
 def market_yields(gbond: DataFrame) -> DataFrame:
     """3M/6M/1Y yields per date, 2 dp; 0 is treated as missing."""
     p = pivot_tenors(gbond)
-    z = lambda c: F.when(F.col(c).isNull() | (F.col(c) == 0), None).otherwise(F.round(c, 2))
+    z = lambda c: F.when(F.col(c).isNull() | (F.col(c) == 0), None).otherwise(round_dec(c, 2))
     return p.select("trade_date", z("rate_3m").alias("y_3m"), z("rate_6m").alias("y_6m"),
                     z("rate_1y").alias("y_1y"))
 
@@ -115,7 +117,7 @@ def market_chart(spot: DataFrame, n: int = 30, as_of=None) -> DataFrame:
     s = spot.filter(F.col("symbol").isin(SYMBOLS))
     if as_of is not None:
         s = s.filter(F.col("trade_date") <= F.lit(as_of))
-    return join_last_n_dates(s, n).select("trade_date", "symbol", F.round("close", 2).alias("close")) \
+    return join_last_n_dates(s, n).select("trade_date", "symbol", round_dec("close", 2).alias("close")) \
         .orderBy("trade_date", "symbol")
 
 
@@ -164,7 +166,7 @@ def iv_audit_by_symbol(chain: DataFrame) -> DataFrame:
     c = chain.filter(F.col("option_type") == "CE")
     return c.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.count("iv").alias("rows_with_iv"),
-        F.round(F.avg("iv") * 100.0, 2).alias("avg_iv_pct"), F.round(F.avg("delta"), 4).alias("avg_delta"),
+        round_dec(F.avg("iv") * 100.0, 2).alias("avg_iv_pct"), round_dec(F.avg("delta"), 4).alias("avg_delta"),
     )
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_dec
+
 from ..dims import SYMBOLS
 from .portfolio import FUTURES_KEY, FUTURES_MARKET, OPTION_KEY, OPTION_MARKET, resolve_positions
 from .scenario import scenario_futures, scenario_option, with_base_price
@@ -96,7 +98,7 @@ def var_cvar(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_p
     strictly below -VaR, or VaR if there is none.  One aggregate pass: the
     percentile and the list of (≤ 1260) PnLs per group.
     """
-    p = pnl.withColumn("_p", F.round(F.col(value), 2))
+    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
     g = p.groupBy(by).agg(
         F.percentile("_p", F.array(F.lit(0.05), F.lit(0.01))).alias("_q"),
         F.collect_list("_p").alias("_all"),
@@ -112,10 +114,10 @@ def var_cvar(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_p
     q95, q99 = F.col("_q")[0], F.col("_q")[1]
     return g.select(
         by, "scenario_count",
-        F.round(-q95, 2).alias("var_95"), F.round(-q99, 2).alias("var_99"),
-        F.round(tail_mean(q95), 2).alias("cvar_95"), F.round(tail_mean(q99), 2).alias("cvar_99"),
-        F.round("_mean", 2).alias("mean_pnl"), F.round("_min", 2).alias("min_pnl"),
-        F.round("_max", 2).alias("max_pnl"),
+        round_dec(-q95, 2).alias("var_95"), round_dec(-q99, 2).alias("var_99"),
+        round_dec(tail_mean(q95), 2).alias("cvar_95"), round_dec(tail_mean(q99), 2).alias("cvar_99"),
+        round_dec("_mean", 2).alias("mean_pnl"), round_dec("_min", 2).alias("min_pnl"),
+        round_dec("_max", 2).alias("max_pnl"),
     )
 
 
@@ -130,14 +132,14 @@ def portfolio_var(positions: DataFrame, chain: DataFrame, futures: DataFrame, lo
 def scenario_rank(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_pnl") -> DataFrame:
     """Scenarios ranked worst-first per portfolio (ties by date)."""
     w = Window.partitionBy(by).orderBy(F.col("_p"), F.col("scenario_date"))
-    p = pnl.withColumn("_p", F.round(F.col(value), 2))
+    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
     return p.select(by, "scenario_date", F.col("_p").alias("pnl"),
                     F.row_number().over(w).alias("loss_rank"))
 
 
 def worst_best_days(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_pnl") -> DataFrame:
     """Worst and best scenario date per portfolio (earliest date on ties)."""
-    p = pnl.withColumn("_p", F.round(F.col(value), 2))
+    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
     return p.groupBy(by).agg(
         F.min_by("scenario_date", F.struct(F.col("_p"), F.col("scenario_date"))).alias("worst_date"),
         F.min("_p").alias("worst_pnl"),
@@ -149,7 +151,7 @@ def worst_best_days(pnl: DataFrame, by: str = "portfolio_id", value: str = "port
 def pnl_histogram(pnl: DataFrame, bins: int = 40, by: str = "portfolio_id",
                   value: str = "portfolio_pnl") -> DataFrame:
     """Counts of per-scenario PnL in ``bins`` equal-width bins per portfolio."""
-    p = pnl.withColumn("_p", F.round(F.col(value), 2))
+    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
     rng = p.groupBy(by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
     j = p.join(rng, by)  # one row per portfolio on the right: a tiny join
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -12,6 +12,7 @@ from __future__ import annotations
 from .fixtures import FIXTURE_CTES
 from .functions.blackscholes import bs_stages, greek_stages, stages_sql
 from .functions.curve import interpolate_rate_sql
+from .functions.rounding import round_dec_sql
 from .operators.iv import BISECTIONS, IV_LOWER, IV_UPPER, TOLERANCE
 
 KEY5 = "trade_date, symbol, expiry_date, strike, option_type"
@@ -101,7 +102,9 @@ FROM p_futures o JOIN p_mkt m ON o.trade_date = m.trade_date AND o.symbol = m.sy
   settle - spot * exp((rate - div_yield / 100e0) * (dte / 365e0)) AS basis, 1e0 AS delta FROM c_fut"""),
 ]
 
-EXTRA_CTES: list[tuple[str, str]] = []
+EXTRA_CTES: list[tuple[str, str]] = [
+    ("bhav_typed", "SELECT * FROM options UNION ALL BY NAME SELECT * FROM futures"),
+]
 
 
 def all_ctes() -> list[tuple[str, str]]:
@@ -243,9 +246,11 @@ def scenario_pnl_sql(lookback: int = 252, driver: str = "NIFTY") -> str:
 
 
 def var_cvar_sql(pnl: str) -> str:
-    return f"""SELECT g.portfolio_id, g.scenario_count, round(-g.q95, 2) AS var_95, round(-g.q99, 2) AS var_99,
-  round(coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q95), -g.q95), 2) AS cvar_95,
-  round(coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q99), -g.q99), 2) AS cvar_99,
-  round(g.m, 2) AS mean_pnl, round(g.lo, 2) AS min_pnl, round(g.hi, 2) AS max_pnl
+    R = round_dec_sql
+    t95 = "coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q95), -g.q95)"
+    t99 = "coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q99), -g.q99)"
+    return f"""SELECT g.portfolio_id, g.scenario_count, {R('-g.q95', 2)} AS var_95, {R('-g.q99', 2)} AS var_99,
+  {R(t95, 2)} AS cvar_95, {R(t99, 2)} AS cvar_99,
+  {R('g.m', 2)} AS mean_pnl, {R('g.lo', 2)} AS min_pnl, {R('g.hi', 2)} AS max_pnl
 FROM (SELECT portfolio_id, count(*) AS scenario_count, quantile_cont(_p, 0.05) AS q95, quantile_cont(_p, 0.01) AS q99,
         avg(_p) AS m, min(_p) AS lo, max(_p) AS hi FROM r GROUP BY portfolio_id) g"""

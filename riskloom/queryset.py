@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import ctx, register
+from .functions.rounding import round_dec
+from .functions.rounding import round_dec_sql as RD
 from .oracle import CHAIN_COLS, with_ctes
 from .schemas import CURATED_OPTION_COLUMNS
 
@@ -240,14 +242,14 @@ def _pnl(spark, sf_dir):
     return VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, "NIFTY")
 
 
-_PNL_R = [("r", f"SELECT portfolio_id, scenario_date, round(portfolio_pnl, 2) AS _p FROM {O.scenario_pnl_sql(LOOKBACK)} AS s")]
+_PNL_R = [("r", f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS _p FROM {O.scenario_pnl_sql(LOOKBACK)} AS s")]
 
 
 @register("scenario_pnl_by_date", with_ctes(
-    f"SELECT portfolio_id, scenario_date, round(portfolio_pnl, 2) AS portfolio_pnl FROM {O.scenario_pnl_sql(LOOKBACK)} AS x"))
+    f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS portfolio_pnl FROM {O.scenario_pnl_sql(LOOKBACK)} AS x"))
 def q_scenario_pnl_by_date(spark, sf_dir):
     return _pnl(spark, sf_dir).select("portfolio_id", "scenario_date",
-                                      F.round("portfolio_pnl", 2).alias("portfolio_pnl"))
+                                      round_dec("portfolio_pnl", 2).alias("portfolio_pnl"))
 
 
 @register("scenario_cross", with_ctes(
@@ -295,3 +297,324 @@ def q_worst_best_days(spark, sf_dir):
     "max(_p) AS hi FROM r GROUP BY portfolio_id) g ON r.portfolio_id = g.portfolio_id GROUP BY 1, 2", _PNL_R))
 def q_pnl_histogram(spark, sf_dir):
     return VR.pnl_histogram(_pnl(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# 2.L / 2.E / 2.F  market reads, aggregates, windows
+# ---------------------------------------------------------------------------
+
+from .operators import market as MK  # noqa: E402
+from .operators import quality as QA  # noqa: E402
+from .operators.dedupe import dedupe_count, dedupe_exact, dedupe_first, dedupe_last  # noqa: E402
+
+CHAIN23 = ", ".join(CURATED_OPTION_COLUMNS)
+
+
+@register("option_chain", with_ctes(f"SELECT {CHAIN23} FROM chain ORDER BY symbol, trade_date, expiry_date, strike, option_type"))
+def q_option_chain(spark, sf_dir):
+    """Every requested chain, ordered by strike and type (requests = all chains)."""
+    return MK.option_chain(ctx(spark, sf_dir).chain)
+
+
+@register("chain_stats", with_ctes(
+    "SELECT symbol, trade_date, expiry_date, count(*) AS row_count, count(iv) AS iv_computed_count, "
+    "avg(iv) AS iv_avg FROM chain GROUP BY 1, 2, 3"))
+def q_chain_stats(spark, sf_dir):
+    return MK.chain_stats(ctx(spark, sf_dir).chain)
+
+
+@register("expiries", with_ctes("SELECT DISTINCT symbol, trade_date, expiry_date FROM chain ORDER BY 1, 2, 3"))
+def q_expiries(spark, sf_dir):
+    return MK.expiries(ctx(spark, sf_dir).chain)
+
+
+@register("distinct_strikes", with_ctes("SELECT DISTINCT symbol, strike FROM chain ORDER BY 1, 2"))
+def q_distinct_strikes(spark, sf_dir):
+    return MK.distinct_sorted(ctx(spark, sf_dir).chain, "symbol", "strike")
+
+
+@register("portfolio_symbols", with_ctes(
+    "SELECT DISTINCT portfolio_id, upper(trim(symbol)) AS symbol FROM positions ORDER BY 1, 2"))
+def q_portfolio_symbols(spark, sf_dir):
+    p = ctx(spark, sf_dir).positions
+    return MK.distinct_sorted(p.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")),
+                              "portfolio_id", "symbol")
+
+
+@register("iv_smile", with_ctes(
+    "SELECT symbol, trade_date, expiry_date, strike, max(CASE WHEN option_type = 'CE' THEN iv END) AS iv_ce, "
+    "max(CASE WHEN option_type = 'PE' THEN iv END) AS iv_pe FROM chain WHERE iv IS NOT NULL GROUP BY 1, 2, 3, 4"))
+def q_iv_smile(spark, sf_dir):
+    return MK.iv_smile(ctx(spark, sf_dir).chain)
+
+
+@register("delta_by_strike", with_ctes(
+    "SELECT symbol, trade_date, expiry_date, strike, option_type, delta FROM chain WHERE delta IS NOT NULL"))
+def q_delta_by_strike(spark, sf_dir):
+    return MK.delta_by_strike(ctx(spark, sf_dir).chain)
+
+
+@register("vix_by_date", with_ctes("SELECT trade_date, close AS vix_value FROM p_vix"))
+def q_vix_by_date(spark, sf_dir):
+    return MK.vix_by_date(ctx(spark, sf_dir).processed.vix)
+
+
+_PC = "coalesce(p.close, s.close)"
+INDEX_CHANGE_SQL = f"""SELECT s.trade_date, s.symbol,
+  CASE s.symbol WHEN 'NIFTY' THEN 'Nifty 50' WHEN 'BANKNIFTY' THEN 'Nifty Bank'
+    WHEN 'FINNIFTY' THEN 'Nifty Financial Services' WHEN 'MIDCPNIFTY' THEN 'Nifty Midcap Select' ELSE s.symbol END AS display_name,
+  {RD('s.open', 2)} AS open, {RD('s.high', 2)} AS high, {RD('s.low', 2)} AS low, {RD('s.close', 2)} AS close,
+  {RD(f's.close - {_PC}', 2)} AS change,
+  {RD(f'CASE WHEN {_PC} IS NULL OR {_PC} = 0 THEN 0e0 ELSE (s.close - {_PC}) / {_PC} * 100e0 END', 2)} AS change_pct,
+  CASE s.symbol WHEN 'NIFTY' THEN 1 WHEN 'BANKNIFTY' THEN 2 WHEN 'FINNIFTY' THEN 3 WHEN 'MIDCPNIFTY' THEN 4 END AS sym_order
+FROM p_spot s JOIN (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev_date
+  FROM (SELECT DISTINCT trade_date FROM p_spot WHERE symbol IN ('NIFTY','BANKNIFTY','FINNIFTY','MIDCPNIFTY')) d) c
+  ON s.trade_date = c.trade_date
+LEFT JOIN p_spot p ON p.trade_date = c.prev_date AND p.symbol = s.symbol
+WHERE s.symbol IN ('NIFTY','BANKNIFTY','FINNIFTY','MIDCPNIFTY')"""
+
+
+@register("index_change", with_ctes(INDEX_CHANGE_SQL))
+def q_index_change(spark, sf_dir):
+    return MK.index_change(ctx(spark, sf_dir).processed.spot)
+
+
+@register("market_indices", with_ctes(f"SELECT * FROM ({INDEX_CHANGE_SQL}) x ORDER BY trade_date, sym_order"))
+def q_market_indices(spark, sf_dir):
+    """Market summary for every trading date, symbols in display order."""
+    return MK.index_change(ctx(spark, sf_dir).processed.spot).orderBy("trade_date", "sym_order")
+
+
+@register("order_by_case", with_ctes(
+    "SELECT trade_date, symbol, close, CASE symbol WHEN 'NIFTY' THEN 1 WHEN 'BANKNIFTY' THEN 2 WHEN 'FINNIFTY' THEN 3 "
+    "WHEN 'MIDCPNIFTY' THEN 4 END AS sym_order FROM p_spot ORDER BY trade_date, sym_order"))
+def q_order_by_case(spark, sf_dir):
+    s = ctx(spark, sf_dir).processed.spot
+    return s.select("trade_date", "symbol", "close", MK.symbol_order_col().alias("sym_order")).orderBy(
+        "trade_date", "sym_order")
+
+
+@register("market_yields", with_ctes(
+    "SELECT trade_date, " + ", ".join(
+        f"CASE WHEN rate_{t} IS NULL OR rate_{t} = 0 THEN NULL ELSE {RD(f'rate_{t}', 2)} END AS y_{t}"
+        for t in ("3m", "6m", "1y")) + " FROM p_rates"))
+def q_market_yields(spark, sf_dir):
+    return MK.market_yields(ctx(spark, sf_dir).processed.gbond)
+
+
+@register("pivot_tenors", with_ctes("SELECT * FROM p_rates"))
+def q_pivot_tenors(spark, sf_dir):
+    from .operators.joins import pivot_tenors
+    return pivot_tenors(ctx(spark, sf_dir).processed.gbond)
+
+
+@register("market_chart", with_ctes(
+    f"SELECT s.trade_date, s.symbol, {RD('s.close', 2)} AS close FROM p_spot s JOIN (SELECT DISTINCT trade_date FROM p_spot "
+    "WHERE symbol IN ('NIFTY','BANKNIFTY','FINNIFTY','MIDCPNIFTY') ORDER BY trade_date DESC LIMIT 30) d "
+    "ON s.trade_date = d.trade_date WHERE s.symbol IN ('NIFTY','BANKNIFTY','FINNIFTY','MIDCPNIFTY') ORDER BY 1, 2"))
+def q_market_chart(spark, sf_dir):
+    """Closes on the last 30 trading dates (the 30 is the feature: a chart window)."""
+    return MK.market_chart(ctx(spark, sf_dir).processed.spot, 30)
+
+
+@register("join_last_n_dates", with_ctes(
+    "SELECT o.* FROM p_options o WHERE o.trade_date IN (SELECT DISTINCT trade_date FROM p_options "
+    "ORDER BY trade_date DESC LIMIT 30)"))
+def q_join_last_n_dates(spark, sf_dir):
+    from .operators.joins import join_last_n_dates
+    return join_last_n_dates(ctx(spark, sf_dir).processed.options, 30)
+
+
+@register("last_n", with_ctes("SELECT trade_date, symbol, close FROM p_spot WHERE symbol = 'NIFTY' "
+                              "ORDER BY trade_date DESC LIMIT 253"))
+def q_last_n(spark, sf_dir):
+    """Latest 253 NIFTY closes (the VaR look-back window: a top-k by date)."""
+    s = ctx(spark, sf_dir).processed.spot
+    return s.filter(F.col("symbol") == "NIFTY").select("trade_date", "symbol", "close").orderBy(
+        F.col("trade_date").desc()).limit(253)
+
+
+@register("chart_pivot", with_ctes(
+    "SELECT trade_date, max(CASE WHEN symbol = 'NIFTY' THEN close END) AS NIFTY, "
+    "max(CASE WHEN symbol = 'BANKNIFTY' THEN close END) AS BANKNIFTY, "
+    "max(CASE WHEN symbol = 'FINNIFTY' THEN close END) AS FINNIFTY, "
+    "max(CASE WHEN symbol = 'MIDCPNIFTY' THEN close END) AS MIDCPNIFTY FROM p_spot GROUP BY trade_date"))
+def q_chart_pivot(spark, sf_dir):
+    return MK.chart_pivot(ctx(spark, sf_dir).processed.spot)
+
+
+@register("sparkline_range", with_ctes(
+    "SELECT symbol, min(close) AS min_close, max(close) AS max_close, "
+    "min(close) - CASE WHEN max(close) = min(close) THEN min(close) * 0.01e0 ELSE (max(close) - min(close)) * 0.1e0 END AS y_lo, "
+    "max(close) + CASE WHEN max(close) = min(close) THEN min(close) * 0.01e0 ELSE (max(close) - min(close)) * 0.1e0 END AS y_hi "
+    "FROM p_spot GROUP BY symbol"))
+def q_sparkline_range(spark, sf_dir):
+    return MK.sparkline_range(ctx(spark, sf_dir).processed.spot)
+
+
+@register("market_context", with_ctes(
+    f"SELECT i.*, h.portfolio_id FROM ({INDEX_CHANGE_SQL}) i JOIN (SELECT DISTINCT portfolio_id, "
+    "upper(trim(symbol)) AS symbol FROM positions) h ON i.symbol = h.symbol"))
+def q_market_context(spark, sf_dir):
+    c = ctx(spark, sf_dir)
+    return MK.market_context(MK.index_change(c.processed.spot), c.positions)
+
+
+@register("latest_date", with_ctes("SELECT max(trade_date) AS latest_date FROM chain"))
+def q_latest_date(spark, sf_dir):
+    return MK.latest_date(ctx(spark, sf_dir).chain)
+
+
+@register("latest_date_by_year", with_ctes(
+    "SELECT year(trade_date) AS year, max(trade_date) AS latest_date FROM chain GROUP BY 1"))
+def q_latest_date_by_year(spark, sf_dir):
+    return MK.latest_date_by_year(ctx(spark, sf_dir).chain)
+
+
+@register("available_years", with_ctes("SELECT DISTINCT year(trade_date) AS year FROM p_options ORDER BY 1"))
+def q_available_years(spark, sf_dir):
+    return MK.available_years(ctx(spark, sf_dir).processed.options)
+
+
+@register("null_iv_summary", with_ctes(
+    "SELECT year(trade_date) AS year, count(*) AS total, count(*) FILTER (WHERE iv IS NULL) AS null_iv, "
+    "CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE iv IS NULL)) / count(*) * 100e0 ELSE 0e0 END AS null_pct "
+    "FROM chain GROUP BY 1"))
+def q_null_iv_summary(spark, sf_dir):
+    return MK.null_iv_summary(ctx(spark, sf_dir).chain)
+
+
+@register("iv_audit_by_symbol", with_ctes(
+    f"SELECT symbol, count(*) AS rows, count(iv) AS rows_with_iv, {RD('avg(iv) * 100e0', 2)} AS avg_iv_pct, "
+    f"{RD('avg(delta)', 4)} AS avg_delta FROM chain WHERE option_type = 'CE' GROUP BY symbol"))
+def q_iv_audit_by_symbol(spark, sf_dir):
+    return MK.iv_audit_by_symbol(ctx(spark, sf_dir).chain)
+
+
+@register("row_coverage", with_ctes(
+    "SELECT symbol, count(*) AS rows FROM chain GROUP BY symbol UNION ALL SELECT 'TOTAL', count(*) FROM chain"))
+def q_row_coverage(spark, sf_dir):
+    return MK.row_coverage(ctx(spark, sf_dir).chain)
+
+
+@register("calendar_from_derivatives", with_ctes(
+    "SELECT DISTINCT trade_date, symbol FROM (SELECT trade_date, symbol FROM p_options UNION ALL "
+    "SELECT trade_date, symbol FROM p_futures) u"))
+def q_calendar(spark, sf_dir):
+    from .plans.processed import processed_trade_calendar
+    p = ctx(spark, sf_dir).processed
+    return processed_trade_calendar(p.options, p.futures)
+
+
+@register("audit_nulls", with_ctes(
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE div_yield IS NULL) AS null_div_yield, "
+    "count(*) FILTER (WHERE symbol IS NULL) AS null_symbol FROM div_yield_raw"))
+def q_audit_nulls(spark, sf_dir):
+    return QA.audit_nulls(ctx(spark, sf_dir).market.div_yield_raw, ["div_yield", "symbol"])
+
+
+@register("audit_zeros", with_ctes(
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE settle = 0) AS zero_settle, "
+    "count(*) FILTER (WHERE dte = 0) AS zero_dte, count(*) FILTER (WHERE strike = 0) AS zero_strike FROM bhav_typed"))
+def q_audit_zeros(spark, sf_dir):
+    return QA.audit_zeros(_bhav_typed(spark, sf_dir), ["settle", "dte", "strike"])
+
+
+def _bhav_typed(spark, sf_dir):
+    m = ctx(spark, sf_dir).market
+    return m.options.unionByName(m.futures)
+
+
+@register("audit_distributions", with_ctes(
+    "SELECT 'symbol' AS dim, symbol AS value, count(*) AS rows FROM bhav GROUP BY symbol UNION ALL "
+    "SELECT 'option_type', option_type, count(*) FROM bhav GROUP BY option_type"))
+def q_audit_distributions(spark, sf_dir):
+    b = ctx(spark, sf_dir).market.bhav
+    a = QA.audit_distribution(b, "symbol").select(F.lit("symbol").alias("dim"), F.col("symbol").alias("value"), "rows")
+    t = QA.audit_distribution(b, "option_type").select(F.lit("option_type").alias("dim"),
+                                                       F.col("option_type").alias("value"), "rows")
+    return a.unionByName(t)
+
+
+@register("bond_change_pct", with_ctes("SELECT trade_date, tenor, yield_pct, change_pct, was_par_price FROM p_gbond"))
+def q_bond_change_pct(spark, sf_dir):
+    from .plans.processed import processed_gbond
+    return processed_gbond(ctx(spark, sf_dir).market.gbond_raw).select(
+        "trade_date", "tenor", "yield_pct", "change_pct", "was_par_price")
+
+
+@register("par_price_to_yield", with_ctes("SELECT trade_date, tenor, yield_pct, was_par_price FROM p_gbond_c"))
+def q_par_price_to_yield(spark, sf_dir):
+    from .plans.processed import processed_gbond
+    return processed_gbond(ctx(spark, sf_dir).market.gbond_raw).select(
+        "trade_date", "tenor", "yield_pct", "was_par_price")
+
+
+@register("lot_size_gaps", with_ctes(
+    "SELECT symbol, start_date, end_date, next_start, CASE WHEN end_date IS NOT NULL AND next_start IS NOT NULL "
+    "AND next_start <> end_date + 1 THEN 'gap' ELSE 'open_end_not_last' END AS issue FROM (SELECT *, "
+    "lead(start_date) OVER (PARTITION BY symbol ORDER BY start_date) AS next_start FROM lot_size) x "
+    "WHERE (end_date IS NOT NULL AND next_start IS NOT NULL AND next_start <> end_date + 1) "
+    "OR (end_date IS NULL AND next_start IS NOT NULL)"))
+def q_lot_size_gaps(spark, sf_dir):
+    return QA.lot_size_gaps(ctx(spark, sf_dir).processed.lot_size)
+
+
+@register("lot_size_overlaps", with_ctes(
+    "SELECT symbol, start_date, end_date, prev_end, CASE WHEN end_date IS NOT NULL AND end_date < start_date "
+    "THEN 'end_before_start' ELSE 'overlap' END AS issue FROM (SELECT *, lag(end_date) OVER w AS prev_end, "
+    "lag(start_date) OVER w AS prev_start FROM (SELECT * FROM lot_size UNION ALL SELECT 'NIFTY', DATE '1999-01-01', "
+    "DATE '1998-12-01', 10) l WINDOW w AS (PARTITION BY symbol ORDER BY start_date)) x WHERE "
+    "(end_date IS NOT NULL AND end_date < start_date) OR (prev_start IS NOT NULL AND (prev_end IS NULL OR start_date <= prev_end))"))
+def q_lot_size_overlaps(spark, sf_dir):
+    """Overlap check on the lot periods plus one hand-made bad period."""
+    import datetime as dt
+    lots = ctx(spark, sf_dir).processed.lot_size
+    bad = spark.createDataFrame([("NIFTY", dt.date(1999, 1, 1), dt.date(1998, 12, 1), 10)], lots.schema)
+    return QA.lot_size_overlaps(lots.unionByName(bad))
+
+
+@register("dedupe_first", with_ctes(
+    "SELECT trade_date, symbol, expiry_date, strike, option_type, settle, l_orderkey, l_linenumber FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY {O.KEY5} ORDER BY {O.ORDER}) AS rn FROM options) x WHERE rn = 1"))
+def q_dedupe_first(spark, sf_dir):
+    o = ctx(spark, sf_dir).market.options.select(
+        "trade_date", "symbol", "expiry_date", "strike", "option_type", "settle", "l_orderkey", "l_linenumber",
+        "l_extendedprice")
+    d = dedupe_first(o, ["trade_date", "symbol", "expiry_date", "strike", "option_type"],
+                     ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return d.drop("l_extendedprice")
+
+
+@register("dedupe_last", with_ctes(
+    "SELECT trade_date, symbol, expiry_date, strike, option_type, settle, l_orderkey, l_linenumber FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY {O.KEY5} ORDER BY l_orderkey DESC, l_linenumber DESC, "
+    "l_extendedprice DESC) AS rn FROM options) x WHERE rn = 1"))
+def q_dedupe_last(spark, sf_dir):
+    o = ctx(spark, sf_dir).market.options.select(
+        "trade_date", "symbol", "expiry_date", "strike", "option_type", "settle", "l_orderkey", "l_linenumber",
+        "l_extendedprice")
+    d = dedupe_last(o, ["trade_date", "symbol", "expiry_date", "strike", "option_type"],
+                    ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return d.drop("l_extendedprice")
+
+
+@register("dedupe_exact", with_ctes("SELECT DISTINCT trade_date, symbol, expiry_date, strike, option_type FROM options"))
+def q_dedupe_exact(spark, sf_dir):
+    o = ctx(spark, sf_dir).market.options
+    return dedupe_exact(o.select("trade_date", "symbol", "expiry_date", "strike", "option_type"))
+
+
+@register("dedupe_count", with_ctes(
+    "SELECT count(*) AS rows_in, count(DISTINCT (trade_date, symbol, expiry_date, strike, option_type)) AS distinct_keys, "
+    "count(*) - count(DISTINCT (trade_date, symbol, expiry_date, strike, option_type)) AS rows_dropped FROM options"))
+def q_dedupe_count(spark, sf_dir):
+    return dedupe_count(ctx(spark, sf_dir).market.options, ["trade_date", "symbol", "expiry_date", "strike", "option_type"])
+
+
+@register("chain_sorted", with_ctes(
+    f"SELECT {CHAIN23} FROM chain WHERE symbol = 'NIFTY' ORDER BY trade_date, expiry_date, strike, option_type"))
+def q_chain_sorted(spark, sf_dir):
+    """All NIFTY chains ordered by date, expiry, strike, type (symbol is the request)."""
+    ch = ctx(spark, sf_dir).chain
+    return ch.filter(F.col("symbol") == "NIFTY").orderBy("trade_date", "expiry_date", "strike", "option_type")
