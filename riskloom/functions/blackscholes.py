@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .normal import cdf_sql, pdf_sql
+from .normal import cdf_stages, pdf_sql
 
 T_FLOOR = "1e-10"
 SIGMA_FLOOR = "1e-10"
@@ -54,7 +54,7 @@ def bs_stages(
         },
         {f"{p}_d2": f"{p}_d1 - {p}_s * {p}_sq"},
         {f"{p}_x1": f"{p}_w * {p}_d1", f"{p}_x2": f"{p}_w * {p}_d2"},
-        {f"{p}_n1": cdf_sql(f"{p}_x1"), f"{p}_n2": cdf_sql(f"{p}_x2")},
+        *cdf_stages({f"{p}_n1": f"{p}_x1", f"{p}_n2": f"{p}_x2"}, f"{p}_c"),
         {
             f"{p}_price": f"{p}_w * (({S}) * {p}_eq * {p}_n1 - ({K}) * {p}_er * {p}_n2)"
         },

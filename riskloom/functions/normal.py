@@ -69,6 +69,29 @@ def cdf_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 0e0 THEN 1e0 - {lower} ELSE {lower} END)"
 
 
+def cdf_stages(xs: dict[str, str], p: str) -> list[dict[str, str]]:
+    """N(x) for several inputs as small stages (``{out: x}``).
+
+    Same arithmetic as :func:`cdf_sql`, but |x|, the Gaussian factor and the
+    lower tail are separate columns, so no stage holds more than one
+    polynomial and the generated code stays small enough to be JIT-compiled.
+    """
+    a = {f"{p}{i}_a": f"abs({x})" for i, x in enumerate(xs.values())}
+    e = {f"{p}{i}_e": f"exp(-{p}{i}_a * {p}{i}_a / 2e0)" for i in range(len(xs))}
+    lo = {}
+    for i in range(len(xs)):
+        ai, ei = f"{p}{i}_a", f"{p}{i}_e"
+        lo[f"{p}{i}_lo"] = (
+            f"CASE WHEN {ai} > {_lit(HART_CUTOFF)} THEN 0e0 "
+            f"WHEN {ai} < {_lit(HART_SPLIT)} THEN {ei} * {_horner_sql(HART_P, ai)} / {_horner_sql(HART_Q, ai)} "
+            f"ELSE {ei} / ({ai} + 1e0 / ({ai} + 2e0 / ({ai} + 3e0 / ({ai} + 4e0 / ({ai} + 0.65e0))))) "
+            f"/ {_lit(SQRT_2PI)} END"
+        )
+    out = {o: f"CASE WHEN {x} > 0e0 THEN 1e0 - {p}{i}_lo ELSE {p}{i}_lo END"
+           for i, (o, x) in enumerate(xs.items())}
+    return [a, e, lo, out]
+
+
 def pdf_sql(x: str) -> str:
     return f"(exp(-0.5e0 * {x} * {x}) / sqrt(2e0 * pi()))"
 
