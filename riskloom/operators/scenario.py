@@ -55,30 +55,52 @@ def base_price_method(df: DataFrame) -> DataFrame:
         .withColumn("base_price", F.when(F.col("dte") > 0, F.col("base_price")))
 
 
-def scenario_option(df: DataFrame, has_base: bool = False) -> DataFrame:
+def option_method(df: DataFrame) -> Column:
+    """Scenario method of an option leg; it does not depend on the shock."""
+    live_iv = F.col("iv").isNotNull() & (F.col("iv") > 0)
+    greeks_ok = (F.col("delta").isNotNull() & F.col("gamma").isNotNull() & F.col("vega").isNotNull()
+                 & F.col("rho").isNotNull())
+    matched = F.col("_matched") if "_matched" in df.columns else F.lit(True)
+    return (F.when(~matched, "no_data").when(F.col("dte") <= 0, "expired")
+            .when(live_iv, "full_reprice").when(greeks_ok, "greeks_approx").otherwise("no_data"))
+
+
+def _shocked_stages() -> list[dict[str, str]]:
+    return bs_stages(SHOCKED_SPOT, "strike", "t_years", SHOCKED_RATE, "q", SHOCKED_VOL,
+                     "option_type = 'CE'", "_sp")
+
+
+SPOT_FREE_STAGES = 2  # the first stages of a pricing use T, sigma, r, q only
+
+
+def prepare_shocked_pricing(df: DataFrame) -> DataFrame:
+    """Evaluate the parts of the shocked pricing that do not depend on the
+    spot shock (time, vol and rate terms) — e.g. once per leg before a
+    leg x scenario expansion whose scenarios only move spot."""
+    return apply_stages(with_pricing_inputs(df), _shocked_stages()[:SPOT_FREE_STAGES])
+
+
+def scenario_option(df: DataFrame, has_base: bool = False, prepared: bool = False) -> DataFrame:
     """Method cascade for options: expired -> full_reprice (iv > 0) ->
     greeks_approx (delta, gamma, vega, rho all present) -> no_data.
 
     Adds method, base_price, shocked_price, pnl_per_lot, pnl_total.
-    ``matched`` (contract found in the chain) defaults to true.
+    ``_matched`` (contract found in the chain) defaults to true.
     """
     if "_matched" not in df.columns:
         df = df.withColumn("_matched", F.lit(True))
     if not has_base:
         df = with_base_price(df)
-    df = with_pricing_inputs(df)
-    st = bs_stages(SHOCKED_SPOT, "strike", "t_years", SHOCKED_RATE, "q", SHOCKED_VOL,
-                   "option_type = 'CE'", "_sp")
-    df = apply_stages(df, st)
+    st = _shocked_stages()
+    if prepared:
+        df = apply_stages(df, st[SPOT_FREE_STAGES:])
+    else:
+        df = apply_stages(with_pricing_inputs(df), st)
     dS = F.expr(SHOCKED_SPOT) - F.col("spot")
     approx = (F.col("delta") * dS + F.lit(0.5) * F.col("gamma") * dS * dS
               + F.col("vega") * F.col("vol_shock_abs") + F.col("rho") * (F.col("rate_shock_bps") / 100.0))
-    live_iv = F.col("iv").isNotNull() & (F.col("iv") > 0)
-    greeks_ok = (F.col("delta").isNotNull() & F.col("gamma").isNotNull() & F.col("vega").isNotNull()
-                 & F.col("rho").isNotNull())
-    method = (F.when(~F.col("_matched"), "no_data").when(F.col("dte") <= 0, "expired")
-              .when(live_iv, "full_reprice").when(greeks_ok, "greeks_approx").otherwise("no_data"))
-    df = df.withColumn("method", method)
+    if "method" not in df.columns:
+        df = df.withColumn("method", option_method(df))
     full = F.col("method") == "full_reprice"
     df = df.withColumns({
         "base_price": F.when(full, F.col("base_price")),

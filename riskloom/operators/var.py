@@ -22,7 +22,8 @@ from ..functions.rounding import round_dec
 
 from ..dims import SYMBOLS
 from .portfolio import FUTURES_KEY, FUTURES_MARKET, OPTION_KEY, OPTION_MARKET, resolve_positions
-from .scenario import scenario_futures, scenario_option, with_base_price
+from .scenario import (option_method, prepare_shocked_pricing, scenario_futures, scenario_option,
+                       with_base_price)
 
 MAX_LOOKBACK = 1260
 MIN_LOOKBACK = 10
@@ -69,25 +70,43 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     """Portfolio PnL per scenario date (unrounded).
 
     ``driver_symbol`` = one index drives every leg (source-system parity);
-    ``None`` = each leg is shocked by its own symbol's returns.
+    ``None`` = each leg is shocked by its own symbol's returns.  Historical
+    scenarios move spot only (vol and rate shocks are 0).
+
+    Work per (leg, scenario) pair is kept minimal: legs are netted per
+    (portfolio, contract) (PnL is linear in the multiplier); legs whose PnL
+    is 0 whatever the shock (no data, expired) never enter the expansion —
+    each portfolio instead gets one zero row per scenario, so every
+    (portfolio, date) group exists; and the spot-independent parts of the
+    shocked price (time, vol, rate terms) are evaluated once per leg.
     """
     opt, fut = resolve_positions(positions, chain, futures, lots)
     drv = F.lit(driver_symbol) if driver_symbol else F.col("symbol")
-    # PnL is linear in the multiplier: net legs per (portfolio, contract) first.
+    spark = opt.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    zero_shocks = {"vol_shock_abs": F.lit(0.0), "rate_shock_bps": F.lit(0.0)}
     o = (opt.groupBy("portfolio_id", *OPTION_KEY, "_matched", *OPTION_MARKET)
          .agg(F.sum("multiplier").alias("multiplier")))
-    f = (fut.groupBy("portfolio_id", *FUTURES_KEY, "_matched", *FUTURES_MARKET)
+    o = o.withColumn("method", option_method(o)).filter(F.col("method").isin("full_reprice", "greeks_approx"))
+    o = prepare_shocked_pricing(with_base_price(o).withColumns(zero_shocks))
+    # the netted legs may sit in few partitions after AQE coalescing; the
+    # expansion multiplies every row by the number of scenarios, so spread
+    # them over the cluster first.
+    o = o.withColumn("driver_symbol", drv).repartition(n)
+    f = (fut.filter(F.col("_matched")).groupBy("portfolio_id", *FUTURES_KEY, "_matched", *FUTURES_MARKET)
          .agg(F.sum("multiplier").alias("multiplier")))
-    n = partitions or o.sparkSession.sparkContext.defaultParallelism
-    # after the netting AQE may coalesce to very few partitions; the expansion
-    # below multiplies the rows, so spread them over all cores first.
-    o = with_base_price(o.withColumn("driver_symbol", drv)).repartition(n)
-    f = f.withColumn("driver_symbol", drv).repartition(max(1, n // 4))
-    sc = F.broadcast(scenarios.filter(F.col("driver_symbol").isin(SYMBOLS)))
-    o = scenario_option(o.join(sc, "driver_symbol"), has_base=True)
+    f = f.withColumn("driver_symbol", drv).withColumns(zero_shocks).repartition(max(1, n // 4))
+    # bounded: lookback <= 1260 dates x the 4-symbol universe
+    sc = F.broadcast(scenarios.filter(F.col("driver_symbol").isin(SYMBOLS))
+                     .select("driver_symbol", "scenario_date", "spot_shock_pct"))
+    o = scenario_option(o.join(sc, "driver_symbol"), has_base=True, prepared=True)
     f = scenario_futures(f.join(sc, "driver_symbol"))
+    # one zero per (portfolio, scenario date): the output's own cardinality
+    pf = positions.select("portfolio_id").distinct().withColumn("driver_symbol", drv)
+    z = pf.join(sc, "driver_symbol").select("portfolio_id", "scenario_date", F.lit(0.0).alias("pnl_total"))
     keys = ["portfolio_id", "scenario_date"]
-    u = o.select(*keys, "pnl_total").unionByName(f.select(*keys, "pnl_total"))
+    u = o.select(*keys, "pnl_total").unionByName(f.select(*keys, "pnl_total")).unionByName(z)
     return u.groupBy(*keys).agg(F.sum("pnl_total").alias("portfolio_pnl"))
 
 
