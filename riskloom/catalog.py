@@ -82,11 +82,15 @@ def ctx(spark: SparkSession, sf_dir: str) -> Context:
     return _CTX[key]
 
 
+def _load() -> None:
+    from . import queryset, queryset_ingest, queryset_pricing  # noqa: F401  (register everything)
+
+
 def queries() -> dict[str, QueryFn]:
-    from . import queryset as _q  # noqa: F401  (registers everything)
+    _load()
     return {n: q.fn for n, q in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queryset as _q  # noqa: F401
+    _load()
     return {n: q.oracle for n, q in REGISTRY.items() if q.oracle is not None}

@@ -254,3 +254,60 @@ FROM bhav b JOIN spot p ON b.trade_date=p.trade_date AND b.symbol=p.symbol WHERE
   trade_date+(-5) AS entry_date, 1e0+spot*l_tax AS entry_price, l_orderkey, l_linenumber, l_extendedprice
 FROM (SELECT * FROM options UNION ALL BY NAME SELECT * FROM futures) u"""),
 ]
+
+
+# ---------------------------------------------------------------------------
+# Raw (text) feeds in the exchange layouts, derived from the views above,
+# with the dirt the cleaning operators exist for.
+# ---------------------------------------------------------------------------
+
+# Fixed fixture constants of the raw feeds.
+UNKNOWN_SYMBOL = "NIFTYIT"          # outside the universe (every l_suppkey % 10 == 9)
+MISSING_TEXT = "-"                  # non-numeric OPEN/HIGH/LOW (every l_partkey % 13 == 0)
+NA_TEXT = "NA"                      # non-numeric CONTRACTS (every l_partkey % 17 == 0)
+OTHER_INDEX = "Nifty IT"            # an index outside the universe in the all-index file
+
+
+def raw_bhav_legacy(m: Market) -> DataFrame:
+    """Legacy-layout text rows (one per raw contract row, duplicates kept).
+
+    Trap columns: mixed EXPIRY formats (ISO on even line numbers, dd-MON-yyyy
+    otherwise), '-' prices, 'NA' volumes, blank futures strikes, and an
+    unknown symbol.
+    """
+    u = m.options.unionByName(m.futures)
+    s = lambda c: F.col(c).cast("string")
+    iso = F.date_format("expiry_date", "yyyy-MM-dd")
+    mon = F.upper(F.date_format("expiry_date", "dd-MMM-yyyy"))
+    dash = F.col("l_partkey") % 13 == 0
+    return u.select(
+        F.date_format("trade_date", "yyyy-MM-dd").alias("TradDt"),
+        F.when(F.col("instrument") == "FUTIDX", "IDF").otherwise("IDO").alias("InstrmntType"),
+        F.when(F.col("l_suppkey") % 10 == 9, F.lit(UNKNOWN_SYMBOL)).otherwise(F.col("symbol")).alias("Symbl"),
+        F.when(F.col("l_linenumber") % 2 == 0, iso).otherwise(mon).alias("XpryDt"),
+        F.when(F.col("option_type") == "XX", F.lit("")).otherwise(s("strike")).alias("StrkPric"),
+        F.when(F.col("option_type") == "XX", F.lit(None).cast("string")).otherwise(F.col("option_type")).alias("OptnTyp"),
+        *[F.when(dash, F.lit(MISSING_TEXT)).otherwise(s("settle")).alias(c) for c in ("OpnPric", "HghPric", "LwPric")],
+        s("settle").alias("ClsPric"), s("settle").alias("SttlmPric"),
+        F.when(F.col("l_partkey") % 17 == 0, F.lit(NA_TEXT)).otherwise(s("contracts")).alias("TtlTradgVol"),
+        s("open_interest").alias("OpnIntrst"), F.lit("0").alias("ChngInOpnIntrst"),
+        "l_orderkey", "l_linenumber", "l_extendedprice",
+    )
+
+
+def raw_index_close(m: Market) -> DataFrame:
+    """All-index close rows: the four indices under their long names, the
+    volatility index, and one index outside the universe."""
+    from .dims import DISPLAY_NAMES, VIX_INDEX_NAME
+    names = F.create_map(*[x for k, v in DISPLAY_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    s = lambda c: F.col(c).cast("string")
+    spot = m.spot.select(names[F.col("symbol")].alias("Index Name"),
+                         F.date_format("trade_date", "dd-MM-yyyy").alias("Index Date"),
+                         s("open").alias("Open Index Value"), s("high").alias("High Index Value"),
+                         s("low").alias("Low Index Value"), s("close").alias("Closing Index Value"))
+    other = spot.filter(F.col("Index Name") == DISPLAY_NAMES["NIFTY"]).withColumn("Index Name", F.lit(OTHER_INDEX))
+    vix = m.vix.select(F.lit(VIX_INDEX_NAME).alias("Index Name"),
+                       F.date_format("trade_date", "dd-MM-yyyy").alias("Index Date"),
+                       *[F.lit("-").alias(c) for c in ("Open Index Value", "High Index Value", "Low Index Value")],
+                       s("close").alias("Closing Index Value"))
+    return spot.unionByName(other).unionByName(vix)

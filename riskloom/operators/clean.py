@@ -50,7 +50,7 @@ def parse_date(c: Column | str, formats: Iterable[str] = ("yyyy-MM-dd", "dd-MMM-
     """Mixed-format date text -> DATE; unparseable -> NULL."""
     c = F.col(c) if isinstance(c, str) else c
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def parse_dates(df: DataFrame, cols: Sequence[str], formats=("yyyy-MM-dd", "dd-MMM-yyyy", "dd-MM-yyyy")) -> DataFrame:
