@@ -64,6 +64,16 @@ def historical_scenarios(returns: DataFrame) -> DataFrame:
     )
 
 
+def driver_map(spark, driver_symbol: str | None = "NIFTY") -> DataFrame:
+    """symbol -> index whose returns shock it (4 rows of configuration).
+
+    Parity with the source system maps every symbol to one index; ``None``
+    maps each symbol to itself.  Joining it (rather than adding a literal)
+    keeps the leg x scenario step an equi-join on the driver.
+    """
+    return spark.createDataFrame([(s, driver_symbol or s) for s in SYMBOLS], "symbol string, driver_symbol string")
+
+
 def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame,
                          scenarios: DataFrame, driver_symbol: str | None = "NIFTY",
                          partitions: int | None = None) -> DataFrame:
@@ -81,8 +91,8 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     shocked price (time, vol, rate terms) are evaluated once per leg.
     """
     opt, fut = resolve_positions(positions, chain, futures, lots)
-    drv = F.lit(driver_symbol) if driver_symbol else F.col("symbol")
     spark = opt.sparkSession
+    drv = F.broadcast(driver_map(spark, driver_symbol))
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
     zero_shocks = {"vol_shock_abs": F.lit(0.0), "rate_shock_bps": F.lit(0.0)}
@@ -93,17 +103,18 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     # the netted legs may sit in few partitions after AQE coalescing; the
     # expansion multiplies every row by the number of scenarios, so spread
     # them over the cluster first.
-    o = o.withColumn("driver_symbol", drv).repartition(n)
+    o = o.join(drv, "symbol").repartition(n)
     f = (fut.filter(F.col("_matched")).groupBy("portfolio_id", *FUTURES_KEY, "_matched", *FUTURES_MARKET)
          .agg(F.sum("multiplier").alias("multiplier")))
-    f = f.withColumn("driver_symbol", drv).withColumns(zero_shocks).repartition(max(1, n // 4))
+    f = f.join(drv, "symbol").withColumns(zero_shocks).repartition(max(1, n // 4))
     # bounded: lookback <= 1260 dates x the 4-symbol universe
     sc = F.broadcast(scenarios.filter(F.col("driver_symbol").isin(SYMBOLS))
                      .select("driver_symbol", "scenario_date", "spot_shock_pct"))
     o = scenario_option(o.join(sc, "driver_symbol"), has_base=True, prepared=True)
     f = scenario_futures(f.join(sc, "driver_symbol"))
     # one zero per (portfolio, scenario date): the output's own cardinality
-    pf = positions.select("portfolio_id").distinct().withColumn("driver_symbol", drv)
+    pf = positions.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")).join(drv, "symbol") \
+        .select("portfolio_id", "driver_symbol").distinct()
     z = pf.join(sc, "driver_symbol").select("portfolio_id", "scenario_date", F.lit(0.0).alias("pnl_total"))
     keys = ["portfolio_id", "scenario_date"]
     u = o.select(*keys, "pnl_total").unionByName(f.select(*keys, "pnl_total")).unionByName(z)

@@ -261,7 +261,8 @@ def q_scenario_cross(spark, sf_dir):
     via the broadcast equi-join on the driver symbol."""
     c = ctx(spark, sf_dir)
     sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
-    pos = c.positions.select("portfolio_id").withColumn("driver_symbol", F.lit("NIFTY"))
+    pos = c.positions.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")).join(
+        F.broadcast(VR.driver_map(spark, "NIFTY")), "symbol")
     return pos.join(F.broadcast(sc), "driver_symbol").groupBy("portfolio_id").agg(
         F.count(F.lit(1)).alias("pairs"))
 
@@ -618,3 +619,8 @@ def q_chain_sorted(spark, sf_dir):
     """All NIFTY chains ordered by date, expiry, strike, type (symbol is the request)."""
     ch = ctx(spark, sf_dir).chain
     return ch.filter(F.col("symbol") == "NIFTY").orderBy("trade_date", "expiry_date", "strike", "option_type")
+
+
+@register("distinct_expiries", with_ctes("SELECT DISTINCT symbol, expiry_date FROM chain ORDER BY 1, 2"))
+def q_distinct_expiries(spark, sf_dir):
+    return MK.distinct_sorted(ctx(spark, sf_dir).chain, "symbol", "expiry_date")

@@ -110,3 +110,9 @@ def q_put_call_parity_residual(spark, sf_dir):
 def q_reprice_residual(spark, sf_dir):
     d = PR.reprice_residual(ctx(spark, sf_dir).chain)
     return d.select(*KEY, "settle", "iv", "model_price", "residual")
+
+
+@register("norm_pdf", with_ctes(f"SELECT {KEYS}, x, {pdf_sql('x')} AS pdf FROM (SELECT {KEYS}, {_X} AS x FROM chain) z"))
+def q_norm_pdf(spark, sf_dir):
+    d = ctx(spark, sf_dir).chain.select(*KEY, F.expr(_X).alias("x"))
+    return d.select(*KEY, "x", F.expr(pdf_sql("x")).alias("pdf"))
