@@ -29,6 +29,17 @@ def normalise_positions(positions: DataFrame) -> DataFrame:
     })
 
 
+def net_positions(positions: DataFrame) -> DataFrame:
+    """One row per (portfolio, contract, valuation date): Σ quantity.
+
+    Scenario PnL is linear in quantity, so scenario work only needs net
+    legs.  Netting the narrow position rows first means the market join
+    and everything after it see at most one row per held contract.
+    """
+    p = normalise_positions(positions)
+    return p.groupBy("portfolio_id", *OPTION_KEY).agg(F.sum("quantity").cast("int").alias("quantity"))
+
+
 def resolve_positions(positions: DataFrame, chain: DataFrame, futures: DataFrame,
                       lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(option legs, futures legs) with lot size, multiplier and market columns.
@@ -94,21 +105,17 @@ def shock_grid(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots:
 
     The grid is a literal of at most ``max_points`` entries, expanded next to
     each resolved leg with ``explode`` (no join, no shuffle); the base price
-    is computed once per leg before the expansion, and legs are first netted
-    per (portfolio, contract) since PnL is linear in the multiplier.
+    is computed once per leg before the expansion, and positions are first
+    netted per (portfolio, contract) since PnL is linear in the quantity.
     """
     grid = [(float(s), float(v), float(r)) for s in spot for v in vol for r in rate]
     if len(grid) > max_points:
         raise ValueError(f"shock grid has {len(grid)} points > {max_points}")
-    opt, fut = resolve_positions(positions, chain, futures, lots)
+    opt, fut = resolve_positions(net_positions(positions), chain, futures, lots)
     arr = F.array(*[F.struct(F.lit(s).alias("spot_shock_pct"), F.lit(v).alias("vol_shock_abs"),
                              F.lit(r).alias("rate_shock_bps")) for s, v, r in grid])
-    okey = ["portfolio_id", *OPTION_KEY, "_matched", *OPTION_MARKET]
-    fkey = ["portfolio_id", *FUTURES_KEY, "_matched", *FUTURES_MARKET]
-    o = opt.groupBy(*okey).agg(F.sum("multiplier").alias("multiplier"))
-    f = fut.groupBy(*fkey).agg(F.sum("multiplier").alias("multiplier"))
-    o = with_base_price(o).select("*", F.inline(arr))
-    f = f.select("*", F.inline(arr))
+    o = with_base_price(opt).select("*", F.inline(arr))
+    f = fut.select("*", F.inline(arr))
     o = scenario_option(o, has_base=True)
     f = scenario_futures(f)
     keys = ["portfolio_id", "spot_shock_pct", "vol_shock_abs", "rate_shock_bps"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_dec
 
 from ..dims import SYMBOLS
-from .portfolio import FUTURES_KEY, FUTURES_MARKET, OPTION_KEY, OPTION_MARKET, resolve_positions
+from .portfolio import net_positions, resolve_positions
 from .scenario import (option_method, prepare_shocked_pricing, scenario_futures, scenario_option,
                        with_base_price)
 
@@ -83,30 +83,27 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     ``None`` = each leg is shocked by its own symbol's returns.  Historical
     scenarios move spot only (vol and rate shocks are 0).
 
-    Work per (leg, scenario) pair is kept minimal: legs are netted per
-    (portfolio, contract) (PnL is linear in the multiplier); legs whose PnL
+    Work per (leg, scenario) pair is kept minimal: positions are netted per
+    (portfolio, contract) before the market join (PnL is linear in the
+    quantity); legs whose PnL
     is 0 whatever the shock (no data, expired) never enter the expansion —
     each portfolio instead gets one zero row per scenario, so every
     (portfolio, date) group exists; and the spot-independent parts of the
     shocked price (time, vol, rate terms) are evaluated once per leg.
     """
-    opt, fut = resolve_positions(positions, chain, futures, lots)
+    opt, fut = resolve_positions(net_positions(positions), chain, futures, lots)
     spark = opt.sparkSession
     drv = F.broadcast(driver_map(spark, driver_symbol))
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
     zero_shocks = {"vol_shock_abs": F.lit(0.0), "rate_shock_bps": F.lit(0.0)}
-    o = (opt.groupBy("portfolio_id", *OPTION_KEY, "_matched", *OPTION_MARKET)
-         .agg(F.sum("multiplier").alias("multiplier")))
-    o = o.withColumn("method", option_method(o)).filter(F.col("method").isin("full_reprice", "greeks_approx"))
+    o = opt.withColumn("method", option_method(opt)).filter(F.col("method").isin("full_reprice", "greeks_approx"))
     o = prepare_shocked_pricing(with_base_price(o).withColumns(zero_shocks))
     # the netted legs may sit in few partitions after AQE coalescing; the
     # expansion multiplies every row by the number of scenarios, so spread
     # them over the cluster first.
     o = o.join(drv, "symbol").repartition(n)
-    f = (fut.filter(F.col("_matched")).groupBy("portfolio_id", *FUTURES_KEY, "_matched", *FUTURES_MARKET)
-         .agg(F.sum("multiplier").alias("multiplier")))
-    f = f.join(drv, "symbol").withColumns(zero_shocks).repartition(max(1, n // 4))
+    f = fut.filter(F.col("_matched")).join(drv, "symbol").withColumns(zero_shocks).repartition(max(1, n // 4))
     # bounded: lookback <= 1260 dates x the 4-symbol universe
     sc = F.broadcast(scenarios.filter(F.col("driver_symbol").isin(SYMBOLS))
                      .select("driver_symbol", "scenario_date", "spot_shock_pct"))

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 
 def write_year_partitioned(df: DataFrame, path: str, keys: list[str], date_col: str = "trade_date",
-                           mode: str = "overwrite", partitions: int | None = None) -> None:
+                           mode: str = "overwrite") -> None:
     """Write ``df`` partitioned by ``year`` (from ``date_col``), rows sorted by key.
 
-    ``repartitionByRange(year, date)`` spreads one year over many tasks (a
-    plain ``partitionBy("year")`` after a hash on year would give one task
-    per year) and keeps each output file a contiguous date range, so both
-    partition pruning (year) and Parquet row-group pruning (trade_date) work.
+    ``REBALANCE(year)`` lets AQE size the write tasks: a big year is split
+    over several tasks (a plain hash on year would give one task per year)
+    and small ones are merged.  Unlike ``repartitionByRange`` it needs no
+    sampling pass, which would evaluate the whole upstream plan (for the
+    curated chain: the IV solve) a second time.  Each file is sorted by
+    date and key, so Parquet row-group statistics prune on ``trade_date``.
     With ``mode="overwrite"`` and dynamic partition overwrite on, only the
     years present in ``df`` are replaced.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
     d = df.withColumn("year", F.year(date_col))
-    (d.repartitionByRange(n, "year", date_col)
-     .sortWithinPartitions(*keys)
+    (d.hint("rebalance", "year")
+     .sortWithinPartitions("year", *[k for k in ([date_col] + list(keys)) if k != "year"])
      .write.mode(mode).partitionBy("year").parquet(path))
 
 
