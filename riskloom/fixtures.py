@@ -64,56 +64,70 @@ class Market:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    DERIVED = ("daily", "spot", "div_yield_raw", "gbond_raw", "vix", "options", "futures", "positions")
+
+    def use_ingest(self, daily_by_symbol: DataFrame, contracts: DataFrame) -> None:
+        """Re-base every derived view on stored ingest tables (same values,
+        no second scan of the raw tables)."""
+        for name in self.DERIVED:
+            self.__dict__.pop(name, None)
+        self.__dict__["daily_by_symbol"] = daily_by_symbol
+        self.__dict__["contracts"] = contracts
+
     @functools.cached_property
     def sym(self) -> DataFrame:
         return self.spark.createDataFrame(
             list(enumerate(SYMBOLS)), "sym_id int, symbol string"
         )
 
-    def _orders_by_symbol(self) -> DataFrame:
+    @functools.cached_property
+    def daily_by_symbol(self) -> DataFrame:
+        """One pass over ``orders``: every per-(date, symbol) aggregate the
+        index, dividend, bond and volatility views need (ingest layer)."""
         o = self.table("orders").select(
             F.to_date("o_orderdate").alias("trade_date"),
             (F.col("o_custkey") % 4).cast("int").alias("sym_id"),
             "o_orderkey", "o_totalprice",
+        ).join(F.broadcast(self.sym), "sym_id")
+        return o.groupBy("trade_date", "symbol").agg(
+            F.max_by("o_totalprice", "o_orderkey").alias("px_last_key"),
+            F.max("o_totalprice").alias("px_max"),
+            F.min("o_totalprice").alias("px_min"),
+            F.min_by("o_totalprice", "o_orderkey").alias("px_first_key"),
+            F.min("o_orderkey").alias("min_orderkey"),
         )
-        return o.join(F.broadcast(self.sym), "sym_id")
+
+    @functools.cached_property
+    def daily(self) -> DataFrame:
+        """Per-date aggregates, re-aggregated from the per-symbol ones."""
+        return self.daily_by_symbol.groupBy("trade_date").agg(
+            F.min("min_orderkey").alias("min_orderkey"), F.max("px_max").alias("px_max"))
 
     @functools.cached_property
     def spot(self) -> DataFrame:
         """Index OHLC per (trade_date, symbol)."""
-        return (
-            self._orders_by_symbol()
-            .groupBy("trade_date", "symbol")
-            .agg(
-                (F.lit(20000.0) + F.max_by("o_totalprice", "o_orderkey") / 100.0).alias("open"),
-                (F.lit(20000.0) + F.max("o_totalprice") / 100.0).alias("high"),
-                (F.lit(20000.0) + F.min("o_totalprice") / 100.0).alias("low"),
-                (F.lit(20000.0) + F.min_by("o_totalprice", "o_orderkey") / 100.0).alias("close"),
-            )
+        return self.daily_by_symbol.select(
+            "trade_date", "symbol",
+            (F.lit(20000.0) + F.col("px_last_key") / 100.0).alias("open"),
+            (F.lit(20000.0) + F.col("px_max") / 100.0).alias("high"),
+            (F.lit(20000.0) + F.col("px_min") / 100.0).alias("low"),
+            (F.lit(20000.0) + F.col("px_first_key") / 100.0).alias("close"),
         )
 
     @functools.cached_property
     def div_yield_raw(self) -> DataFrame:
         """Dividend yield in percent; every 17th is missing."""
-        m = F.min("o_orderkey")
-        return (
-            self._orders_by_symbol()
-            .groupBy("trade_date", "symbol")
-            .agg(
-                F.when(m % 17 == 0, F.lit(None).cast("double"))
-                .otherwise(F.lit(0.8) + (m % 90) / 100.0)
-                .alias("div_yield")
-            )
+        m = F.col("min_orderkey")
+        return self.daily_by_symbol.select(
+            "trade_date", "symbol",
+            F.when(m % 17 == 0, F.lit(None).cast("double")).otherwise(F.lit(0.8) + (m % 90) / 100.0)
+            .alias("div_yield"),
         )
 
     @functools.cached_property
     def gbond_raw(self) -> DataFrame:
         """Bond quotes per (trade_date, tenor); on the 13th they are par prices."""
-        d = (
-            self.table("orders")
-            .groupBy(F.to_date("o_orderdate").alias("trade_date"))
-            .agg((F.lit(5.5) + (F.min("o_orderkey") % 100) / 100.0).alias("y"))
-        )
+        d = self.daily.select("trade_date", (F.lit(5.5) + (F.col("min_orderkey") % 100) / 100.0).alias("y"))
         # three tenors per date: a fixed-size generator, not a join
         tenors = F.array(*[F.struct(F.lit(t).alias("tenor"), F.lit(n).alias("days"))
                            for t, n in TENORS])
@@ -125,11 +139,7 @@ class Market:
 
     @functools.cached_property
     def vix(self) -> DataFrame:
-        return (
-            self.table("orders")
-            .groupBy(F.to_date("o_orderdate").alias("trade_date"))
-            .agg((F.lit(10.0) + F.max("o_totalprice") / 25000.0).alias("close"))
-        )
+        return self.daily.select("trade_date", (F.lit(10.0) + F.col("px_max") / 25000.0).alias("close"))
 
     @functools.cached_property
     def bhav(self) -> DataFrame:
@@ -157,28 +167,30 @@ class Market:
             "l_extendedprice",
         )
 
-    def _with_spot(self, instrument: str) -> DataFrame:
-        b = self.bhav.filter(F.col("instrument") == instrument)
-        s = self.spot.select("trade_date", "symbol", F.col("close").alias("spot"))
-        return b.join(s, ["trade_date", "symbol"])
-
     @functools.cached_property
-    def options(self) -> DataFrame:
-        o = self._with_spot("OPTIDX")
+    def contracts(self) -> DataFrame:
+        """Raw contract rows on days with an index level, with their settle
+        price (options and futures in one pass over ``lineitem``)."""
+        s = self.spot.select("trade_date", "symbol", F.col("close").alias("spot"))
+        b = self.bhav.join(s, ["trade_date", "symbol"])
         intrinsic = F.greatest(
             F.when(F.col("option_type") == "CE", F.col("spot") - F.col("strike"))
             .otherwise(F.col("strike") - F.col("spot")),
             F.lit(0.0),
         )
-        settle = F.when(F.col("l_discount") == 0.0, F.lit(0.0)).otherwise(
+        opt_settle = F.when(F.col("l_discount") == 0.0, F.lit(0.0)).otherwise(
             intrinsic + F.col("spot") * (F.lit(0.01) + F.col("l_tax")) * F.sqrt((F.col("dte") + 1) / 365.0)
         )
-        return o.withColumn("settle", settle)
+        fut_settle = F.col("spot") * (F.lit(1.0) + F.col("l_tax") * F.col("dte") / 365.0)
+        return b.withColumn("settle", F.when(F.col("instrument") == "FUTIDX", fut_settle).otherwise(opt_settle))
+
+    @functools.cached_property
+    def options(self) -> DataFrame:
+        return self.contracts.filter(F.col("instrument") == "OPTIDX")
 
     @functools.cached_property
     def futures(self) -> DataFrame:
-        f = self._with_spot("FUTIDX")
-        return f.withColumn("settle", F.col("spot") * (F.lit(1.0) + F.col("l_tax") * F.col("dte") / 365.0))
+        return self.contracts.filter(F.col("instrument") == "FUTIDX")
 
     @functools.cached_property
     def lot_size(self) -> DataFrame:

@@ -48,13 +48,20 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
         root = layer_root(spark, sf_dir)
         m = market or Market(spark, sf_dir)
         done = os.path.join(root, "_COMPLETE")
+        exists = root in _BUILT
+        # ingest layer: one pass over each raw table; everything below reads it
+        ing = os.path.join(root, "ingest")
+        if not exists:
+            write_table(m.daily_by_symbol, os.path.join(ing, "daily_by_symbol"))
+            write_year_partitioned(m.contracts, os.path.join(ing, "contracts"), OPTIONS_KEY)
+        m.use_ingest(spark.read.parquet(os.path.join(ing, "daily_by_symbol")),
+                     spark.read.parquet(os.path.join(ing, "contracts")).drop("year"))
         p = ProcessedLayer.from_market(m)
         tables = {
             "options": (p.options, OPTIONS_KEY), "futures": (p.futures, FUTURES_KEY),
             "spot": (p.spot, None), "index_yield": (p.index_yield, None), "gbond": (p.gbond, None),
             "vix": (p.vix, None), "lot_size": (p.lot_size, None), "positions": (m.positions, None),
         }
-        exists = root in _BUILT
         if not exists:
             for name, (df, keys) in tables.items():
                 path = os.path.join(root, "processed", name)
