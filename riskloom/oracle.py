@@ -232,14 +232,18 @@ def scenarios_sql(lookback: int = 252) -> str:
             f"0e0 AS vol_shock_abs, 0e0 AS rate_shock_bps FROM {returns_sql(lookback)} AS rr)")
 
 
-def scenario_pnl_sql(lookback: int = 252, driver: str = "NIFTY") -> str:
-    """(portfolio_id, scenario_date, portfolio_pnl) — positions x scenarios."""
+def scenario_pnl_sql(lookback: int = 252, driver: str | None = "NIFTY") -> str:
+    """(portfolio_id, scenario_date, portfolio_pnl) — positions x scenarios.
+
+    ``driver`` = one index shocks every leg; ``None`` = each leg's own index.
+    """
     sc = scenarios_sql(lookback)
+    on = f"s.driver_symbol = '{driver}'" if driver else "s.driver_symbol = p.symbol"
     o = base_price_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
-                       f"FROM pos_opt p JOIN {sc} s ON s.driver_symbol = '{driver}')")
+                       f"FROM pos_opt p JOIN {sc} s ON {on})")
     o = scenario_option_sql(o)
     f = scenario_futures_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
-                             f"FROM pos_fut p JOIN {sc} s ON s.driver_symbol = '{driver}')")
+                             f"FROM pos_fut p JOIN {sc} s ON {on})")
     return (f"(SELECT portfolio_id, scenario_date, sum(pnl_total) AS portfolio_pnl FROM "
             f"(SELECT portfolio_id, scenario_date, pnl_total FROM {o} AS so UNION ALL "
             f"SELECT portfolio_id, scenario_date, pnl_total FROM {f} AS sf2) u GROUP BY portfolio_id, scenario_date)")

@@ -624,3 +624,16 @@ def q_chain_sorted(spark, sf_dir):
 @register("distinct_expiries", with_ctes("SELECT DISTINCT symbol, expiry_date FROM chain ORDER BY 1, 2"))
 def q_distinct_expiries(spark, sf_dir):
     return MK.distinct_sorted(ctx(spark, sf_dir).chain, "symbol", "expiry_date")
+
+
+_PNL_R_SYM = [("r", f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS _p "
+                    f"FROM {O.scenario_pnl_sql(LOOKBACK, None)} AS s")]
+
+
+@register("portfolio_var_per_symbol", with_ctes(O.var_cvar_sql("r"), _PNL_R_SYM))
+def q_portfolio_var_per_symbol(spark, sf_dir):
+    """VaR with every leg shocked by its own index's returns (the
+    alternative to one driver index for all legs)."""
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
+    return VR.var_cvar(VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, driver_symbol=None))
