@@ -61,22 +61,35 @@ def apply_session_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create a private temporary folder.
+    The cluster names it in ``spark.checkpoint.dir`` (a core setting: read
+    here, never overridden).  Only when it is unset — local tests — is a
+    private temporary folder used, one per application.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="riskloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="riskloom-ckpt-")
+        d = _LOCAL_FALLBACK[app]
     return d
 
 
+_CHECKPOINT_SET: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``DataFrame.checkpoint()`` at the shared folder (once per app)."""
     d = checkpoint_root(spark)
-    spark.sparkContext.setCheckpointDir(d)
+    app = spark.sparkContext.applicationId
+    if app not in _CHECKPOINT_SET and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
+    _CHECKPOINT_SET.add(app)
     return d
 
 
