@@ -278,8 +278,8 @@ def q_var_cvar(spark, sf_dir):
 
 
 @register("scenario_rank", with_ctes(
-    "SELECT portfolio_id, scenario_date, _p AS pnl, row_number() OVER (PARTITION BY portfolio_id "
-    "ORDER BY _p, scenario_date) AS loss_rank FROM r", _PNL_R))
+    "SELECT portfolio_id, scenario_date, _p AS pnl, CAST(row_number() OVER (PARTITION BY portfolio_id "
+    "ORDER BY _p, scenario_date) AS INT) AS loss_rank FROM r", _PNL_R))
 def q_scenario_rank(spark, sf_dir):
     return VR.scenario_rank(_pnl(spark, sf_dir))
 
@@ -467,18 +467,18 @@ def q_latest_date(spark, sf_dir):
 
 
 @register("latest_date_by_year", with_ctes(
-    "SELECT year(trade_date) AS year, max(trade_date) AS latest_date FROM chain GROUP BY 1"))
+    "SELECT CAST(year(trade_date) AS INT) AS year, max(trade_date) AS latest_date FROM chain GROUP BY 1"))
 def q_latest_date_by_year(spark, sf_dir):
     return MK.latest_date_by_year(ctx(spark, sf_dir).chain)
 
 
-@register("available_years", with_ctes("SELECT DISTINCT year(trade_date) AS year FROM p_options ORDER BY 1"))
+@register("available_years", with_ctes("SELECT DISTINCT CAST(year(trade_date) AS INT) AS year FROM p_options ORDER BY 1"))
 def q_available_years(spark, sf_dir):
     return MK.available_years(ctx(spark, sf_dir).processed.options)
 
 
 @register("null_iv_summary", with_ctes(
-    "SELECT year(trade_date) AS year, count(*) AS total, count(*) FILTER (WHERE iv IS NULL) AS null_iv, "
+    "SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS total, count(*) FILTER (WHERE iv IS NULL) AS null_iv, "
     "CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE iv IS NULL)) / count(*) * 100e0 ELSE 0e0 END AS null_pct "
     "FROM chain GROUP BY 1"))
 def q_null_iv_summary(spark, sf_dir):

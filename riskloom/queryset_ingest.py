@@ -120,13 +120,13 @@ def q_split_instruments(spark, sf_dir):
 
 
 @register("compute_dte", with_ctes(
-    "SELECT l_orderkey, l_linenumber, l_extendedprice, datediff('day', trade_date, expiry_date) AS dte FROM raw_typed", _RAW))
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(datediff('day', trade_date, expiry_date) AS INT) AS dte FROM raw_typed", _RAW))
 def q_compute_dte(spark, sf_dir):
     t = _typed_with_ids(spark, sf_dir)
     return t.select("l_orderkey", "l_linenumber", "l_extendedprice", CL.compute_dte().alias("dte"))
 
 
-@register("extract_year", with_ctes("SELECT year(trade_date) AS year, count(*) AS rows FROM raw_typed GROUP BY 1", _RAW))
+@register("extract_year", with_ctes("SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS rows FROM raw_typed GROUP BY 1", _RAW))
 def q_extract_year(spark, sf_dir):
     return _typed_with_ids(spark, sf_dir).groupBy(CL.extract_year().alias("year")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -205,7 +205,7 @@ def q_filter_symbol_universe(spark, sf_dir):
 
 
 @register("unknown_symbols", with_ctes(
-    "SELECT year(trade_date) AS year, list_sort(list(DISTINCT symbol)) AS unknown_symbols FROM raw_typed "
+    "SELECT CAST(year(trade_date) AS INT) AS year, list_sort(list(DISTINCT symbol)) AS unknown_symbols FROM raw_typed "
     "WHERE symbol NOT IN ('NIFTY','BANKNIFTY','FINNIFTY','MIDCPNIFTY') GROUP BY 1", _RAW))
 def q_unknown_symbols(spark, sf_dir):
     return QA.unknown_symbols(_typed_with_ids(spark, sf_dir))
@@ -540,7 +540,7 @@ def q_column_pruned_max(spark, sf_dir):
     return li.agg(F.to_date(F.max("l_shipdate")).alias("latest_date"))
 
 
-@register("write_year_partitioned", with_ctes("SELECT year(trade_date) AS year, count(*) AS rows FROM chain GROUP BY 1"))
+@register("write_year_partitioned", with_ctes("SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS rows FROM chain GROUP BY 1"))
 def q_write_year_partitioned(spark, sf_dir):
     """Rows per year partition of the stored curated chain (partition column)."""
     root = os.path.join(ctx(spark, sf_dir).layers.root, "curated", "option_chain")
@@ -703,7 +703,7 @@ def _sync_sql(date_from: str | None, date_to: str | None) -> str:
     lat = "latest_date" if date_from is None else f"CASE WHEN latest_date >= DATE '{date_from}' THEN latest_date END"
     exp = "max(l) OVER ()" if date_to is None else f"least(max(l) OVER (), DATE '{date_to}')"
     return (f"SELECT layer, dataset, l AS latest_date, e AS expected_date, CASE WHEN l IS NULL THEN 'NO DATA' "
-            f"WHEN l >= e THEN 'IN SYNC' ELSE 'OUT OF SYNC' END AS status, datediff('day', l, e) AS days_behind "
+            f"WHEN l >= e THEN 'IN SYNC' ELSE 'OUT OF SYNC' END AS status, CAST(datediff('day', l, e) AS INT) AS days_behind "
             f"FROM (SELECT layer, dataset, l, {exp} AS e FROM (SELECT layer, dataset, {lat} AS l FROM ({_LATEST_SQL}) a) b) c")
 
 
