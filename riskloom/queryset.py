@@ -551,28 +551,40 @@ def q_par_price_to_yield(spark, sf_dir):
         "trade_date", "tenor", "yield_pct", "was_par_price")
 
 
+def _traded_lots(spark, sf_dir, extra=None):
+    """Lot periods of the symbols that actually trade in the contract data."""
+    c = ctx(spark, sf_dir)
+    lots = c.processed.lot_size if extra is None else c.processed.lot_size.unionByName(extra)
+    traded = c.market.contracts.select("symbol").distinct()
+    return lots.join(traded, "symbol", "left_semi")
+
+
+_TRADED = "symbol IN (SELECT symbol FROM bhav_typed)"
+
+
 @register("lot_size_gaps", with_ctes(
     "SELECT symbol, start_date, end_date, next_start, CASE WHEN end_date IS NOT NULL AND next_start IS NOT NULL "
     "AND next_start <> end_date + 1 THEN 'gap' ELSE 'open_end_not_last' END AS issue FROM (SELECT *, "
-    "lead(start_date) OVER (PARTITION BY symbol ORDER BY start_date) AS next_start FROM lot_size) x "
+    f"lead(start_date) OVER (PARTITION BY symbol ORDER BY start_date) AS next_start FROM lot_size WHERE {_TRADED}) x "
     "WHERE (end_date IS NOT NULL AND next_start IS NOT NULL AND next_start <> end_date + 1) "
     "OR (end_date IS NULL AND next_start IS NOT NULL)"))
 def q_lot_size_gaps(spark, sf_dir):
-    return QA.lot_size_gaps(ctx(spark, sf_dir).processed.lot_size)
+    """Gaps in the lot schedule of every traded symbol."""
+    return QA.lot_size_gaps(_traded_lots(spark, sf_dir))
 
 
 @register("lot_size_overlaps", with_ctes(
     "SELECT symbol, start_date, end_date, prev_end, CASE WHEN end_date IS NOT NULL AND end_date < start_date "
     "THEN 'end_before_start' ELSE 'overlap' END AS issue FROM (SELECT *, lag(end_date) OVER w AS prev_end, "
     "lag(start_date) OVER w AS prev_start FROM (SELECT * FROM lot_size UNION ALL SELECT 'NIFTY', DATE '1999-01-01', "
-    "DATE '1998-12-01', 10) l WINDOW w AS (PARTITION BY symbol ORDER BY start_date)) x WHERE "
+    f"DATE '1998-12-01', 10) l WHERE {_TRADED} WINDOW w AS (PARTITION BY symbol ORDER BY start_date)) x WHERE "
     "(end_date IS NOT NULL AND end_date < start_date) OR (prev_start IS NOT NULL AND (prev_end IS NULL OR start_date <= prev_end))"))
 def q_lot_size_overlaps(spark, sf_dir):
-    """Overlap check on the lot periods plus one hand-made bad period."""
+    """Overlap check on the traded symbols' lot periods plus one hand-made bad period."""
     import datetime as dt
     lots = ctx(spark, sf_dir).processed.lot_size
     bad = spark.createDataFrame([("NIFTY", dt.date(1999, 1, 1), dt.date(1998, 12, 1), 10)], lots.schema)
-    return QA.lot_size_overlaps(lots.unionByName(bad))
+    return QA.lot_size_overlaps(_traded_lots(spark, sf_dir, bad))
 
 
 @register("dedupe_first", with_ctes(

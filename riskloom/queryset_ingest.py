@@ -425,21 +425,44 @@ def q_prev_date_scalar(spark, sf_dir):
     return JN.with_prev_trading_date(s, s)
 
 
+_LOT_HITS_SQL = """SELECT DISTINCT l.symbol, l.start_date, l.end_date, l.lot_size FROM bhav_typed b JOIN lot_size l
+  ON b.symbol = l.symbol AND l.start_date <= b.trade_date AND (l.end_date IS NULL OR l.end_date >= b.trade_date)"""
+
+
+def _lot_events(spark, sf_dir):
+    """Lot periods seen in the data: every contract row picks its period."""
+    c = ctx(spark, sf_dir)
+    lots = c.processed.lot_size
+    rows = c.market.contracts.select("symbol", "trade_date")
+    lt = lots.select(F.col("symbol").alias("_s"), "start_date", "end_date", "lot_size")
+    cond = ((F.col("symbol") == F.col("_s")) & (F.col("start_date") <= F.col("trade_date"))
+            & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("trade_date"))))
+    return rows.join(F.broadcast(lt), cond).select("symbol", "start_date", "end_date", "lot_size").distinct()
+
+
 @register("new_events_anti", with_ctes(
-    "SELECT * FROM lot_size l WHERE NOT EXISTS (SELECT 1 FROM lot_size e WHERE e.end_date IS NOT NULL "
-    "AND e.symbol = l.symbol AND e.start_date = l.start_date)"))
+    f"SELECT * FROM ({_LOT_HITS_SQL}) e WHERE NOT EXISTS (SELECT 1 FROM lot_size s WHERE s.end_date IS NOT NULL "
+    "AND s.symbol = e.symbol AND s.start_date = e.start_date)"))
 def q_new_events_anti(spark, sf_dir):
-    """Lot events not processed yet: the stored table has only closed periods."""
+    """Lot events seen in the data but not processed yet (the stored table
+    holds only the closed periods)."""
     lots = ctx(spark, sf_dir).processed.lot_size
-    return JN.new_keys_anti(lots, lots.filter(F.col("end_date").isNotNull()), ["symbol", "start_date"])
+    return JN.new_keys_anti(_lot_events(spark, sf_dir), lots.filter(F.col("end_date").isNotNull()),
+                            ["symbol", "start_date"])
+
+
+_CAL_SQL = "SELECT DISTINCT trade_date, symbol FROM (SELECT trade_date, symbol FROM p_options UNION ALL SELECT trade_date, symbol FROM p_futures) u"
 
 
 @register("incremental_by_key", with_ctes(
-    "SELECT * FROM lot_size l WHERE NOT EXISTS (SELECT 1 FROM lot_size e WHERE e.end_date IS NOT NULL "
-    "AND e.symbol = l.symbol AND e.start_date = l.start_date)"))
+    f"SELECT c.* FROM ({_CAL_SQL}) c WHERE NOT EXISTS (SELECT 1 FROM ({_CAL_SQL}) s WHERE dayofyear(s.trade_date) <= 300 "
+    "AND s.trade_date = c.trade_date AND s.symbol = c.symbol)"))
 def q_incremental_by_key(spark, sf_dir):
-    lots = ctx(spark, sf_dir).processed.lot_size
-    return INC.incremental_by_key(lots, lots.filter(F.col("end_date").isNotNull()), ["symbol", "start_date"])
+    """Trade-calendar keys not stored yet (stored: days 1-300 of each year)."""
+    from .plans.processed import processed_trade_calendar
+    p = ctx(spark, sf_dir).processed
+    cal = processed_trade_calendar(p.options, p.futures)
+    return INC.incremental_by_key(cal, cal.filter(F.dayofyear("trade_date") <= 300), ["trade_date", "symbol"])
 
 
 @register("unmatched_market_data", with_ctes(
@@ -547,15 +570,25 @@ def q_write_year_partitioned(spark, sf_dir):
     return spark.read.parquet(root).groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("dim_from_config", with_ctes("SELECT * FROM lot_size"))
+@register("dim_from_config", with_ctes(
+    "SELECT t.symbol, l.start_date, l.end_date, l.lot_size FROM (SELECT DISTINCT symbol FROM bhav_typed) t "
+    "LEFT JOIN lot_size l ON t.symbol = l.symbol"))
 def q_dim_from_config(spark, sf_dir):
-    return ctx(spark, sf_dir).market.lot_size
+    """The configured lot periods as a dimension for every traded symbol
+    (a traded symbol without periods keeps one all-NULL row: the error case)."""
+    c = ctx(spark, sf_dir)
+    traded = c.market.contracts.select("symbol").distinct()
+    return traded.join(F.broadcast(c.market.lot_size), "symbol", "left").select(
+        "symbol", "start_date", "end_date", "lot_size")
 
 
-@register("write_single_table", with_ctes("SELECT * FROM lot_size"))
+@register("write_single_table", with_ctes(_CAL_SQL))
 def q_write_single_table(spark, sf_dir):
-    path = _out(spark, sf_dir, "lot_size_single")
-    WR.write_single_table(ctx(spark, sf_dir).market.lot_size, path)
+    """The processed trade calendar (a small dimension) written as one file."""
+    from .plans.processed import processed_trade_calendar
+    p = ctx(spark, sf_dir).processed
+    path = _out(spark, sf_dir, "trade_calendar_single")
+    WR.write_single_table(processed_trade_calendar(p.options, p.futures), path)
     return spark.read.parquet(path)
 
 
