@@ -52,24 +52,25 @@ def incremental_by_key(candidates: DataFrame, existing: DataFrame, keys: Sequenc
 
 
 def upsert_partitioned(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
-                       order: Sequence[str], keep: str = "first", date_col: str = "trade_date",
+                       order: Sequence[str] = (), keep: str = "first", date_col: str = "trade_date",
                        existing_exists: bool = True) -> None:
     """Merge ``batch`` into the year-partitioned table at ``path``.
 
-    Only the years present in the batch are read back, merged (keep-first
-    or keep-last on ``order``, which must rank stored rows vs batch rows,
-    e.g. an ingest sequence) and overwritten with dynamic partition
-    overwrite.  The merged years are first written to a staging folder next
-    to the table, so the overwrite never reads the files it replaces.
+    Only the years present in the batch are read back, merged and
+    overwritten with dynamic partition overwrite.  Arrival order is stored
+    rows first, then the batch (then ``order`` within each): keep-first
+    lets stored rows win, keep-last lets the batch correct them.  The merged
+    years are first written to a staging folder next to the table, so the
+    overwrite never reads the files it replaces.
     """
-    batch = batch.withColumn("year", F.year(date_col))
+    batch = batch.withColumn("year", F.year(date_col)).withColumn("_arrival", F.lit(1))
     if existing_exists:
         years = checked_broadcast(batch.select("year").distinct())
-        stored = spark.read.parquet(path).join(years, "year", "left_semi")
+        stored = spark.read.parquet(path).join(years, "year", "left_semi").withColumn("_arrival", F.lit(0))
         merged = stored.unionByName(batch, allowMissingColumns=True)
     else:
         merged = batch
-    merged = dedupe(merged, list(keys), list(order), keep).drop("year")
+    merged = dedupe(merged, list(keys), ["_arrival", *order], keep).drop("year", "_arrival")
     stage = path.rstrip("/") + "__staging"
     write_year_partitioned(merged, stage, list(keys), date_col, mode="overwrite")
     staged = spark.read.parquet(stage).drop("year")
