@@ -106,20 +106,30 @@ def norm_pdf(col_name: str) -> Column:
 
 
 def norm_cdf_np(x: np.ndarray) -> np.ndarray:
-    """numpy twin of :func:`cdf_sql` (same operation order)."""
+    """numpy twin of :func:`cdf_sql` (same operation order, same values).
+
+    The far-tail continued fraction is evaluated only where |x| >= 7.07
+    (rare), and the polynomials are built in place.
+    """
     x = np.asarray(x, dtype=np.float64)
     a = np.abs(x)
     e = np.exp(-a * a / 2.0)
     p = np.full_like(a, HART_P[0])
     for c in HART_P[1:]:
-        p = p * a + c
+        p *= a
+        p += c
     q = np.full_like(a, HART_Q[0])
     for c in HART_Q[1:]:
-        q = q * a + c
-    tail = e * p / q
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = e / (a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))) / SQRT_2PI
-    lower = np.where(a > HART_CUTOFF, 0.0, np.where(a < HART_SPLIT, tail, far))
+        q *= a
+        q += c
+    lower = e * p
+    lower /= q
+    far = a >= HART_SPLIT
+    if far.any():
+        af, ef = a[far], e[far]
+        lower[far] = np.where(
+            af > HART_CUTOFF, 0.0,
+            ef / (af + 1.0 / (af + 2.0 / (af + 3.0 / (af + 4.0 / (af + 0.65))))) / SQRT_2PI)
     return np.where(x > 0.0, 1.0 - lower, lower)
 
 

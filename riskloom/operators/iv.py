@@ -52,25 +52,42 @@ def bs_price_np(S, K, T, r, q, sigma, w):
 
 
 def solve_iv_np(px, S, K, T, r, q, is_call, valid) -> np.ndarray:
-    """Vectorised bisection; NaN where no volatility is found."""
+    """Vectorised bisection; NaN where no volatility is found.
+
+    ln(S/K), sqrt(T) and the two discount factors do not depend on sigma;
+    they are computed once, outside the 60 halvings (same values, same
+    operation order as :func:`bs_price_np`, so the result is bit-identical).
+    """
     out = np.full(len(px), np.nan)
     idx = np.flatnonzero(valid)
     if idx.size == 0:
         return out
     px, S, K, T, r, q = (a[idx] for a in (px, S, K, T, r, q))
     w = np.where(is_call[idx], 1.0, -1.0)
+    T_ = np.maximum(T, 1e-10)
+    sq = np.sqrt(T_)
+    eq = np.exp(-q * T_)
+    er = np.exp(-r * T_)
+    ln_sk = np.log(S / K)
+    carry = r - q
+    s_eq, k_er = S * eq, K * er
+
+    def price(sigma):
+        s = np.maximum(sigma, 1e-10)
+        d1 = (ln_sk + (carry + 0.5 * s * s) * T_) / (s * sq)
+        d2 = d1 - s * sq
+        return w * (s_eq * norm_cdf_np(w * d1) - k_er * norm_cdf_np(w * d2))
+
     lo = np.full(idx.size, IV_LOWER)
     hi = np.full(idx.size, IV_UPPER)
-    bracketed = (bs_price_np(S, K, T, r, q, lo, w) - px <= 0.0) & (
-        bs_price_np(S, K, T, r, q, hi, w) - px >= 0.0
-    )
+    bracketed = (price(lo) - px <= 0.0) & (price(hi) - px >= 0.0)
     for _ in range(BISECTIONS):
         m = (lo + hi) / 2.0
-        up = bs_price_np(S, K, T, r, q, m, w) > px
+        up = price(m) > px
         hi = np.where(up, m, hi)
         lo = np.where(up, lo, m)
     sig = (lo + hi) / 2.0
-    ok = bracketed & (np.abs(bs_price_np(S, K, T, r, q, sig, w) - px) < TOLERANCE)
+    ok = bracketed & (np.abs(price(sig) - px) < TOLERANCE)
     out[idx] = np.where(ok, sig, np.nan)
     return out
 
