@@ -57,11 +57,10 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
         m.use_ingest(spark.read.parquet(os.path.join(ing, "daily_by_symbol")),
                      spark.read.parquet(os.path.join(ing, "contracts")).drop("year"))
         p = ProcessedLayer.from_market(m)
-        tables = {
-            "options": (p.options, OPTIONS_KEY), "futures": (p.futures, FUTURES_KEY),
-            "spot": (p.spot, None), "index_yield": (p.index_yield, None), "gbond": (p.gbond, None),
-            "vix": (p.vix, None), "lot_size": (p.lot_size, None), "positions": (m.positions, None),
-        }
+        # de-duplicated and data-sized tables are persisted; the small market
+        # dimensions stay cheap views over the stored ingest table
+        tables = {"options": (p.options, OPTIONS_KEY), "futures": (p.futures, FUTURES_KEY),
+                  "positions": (m.positions, None)}
         if not exists:
             for name, (df, keys) in tables.items():
                 path = os.path.join(root, "processed", name)
@@ -72,8 +71,7 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
         rd = lambda name: spark.read.parquet(os.path.join(root, "processed", name))
         pr = ProcessedLayer(
             options=rd("options").select(*OPTION_COLUMNS), futures=rd("futures").select(*FUTURES_COLUMNS),
-            spot=rd("spot"), index_yield=rd("index_yield"), gbond=rd("gbond"), vix=rd("vix"),
-            lot_size=rd("lot_size"),
+            spot=p.spot, index_yield=p.index_yield, gbond=p.gbond, vix=p.vix, lot_size=p.lot_size,
         )
         if not exists:
             write_year_partitioned(curated_option_chain(pr), os.path.join(root, "curated", "option_chain"),
