@@ -63,6 +63,10 @@ class Context:
     def chain(self) -> DataFrame:
         return self.layers.chain
 
+    @property
+    def chain_keyed(self) -> DataFrame:
+        return self.layers.chain_keyed
+
     @property
     def futures(self) -> DataFrame:
         return self.layers.futures

@@ -148,7 +148,23 @@ def join_contract(positions: DataFrame, market: DataFrame, keys: Sequence[str],
 
     Unmatched positions keep NULL market columns (-> ``no_data`` later).
     Both sides can be large: the planner picks sort-merge, AQE splits skew.
+    If the market side carries ``strike_key`` (the bucketed curated chain),
+    the equi-join uses it in place of the DOUBLE strike, so the bucketed
+    layout is used and only the positions are shuffled; exact strike
+    equality stays as a residual condition.
     """
-    m = market.select(*keys, *market_cols).withColumn("_matched", F.lit(True))
-    return positions.join(m, list(keys), "left").withColumn(
-        "_matched", F.coalesce(F.col("_matched"), F.lit(False)))
+    keys = list(keys)
+    if "strike" in keys and "strike_key" in market.columns:
+        from ..sources.writers import strike_key
+        ekeys = ["strike_key" if k == "strike" else k for k in keys]
+        m = market.select(*ekeys, F.col("strike").alias("_m_strike"), *market_cols) \
+            .withColumn("_matched", F.lit(True))
+        p = positions.withColumn("strike_key", strike_key())
+        cond = [p[k] == m[k] for k in ekeys] + [F.abs(p["strike"] - m["_m_strike"]) == 0.0]
+        j = p.join(m, cond, "left")
+        j = j.select(*[p[c] for c in p.columns if c != "strike_key"], *[m[c] for c in market_cols],
+                     m["_matched"])
+    else:
+        m = market.select(*keys, *market_cols).withColumn("_matched", F.lit(True))
+        j = positions.join(m, keys, "left")
+    return j.withColumn("_matched", F.coalesce(F.col("_matched"), F.lit(False)))

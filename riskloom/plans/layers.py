@@ -19,13 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..fixtures import Market
 from ..schemas import CURATED_FUTURES_COLUMNS, CURATED_OPTION_COLUMNS, FUTURES_KEY, OPTIONS_KEY
 from ..session import scratch_path
-from ..sources.writers import write_table, write_year_partitioned
+from ..sources.writers import (ensure_bucketed_table, strike_key, write_bucketed_year_table, write_table,
+                               write_year_partitioned)
 from .curated import ProcessedLayer, curated_futures, curated_option_chain
 from .processed import FUTURES_COLUMNS, OPTION_COLUMNS
 
 _RUN = uuid.uuid4().hex[:12]
 _LOCK = threading.Lock()
-_BUILT: set[str] = set()  # layer roots written by this process
+_BUILT: dict[str, object] = {}  # layer root -> schema of the bucketed chain
+
+# The curated chain is bucketed on the contract key (strike as an integer
+# key) so position -> chain joins shuffle only the position side.
+CHAIN_BUCKET_KEY = ["symbol", "trade_date", "expiry_date", "strike_key", "option_type"]
 
 
 @dataclass
@@ -35,6 +40,7 @@ class Layers:
     chain: DataFrame
     futures: DataFrame
     positions: DataFrame
+    chain_keyed: DataFrame  # chain + strike_key + year, bucketed on the contract key
 
 
 def layer_root(spark: SparkSession, sf_dir: str) -> str:
@@ -73,12 +79,18 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
             options=rd("options").select(*OPTION_COLUMNS), futures=rd("futures").select(*FUTURES_COLUMNS),
             spot=p.spot, index_yield=p.index_yield, gbond=p.gbond, vix=p.vix, lot_size=p.lot_size,
         )
+        chain_path = os.path.join(root, "curated", "option_chain")
+        table = "riskloom_chain_" + os.path.basename(os.path.dirname(root)) + "_" + os.path.basename(root)
+        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         if not exists:
-            write_year_partitioned(curated_option_chain(pr), os.path.join(root, "curated", "option_chain"),
-                                   OPTIONS_KEY)
+            write_bucketed_year_table(curated_option_chain(pr).withColumn("strike_key", strike_key()), table,
+                                      chain_path, CHAIN_BUCKET_KEY, n)
             write_year_partitioned(curated_futures(pr), os.path.join(root, "curated", "futures"), FUTURES_KEY)
             spark.createDataFrame([(1,)], "ok int").coalesce(1).write.mode("overwrite").parquet(done)
-            _BUILT.add(root)
-        chain = spark.read.parquet(os.path.join(root, "curated", "option_chain")).select(*CURATED_OPTION_COLUMNS)
+            _BUILT[root] = (spark.table(table).schema, n)
+        schema, n = _BUILT[root]
+        ensure_bucketed_table(spark, table, chain_path, schema, CHAIN_BUCKET_KEY, n)
+        chain_keyed = spark.table(table)
+        chain = chain_keyed.select(*CURATED_OPTION_COLUMNS)
         fut = spark.read.parquet(os.path.join(root, "curated", "futures")).select(*CURATED_FUTURES_COLUMNS)
-        return Layers(root, pr, chain, fut, rd("positions"))
+        return Layers(root, pr, chain, fut, rd("positions"), chain_keyed)

@@ -57,7 +57,7 @@ LOOKBACK = 252
 
 def _pf(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return c, c.positions, c.chain, c.futures, c.processed.lot_size
+    return c, c.positions, c.chain_keyed, c.futures, c.processed.lot_size
 
 
 @register("portfolio_risk", with_ctes(f"SELECT * FROM {O.position_results_sql(*SHOCK)} AS x"))

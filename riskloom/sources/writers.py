@@ -25,6 +25,34 @@ def write_year_partitioned(df: DataFrame, path: str, keys: list[str], date_col:
      .write.mode(mode).partitionBy("year").parquet(path))
 
 
+def strike_key(col: str = "strike"):
+    """Strike in hundredths as BIGINT: a join/bucket key without the float
+    normalisation Spark applies to DOUBLE keys (which defeats bucketing)."""
+    return F.round(F.col(col) * 100.0).cast("bigint")
+
+
+def write_bucketed_year_table(df: DataFrame, name: str, path: str, keys: list[str], buckets: int,
+                              date_col: str = "trade_date") -> None:
+    """Year-partitioned table bucketed (and sorted) on ``keys``, registered in
+    the session catalog under ``name`` with its files at ``path``.  Joins on
+    exactly ``keys`` then shuffle only the other side."""
+    d = df.withColumn("year", F.year(date_col))
+    (d.write.mode("overwrite").partitionBy("year").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+
+
+def ensure_bucketed_table(spark, name: str, path: str, schema, keys: list[str], buckets: int) -> None:
+    """Re-register a bucketed table written by an earlier context (the bucket
+    layout lives in the catalog, not in the files)."""
+    if spark.catalog.tableExists(name):
+        return
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY (year) "
+              f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS "
+              f"LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 

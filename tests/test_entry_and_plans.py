@@ -63,3 +63,22 @@ def test_var_plan_has_no_cartesian(spark, sf_small):
     p = _plan(E.queries()["portfolio_var"](spark, sf_small))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "ArrowEvalPython" not in p  # pricing stays in the JVM
+
+
+def test_position_join_shuffles_only_positions(spark, sf_small):
+    """The curated chain is bucketed on the contract key: joining positions
+    to it adds an exchange on the position side only."""
+    from riskloom.operators import portfolio as PF
+    c = ctx(spark, sf_small)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o, _ = PF.resolve_positions(PF.net_positions(c.positions), c.chain_keyed, c.futures,
+                                    c.processed.lot_size)
+        p = _plan(o)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "SortMergeJoin" in p and "Bucketed: true" in p
+    chain_scan = [ln for ln in p.split("\n") if "riskloom_chain_" in ln]
+    assert chain_scan and all("Exchange" not in ln for ln in chain_scan)
+    assert p.count("Exchange hashpartitioning(symbol") == 1
