@@ -31,6 +31,7 @@ _BUILT: dict[str, object] = {}  # layer root -> schema of the bucketed chain
 # The curated chain is bucketed on the contract key (strike as an integer
 # key) so position -> chain joins shuffle only the position side.
 CHAIN_BUCKET_KEY = ["symbol", "trade_date", "expiry_date", "strike_key", "option_type"]
+BUCKETS_CONF = "spark.riskloom.chain.buckets"
 
 
 @dataclass
@@ -81,16 +82,26 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
         )
         chain_path = os.path.join(root, "curated", "option_chain")
         table = "riskloom_chain_" + os.path.basename(os.path.dirname(root)) + "_" + os.path.basename(root)
-        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # opt-in: bucket the chain on the contract key (worth it when a large
+        # chain is joined to positions many times; at small scale the bucketed
+        # write and fixed-width scans cost more than the shuffle they save)
+        n = int(spark.conf.get(BUCKETS_CONF, "0") or 0)
         if not exists:
-            write_bucketed_year_table(curated_option_chain(pr).withColumn("strike_key", strike_key()), table,
-                                      chain_path, CHAIN_BUCKET_KEY, n)
+            chain_df = curated_option_chain(pr)
+            if n > 0:
+                write_bucketed_year_table(chain_df.withColumn("strike_key", strike_key()), table, chain_path,
+                                          CHAIN_BUCKET_KEY, n)
+            else:
+                write_year_partitioned(chain_df, chain_path, OPTIONS_KEY)
             write_year_partitioned(curated_futures(pr), os.path.join(root, "curated", "futures"), FUTURES_KEY)
             spark.createDataFrame([(1,)], "ok int").coalesce(1).write.mode("overwrite").parquet(done)
-            _BUILT[root] = (spark.table(table).schema, n)
+            _BUILT[root] = (spark.table(table).schema, n) if n > 0 else (None, 0)
         schema, n = _BUILT[root]
-        ensure_bucketed_table(spark, table, chain_path, schema, CHAIN_BUCKET_KEY, n)
-        chain_keyed = spark.table(table)
+        if n > 0:
+            ensure_bucketed_table(spark, table, chain_path, schema, CHAIN_BUCKET_KEY, n)
+            chain_keyed = spark.table(table)
+        else:
+            chain_keyed = spark.read.parquet(chain_path)
         chain = chain_keyed.select(*CURATED_OPTION_COLUMNS)
         fut = spark.read.parquet(os.path.join(root, "curated", "futures")).select(*CURATED_FUTURES_COLUMNS)
         return Layers(root, pr, chain, fut, rd("positions"), chain_keyed)

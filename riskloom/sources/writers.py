@@ -36,7 +36,10 @@ def write_bucketed_year_table(df: DataFrame, name: str, path: str, keys: list[st
     """Year-partitioned table bucketed (and sorted) on ``keys``, registered in
     the session catalog under ``name`` with its files at ``path``.  Joins on
     exactly ``keys`` then shuffle only the other side."""
-    d = df.withColumn("year", F.year(date_col))
+    # hash-partition on the bucket key with the bucket count first: each task
+    # then holds exactly one bucket and writes one file per year (without it
+    # every task writes a file for every (year, bucket) pair)
+    d = df.withColumn("year", F.year(date_col)).repartition(buckets, *keys)
     (d.write.mode("overwrite").partitionBy("year").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(name))
 

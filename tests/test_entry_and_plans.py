@@ -66,19 +66,32 @@ def test_var_plan_has_no_cartesian(spark, sf_small):
 
 
 def test_position_join_shuffles_only_positions(spark, sf_small):
-    """The curated chain is bucketed on the contract key: joining positions
-    to it adds an exchange on the position side only."""
+    """With the chain bucketed on the contract key (opt-in layout), joining
+    positions to it adds an exchange on the position side only."""
+    import uuid
+
     from riskloom.operators import portfolio as PF
+    from riskloom.plans.layers import CHAIN_BUCKET_KEY
+    from riskloom.session import scratch_path
+    from riskloom.sources.writers import strike_key, write_bucketed_year_table
     c = ctx(spark, sf_small)
+    name = "riskloom_chain_test_" + uuid.uuid4().hex[:8]
+    write_bucketed_year_table(c.chain.withColumn("strike_key", strike_key()), name,
+                              scratch_path(spark, name), CHAIN_BUCKET_KEY, 8)
+    keyed = spark.table(name)
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        o, _ = PF.resolve_positions(PF.net_positions(c.positions), c.chain_keyed, c.futures,
-                                    c.processed.lot_size)
+        o, _ = PF.resolve_positions(PF.net_positions(c.positions), keyed, c.futures, c.processed.lot_size)
         p = _plan(o)
+        plain, _ = PF.resolve_positions(PF.net_positions(c.positions), c.chain, c.futures, c.processed.lot_size)
+        cols = sorted(o.columns)
+        assert cols == sorted(plain.columns)
+        key = lambda r: tuple("" if v is None else str(v) for v in r)
+        assert sorted(o.select(*cols).collect(), key=key) == sorted(plain.select(*cols).collect(), key=key)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert "SortMergeJoin" in p and "Bucketed: true" in p
-    chain_scan = [ln for ln in p.split("\n") if "riskloom_chain_" in ln]
+    chain_scan = [ln for ln in p.split("\n") if name in ln]
     assert chain_scan and all("Exchange" not in ln for ln in chain_scan)
     assert p.count("Exchange hashpartitioning(symbol") == 1
