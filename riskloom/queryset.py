@@ -649,3 +649,14 @@ def q_portfolio_var_per_symbol(spark, sf_dir):
     c, pos, chain, fut, lots = _pf(spark, sf_dir)
     sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
     return VR.var_cvar(VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, driver_symbol=None))
+
+
+@register("mtm_futures_settle", with_ctes(
+    "SELECT portfolio_id, symbol, trade_date, expiry_date, quantity, CASE WHEN _matched THEN settle END AS current_price, "
+    "CASE WHEN _matched THEN (settle - entry_price) * multiplier ELSE 0e0 END AS mtm_pnl FROM pos_fut"))
+def q_mtm_futures_settle(spark, sf_dir):
+    """Futures marked at their settle price (the alternative to marking at spot)."""
+    c, pos, chain, fut, lots = _pf(spark, sf_dir)
+    _, f = PF.resolve_positions(pos, chain, fut, lots)
+    return SC.mtm_futures(f, mark="settle").select("portfolio_id", "symbol", "trade_date", "expiry_date",
+                                                   "quantity", "current_price", "mtm_pnl")
