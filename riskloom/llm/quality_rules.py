@@ -145,7 +145,7 @@ def oracle() -> str:
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g
@@ -157,16 +157,16 @@ rep AS (
   FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w) AS n_words,
-         CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         len(list_filter(w, x -> x IN ({stop}))) AS n_stop_words,
-         len(list_filter(l, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
-         len(list_filter(l, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
+         len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
   FROM d LEFT JOIN rep USING (doc_id)),
 f AS (
-  SELECT *, array_to_string(list_filter([{checks}], x -> x IS NOT NULL), ',') AS failed_rules,
+  SELECT *, array_to_string(list_filter([{checks}], lambda x: x IS NOT NULL), ',') AS failed_rules,
          n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_lines,
        failed_rules, base_failed, NOT base_failed AND failed_rules = '' AS kept FROM f

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import lang_ppm, quality_rules
+from . import automaton, chat_format, decontaminate, lang_ppm, line_dedup, minhash, packing, pii, quality_rules
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_near_duplicates": minhash.op2_near_duplicates,
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language_id": lang_ppm.op8_language_id,
+    "op9_substring_dedup": automaton.op9_substring_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
+    "op4_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.oracle(),
+    "op7_line_dedup": line_dedup.ORACLE,
 }

@@ -20,7 +20,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
+_GOLDEN = 0x9E3779B97F4A7C15
+_BASE = _GOLDEN
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _pow: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -37,6 +38,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow
 
 
+def salt(i: int) -> np.uint64:
+    """The i-th of a fixed series of 64-bit numbers."""
+    return np.uint64(i * _GOLDEN & (1 << 64) - 1)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix64), on uint64 arrays."""
     h = h ^ (h >> np.uint64(30))
