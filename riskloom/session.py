@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # IV batches: big enough to amortise the numpy loop, small enough for L2.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -68,12 +68,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir`` (a core setting: read
-    here, never overridden).  Only when it is unset — local tests — is a
-    private temporary folder used, one per application.
+    here, never overridden).  Only when it is unset and the master is local —
+    as in tests — is a private temporary folder used, one per application;
+    on a cluster the executors would not share it, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="riskloom-ckpt-")
         d = _LOCAL_FALLBACK[app]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_year_partitioned(df: DataFrame, path: str, keys: list[str], date_col: str = "trade_date",
-                           mode: str = "overwrite") -> None:
+                           mode: str = "overwrite", replace: str = "table") -> None:
     """Write ``df`` partitioned by ``year`` (from ``date_col``), rows sorted by key.
 
     ``REBALANCE(year)`` lets AQE size the write tasks: a big year is split
@@ -16,13 +16,15 @@ def write_year_partitioned(df: DataFrame, path: str, keys: list[str], date_col:
     sampling pass, which would evaluate the whole upstream plan (for the
     curated chain: the IV solve) a second time.  Each file is sorted by
     date and key, so Parquet row-group statistics prune on ``trade_date``.
-    With ``mode="overwrite"`` and dynamic partition overwrite on, only the
-    years present in ``df`` are replaced.
+    ``mode="overwrite"`` replaces the whole table, or with ``replace="years"``
+    only the years present in ``df``; the choice is made on this write, the
+    session's setting is left alone.
     """
+    how = "dynamic" if replace == "years" else "static"
     d = df.withColumn("year", F.year(date_col))
     (d.hint("rebalance", "year")
      .sortWithinPartitions("year", *[k for k in ([date_col] + list(keys)) if k != "year"])
-     .write.mode(mode).partitionBy("year").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", how).partitionBy("year").parquet(path))
 
 
 def strike_key(col: str = "strike"):

@@ -2,35 +2,42 @@
 
 * ``hwm``: per-year high-water mark of what is stored; only strictly later
   rows are new (source-system parity; late rows are dropped).
-* ``late="upsert"``: every year touched by the new batch is re-read,
-  unioned with the batch, de-duplicated and overwritten (dynamic partition
-  overwrite: untouched years are not rewritten).
+* ``late_rows``: rows whose key is not stored, or is stored with other
+  values, wherever their date lies; ``late="upsert"`` in the daily job.
+
+Marks and touched years are one row per calendar year, so broadcasting them
+is bounded by the calendar, not by the data.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.dedupe import dedupe
-from ..operators.joins import checked_broadcast
 from ..sources.writers import write_year_partitioned
 
 
 def high_water_marks(existing: DataFrame, date_col: str = "trade_date") -> DataFrame:
-    """(year, hwm): latest stored date per year partition."""
-    return existing.groupBy(F.year(date_col).alias("year")).agg(F.max(date_col).alias("hwm"))
+    """(year, hwm): latest stored date per year, by the partition column where there is one."""
+    year = F.col("year") if "year" in existing.columns else F.year(date_col).alias("year")
+    return existing.groupBy(year).agg(F.max(date_col).alias("hwm"))
+
+
+def _after(new: DataFrame, marks: DataFrame, date_col: str) -> DataFrame:
+    m = marks.select(F.col("year").alias("_year"), "hwm")
+    j = new.withColumn("_new_year", F.year(date_col)).join(F.broadcast(m), F.col("_new_year") == F.col("_year"), "left")
+    return j.filter(F.col("hwm").isNull() | (F.col(date_col) > F.col("hwm"))).drop("_new_year", "_year", "hwm")
 
 
 def incremental_hwm(new: DataFrame, existing: DataFrame, date_col: str = "trade_date") -> DataFrame:
     """Rows of ``new`` strictly after the stored high-water mark of their year
-    (years with nothing stored pass entirely).  The marks are one row per
-    year: broadcast."""
-    hwm = checked_broadcast(high_water_marks(existing, date_col))
-    j = new.withColumn("_year", F.year(date_col)).join(hwm, F.col("_year") == F.col("year"), "left")
-    return j.filter(F.col("hwm").isNull() | (F.col(date_col) > F.col("hwm"))).drop("_year", "year", "hwm")
+    (years with nothing stored pass entirely)."""
+    return _after(new, high_water_marks(existing, date_col), date_col)
 
 
 def incremental_hwm_min2(new: DataFrame, existing_a: DataFrame, existing_b: DataFrame,
@@ -39,11 +46,7 @@ def incremental_hwm_min2(new: DataFrame, existing_a: DataFrame, existing_b: Data
     *smaller* of their marks (NULL-skipping), so the laggard catches up."""
     a = high_water_marks(existing_a, date_col).withColumnRenamed("hwm", "hwm_a")
     b = high_water_marks(existing_b, date_col).withColumnRenamed("hwm", "hwm_b")
-    m = a.join(b, "year", "full").select(
-        "year", F.least("hwm_a", "hwm_b").alias("hwm"))
-    j = new.withColumn("_year", F.year(date_col)).join(checked_broadcast(m),
-                                                        F.col("_year") == F.col("year"), "left")
-    return j.filter(F.col("hwm").isNull() | (F.col(date_col) > F.col("hwm"))).drop("_year", "year", "hwm")
+    return _after(new, a.join(b, "year", "full").select("year", F.least("hwm_a", "hwm_b").alias("hwm")), date_col)
 
 
 def incremental_by_key(candidates: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,43 +54,84 @@ def incremental_by_key(candidates: DataFrame, existing: DataFrame, keys: Sequenc
     return candidates.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def late_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``new`` that are not stored with the same key and ``columns``
+    (default: all columns both sides have): late arrivals and corrections."""
+    cols = list(columns or [c for c in new.columns if c in existing.columns])
+    both = list(dict.fromkeys([*keys, *cols]))
+    e = existing.select(*[F.col(c).alias(f"_e_{c}") for c in both]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in both]
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return new.join(e, cond, "left_anti")
+
+
 def upsert_partitioned(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                        order: Sequence[str] = (), keep: str = "first", date_col: str = "trade_date",
-                       existing_exists: bool = True) -> None:
+                       existing_exists: bool | None = None, check=None) -> None:
     """Merge ``batch`` into the year-partitioned table at ``path``.
 
     Only the years present in the batch are read back, merged and
-    overwritten with dynamic partition overwrite.  Arrival order is stored
-    rows first, then the batch (then ``order`` within each): keep-first
-    lets stored rows win, keep-last lets the batch correct them.  The merged
-    years are first written to a staging folder next to the table, so the
-    overwrite never reads the files it replaces.
+    overwritten (dynamic partition overwrite, set on this write alone).
+    Arrival order is stored rows first, then the batch (then ``order`` within
+    each): keep-first lets stored rows win, keep-last lets the batch correct
+    them.  The merged years are first written to a staging folder of this
+    call's own, so the overwrite never reads the files it replaces and never
+    sees years of another batch; a failed call, or a ``check`` that raises on the
+    staged rows, leaves the table as it was.
     """
+    stage = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
+    have = storage.has_data(spark, path) if existing_exists is None else existing_exists
     batch = batch.withColumn("year", F.year(date_col)).withColumn("_arrival", F.lit(1))
-    if existing_exists:
-        years = checked_broadcast(batch.select("year").distinct())
-        stored = spark.read.parquet(path).join(years, "year", "left_semi").withColumn("_arrival", F.lit(0))
+    if have:
+        stored = spark.read.parquet(path)
+        years = batch.select(F.col("year").cast(dict(stored.dtypes)["year"]).alias("year")).distinct()
+        stored = stored.join(F.broadcast(years), "year", "left_semi").withColumn("_arrival", F.lit(0))
         merged = stored.unionByName(batch, allowMissingColumns=True)
     else:
         merged = batch
     merged = dedupe(merged, list(keys), ["_arrival", *order], keep).drop("year", "_arrival")
-    stage = path.rstrip("/") + "__staging"
-    write_year_partitioned(merged, stage, list(keys), date_col, mode="overwrite")
-    staged = spark.read.parquet(stage).drop("year")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    write_year_partitioned(staged, path, list(keys), date_col, mode="overwrite")
+    try:
+        write_year_partitioned(merged, stage, list(keys), date_col, mode="error")
+        if storage.has_data(spark, stage):  # an empty batch changes nothing
+            staged = spark.read.parquet(stage).drop("year")
+            if check:
+                check(staged)
+            write_year_partitioned(staged, path, list(keys), date_col, replace="years")
+    finally:
+        storage.delete(spark, stage)
+
 
+def rebuild_full(build, path: str, keys: Sequence[str], date_col: str = "trade_date", check=None) -> None:
+    """Recompute everything from raw and replace the table.
 
-def rebuild_full(build, path: str, keys: Sequence[str], date_col: str = "trade_date") -> None:
-    """Recompute everything from raw and overwrite all years."""
+    The new table is written aside, given to ``check`` (which may raise) and
+    swapped in by renaming, so a failed build leaves the old one in place.
+    """
     df = build()
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    mark = uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}__rebuild-{mark}", f"{path.rstrip('/')}__old-{mark}"
     try:
-        write_year_partitioned(df, path, list(keys), date_col, mode="overwrite")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        write_year_partitioned(df, fresh, list(keys), date_col, mode="error")
+        if check:
+            check(spark.read.parquet(fresh))
+    except Exception:
+        storage.delete(spark, fresh)
+        raise
+    had = storage.exists(spark, path)
+    if had:
+        storage.rename(spark, path, old)
+    try:
+        storage.rename(spark, fresh, path)
+    except Exception:
+        if had:
+            storage.rename(spark, old, path)
+        raise
+    if had:
+        storage.delete(spark, old)
+    spark.catalog.refreshByPath(path)
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -34,30 +34,14 @@ def run_landing_to_table(spark: SparkSession, landing: str, schema: T.StructType
                          checkpoint: str, transform, keys: Sequence[str], order: Sequence[str],
                          keep: str = "first", date_col: str = "trade_date") -> int:
     """Process all landed files into ``table_path``; returns micro-batches run."""
-    batches = {"n": 0, "table": _has_table(spark, table_path)}
+    batches = {"n": 0}
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         typed = transform(batch.withColumn("_ingest_file", F.input_file_name()))
-        upsert_partitioned(spark, typed, table_path, keys, order, keep, date_col,
-                           existing_exists=batches["table"])
-        batches["table"] = True
+        upsert_partitioned(spark, typed, table_path, keys, order, keep, date_col)
         batches["n"] += 1
 
     q = (landing_stream(spark, landing, schema).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return batches["n"]
-
-
-def _has_table(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
-
-
-def dedupe_within_watermark(stream: DataFrame, keys: Sequence[str], event_col: str,
-                            delay: str = "2 days") -> DataFrame:
-    """Drop repeats of a key inside the stream itself (bounded state)."""
-    return stream.withWatermark(event_col, delay).dropDuplicatesWithinWatermark(list(keys))

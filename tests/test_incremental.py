@@ -4,12 +4,14 @@ import datetime as dt
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from riskloom import storage
 from riskloom.operators.dedupe import dedupe
 from riskloom.session import scratch_path
 from riskloom.sources.writers import write_year_partitioned
-from riskloom.streaming.incremental import incremental_hwm, same_rows, upsert_partitioned
+from riskloom.streaming.incremental import incremental_hwm, late_rows, rebuild_full, same_rows, upsert_partitioned
 
 KEYS = ["trade_date", "k"]
 
@@ -67,3 +69,56 @@ def test_landing_stream_rerun_is_noop(spark):
     assert n1 >= 1 and first == {"a": 1.5, "b": None}
     n2 = run_landing_to_table(spark, land, schema, table, ck, transform, KEYS, ["seq"])
     assert n2 == 0 and spark.read.parquet(table).count() == 2
+
+
+def _years(spark, path):
+    return {(r.trade_date.isoformat(), r.k): r.v for r in spark.read.parquet(path).collect()}
+
+
+def test_upsert_touches_only_its_own_years(spark):
+    """Upsert 1998, rebuild 1998 with corrected values, upsert 1999: 1998 stays rebuilt."""
+    path = os.path.join(scratch_path(spark, f"test-years-{uuid.uuid4().hex}"), "t")
+    d = dt.date
+    upsert_partitioned(spark, _rows(spark, [(d(1998, 1, 5), "a", 1.0, 0)]), path, KEYS)
+    rebuild_full(lambda: _rows(spark, [(d(1998, 1, 5), "a", 9.0, 0)]), path, KEYS)
+    assert _years(spark, path) == {("1998-01-05", "a"): 9.0}
+    upsert_partitioned(spark, _rows(spark, [(d(1999, 1, 5), "b", 2.0, 0)]), path, KEYS)
+    assert _years(spark, path) == {("1998-01-05", "a"): 9.0, ("1999-01-05", "b"): 2.0}
+    upsert_partitioned(spark, _rows(spark, []), path, KEYS)
+    assert len(_years(spark, path)) == 2
+    assert not storage.children(spark, path + "__staging")
+
+
+def test_failed_rebuild_and_failed_check_leave_the_table(spark):
+    path = os.path.join(scratch_path(spark, f"test-fail-{uuid.uuid4().hex}"), "t")
+    good = _rows(spark, [(dt.date(2020, 1, 5), "a", 1.0, 0)])
+    rebuild_full(lambda: good, path, KEYS)
+
+    def refuse(df):
+        raise ValueError("refused")
+    with pytest.raises(ValueError):
+        rebuild_full(lambda: good.withColumn("v", F.lit(5.0)), path, KEYS, check=refuse)
+    with pytest.raises(ValueError):
+        upsert_partitioned(spark, good.withColumn("v", F.lit(5.0)), path, KEYS, keep="last", check=refuse)
+    with pytest.raises(Exception):
+        rebuild_full(lambda: good.withColumn("v", F.raise_error(F.lit("boom")).cast("double")), path, KEYS)
+    assert _years(spark, path) == {("2020-01-05", "a"): 1.0}
+
+
+def test_storage_errors_are_not_taken_for_a_missing_table(spark):
+    with pytest.raises(Exception):
+        upsert_partitioned(spark, _rows(spark, [(dt.date(2020, 1, 5), "a", 1.0, 0)]), "nosuchscheme://x/t", KEYS)
+
+
+def test_late_rows_are_found_in_closed_years(spark):
+    d = dt.date
+    stored = _rows(spark, [(d(2020, 5, 1), "a", 1.0, 0), (d(2021, 1, 1), "b", 1.0, 0)])
+    new = _rows(spark, [(d(2020, 5, 1), "a", 2.0, 0), (d(2020, 3, 1), "c", 1.0, 0), (d(2021, 1, 1), "b", 1.0, 0), (d(2022, 1, 1), "d", 1.0, 0)])
+    assert {r.k for r in late_rows(new, stored, KEYS).collect()} == {"a", "c", "d"}
+
+
+def test_session_setting_is_left_alone(spark):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    path = os.path.join(scratch_path(spark, f"test-conf-{uuid.uuid4().hex}"), "t")
+    upsert_partitioned(spark, _rows(spark, [(dt.date(2020, 1, 5), "a", 1.0, 0)]), path, KEYS)
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
