@@ -51,6 +51,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _with_prices(df: DataFrame) -> DataFrame:
+    """The driver tables hold one price per row: open, high, low and close copy
+    settle, and the change in open interest is 0."""
+    return df.withColumns({**{c: F.col("settle") for c in ("open", "high", "low", "close")},
+                           "chg_in_oi": F.lit(0).cast("bigint")})
+
+
+
 class Market:
     """Lazily derived market views over one ``sf_dir``.
 
@@ -186,11 +194,11 @@ class Market:
 
     @functools.cached_property
     def options(self) -> DataFrame:
-        return self.contracts.filter(F.col("instrument") == "OPTIDX")
+        return _with_prices(self.contracts.filter(F.col("instrument") == "OPTIDX"))
 
     @functools.cached_property
     def futures(self) -> DataFrame:
-        return self.contracts.filter(F.col("instrument") == "FUTIDX")
+        return _with_prices(self.contracts.filter(F.col("instrument") == "FUTIDX"))
 
     @functools.cached_property
     def lot_size(self) -> DataFrame:

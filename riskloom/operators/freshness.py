@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import parse_date
@@ -12,16 +12,14 @@ from ..operators.clean import parse_date
 DATE_COLUMN_CANDIDATES = ["TIMESTAMP", "Date", "DATE", "date", "trade_date"]
 
 
-def dataset_latest(layer: str, name: str, df: DataFrame | None) -> DataFrame | None:
+def dataset_latest(layer: str, name: str, df: DataFrame | None, spark: SparkSession) -> DataFrame:
     """(layer, dataset, latest_date) for one dataset; reads only the date column.
 
     The date column is the first of TIMESTAMP/Date/DATE/date/trade_date that
-    exists; text dates are parsed; a dataset without one gives NULL.
+    exists; text dates are parsed; a dataset without one, or a missing dataset
+    (None), gives NULL.
     """
-    if df is None:
-        return None
-    col = next((c for c in DATE_COLUMN_CANDIDATES if c in df.columns), None)
-    spark = df.sparkSession
+    col = next((c for c in DATE_COLUMN_CANDIDATES if df is not None and c in df.columns), None)
     if col is None:
         return spark.createDataFrame([(layer, name, None)], "layer string, dataset string, latest_date date")
     d = df.select(parse_date(F.col(col)) if dict(df.dtypes)[col] == "string" else F.to_date(F.col(col)))
@@ -32,8 +30,8 @@ def dataset_latest(layer: str, name: str, df: DataFrame | None) -> DataFrame | N
 def latest_by_dataset(datasets: Mapping[tuple[str, str], DataFrame | None]) -> DataFrame:
     """Union of per-dataset max dates.  Each is a tiny aggregate; the union is
     one job whose width is the number of datasets, not their size."""
-    parts = [dataset_latest(layer, name, df) for (layer, name), df in datasets.items()]
-    parts = [p for p in parts if p is not None]
+    spark = SparkSession.getActiveSession()
+    parts = [dataset_latest(layer, name, df, spark) for (layer, name), df in datasets.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -59,10 +57,3 @@ def sync_report(latest: DataFrame, date_from=None, date_to=None) -> DataFrame:
               .when(F.col("latest_date") >= F.col("expected_date"), "IN SYNC").otherwise("OUT OF SYNC"))
     return d.withColumn("status", status).withColumn(
         "days_behind", F.datediff(F.col("expected_date"), F.col("latest_date")))
-
-
-def sync_summary(report: DataFrame) -> DataFrame:
-    """Per status: count and sorted list of datasets."""
-    return report.groupBy("status").agg(
-        F.count(F.lit(1)).alias("datasets"),
-        F.array_sort(F.collect_list(F.concat_ws(".", "layer", "dataset"))).alias("names"))

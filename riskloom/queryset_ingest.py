@@ -656,7 +656,7 @@ def q_read_index_close_csv(spark, sf_dir):
     path = _out(spark, sf_dir, "index_close")
     _index_close(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
     spot, _vix = RD.read_index_close_csv(spark, path)
-    return spot
+    return spot.drop(*RD.ARRIVAL)
 
 
 @register("read_tenor_csvs", with_ctes("SELECT trade_date AS date, tenor, price FROM gbond_raw"))
@@ -676,6 +676,94 @@ def q_read_tenor_csvs(spark, sf_dir):
     return RD.read_tenor_csvs(spark, paths).select("date", "tenor", "price")
 
 
+def _land(spark, sf_dir, name):
+    """Every feed as landed CSV files, the exchange rows in arrival order."""
+    from .plans.daily import Landing
+    m = ctx(spark, sf_dir).market
+    root = _out(spark, sf_dir, name)
+
+    def put(df, feed):
+        path = os.path.join(root, feed)
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return path
+    raw = FX.raw_bhav_legacy(m).orderBy(*IDS).drop(*IDS)
+    g = m.gbond_raw.select("tenor", F.date_format("trade_date", "dd-MM-yyyy").alias("Date"),
+                           *[F.col("price").cast("string").alias(c) for c in ("Price", "Open", "High", "Low")],
+                           F.lit("0%").alias("Change %"))
+    return Landing(
+        bhav_legacy=put(raw, "bhav"), index_close=put(FX.raw_index_close(m), "index"),
+        index_yield=put(m.div_yield_raw, "yield"),
+        gbond={t: put(g.filter(F.col("tenor") == t).drop("tenor"), f"gbond_{t}") for t in ("3m", "6m", "1y")},
+        lot_size=put(m.lot_size, "lots"))
+
+
+_FILES = _RAW + [
+    ("f_opt", "SELECT trade_date, symbol, expiry_date, strike, option_type, open, settle, contracts, open_interest, "
+     "CAST(datediff('day', trade_date, expiry_date) AS INT) AS dte FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, symbol, "
+     "expiry_date, strike, option_type ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn FROM raw_typed "
+     f"WHERE instrument = 'OPTIDX' AND symbol <> '{FX.UNKNOWN_SYMBOL}') x WHERE rn = 1"),
+    ("f_fut", "SELECT trade_date, symbol, expiry_date, open, settle, contracts, open_interest, "
+     "CAST(datediff('day', trade_date, expiry_date) AS INT) AS dte FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, symbol, "
+     "expiry_date ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn FROM raw_typed "
+     f"WHERE instrument = 'FUTIDX' AND symbol <> '{FX.UNKNOWN_SYMBOL}') x WHERE rn = 1")]
+_FILE_TABLES = {
+    "options": "SELECT * FROM f_opt",
+    "futures": "SELECT * FROM f_fut",
+    "index_spot": "SELECT * FROM p_spot",
+    "vix": "SELECT * FROM p_vix",
+    "index_yield": "SELECT * FROM p_yield",
+    "gbond": "SELECT trade_date, tenor, yield_pct, was_par_price, change_pct FROM p_gbond",
+    "lot_size": "SELECT symbol, start_date, end_date, lot_size FROM lot_size",
+    "trade_calendar": "SELECT DISTINCT trade_date, symbol FROM f_opt UNION SELECT DISTINCT trade_date, symbol FROM f_fut",
+}
+
+
+def _file_table(name):
+    def q(spark, sf_dir):
+        from .plans.daily import processed_tables
+        df = processed_tables(spark, _land(spark, sf_dir, f"files_{name}"))[name]
+        cols = {"options": ["trade_date", "symbol", "expiry_date", "strike", "option_type", "open", "settle", "contracts", "open_interest", "dte"],
+                "futures": ["trade_date", "symbol", "expiry_date", "open", "settle", "contracts", "open_interest", "dte"],
+                "gbond": ["trade_date", "tenor", "yield_pct", "was_par_price", "change_pct"]}.get(name, df.columns)
+        return df.select(*cols)
+    q.__doc__ = f"Processed {name} from landed files."
+    return q
+
+
+for _name, _sql in _FILE_TABLES.items():
+    register(f"processed_{_name}_from_files", with_ctes(_sql, _FILES))(_file_table(_name))
+
+
+@register("curated_from_files", with_ctes(
+    "SELECT o.trade_date, o.symbol, o.expiry_date, o.strike, o.option_type, o.open, o.settle, o.dte, m.spot, m.div_yield, "
+    "CASE WHEN c.settle = o.settle THEN c.rate END AS rate, CASE WHEN c.settle = o.settle THEN c.iv END AS iv "
+    "FROM f_opt o JOIN p_mkt m ON o.trade_date = m.trade_date AND o.symbol = m.symbol JOIN chain c ON "
+    "o.trade_date = c.trade_date AND o.symbol = c.symbol AND o.expiry_date = c.expiry_date AND o.strike = c.strike "
+    "AND o.option_type = c.option_type WHERE c.settle = o.settle", _FILES))
+def q_curated_from_files(spark, sf_dir):
+    """Landed files -> processed -> curated in one job; the contracts whose price
+    also won in the fixture's chain, which the oracle can price."""
+    from .plans.daily import run_daily
+    c = ctx(spark, sf_dir)
+    root = _out(spark, sf_dir, "daily_job")
+    run_daily(spark, _land(spark, sf_dir, "files_daily"), root, mode="full")
+    got = spark.read.parquet(os.path.join(root, "curated", "option_chain"))
+    same = c.chain.select("trade_date", "symbol", "expiry_date", "strike", "option_type", F.col("settle").alias("s"))
+    j = got.join(same, ["trade_date", "symbol", "expiry_date", "strike", "option_type"]).filter("settle = s")
+    return j.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "open", "settle", "dte", "spot",
+                    "div_yield", "rate", "iv")
+
+
+@register("missing_lot_sizes", with_ctes(
+    "SELECT p.portfolio_id, p.symbol, p.trade_date, p.quantity, CASE WHEN p.symbol IN (SELECT symbol FROM lot_size) "
+    "THEN 'no_period' ELSE 'unknown_symbol' END AS reason FROM pos_lot p WHERE p.lot_size_missing"))
+def q_missing_lot_sizes(spark, sf_dir):
+    """Strict lot lookup: positions without a lot period, and why."""
+    c = ctx(spark, sf_dir)
+    return JN.missing_lot_sizes(c.positions, c.processed.lot_size).select(
+        "portfolio_id", "symbol", "trade_date", "quantity", "reason")
+
+
 @register("run_manifest", None)
 def q_run_manifest(spark, sf_dir):
     """One JSON audit line per portfolio of a VaR run (parameters + summary)."""
@@ -806,7 +894,7 @@ def q_rebuild_full(spark, sf_dir):
     return spark.read.parquet(path).select(*[x.strip() for x in _OPT_COLS.split(",")])
 
 
-@register("idempotency", None)
+@register("idempotency", with_ctes(f"SELECT {_OPT_COLS}, CAST(NULL AS VARCHAR) AS _side FROM p_options WHERE false"))
 def q_idempotency(spark, sf_dir):
     """Upserting the same batch twice changes nothing: the diff is empty."""
     p = ctx(spark, sf_dir).processed.options
@@ -816,7 +904,8 @@ def q_idempotency(spark, sf_dir):
     snap = _out(spark, sf_dir, "idem_snapshot")
     spark.read.parquet(path).write.mode("overwrite").parquet(snap)
     INC.upsert_partitioned(spark, b, path, OPTIONS_KEY, ["_seq"], "first")
-    return INC.same_rows(spark.read.parquet(snap), spark.read.parquet(path))
+    diff = INC.same_rows(spark.read.parquet(snap), spark.read.parquet(path))
+    return diff.select(*[c.strip() for c in _OPT_COLS.split(",")], "_side")
 
 
 @register("stream_landing_files", with_ctes(

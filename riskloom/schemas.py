@@ -13,6 +13,12 @@ VIX_KEY = ["trade_date"]
 LOT_KEY = ["symbol", "start_date"]
 CALENDAR_KEY = ["trade_date", "symbol"]
 
+KEYS = {
+    "options": OPTIONS_KEY, "futures": FUTURES_KEY, "option_chain": OPTIONS_KEY, "curated_futures": FUTURES_KEY,
+    "index_spot": SPOT_KEY, "vix": VIX_KEY, "index_yield": YIELD_KEY, "gbond": GBOND_KEY, "lot_size": LOT_KEY,
+    "trade_calendar": CALENDAR_KEY,
+}
+
 # keep policy per table: derivatives keep the first arrival, upserted
 # market feeds keep the last.
 KEEP_POLICY = {
@@ -56,14 +62,17 @@ POSITIONS = struct(
     ("entry_price", _D, True),
 )
 
-# Raw daily derivatives file, legacy layout (all text; typed later with try_cast).
-BHAV_LEGACY = struct(*[(c, _S, True) for c in [
-    "INSTRUMENT", "SYMBOL", "EXPIRY_DT", "STRIKE_PR", "OPTION_TYP", "OPEN", "HIGH", "LOW",
-    "CLOSE", "SETTLE_PR", "CONTRACTS", "VAL_INLAKH", "OPEN_INT", "CHG_IN_OI", "TIMESTAMP",
-]])
-
 REQUIRED = {
     "options": PROCESSED_OPTIONS.fieldNames(),
+    "futures": [c for c in PROCESSED_OPTIONS.fieldNames() if c not in ("strike", "option_type")],
+    "index_spot": ["trade_date", "symbol", "open", "high", "low", "close"],
+    "vix": ["trade_date", "close"],
+    "index_yield": ["trade_date", "symbol", "div_yield"],
+    "gbond": ["trade_date", "tenor", "yield_pct", "open", "high", "low", "change_pct"],
+    "lot_size": ["symbol", "start_date", "end_date", "lot_size"],
+    "trade_calendar": ["trade_date", "symbol"],
+    "option_chain": CURATED_OPTION_COLUMNS,
+    "curated_futures": CURATED_FUTURES_COLUMNS,
     "positions": ["symbol", "expiry_date", "strike", "option_type", "quantity", "entry_date",
                   "entry_price"],
 }

@@ -7,13 +7,12 @@ so a malformed value becomes NULL instead of failing the job.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.clean import parse_date, snake_case, strip_percent
+from .. import storage
+from ..operators.clean import compute_dte, parse_date, snake_case, strip_percent
 from ..schemas import POSITIONS
 
 # ---------------------------------------------------------------------------
@@ -70,8 +69,8 @@ PROCESSED_RENAME = {
 INDEX_CLOSE_COLUMNS = ["Index Name", "Index Date", "Open Index Value", "High Index Value",
                        "Low Index Value", "Closing Index Value"]
 
-# Layouts switch after this date.
-UDIFF_FROM = "2024-07-01"
+# Order of arrival within the landed files.
+ARRIVAL = ["_file", "_block", "_row"]
 
 # ---------------------------------------------------------------------------
 
@@ -91,17 +90,15 @@ def scan_parquet_glob(spark: SparkSession, folder: str, schema: T.StructType | N
 def discover_tables(spark: SparkSession, root: str, layer: str | None = None) -> dict[str, DataFrame]:
     """Folders (or ``name.parquet`` entries) under ``root`` -> view name -> DataFrame.
 
-    View names are ``v_[layer_]snake_case``.  Only the directory listing runs
-    on the driver; the data stays distributed.  Empty folders are skipped; no
+    View names are ``v_[layer_]snake_case``.  Only the folder listing runs on
+    the driver, by Spark's own file system; the data stays distributed.  Empty folders are skipped; no
     table at all is an error.
     """
     out: dict[str, DataFrame] = {}
-    for entry in sorted(os.listdir(root)):
-        path = os.path.join(root, entry)
+    for entry, path, folder in storage.children(spark, root):
         name = entry[:-len(".parquet")] if entry.endswith(".parquet") else entry
-        if os.path.isdir(path) and not entry.endswith(".parquet"):
-            has = any(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs)
-            if not has:
+        if folder and not entry.endswith(".parquet"):
+            if not storage.has_file(spark, path, ".parquet"):
                 continue
         elif not entry.endswith(".parquet"):
             continue
@@ -118,30 +115,44 @@ def register_views(tables: dict[str, DataFrame]) -> list[str]:
     return sorted(tables)
 
 
-def _read_csv(spark: SparkSession, path: str, cols) -> DataFrame:
-    """Text columns matched by *header name* (a positional schema would
-    silently shift columns when a layout reorders them); columns of ``cols``
-    the files lack come back NULL.  No type inference: everything is text."""
-    d = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    d = d.toDF(*[c.strip() for c in d.columns])
-    return d.select(*[F.col(f"`{c}`") if c in d.columns else F.lit(None).cast("string").alias(c) for c in cols])
+def _read_csv(spark: SparkSession, path: str, cols, required=(), lower: bool = False) -> DataFrame:
+    """Text columns of ``cols`` by the header name of *each file*, and ``ARRIVAL``.
+
+    Spark binds one positional schema to all files it reads, so files are
+    read in groups of equal header (read by the driver, one line per file).
+    A column that a file lacks is NULL; one of ``required`` that it lacks is
+    an error that names the file.  No type inference: everything is text.
+    """
+    out = None
+    for header, files in storage.csv_headers(spark, path).items():
+        names = [h.strip().lower() if lower else h.strip() for h in header]
+        lack = [c for c in required if c not in names]
+        if lack:
+            raise ValueError(f"{files[0]}: missing columns {lack}")
+        at = {n: i for i, n in reversed(list(enumerate(names)))}
+        d = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(
+            text_schema(f"_c{i}" for i in range(len(names)))).csv(files)
+        d = d.select(*[F.col(f"_c{at[c]}").alias(c) if c in at else F.lit(None).cast("string").alias(c) for c in cols],
+                     F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_row"))
+        out = d if out is None else out.unionByName(d)
+    if out is None:
+        return spark.createDataFrame([], text_schema(cols)).withColumns(
+            {"_file": F.lit(""), "_block": F.lit(0).cast("bigint"), "_row": F.lit(0).cast("bigint")})
+    return out
 
 
 def standardise_bhav(df: DataFrame, rename: dict[str, str]) -> DataFrame:
     """Renamed raw layout -> ingest columns (missing ones NULL), header trimmed."""
     df = df.toDF(*[c.strip() for c in df.columns])
-    present = {k: v for k, v in rename.items() if k in df.columns}
-    # two source names may map to TIMESTAMP; keep the first present one
-    seen, sel = set(), []
+    # several source names may map to one column: the first that has a value
+    src: dict[str, list[str]] = {}
     for c in df.columns:
-        tgt = present.get(c, c)
-        if tgt in seen:
-            continue
-        seen.add(tgt)
-        sel.append(F.col(f"`{c}`").alias(tgt))
-    df = df.select(*sel)
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
-                       for c in INGEST_COLUMNS])
+        src.setdefault(rename.get(c, c), []).append(c)
+    value = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    return df.select(*[F.coalesce(*[value(s) for s in src[c]]).alias(c) if c in src
+                       else F.lit(None).cast("string").alias(c) for c in INGEST_COLUMNS],
+                     *[c for c in ARRIVAL if c in df.columns])
 
 
 def read_bhavcopy_legacy(spark: SparkSession, path: str) -> DataFrame:
@@ -169,7 +180,7 @@ def read_bhavcopy(spark: SparkSession, legacy_path: str | None, udiff_path: str
 
 
 def type_bhav(ingest: DataFrame) -> DataFrame:
-    """Ingest text -> typed processed-layer columns (instrument kept)."""
+    """Ingest text -> typed processed-layer columns (instrument and arrival kept)."""
     d = ingest.withColumnsRenamed(PROCESSED_RENAME)
     strike = F.coalesce(F.col("strike").try_cast("double"), F.lit(0.0))
     return d.select(
@@ -179,7 +190,8 @@ def type_bhav(ingest: DataFrame) -> DataFrame:
         *[F.col(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "settle")],
         *[F.col(c).try_cast("bigint").alias(c) for c in ("contracts", "open_interest", "chg_in_oi")],
         F.when(strike == 0.0, "FUTIDX").otherwise("OPTIDX").alias("instrument"),
-    )
+        *[c for c in ARRIVAL if c in ingest.columns],
+    ).withColumn("dte", compute_dte())
 
 
 def read_index_close_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -191,15 +203,15 @@ def read_index_close_csv(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         F.col("`Open Index Value`").try_cast("double").alias("Open"),
         F.col("`High Index Value`").try_cast("double").alias("High"),
         F.col("`Low Index Value`").try_cast("double").alias("Low"),
-        F.col("`Closing Index Value`").try_cast("double").alias("Close"))
+        F.col("`Closing Index Value`").try_cast("double").alias("Close"), *ARRIVAL)
     vix = raw.filter(F.col("`Index Name`") == VIX_INDEX_NAME).select(
         parse_date("`Index Date`").alias("Date"),
-        F.col("`Closing Index Value`").try_cast("double").alias("VIX_Close"))
+        F.col("`Closing Index Value`").try_cast("double").alias("VIX_Close"), *ARRIVAL)
     return spot, vix
 
 
 def read_tenor_csvs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """One CSV folder per tenor; the tenor comes from the file's folder.
+    """One CSV folder per tenor: ``paths`` maps the tenor to its folder.
 
     Headers are trimmed and lower-cased; ``date`` is dd-MM-yyyy;
     ``change %`` loses its ``%`` and thousands separators.
@@ -207,16 +219,49 @@ def read_tenor_csvs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     cols = ["date", "price", "open", "high", "low", "change %"]
     out = None
     for tenor, path in paths.items():
-        d = spark.read.option("header", True).csv(path)
-        d = d.toDF(*[c.strip().lower() for c in d.columns]).withColumn("_file", F.input_file_name())
+        d = _read_csv(spark, path, cols, lower=True)
         d = d.select(
             F.try_to_date(F.trim("date"), "dd-MM-yyyy").alias("date"),
             *[F.col(c).try_cast("double").alias(c) for c in ("price", "open", "high", "low")],
-            strip_percent("change %").alias("change_pct"), F.lit(tenor).alias("tenor"))
+            strip_percent("change %").alias("change_pct"), F.lit(tenor).alias("tenor"), *ARRIVAL)
         out = d if out is None else out.unionByName(d)
     return out
 
 
+def read_index_yield_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Dividend-yield files: trade_date, symbol, div_yield (percent text allowed)."""
+    d = _read_csv(spark, path, ["trade_date", "symbol", "div_yield"], required=["trade_date", "symbol", "div_yield"])
+    return d.select(parse_date("trade_date").alias("trade_date"), "symbol", strip_percent("div_yield").alias("div_yield"), *ARRIVAL)
+
+
+def read_lot_size_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Lot-size schedule: symbol, start_date, end_date (blank = open), lot_size."""
+    cols = ["symbol", "start_date", "end_date", "lot_size"]
+    d = _read_csv(spark, path, cols, required=cols)
+    return d.select("symbol", parse_date("start_date").alias("start_date"), parse_date("end_date").alias("end_date"),
+                    F.trim("lot_size").try_cast("int").alias("lot_size"), *ARRIVAL)
+
+
+def read_positions_text(spark: SparkSession, path: str, schema: T.StructType = POSITIONS) -> DataFrame:
+    """Portfolio file as text, columns by header name; a missing one is an error."""
+    return _read_csv(spark, path, schema.fieldNames(), required=schema.fieldNames())
+
+
+def _typed(f: T.StructField):
+    text = F.nullif(F.trim(F.col(f.name)), F.lit(""))
+    if isinstance(f.dataType, T.DateType):
+        return parse_date(text)
+    return text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType.simpleString())
+
+
 def read_positions_csv(spark: SparkSession, path: str, schema: T.StructType = POSITIONS) -> DataFrame:
-    """Portfolio file with a declared schema (bad values -> NULL, row kept)."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    """Portfolio file, typed (bad values -> NULL, row kept; see ``position_parse_errors``)."""
+    return read_positions_text(spark, path, schema).select(*[_typed(f).alias(f.name) for f in schema])
+
+
+def position_parse_errors(text: DataFrame, schema: T.StructType = POSITIONS) -> DataFrame:
+    """(row columns, field, value) of every value that cannot be read as its type."""
+    bad = F.array(*[F.when(F.nullif(F.trim(F.col(f.name)), F.lit("")).isNotNull() & _typed(f).isNull(),
+                           F.struct(F.lit(f.name).alias("field"), F.col(f.name).alias("value"))) for f in schema])
+    return text.select(*schema.fieldNames(), F.explode(F.filter(bad, lambda x: x.isNotNull())).alias("_b")).select(
+        *schema.fieldNames(), "_b.*")
