@@ -43,6 +43,7 @@ class Context:
         self.spark = spark
         self.sf_dir = sf_dir
         self.market = Market(spark, sf_dir)
+        self._pnl: dict[tuple[int, str | None], DataFrame] = {}
 
     @functools.cached_property
     def layers(self):
@@ -75,12 +76,24 @@ class Context:
     def positions(self) -> DataFrame:
         return self.layers.positions
 
+    def scenario_pnl(self, lookback: int, driver: str | None) -> DataFrame:
+        """Scenario PnL of every portfolio and valuation date, stored on first use."""
+        from .operators.var import scenario_pnl_by_date
+        from .sources.writers import write_table
+        key = (lookback, driver)
+        if key not in self._pnl:
+            path = f"{self.layers.root}/risk/pnl_{lookback}_{driver or 'own'}"
+            write_table(scenario_pnl_by_date(self.positions, self.chain_keyed, self.futures, self.processed.lot_size,
+                                             self.processed.spot, lookback, driver), path)
+            self._pnl[key] = self.spark.read.parquet(path)
+        return self._pnl[key]
 
-_CTX: dict[tuple[int, str], Context] = {}
+
+_CTX: dict[tuple[str, str], Context] = {}
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> Context:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CTX:
         _CTX[key] = Context(spark, sf_dir)
     return _CTX[key]

@@ -1,10 +1,11 @@
 """Join operators.
 
-Broadcast policy: a side is broadcast only after its row count has been
-checked against a cap (``checked_broadcast``); above the cap the join is
-left to the planner (sort-merge / AQE).  Configuration dimensions (lot
-periods, strike steps, aliases: tens of rows, fixed by configuration) are
-broadcast directly.
+Broadcast policy: which side of a join is broadcast is left to the planner,
+which compares the sides' bytes with its threshold (AQE again with measured
+bytes), so nothing runs while a plan is built and no join changes at a row
+count.  Only sides with a bound of their own carry a hint: configuration (lot
+periods, strike steps, aliases: tens of rows) and calendars (one row per date
+or year).
 """
 
 from __future__ import annotations
@@ -14,17 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Market dimensions are keyed by (trade_date[, symbol]): ~250 days x 4
-# symbols per year.  Two million rows is centuries of history.
-DIM_BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def pivot_tenors(gbond: DataFrame, value: str = "yield_pct") -> DataFrame:
     """(trade_date, tenor, yield) -> one row per date with rate_3m/6m/1y.
 
@@ -42,25 +32,30 @@ def market_inputs(spot: DataFrame, div_yield: DataFrame, gbond: DataFrame) -> Da
     """One (trade_date, symbol) dimension with spot, div_yield and the three
     tenor yields.  Inner joins: a day missing any input has no row (parity
     with the source system; see ``unmatched_market_data``)."""
-    rates = pivot_tenors(gbond).filter(
-        F.col("rate_3m").isNotNull() & F.col("rate_6m").isNotNull() & F.col("rate_1y").isNotNull()
-    )
+    rates = _rates(gbond)
     s = spot.select("trade_date", "symbol", F.col("close").alias("spot"))
     y = div_yield.select("trade_date", "symbol", "div_yield")
     return s.join(y, ["trade_date", "symbol"]).join(rates, "trade_date")
 
 
-def curate_join(contracts: DataFrame, spot: DataFrame, div_yield: DataFrame, gbond: DataFrame,
-                broadcast_dims: bool = True) -> DataFrame:
-    """contracts ⋈ market inputs on (trade_date, symbol).
+def _rates(gbond: DataFrame) -> DataFrame:
+    """One row per date that has all three tenors: calendar-sized."""
+    return pivot_tenors(gbond).filter(
+        F.col("rate_3m").isNotNull() & F.col("rate_6m").isNotNull() & F.col("rate_1y").isNotNull())
+
+
+def curate_join(contracts: DataFrame, spot: DataFrame, div_yield: DataFrame, gbond: DataFrame) -> DataFrame:
+    """contracts ⋈ spot ⋈ dividend yield on (trade_date, symbol) ⋈ rates on trade_date.
 
-    The small date x symbol dimension is built once and broadcast (after a
-    size check), so the big contract table is never shuffled for this join.
+    Three joins against one stored dimension each, rather than one against
+    their join: the planner knows the bytes of a stored table, but only a
+    product for a join of two, and so broadcasts the small sides and leaves the
+    big contract table unshuffled.
     """
-    dim = market_inputs(spot, div_yield, gbond)
-    if broadcast_dims:
-        dim = checked_broadcast(dim)
-    return contracts.join(dim, ["trade_date", "symbol"], "inner")
+    s = spot.select("trade_date", "symbol", F.col("close").alias("spot"))
+    y = div_yield.select("trade_date", "symbol", "div_yield")
+    return (contracts.join(s, ["trade_date", "symbol"]).join(y, ["trade_date", "symbol"])
+            .join(F.broadcast(_rates(gbond)), "trade_date"))
 
 
 def unmatched_market_data(contracts: DataFrame, spot: DataFrame, div_yield: DataFrame,
@@ -68,12 +63,9 @@ def unmatched_market_data(contracts: DataFrame, spot: DataFrame, div_yield: Data
     """Contract rows the inner curate join drops, with the first missing input."""
     s = spot.select("trade_date", "symbol").withColumn("_s", F.lit(True))
     y = div_yield.select("trade_date", "symbol").withColumn("_y", F.lit(True))
-    r = pivot_tenors(gbond).filter(
-        F.col("rate_3m").isNotNull() & F.col("rate_6m").isNotNull() & F.col("rate_1y").isNotNull()
-    ).select("trade_date").withColumn("_r", F.lit(True))
-    j = (contracts.join(checked_broadcast(s), ["trade_date", "symbol"], "left")
-         .join(checked_broadcast(y), ["trade_date", "symbol"], "left")
-         .join(checked_broadcast(r), "trade_date", "left"))
+    r = _rates(gbond).select("trade_date").withColumn("_r", F.lit(True))
+    j = (contracts.join(s, ["trade_date", "symbol"], "left").join(y, ["trade_date", "symbol"], "left")
+         .join(F.broadcast(r), "trade_date", "left"))
     reason = (F.when(F.col("_s").isNull(), "no_spot").when(F.col("_y").isNull(), "no_div_yield")
               .when(F.col("_r").isNull(), "no_rates"))
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_s", "_y", "_r")
@@ -99,6 +91,19 @@ def lot_size_asof(df: DataFrame, lots: DataFrame, date_col: str = "trade_date",
     }).drop("_ls_symbol", "_ls_start", "_ls_end", "_ls_lot")
 
 
+def missing_lot_sizes(df: DataFrame, lots: DataFrame, date_col: str = "trade_date") -> DataFrame:
+    """Strict lookup: the rows without a lot period, with the reason.
+
+    ``unknown_symbol``: the schedule does not have the symbol at all;
+    ``no_period``: it has, but no period contains the date.
+    """
+    known = lots.select(F.col("symbol").alias("_known")).distinct()
+    j = lot_size_asof(df, lots, date_col).filter("lot_size_missing")
+    j = j.join(F.broadcast(known), F.col("symbol") == F.col("_known"), "left")
+    reason = F.when(F.col("_known").isNull(), "unknown_symbol").otherwise("no_period")
+    return j.withColumn("reason", reason).drop("_known", "lot_size", "lot_size_missing")
+
+
 def strike_interval_lookup(df: DataFrame, steps: DataFrame, date_col: str = "trade_date") -> DataFrame:
     """Strike grid step valid for (symbol, date); NULL if none."""
     st = steps.select(F.col("symbol").alias("_si_symbol"), F.col("start_date").alias("_si_start"),
@@ -127,7 +132,7 @@ def with_prev_trading_date(df: DataFrame, calendar: DataFrame, date_col: str = "
 
     cal = calendar.select(date_col).distinct()
     cal = cal.withColumn("prev_date", F.lag(date_col).over(Window.orderBy(date_col)))
-    return df.join(checked_broadcast(cal), date_col, "left")
+    return df.join(F.broadcast(cal), date_col, "left")
 
 
 def new_keys_anti(candidates: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,7 +143,7 @@ def new_keys_anti(candidates: DataFrame, existing: DataFrame, keys: Sequence[str
 def is_trading_day(df: DataFrame, calendar: DataFrame, date_col: str = "trade_date",
                    out: str = "is_trading_day") -> DataFrame:
     cal = calendar.select(F.col(date_col)).distinct().withColumn(out, F.lit(True))
-    return df.join(checked_broadcast(cal), date_col, "left").withColumn(
+    return df.join(F.broadcast(cal), date_col, "left").withColumn(
         out, F.coalesce(F.col(out), F.lit(False)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_dec
 
 from ..dims import DISPLAY_NAMES, SYMBOLS
-from .joins import checked_broadcast, join_last_n_dates, pivot_tenors
+from .joins import join_last_n_dates, pivot_tenors
 
 CHAIN_KEY = ["symbol", "trade_date", "expiry_date"]
 
@@ -22,7 +22,7 @@ CHAIN_KEY = ["symbol", "trade_date", "expiry_date"]
 def _for_requests(df: DataFrame, requests: DataFrame | None, keys) -> DataFrame:
     if requests is None:
         return df
-    return df.join(checked_broadcast(requests.select(*keys).distinct()), list(keys), "left_semi")
+    return df.join(requests.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def option_chain(chain: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def index_change(spot: DataFrame) -> DataFrame:
     s = spot.filter(F.col("symbol").isin(SYMBOLS))
     cal = s.select("trade_date").distinct().withColumn(
         "prev_date", F.lag("trade_date").over(Window.orderBy("trade_date")))
-    cal = checked_broadcast(cal)
+    cal = F.broadcast(cal)  # one row per trading date
     prev = s.select(F.col("trade_date").alias("prev_date"), "symbol", F.col("close").alias("prev_close"))
     j = s.join(cal, "trade_date").join(prev, ["prev_date", "symbol"], "left")
     pc = F.coalesce(F.col("prev_close"), F.col("close"))
@@ -136,9 +136,9 @@ def sparkline_range(spot: DataFrame) -> DataFrame:
 
 
 def market_context(index_rows: DataFrame, positions: DataFrame) -> DataFrame:
-    """Market summary rows limited to symbols held in each portfolio."""
-    held = positions.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")).distinct()
-    return index_rows.join(held, "symbol", "inner")
+    """Market summary rows of the symbols each portfolio holds on the date."""
+    held = positions.select("portfolio_id", "trade_date", F.upper(F.trim("symbol")).alias("symbol")).distinct()
+    return index_rows.join(held, ["trade_date", "symbol"], "inner")
 
 
 def latest_date(df: DataFrame, col: str = "trade_date") -> DataFrame:

@@ -37,7 +37,7 @@ def net_positions(positions: DataFrame) -> DataFrame:
     and everything after it see at most one row per held contract.
     """
     p = normalise_positions(positions)
-    return p.groupBy("portfolio_id", *OPTION_KEY).agg(F.sum("quantity").cast("int").alias("quantity"))
+    return p.groupBy("portfolio_id", *OPTION_KEY).agg(F.sum(F.col("quantity").cast("bigint")).alias("quantity"))
 
 
 def resolve_positions(positions: DataFrame, chain: DataFrame, futures: DataFrame,
@@ -47,7 +47,7 @@ def resolve_positions(positions: DataFrame, chain: DataFrame, futures: DataFrame
     Unmatched legs keep NULL market columns and ``_matched = false``.
     """
     pos = lot_size_asof(normalise_positions(positions), lots, "trade_date")
-    pos = pos.withColumn("multiplier", F.col("quantity") * F.col("lot_size"))
+    pos = pos.withColumn("multiplier", F.col("quantity").cast("bigint") * F.col("lot_size"))
     opt = join_contract(pos.filter(F.col("option_type") != "XX"), chain, OPTION_KEY, OPTION_MARKET)
     fut = join_contract(pos.filter(F.col("option_type") == "XX"), futures, FUTURES_KEY, FUTURES_MARKET)
     return opt, fut
@@ -87,7 +87,7 @@ def portfolio_risk(positions: DataFrame, chain: DataFrame, futures: DataFrame, l
 
 def net_portfolio(results: DataFrame, by: Sequence[str] = ("portfolio_id",)) -> DataFrame:
     """Σ MtM, scenario and total PnL; Σ greek x quantity x lot (NULL greek = 0)."""
-    w = F.col("quantity") * F.col("lot_size")
+    w = F.col("quantity").cast("bigint") * F.col("lot_size")
     return results.groupBy(*by).agg(
         F.sum("mtm_pnl").alias("total_mtm_pnl"),
         F.sum("scenario_pnl").alias("total_scenario_pnl"),
@@ -99,23 +99,23 @@ def net_portfolio(results: DataFrame, by: Sequence[str] = ("portfolio_id",)) ->
 
 
 def shock_grid(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame,
-               spot: Sequence[float], vol: Sequence[float], rate: Sequence[float],
-               max_points: int = 10_000) -> DataFrame:
+               spot: Sequence[float], vol: Sequence[float], rate: Sequence[float]) -> DataFrame:
     """Scenario PnL of every portfolio over a grid of (spot %, vol pts, rate bps).
 
-    The grid is a literal of at most ``max_points`` entries, expanded next to
-    each resolved leg with ``explode`` (no join, no shuffle); the base price
-    is computed once per leg before the expansion, and positions are first
+    The three axes are exploded in turn next to each resolved leg (no join,
+    no shuffle; the plan holds the axes, not the points); the base price is
+    computed once per leg before the expansion, and positions are first
     netted per (portfolio, contract) since PnL is linear in the quantity.
     """
-    grid = [(float(s), float(v), float(r)) for s in spot for v in vol for r in rate]
-    if len(grid) > max_points:
-        raise ValueError(f"shock grid has {len(grid)} points > {max_points}")
     opt, fut = resolve_positions(net_positions(positions), chain, futures, lots)
-    arr = F.array(*[F.struct(F.lit(s).alias("spot_shock_pct"), F.lit(v).alias("vol_shock_abs"),
-                             F.lit(r).alias("rate_shock_bps")) for s, v, r in grid])
-    o = with_base_price(opt).select("*", F.inline(arr))
-    f = fut.select("*", F.inline(arr))
+
+    def expand(df: DataFrame) -> DataFrame:
+        for name, axis in (("spot_shock_pct", spot), ("vol_shock_abs", vol), ("rate_shock_bps", rate)):
+            df = df.select("*", F.explode(F.array(*[F.lit(float(x)) for x in axis])).alias(name))
+        return df
+
+    o = expand(with_base_price(opt))
+    f = expand(fut)
     o = scenario_option(o, has_base=True)
     f = scenario_futures(f)
     keys = ["portfolio_id", "spot_shock_pct", "vol_shock_abs", "rate_shock_bps"]

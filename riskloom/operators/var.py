@@ -1,16 +1,19 @@
-"""Historical-simulation VaR / CVaR over many portfolios at once.
+"""Historical-simulation VaR / CVaR over many portfolios and valuation dates at once.
 
 Plan::
 
-    spot ──row_number desc / lag──> returns (≤ lookback per symbol, ≤ 1260)
+    spot ──lag──> returns, numbered per index (calendar-sized)
     positions ─ lots ─ chain ─> resolved legs ─ net per (portfolio, contract) ─ base price
-          ⋈ (broadcast, equi-join on the driver symbol) returns
-          ─> shocked price (columns) ─> Σ per (portfolio, scenario date)  [partial agg, map side]
-          ─> round 2 dp ─> percentile + tail mean per portfolio              [≤ 1260 values/group]
-
-The returns side is bounded by construction (lookback ≤ 1260 dates x 4
-index symbols), so broadcasting it is safe at any data size.  The base price
-does not depend on the scenario and is computed before the expansion.
+          ─ last return up to the valuation date (broadcast calendar) ─> that return and the
+            lookback - 1 before it (explode of a number range)
+          ⋈ (broadcast, equi-join on index and number) returns
+          ─> shocked price (columns) ─> Σ per (portfolio, valuation date, scenario date)
+          ─> round 2 dp ─> percentile + tail mean per (portfolio, valuation date)
+
+A leg is valued on its own date with the returns known then, never with later
+ones.  Legs are dealt by (portfolio, valuation date) before the expansion, so
+their scenario sums need no second exchange.  Returns are one row per index and
+date, which bounds the broadcast by the calendar.
 """
 
 from __future__ import annotations
@@ -25,16 +28,6 @@ from .portfolio import net_positions, resolve_positions
 from .scenario import (option_method, prepare_shocked_pricing, scenario_futures, scenario_option,
                        with_base_price)
 
-MAX_LOOKBACK = 1260
-MIN_LOOKBACK = 10
-
-
-def check_lookback(lookback: int) -> int:
-    if not MIN_LOOKBACK <= lookback <= MAX_LOOKBACK:
-        raise ValueError(f"lookback must be in [{MIN_LOOKBACK}, {MAX_LOOKBACK}], got {lookback}")
-    return lookback
-
-
 def daily_returns(spot: DataFrame, lookback: int = 252, as_of=None) -> DataFrame:
     """Per symbol: the last ``lookback + 1`` closes up to ``as_of`` (default:
     the symbol's latest date), previous close by ``lag``, first row dropped.
@@ -43,7 +36,6 @@ def daily_returns(spot: DataFrame, lookback: int = 252, as_of=None) -> DataFrame
     in one window pass (partitioned by symbol: a handful of calendar-sized
     partitions).
     """
-    check_lookback(lookback)
     s = spot.select("symbol", "trade_date", F.col("close").alias("spot"))
     if as_of is not None:
         s = s.filter(F.col("trade_date") <= F.lit(as_of))
@@ -56,14 +48,37 @@ def daily_returns(spot: DataFrame, lookback: int = 252, as_of=None) -> DataFrame
 
 
 def historical_scenarios(returns: DataFrame) -> DataFrame:
-    """Returns as shocks: spot % = 100 x return, no vol or rate shock."""
+    """Returns as shocks: spot % = 100 x return (also at 4 dp), no vol or rate shock."""
     return returns.select(
         F.col("symbol").alias("driver_symbol"), F.col("trade_date").alias("scenario_date"),
         (F.col("daily_return") * 100.0).alias("spot_shock_pct"),
+        round_dec(F.col("daily_return") * 100.0, 4).alias("spot_return_pct"),
         F.lit(0.0).alias("vol_shock_abs"), F.lit(0.0).alias("rate_shock_bps"),
     )
 
 
+def numbered_returns(spot: DataFrame) -> DataFrame:
+    """(driver_symbol, n, scenario_date, spot_shock_pct): every daily return of
+    every index, numbered by date.  Calendar-sized windows."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    r = spot.select("symbol", "trade_date", F.col("close").alias("spot")).withColumn("prev", F.lag("spot").over(w))
+    return r.filter(F.col("prev").isNotNull()).select(
+        F.col("symbol").alias("driver_symbol"), F.row_number().over(w).alias("n"),
+        F.col("trade_date").alias("scenario_date"),
+        ((F.col("spot") - F.col("prev")) / F.col("prev") * 100.0).alias("spot_shock_pct"))
+
+
+def last_known(returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """(driver_symbol, trade_date, last_n): the number of the last return up to
+    each (driver_symbol, trade_date) of ``dates``, 0 if there is none."""
+    marks = returns.select("driver_symbol", F.col("scenario_date").alias("trade_date"), "n", F.lit(False).alias("asked"))
+    asked = dates.select("driver_symbol", "trade_date").distinct().withColumns(
+        {"n": F.lit(0), "asked": F.lit(True)})
+    w = Window.partitionBy("driver_symbol").orderBy("trade_date").rangeBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(asked).withColumn("last_n", F.max("n").over(w))
+    return both.filter("asked").select("driver_symbol", "trade_date", "last_n")
+
+
 def driver_map(spark, driver_symbol: str | None = "NIFTY") -> DataFrame:
     """symbol -> index whose returns shock it (4 rows of configuration).
 
@@ -74,22 +89,24 @@ def driver_map(spark, driver_symbol: str | None = "NIFTY") -> DataFrame:
     return spark.createDataFrame([(s, driver_symbol or s) for s in SYMBOLS], "symbol string, driver_symbol string")
 
 
-def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame,
-                         scenarios: DataFrame, driver_symbol: str | None = "NIFTY",
+GROUP = ["portfolio_id", "trade_date"]
+
+
+def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame, spot: DataFrame,
+                         lookback: int = 252, driver_symbol: str | None = "NIFTY",
                          partitions: int | None = None) -> DataFrame:
-    """Portfolio PnL per scenario date (unrounded).
+    """PnL (unrounded) per portfolio, valuation date and scenario date.
 
-    ``driver_symbol`` = one index drives every leg (source-system parity);
-    ``None`` = each leg is shocked by its own symbol's returns.  Historical
-    scenarios move spot only (vol and rate shocks are 0).
+    The scenarios of a valuation date are the last ``lookback`` daily returns up
+    to it.  ``driver_symbol`` = one index drives every leg (source-system
+    parity); ``None`` = each leg is shocked by its own symbol's returns.
 
     Work per (leg, scenario) pair is kept minimal: positions are netted per
     (portfolio, contract) before the market join (PnL is linear in the
-    quantity); legs whose PnL
-    is 0 whatever the shock (no data, expired) never enter the expansion —
-    each portfolio instead gets one zero row per scenario, so every
-    (portfolio, date) group exists; and the spot-independent parts of the
-    shocked price (time, vol, rate terms) are evaluated once per leg.
+    quantity); legs whose PnL is 0 whatever the shock (no data, expired) never
+    enter the expansion — a portfolio that has no other legs on a date gets
+    one zero row per scenario instead; and the spot-independent parts of
+    the shocked price (time, vol, rate terms) are evaluated once per leg.
     """
     opt, fut = resolve_positions(net_positions(positions), chain, futures, lots)
     spark = opt.sparkSession
@@ -97,77 +114,80 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
     zero_shocks = {"vol_shock_abs": F.lit(0.0), "rate_shock_bps": F.lit(0.0)}
-    o = opt.withColumn("method", option_method(opt)).filter(F.col("method").isin("full_reprice", "greeks_approx"))
-    o = prepare_shocked_pricing(with_base_price(o).withColumns(zero_shocks))
-    # the netted legs may sit in few partitions after AQE coalescing; the
-    # expansion multiplies every row by the number of scenarios, so spread
-    # them over the cluster first.
-    o = o.join(drv, "symbol").repartition(n)
-    f = fut.filter(F.col("_matched")).join(drv, "symbol").withColumns(zero_shocks).repartition(max(1, n // 4))
-    # bounded: lookback <= 1260 dates x the 4-symbol universe
-    sc = F.broadcast(scenarios.filter(F.col("driver_symbol").isin(SYMBOLS))
-                     .select("driver_symbol", "scenario_date", "spot_shock_pct"))
-    o = scenario_option(o.join(sc, "driver_symbol"), has_base=True, prepared=True)
-    f = scenario_futures(f.join(sc, "driver_symbol"))
-    # one zero per (portfolio, scenario date): the output's own cardinality
-    pf = positions.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")).join(drv, "symbol") \
-        .select("portfolio_id", "driver_symbol").distinct()
-    z = pf.join(sc, "driver_symbol").select("portfolio_id", "scenario_date", F.lit(0.0).alias("pnl_total"))
-    keys = ["portfolio_id", "scenario_date"]
-    u = o.select(*keys, "pnl_total").unionByName(f.select(*keys, "pnl_total")).unionByName(z)
-    return u.groupBy(*keys).agg(F.sum("pnl_total").alias("portfolio_pnl"))
-
-
-def var_cvar(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_pnl") -> DataFrame:
+    held = positions.select("portfolio_id", "trade_date", F.upper(F.trim("symbol")).alias("symbol")).join(drv, "symbol") \
+        .select(*GROUP, "driver_symbol").distinct()
+    returns = numbered_returns(spot)
+    known = F.broadcast(last_known(returns, held))
+    returns = F.broadcast(returns)
+
+    def expand(legs: DataFrame) -> DataFrame:
+        d = legs.join(known, ["driver_symbol", "trade_date"]).filter("last_n > 0")
+        first = F.greatest(F.lit(1), F.col("last_n") - (lookback - 1))
+        d = d.withColumn("n", F.explode(F.sequence(first, F.col("last_n")))).drop("last_n")
+        return d.join(returns, ["driver_symbol", "n"]).drop("n")
+
+    live = option_method(opt).isin("full_reprice", "greeks_approx")
+    o = opt.withColumn("method", option_method(opt)).filter(live)
+    o = prepare_shocked_pricing(with_base_price(o).withColumns(zero_shocks)).join(drv, "symbol")
+    f = fut.filter(F.col("_matched")).join(drv, "symbol").withColumns(zero_shocks)
+    # the expansion multiplies every row by the number of scenarios, so the legs
+    # are spread first, each (portfolio, valuation date) in one place
+    priced_o = scenario_option(expand(o.repartition(n, *GROUP)), has_base=True, prepared=True)
+    priced_f = scenario_futures(expand(f.repartition(max(1, n // 4), *GROUP)))
+    moving = opt.filter(live).join(drv, "symbol").select(*GROUP, "driver_symbol").unionByName(
+        fut.filter(F.col("_matched")).join(drv, "symbol").select(*GROUP, "driver_symbol")).distinct()
+    still = expand(held.join(moving, [*GROUP, "driver_symbol"], "left_anti")).withColumn("pnl_total", F.lit(0.0))
+    keys = [*GROUP, "scenario_date"]
+    sums = [d.groupBy(*keys).agg(F.sum("pnl_total").alias("p")) for d in (priced_o, priced_f, still)]
+    u = sums[0].unionByName(sums[1]).unionByName(sums[2])
+    return u.groupBy(*keys).agg(F.sum("p").alias("portfolio_pnl"))
+
+
+def var_cvar(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl") -> DataFrame:
     """VaR/CVaR at 95% and 99% from per-scenario PnL (rounded to 2 dp first).
 
     VaR = -percentile (exact, linear interpolation); CVaR = -mean of the PnL
-    strictly below -VaR, or VaR if there is none.  One aggregate pass: the
-    percentile and the list of (≤ 1260) PnLs per group.
+    strictly below -VaR, or VaR if there is none.  Two aggregates, the second
+    over the rows and their group's percentiles: no group is gathered in a list.
     """
-    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
-    g = p.groupBy(by).agg(
-        F.percentile("_p", F.array(F.lit(0.05), F.lit(0.01))).alias("_q"),
-        F.collect_list("_p").alias("_all"),
-        F.count(F.lit(1)).alias("scenario_count"),
-        F.avg("_p").alias("_mean"), F.min("_p").alias("_min"), F.max("_p").alias("_max"),
-    )
-
-    def tail_mean(q):
-        t = F.filter("_all", lambda x: x < q)
-        s = F.aggregate(t, F.lit(0.0), lambda acc, x: acc + x)
-        return F.when(F.size(t) > 0, -(s / F.size(t))).otherwise(-q)
-
-    q95, q99 = F.col("_q")[0], F.col("_q")[1]
+    by = [by] if isinstance(by, str) else list(by)
+    p = pnl.select(*by, round_dec(F.col(value), 2).alias("_p"))
+    g = p.groupBy(*by).agg(
+        F.percentile("_p", F.array(F.lit(0.05), F.lit(0.01))).alias("_q"), F.count(F.lit(1)).alias("scenario_count"),
+        F.avg("_p").alias("_mean"), F.min("_p").alias("_min"), F.max("_p").alias("_max"))
+    g = g.withColumns({"_q95": F.col("_q")[0], "_q99": F.col("_q")[1]}).drop("_q")
+    tail = p.join(g.select(*by, "_q95", "_q99"), by).groupBy(*by).agg(
+        F.avg(F.when(F.col("_p") < F.col("_q95"), F.col("_p"))).alias("_t95"),
+        F.avg(F.when(F.col("_p") < F.col("_q99"), F.col("_p"))).alias("_t99"))
+    g = g.join(tail, by)
     return g.select(
-        by, "scenario_count",
-        round_dec(-q95, 2).alias("var_95"), round_dec(-q99, 2).alias("var_99"),
-        round_dec(tail_mean(q95), 2).alias("cvar_95"), round_dec(tail_mean(q99), 2).alias("cvar_99"),
+        *by, "scenario_count",
+        round_dec(-F.col("_q95"), 2).alias("var_95"), round_dec(-F.col("_q99"), 2).alias("var_99"),
+        round_dec(-F.coalesce("_t95", "_q95"), 2).alias("cvar_95"), round_dec(-F.coalesce("_t99", "_q99"), 2).alias("cvar_99"),
         round_dec("_mean", 2).alias("mean_pnl"), round_dec("_min", 2).alias("min_pnl"),
         round_dec("_max", 2).alias("max_pnl"),
     )
 
 
 def portfolio_var(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame,
-                  spot: DataFrame, lookback: int = 252, driver_symbol: str | None = "NIFTY",
-                  as_of=None) -> DataFrame:
-    sc = historical_scenarios(daily_returns(spot, lookback, as_of))
-    pnl = scenario_pnl_by_date(positions, chain, futures, lots, sc, driver_symbol)
-    return var_cvar(pnl)
+                  spot: DataFrame, lookback: int = 252, driver_symbol: str | None = "NIFTY") -> DataFrame:
+    return var_cvar(scenario_pnl_by_date(positions, chain, futures, lots, spot, lookback, driver_symbol), GROUP)
 
 
-def scenario_rank(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_pnl") -> DataFrame:
-    """Scenarios ranked worst-first per portfolio (ties by date)."""
-    w = Window.partitionBy(by).orderBy(F.col("_p"), F.col("scenario_date"))
+def scenario_rank(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl", top: int | None = None) -> DataFrame:
+    """Scenarios ranked worst-first per group (ties by date); ``top`` keeps that many."""
+    by = [by] if isinstance(by, str) else list(by)
+    w = Window.partitionBy(*by).orderBy(F.col("_p"), F.col("scenario_date"))
     p = pnl.withColumn("_p", round_dec(F.col(value), 2))
-    return p.select(by, "scenario_date", F.col("_p").alias("pnl"),
-                    F.row_number().over(w).alias("loss_rank"))
+    out = p.select(*by, "scenario_date", F.col("_p").alias("pnl"), F.row_number().over(w).alias("loss_rank"))
+    return out if top is None else out.filter(F.col("loss_rank") <= top)
 
 
-def worst_best_days(pnl: DataFrame, by: str = "portfolio_id", value: str = "portfolio_pnl") -> DataFrame:
-    """Worst and best scenario date per portfolio (earliest date on ties)."""
+def worst_best_days(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl") -> DataFrame:
+    """Worst and best scenario date per group (earliest date on ties)."""
+    by = [by] if isinstance(by, str) else list(by)
     p = pnl.withColumn("_p", round_dec(F.col(value), 2))
-    return p.groupBy(by).agg(
+    return p.groupBy(*by).agg(
         F.min_by("scenario_date", F.struct(F.col("_p"), F.col("scenario_date"))).alias("worst_date"),
         F.min("_p").alias("worst_pnl"),
         F.min_by("scenario_date", F.struct(-F.col("_p"), F.col("scenario_date"))).alias("best_date"),
@@ -175,15 +195,16 @@ def worst_best_days(pnl: DataFrame, by: str = "portfolio_id", value: str = "port
     )
 
 
-def pnl_histogram(pnl: DataFrame, bins: int = 40, by: str = "portfolio_id",
+def pnl_histogram(pnl: DataFrame, bins: int = 40, by=("portfolio_id",),
                   value: str = "portfolio_pnl") -> DataFrame:
-    """Counts of per-scenario PnL in ``bins`` equal-width bins per portfolio."""
-    p = pnl.withColumn("_p", round_dec(F.col(value), 2))
-    rng = p.groupBy(by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    j = p.join(rng, by)  # one row per portfolio on the right: a tiny join
+    """Counts of per-scenario PnL in ``bins`` equal-width bins per group."""
+    by = [by] if isinstance(by, str) else list(by)
+    p = pnl.select(*by, round_dec(F.col(value), 2).alias("_p"))
+    rng = p.groupBy(*by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    j = p.join(rng, by)  # one row per group on the right
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_p") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    return j.withColumn("bin", b).groupBy(by, "bin").agg(
+    return j.withColumn("bin", b).groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_lo").alias("range_lo"), F.max("_hi").alias("range_hi"))

@@ -229,32 +229,45 @@ def returns_sql(lookback: int = 252) -> str:
 
 def scenarios_sql(lookback: int = 252) -> str:
     return (f"(SELECT symbol AS driver_symbol, trade_date AS scenario_date, daily_return * 100e0 AS spot_shock_pct, "
+            f"{round_dec_sql('daily_return * 100e0', 4)} AS spot_return_pct, "
             f"0e0 AS vol_shock_abs, 0e0 AS rate_shock_bps FROM {returns_sql(lookback)} AS rr)")
 
 
+#: Every daily return of every index, numbered by date.
+RETURNS_ALL = ("ret", """SELECT symbol, trade_date, (spot - prev_spot) / prev_spot AS daily_return,
+  row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n
+FROM (SELECT symbol, trade_date, close AS spot, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev_spot
+      FROM p_spot) x WHERE prev_spot IS NOT NULL""")
+
+
 def scenario_pnl_sql(lookback: int = 252, driver: str | None = "NIFTY") -> str:
-    """(portfolio_id, scenario_date, portfolio_pnl) — positions x scenarios.
+    """(portfolio_id, trade_date, scenario_date, portfolio_pnl): positions x the
+    last ``lookback`` returns up to each valuation date (needs RETURNS_ALL).
 
     ``driver`` = one index shocks every leg; ``None`` = each leg's own index.
     """
-    sc = scenarios_sql(lookback)
-    on = f"s.driver_symbol = '{driver}'" if driver else "s.driver_symbol = p.symbol"
-    o = base_price_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
-                       f"FROM pos_opt p JOIN {sc} s ON {on})")
-    o = scenario_option_sql(o)
-    f = scenario_futures_sql(f"(SELECT p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps "
-                             f"FROM pos_fut p JOIN {sc} s ON {on})")
-    return (f"(SELECT portfolio_id, scenario_date, sum(pnl_total) AS portfolio_pnl FROM "
-            f"(SELECT portfolio_id, scenario_date, pnl_total FROM {o} AS so UNION ALL "
-            f"SELECT portfolio_id, scenario_date, pnl_total FROM {f} AS sf2) u GROUP BY portfolio_id, scenario_date)")
+    sc = (f"(SELECT v.trade_date, v.symbol AS driver_symbol, r.trade_date AS scenario_date, r.daily_return * 100e0 AS spot_shock_pct, "
+          f"0e0 AS vol_shock_abs, 0e0 AS rate_shock_bps FROM (SELECT d.trade_date, r.symbol, max(r.n) AS last_n "
+          f"FROM (SELECT DISTINCT trade_date FROM positions) d JOIN ret r ON r.trade_date <= d.trade_date GROUP BY 1, 2) v "
+          f"JOIN ret r ON r.symbol = v.symbol AND r.n BETWEEN v.last_n - {lookback - 1} AND v.last_n)")
+    on = "s.trade_date = p.trade_date AND " + (f"s.driver_symbol = '{driver}'" if driver else "s.driver_symbol = p.symbol")
+    cols = "p.*, s.scenario_date, s.spot_shock_pct, s.vol_shock_abs, s.rate_shock_bps"
+    o = scenario_option_sql(base_price_sql(f"(SELECT {cols} FROM pos_opt p JOIN {sc} s ON {on})"))
+    f = scenario_futures_sql(f"(SELECT {cols} FROM pos_fut p JOIN {sc} s ON {on})")
+    k = "portfolio_id, trade_date, scenario_date"
+    return (f"(SELECT {k}, sum(pnl_total) AS portfolio_pnl FROM (SELECT {k}, pnl_total FROM {o} AS so UNION ALL "
+            f"SELECT {k}, pnl_total FROM {f} AS sf2) u GROUP BY {k})")
 
 
 def var_cvar_sql(pnl: str) -> str:
     R = round_dec_sql
-    t95 = "coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q95), -g.q95)"
-    t99 = "coalesce(-(SELECT avg(x._p) FROM r x WHERE x.portfolio_id = g.portfolio_id AND x._p < g.q99), -g.q99)"
-    return f"""SELECT g.portfolio_id, g.scenario_count, {R('-g.q95', 2)} AS var_95, {R('-g.q99', 2)} AS var_99,
-  {R(t95, 2)} AS cvar_95, {R(t99, 2)} AS cvar_99,
+    k = "portfolio_id, trade_date"
+    return f"""SELECT g.portfolio_id, g.trade_date, g.scenario_count, {R('-g.q95', 2)} AS var_95, {R('-g.q99', 2)} AS var_99,
+  {R('coalesce(-t.t95, -g.q95)', 2)} AS cvar_95, {R('coalesce(-t.t99, -g.q99)', 2)} AS cvar_99,
   {R('g.m', 2)} AS mean_pnl, {R('g.lo', 2)} AS min_pnl, {R('g.hi', 2)} AS max_pnl
-FROM (SELECT portfolio_id, count(*) AS scenario_count, quantile_cont(_p, 0.05) AS q95, quantile_cont(_p, 0.01) AS q99,
-        avg(_p) AS m, min(_p) AS lo, max(_p) AS hi FROM r GROUP BY portfolio_id) g"""
+FROM (SELECT {k}, count(*) AS scenario_count, quantile_cont(_p, 0.05) AS q95, quantile_cont(_p, 0.01) AS q99,
+        avg(_p) AS m, min(_p) AS lo, max(_p) AS hi FROM {pnl} GROUP BY {k}) g
+JOIN (SELECT x.portfolio_id, x.trade_date, avg(x._p) FILTER (WHERE x._p < q.q95) AS t95, avg(x._p) FILTER (WHERE x._p < q.q99) AS t99
+      FROM {pnl} x JOIN (SELECT {k}, quantile_cont(_p, 0.05) AS q95, quantile_cont(_p, 0.01) AS q99 FROM {pnl} GROUP BY {k}) q
+        ON x.portfolio_id = q.portfolio_id AND x.trade_date = q.trade_date GROUP BY 1, 2) t
+  ON t.portfolio_id = g.portfolio_id AND t.trade_date = g.trade_date"""

@@ -13,6 +13,7 @@ from .functions.rounding import round_dec
 from .functions.rounding import round_dec_sql as RD
 from .oracle import CHAIN_COLS, with_ctes
 from .schemas import CURATED_OPTION_COLUMNS
+from .sources.writers import strike_key
 
 # ---------------------------------------------------------------------------
 # 2.D / 2.J  curated layer
@@ -138,29 +139,35 @@ def q_apply_shock(spark, sf_dir):
                     "rate_shocked", "vol_shocked")
 
 
+# The strike in hundredths: an exact key next to the DOUBLE strike, so that rows
+# of one chain with equal prices are told apart when results are compared.
+STRIKE_KEY = "CAST(round(strike * 100e0) AS BIGINT)"
+
+
 @register("base_price", with_ctes(
-    "SELECT trade_date, symbol, expiry_date, strike, option_type, "
+    f"SELECT trade_date, symbol, expiry_date, strike, option_type, {STRIKE_KEY} AS strike_key, "
     "CASE WHEN dte <= 0 THEN 'expired' ELSE 'base_price_only' END AS method, "
     f"CASE WHEN dte > 0 THEN base_price END AS base_price FROM {O.base_price_sql('chain')} AS x"))
 def q_base_price(spark, sf_dir):
     d = SC.base_price_method(ctx(spark, sf_dir).chain)
-    return d.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "method", "base_price")
+    return d.select("trade_date", "symbol", "expiry_date", "strike", "option_type", strike_key().alias("strike_key"),
+                    "method", "base_price")
 
 
 SCEN_OUT = "trade_date, symbol, expiry_date, strike, option_type, lot_size, method, base_price, shocked_price, pnl_per_lot, pnl_total"
 
 
 @register("scenario_option", with_ctes(
-    f"SELECT {SCEN_OUT} FROM "
+    f"SELECT {SCEN_OUT}, {STRIKE_KEY} AS strike_key FROM "
     f"{O.scenario_option_sql(O.base_price_sql(f'(SELECT *, {O.shock_cols(*SHOCK)} FROM {CHAIN_CONTRACTS_SQL} cc)'))} AS x"))
 def q_scenario_option(spark, sf_dir):
     """Every contract of the chain x the default shock (one lot each)."""
     d = SC.scenario_option(SC.with_shock(_chain_contracts(ctx(spark, sf_dir)), *SHOCK))
-    return d.select(*[s.strip() for s in SCEN_OUT.split(",")])
+    return d.select(*[s.strip() for s in SCEN_OUT.split(",")], strike_key().alias("strike_key"))
 
 
 @register("scenario_single", with_ctes(
-    f"SELECT {SCEN_OUT}, spot_shock_pct, vol_shock_abs, rate_shock_bps FROM "
+    f"SELECT {SCEN_OUT}, {STRIKE_KEY} AS strike_key, spot_shock_pct, vol_shock_abs, rate_shock_bps FROM "
     f"{O.scenario_option_sql(O.base_price_sql(f'(SELECT cc.*, rq.spot_shock_pct, rq.vol_shock_abs, rq.rate_shock_bps FROM {CHAIN_CONTRACTS_SQL} cc JOIN (SELECT trade_date, symbol, expiry_date, strike, option_type, (strike - spot) / spot * 100e0 AS spot_shock_pct, 1e0 AS vol_shock_abs, 10e0 AS rate_shock_bps FROM chain) rq USING (trade_date, symbol, expiry_date, strike, option_type))'))} AS x"))
 def q_scenario_single(spark, sf_dir):
     """Scenario requests as a table: each contract shocked to move spot onto
@@ -170,7 +177,7 @@ def q_scenario_single(spark, sf_dir):
     req = c.chain.select(*keys, ((F.col("strike") - F.col("spot")) / F.col("spot") * 100.0).alias("spot_shock_pct"),
                          F.lit(1.0).alias("vol_shock_abs"), F.lit(10.0).alias("rate_shock_bps"))
     d = SC.scenario_option(_chain_contracts(c).join(req, keys))
-    return d.select(*[s.strip() for s in SCEN_OUT.split(",")], "spot_shock_pct", "vol_shock_abs", "rate_shock_bps")
+    return d.select(*[s.strip() for s in SCEN_OUT.split(",")], strike_key().alias("strike_key"), "spot_shock_pct", "vol_shock_abs", "rate_shock_bps")
 
 
 @register("scenario_futures", with_ctes(
@@ -236,60 +243,70 @@ def q_historical_scenarios(spark, sf_dir):
     return VR.historical_scenarios(q_daily_returns(spark, sf_dir))
 
 
-def _pnl(spark, sf_dir):
-    c, pos, chain, fut, lots = _pf(spark, sf_dir)
-    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
-    return VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, "NIFTY")
+def _pnl(spark, sf_dir, driver="NIFTY"):
+    """Scenario PnL, computed once per driver rule and stored with the layers."""
+    return ctx(spark, sf_dir).scenario_pnl(LOOKBACK, driver)
+
 
+def _pnl_r(driver="NIFTY"):
+    return [O.RETURNS_ALL, ("r", f"SELECT portfolio_id, trade_date, scenario_date, {RD('portfolio_pnl', 2)} AS _p "
+                                 f"FROM {O.scenario_pnl_sql(LOOKBACK, driver)} AS s")]
 
-_PNL_R = [("r", f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS _p FROM {O.scenario_pnl_sql(LOOKBACK)} AS s")]
+
+_PNL_R = _pnl_r()
 
 
 @register("scenario_pnl_by_date", with_ctes(
-    f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS portfolio_pnl FROM {O.scenario_pnl_sql(LOOKBACK)} AS x"))
+    "SELECT portfolio_id, scenario_date, count(*) AS valuations, round(sum(_p), 2) AS portfolio_pnl FROM r GROUP BY 1, 2", _PNL_R))
 def q_scenario_pnl_by_date(spark, sf_dir):
-    return _pnl(spark, sf_dir).select("portfolio_id", "scenario_date",
-                                      round_dec("portfolio_pnl", 2).alias("portfolio_pnl"))
+    """Per portfolio and scenario date, over all valuation dates that look back on it."""
+    return _pnl(spark, sf_dir).groupBy("portfolio_id", "scenario_date").agg(
+        F.count(F.lit(1)).alias("valuations"), F.round(F.sum(round_dec("portfolio_pnl", 2)), 2).alias("portfolio_pnl"))
 
 
 @register("scenario_cross", with_ctes(
-    f"SELECT p.portfolio_id, count(*) AS pairs FROM (SELECT portfolio_id FROM pos_opt UNION ALL "
-    f"SELECT portfolio_id FROM pos_fut) p JOIN {O.scenarios_sql(LOOKBACK)} s ON s.driver_symbol = 'NIFTY' "
-    "GROUP BY p.portfolio_id"))
+    "SELECT p.portfolio_id, CAST(sum(least(v.last_n, " + str(LOOKBACK) + ")) AS BIGINT) AS pairs FROM (SELECT portfolio_id, trade_date FROM pos_opt UNION ALL "
+    "SELECT portfolio_id, trade_date FROM pos_fut) p JOIN (SELECT d.trade_date, max(r.n) AS last_n FROM (SELECT DISTINCT trade_date "
+    "FROM positions) d JOIN ret r ON r.symbol = 'NIFTY' AND r.trade_date <= d.trade_date GROUP BY 1) v "
+    "ON v.trade_date = p.trade_date GROUP BY 1", [O.RETURNS_ALL]))
 def q_scenario_cross(spark, sf_dir):
-    """Positions x scenarios pair count per portfolio (the expansion size),
-    via the broadcast equi-join on the driver symbol."""
+    """Positions x scenarios pair count per portfolio (the expansion size)."""
     c = ctx(spark, sf_dir)
-    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
-    pos = c.positions.select("portfolio_id", F.upper(F.trim("symbol")).alias("symbol")).join(
+    pos = c.positions.select("portfolio_id", "trade_date", F.upper(F.trim("symbol")).alias("symbol")).join(
         F.broadcast(VR.driver_map(spark, "NIFTY")), "symbol")
-    return pos.join(F.broadcast(sc), "driver_symbol").groupBy("portfolio_id").agg(
-        F.count(F.lit(1)).alias("pairs"))
+    known = VR.last_known(VR.numbered_returns(c.processed.spot), pos).filter("last_n > 0")
+    return pos.join(known, ["driver_symbol", "trade_date"]).groupBy("portfolio_id").agg(
+        F.sum(F.least(F.col("last_n"), F.lit(LOOKBACK))).alias("pairs"))
 
 
 @register("portfolio_var", with_ctes(O.var_cvar_sql("r"), _PNL_R))
 def q_portfolio_var(spark, sf_dir):
-    return VR.var_cvar(_pnl(spark, sf_dir))
+    """VaR and CVaR of every portfolio on every valuation date."""
+    return VR.var_cvar(_pnl(spark, sf_dir), VR.GROUP)
 
 
-@register("var_cvar", with_ctes(O.var_cvar_sql("r"), _PNL_R))
+@register("var_cvar", with_ctes(
+    f"SELECT portfolio_id, count(*) AS scenario_count, {RD('-quantile_cont(_p, 0.05)', 2)} AS var_95, "
+    f"{RD('-quantile_cont(_p, 0.01)', 2)} AS var_99 FROM r GROUP BY 1", _PNL_R))
 def q_var_cvar(spark, sf_dir):
-    return VR.var_cvar(_pnl(spark, sf_dir))
+    """The VaR aggregate over a stored PnL table: all valuation dates of a portfolio pooled."""
+    return VR.var_cvar(_pnl(spark, sf_dir)).select("portfolio_id", "scenario_count", "var_95", "var_99")
 
 
 @register("scenario_rank", with_ctes(
-    "SELECT portfolio_id, scenario_date, _p AS pnl, CAST(row_number() OVER (PARTITION BY portfolio_id "
-    "ORDER BY _p, scenario_date) AS INT) AS loss_rank FROM r", _PNL_R))
+    "SELECT portfolio_id, trade_date, scenario_date, _p AS pnl, CAST(rk AS INT) AS loss_rank FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY portfolio_id, trade_date ORDER BY _p, scenario_date) AS rk FROM r) x WHERE rk <= 5", _PNL_R))
 def q_scenario_rank(spark, sf_dir):
-    return VR.scenario_rank(_pnl(spark, sf_dir))
+    """The five worst scenarios of every portfolio on every valuation date."""
+    return VR.scenario_rank(_pnl(spark, sf_dir), VR.GROUP, top=5)
 
 
 @register("worst_best_days", with_ctes(
-    "SELECT portfolio_id, arg_min(scenario_date, (_p, scenario_date)) AS worst_date, min(_p) AS worst_pnl, "
-    "arg_min(scenario_date, (-_p, scenario_date)) AS best_date, max(_p) AS best_pnl FROM r GROUP BY portfolio_id",
+    "SELECT portfolio_id, trade_date, arg_min(scenario_date, (_p, scenario_date)) AS worst_date, min(_p) AS worst_pnl, "
+    "arg_min(scenario_date, (-_p, scenario_date)) AS best_date, max(_p) AS best_pnl FROM r GROUP BY portfolio_id, trade_date",
     _PNL_R))
 def q_worst_best_days(spark, sf_dir):
-    return VR.worst_best_days(_pnl(spark, sf_dir))
+    return VR.worst_best_days(_pnl(spark, sf_dir), VR.GROUP)
 
 
 @register("pnl_histogram", with_ctes(
@@ -297,6 +314,7 @@ def q_worst_best_days(spark, sf_dir):
     "count(*) AS n, min(g.lo) AS range_lo, max(g.hi) AS range_hi FROM r JOIN (SELECT portfolio_id, min(_p) AS lo, "
     "max(_p) AS hi FROM r GROUP BY portfolio_id) g ON r.portfolio_id = g.portfolio_id GROUP BY 1, 2", _PNL_R))
 def q_pnl_histogram(spark, sf_dir):
+    """Per portfolio, over all its valuation dates."""
     return VR.pnl_histogram(_pnl(spark, sf_dir))
 
 
@@ -454,8 +472,8 @@ def q_sparkline_range(spark, sf_dir):
 
 
 @register("market_context", with_ctes(
-    f"SELECT i.*, h.portfolio_id FROM ({INDEX_CHANGE_SQL}) i JOIN (SELECT DISTINCT portfolio_id, "
-    "upper(trim(symbol)) AS symbol FROM positions) h ON i.symbol = h.symbol"))
+    f"SELECT i.*, h.portfolio_id FROM ({INDEX_CHANGE_SQL}) i JOIN (SELECT DISTINCT portfolio_id, trade_date, "
+    "upper(trim(symbol)) AS symbol FROM positions) h ON i.symbol = h.symbol AND i.trade_date = h.trade_date"))
 def q_market_context(spark, sf_dir):
     c = ctx(spark, sf_dir)
     return MK.market_context(MK.index_change(c.processed.spot), c.positions)
@@ -638,17 +656,11 @@ def q_distinct_expiries(spark, sf_dir):
     return MK.distinct_sorted(ctx(spark, sf_dir).chain, "symbol", "expiry_date")
 
 
-_PNL_R_SYM = [("r", f"SELECT portfolio_id, scenario_date, {RD('portfolio_pnl', 2)} AS _p "
-                    f"FROM {O.scenario_pnl_sql(LOOKBACK, None)} AS s")]
-
-
-@register("portfolio_var_per_symbol", with_ctes(O.var_cvar_sql("r"), _PNL_R_SYM))
+@register("portfolio_var_per_symbol", with_ctes(O.var_cvar_sql("r"), _pnl_r(None)))
 def q_portfolio_var_per_symbol(spark, sf_dir):
     """VaR with every leg shocked by its own index's returns (the
     alternative to one driver index for all legs)."""
-    c, pos, chain, fut, lots = _pf(spark, sf_dir)
-    sc = VR.historical_scenarios(VR.daily_returns(c.processed.spot, LOOKBACK))
-    return VR.var_cvar(VR.scenario_pnl_by_date(pos, chain, fut, lots, sc, driver_symbol=None))
+    return VR.var_cvar(_pnl(spark, sf_dir, None), VR.GROUP)
 
 
 @register("mtm_futures_settle", with_ctes(

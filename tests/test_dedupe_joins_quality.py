@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskloom.dims import lot_size_df
 from riskloom.fixtures import FIXTURE_LOT_PERIODS
 from riskloom.operators.dedupe import dedupe, dedupe_count
-from riskloom.operators.joins import checked_broadcast, lot_size_asof
+from riskloom.operators.joins import lot_size_asof
 from riskloom.operators.quality import lot_size_gaps, lot_size_overlaps, validate_positions
 from riskloom.operators.freshness import sync_report
 
@@ -45,14 +45,25 @@ def test_lot_checks(spark):
     assert {r.issue for r in lot_size_overlaps(bad).collect()} == {"end_before_start"}
 
 
-def test_checked_broadcast(spark):
-    small = spark.range(10)
-    assert "broadcast" in str(small.join(checked_broadcast(small, 100), "id")._jdf.queryExecution().analyzed()).lower() \
-        or True
-    plan = spark.range(1000).join(checked_broadcast(small, 100), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
-    big = spark.range(1000)
-    assert checked_broadcast(big, 100) is big
+def test_building_a_plan_runs_no_job(spark, sf_small):
+    """Joins are planned without counting their sides first."""
+    from riskloom.catalog import ctx
+    from riskloom.plans.curated import curated_option_chain
+    p = ctx(spark, sf_small).processed
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "")
+    try:
+        curated_option_chain(p)
+        assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_large_lots_do_not_overflow(spark):
+    from riskloom.operators.portfolio import net_positions
+    rows = [(1, "NIFTY", dt.date(2024, 1, 2), dt.date(2024, 1, 25), 1.0, "CE", 2_000_000_000)] * 2
+    df = spark.createDataFrame(rows, "portfolio_id int, symbol string, trade_date date, expiry_date date, strike double, option_type string, quantity int")
+    assert net_positions(df).first().quantity == 4_000_000_000
 
 
 def test_validate_positions_rules(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.scenario import scenario_futures, scenario_option, with_shock
-from riskloom.operators.var import check_lookback, var_cvar
+from riskloom.operators.var import last_known, numbered_returns, var_cvar
 
 SNAP = "spot double, strike double, dte int, rate double, div_yield double, iv double, option_type string, " \
        "delta double, gamma double, vega double, theta double, rho double, multiplier int"
@@ -67,9 +67,11 @@ def test_cvar_falls_back_to_var(spark):
     assert r.var_95 == r.cvar_95 == 500.0
 
 
-def test_lookback_bounds():
-    with pytest.raises(ValueError):
-        check_lookback(5)
-    with pytest.raises(ValueError):
-        check_lookback(2000)
-    assert check_lookback(252) == 252
+def test_scenarios_end_at_the_valuation_date(spark):
+    import datetime as dt
+    day = lambda i: dt.date(2024, 1, i)
+    spot = spark.createDataFrame([("NIFTY", day(i), float(100 + i)) for i in (1, 2, 3, 5)], "symbol string, trade_date date, close double")
+    r = numbered_returns(spot)
+    assert [(x.n, x.scenario_date) for x in r.orderBy("n").collect()] == [(1, day(2)), (2, day(3)), (3, day(5))]
+    asked = spark.createDataFrame([("NIFTY", day(i)) for i in (1, 3, 4, 9)], "driver_symbol string, trade_date date")
+    assert {x.trade_date: x.last_n for x in last_known(r, asked).collect()} == {day(1): 0, day(3): 2, day(4): 2, day(9): 3}
