@@ -64,6 +64,15 @@ class Context:
     def chain(self) -> DataFrame:
         return self.layers.chain
 
+    @property
+    def chain_years(self) -> DataFrame:
+        """The chain with its partition column: filters on ``year`` prune files."""
+        return self.layers.chain_years
+
+    @property
+    def options_years(self) -> DataFrame:
+        return self.layers.options_years
+
     @property
     def chain_keyed(self) -> DataFrame:
         return self.layers.chain_keyed

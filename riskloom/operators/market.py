@@ -141,21 +141,41 @@ def market_context(index_rows: DataFrame, positions: DataFrame) -> DataFrame:
     return index_rows.join(held, ["trade_date", "symbol"], "inner")
 
 
+def _year(df: DataFrame, col: str = "trade_date"):
+    """The partition column where the table has it, else the year of the date."""
+    return F.col("year") if "year" in df.columns else F.year(col).alias("year")
+
+
+def on_latest_date(df: DataFrame, col: str = "trade_date") -> DataFrame:
+    """Rows of the last date: the last year's partition, then the date."""
+    last = df.agg(F.max("year")).scalar()
+    latest = df.filter(F.col("year") == last).agg(F.max(col)).scalar()
+    return df.filter((F.col("year") == last) & (F.col(col) == latest))
+
+
+def since_last_closed_year(df: DataFrame, col: str = "trade_date") -> DataFrame:
+    """Rows after the last date stored before the last year, by partitions."""
+    last = df.agg(F.max("year")).scalar()
+    closed = df.filter(F.col("year") < last).agg(F.max("year")).scalar()
+    mark = df.filter(F.col("year") == closed).agg(F.max(col)).scalar()
+    return df.filter((F.col("year") >= F.year(mark)) & (F.col(col) > mark))
+
+
 def latest_date(df: DataFrame, col: str = "trade_date") -> DataFrame:
     return df.agg(F.max(col).alias("latest_date"))
 
 
 def latest_date_by_year(df: DataFrame, col: str = "trade_date") -> DataFrame:
-    return df.groupBy(F.year(col).alias("year")).agg(F.max(col).alias("latest_date"))
+    return df.groupBy(_year(df, col)).agg(F.max(col).alias("latest_date"))
 
 
 def available_years(df: DataFrame, col: str = "trade_date") -> DataFrame:
-    return df.select(F.year(col).alias("year")).distinct().orderBy("year")
+    return df.select(_year(df, col)).distinct().orderBy("year")
 
 
 def null_iv_summary(chain: DataFrame) -> DataFrame:
     """Per year: total rows, rows with NULL IV, and their share in %."""
-    g = chain.groupBy(F.year("trade_date").alias("year")).agg(
+    g = chain.groupBy(_year(chain)).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("iv").isNull()).alias("null_iv"))
     return g.withColumn("null_pct", F.when(F.col("total") > 0, F.col("null_iv") / F.col("total") * 100.0)
                         .otherwise(F.lit(0.0)))
@@ -174,3 +194,12 @@ def row_coverage(df: DataFrame, by: str = "symbol") -> DataFrame:
     """Rows per symbol plus a TOTAL row (a rollup on one column)."""
     return df.rollup(by).agg(F.count(F.lit(1)).alias("rows")).select(
         F.coalesce(F.col(by), F.lit("TOTAL")).alias(by), "rows")
+
+
+def bond_daily_change(gbond: DataFrame) -> DataFrame:
+    """Per tenor, the change of price against the previous date in %, 2 dp
+    (calendar-sized windows)."""
+    w = Window.partitionBy("tenor").orderBy("trade_date")
+    d = gbond.select("trade_date", "tenor", "price", F.lag("price").over(w).alias("_prev"))
+    change = F.when(F.col("_prev") != 0, F.round((F.col("price") - F.col("_prev")) / F.col("_prev") * 100.0, 2))
+    return d.select("trade_date", "tenor", "price", change.alias("change_pct"))

@@ -116,6 +116,15 @@ def audit_zeros(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in cols])
 
 
+FEED_COLUMNS = ("CLOSE", "SETTLE_PR", "EXPIRY_DT", "STRIKE_PR", "OPTION_TYP")
+
+
+def audit_feed(ingest: DataFrame) -> DataFrame:
+    """NULL counts of the feed's key columns and zero closes, on the ingest text."""
+    return ingest.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in FEED_COLUMNS],
+                      F.count_if(F.col("CLOSE").try_cast("double") == 0).alias("zero_close"))
+
+
 def audit_distribution(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -155,3 +164,12 @@ def run_counts(df: DataFrame, name: str, cols: Sequence[str] = ()) -> DataFrame:
                      *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
     out._riskloom_observation = obs  # type: ignore[attr-defined]
     return out
+
+
+def counters(df: DataFrame) -> DataFrame:
+    """The counters of a ``run_counts`` frame as a one-row table (dataset, counter columns);
+    call it after the action."""
+    obs = df._riskloom_observation  # type: ignore[attr-defined]
+    got = obs.get
+    cols = ", ".join(f"`{k}` bigint" for k in got)
+    return df.sparkSession.createDataFrame([(obs._name, *got.values())], f"dataset string, {cols}")

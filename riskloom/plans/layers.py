@@ -42,6 +42,8 @@ class Layers:
     futures: DataFrame
     positions: DataFrame
     chain_keyed: DataFrame  # chain + strike_key + year, bucketed on the contract key
+    chain_years: DataFrame  # chain + its partition column
+    options_years: DataFrame  # processed options + their partition column
 
 
 def layer_root(spark: SparkSession, sf_dir: str) -> str:
@@ -104,4 +106,5 @@ def materialize(spark: SparkSession, sf_dir: str, market: Market | None = None)
             chain_keyed = spark.read.parquet(chain_path)
         chain = chain_keyed.select(*CURATED_OPTION_COLUMNS)
         fut = spark.read.parquet(os.path.join(root, "curated", "futures")).select(*CURATED_FUTURES_COLUMNS)
-        return Layers(root, pr, chain, fut, rd("positions"), chain_keyed)
+        return Layers(root, pr, chain, fut, rd("positions"), chain_keyed,
+                      chain_keyed.select(*CURATED_OPTION_COLUMNS, "year"), rd("options").select(*OPTION_COLUMNS, "year"))

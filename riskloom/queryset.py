@@ -487,12 +487,12 @@ def q_latest_date(spark, sf_dir):
 @register("latest_date_by_year", with_ctes(
     "SELECT CAST(year(trade_date) AS INT) AS year, max(trade_date) AS latest_date FROM chain GROUP BY 1"))
 def q_latest_date_by_year(spark, sf_dir):
-    return MK.latest_date_by_year(ctx(spark, sf_dir).chain)
+    return MK.latest_date_by_year(ctx(spark, sf_dir).chain_years)
 
 
 @register("available_years", with_ctes("SELECT DISTINCT CAST(year(trade_date) AS INT) AS year FROM p_options ORDER BY 1"))
 def q_available_years(spark, sf_dir):
-    return MK.available_years(ctx(spark, sf_dir).processed.options)
+    return MK.available_years(ctx(spark, sf_dir).options_years)
 
 
 @register("null_iv_summary", with_ctes(
@@ -500,7 +500,7 @@ def q_available_years(spark, sf_dir):
     "CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE iv IS NULL)) / count(*) * 100e0 ELSE 0e0 END AS null_pct "
     "FROM chain GROUP BY 1"))
 def q_null_iv_summary(spark, sf_dir):
-    return MK.null_iv_summary(ctx(spark, sf_dir).chain)
+    return MK.null_iv_summary(ctx(spark, sf_dir).chain_years)
 
 
 @register("iv_audit_by_symbol", with_ctes(

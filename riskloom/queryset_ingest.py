@@ -251,10 +251,10 @@ def q_filter_weekdays(spark, sf_dir):
 @register("filter_date_eq", with_ctes(
     "SELECT * FROM chain WHERE trade_date = (SELECT max(trade_date) FROM chain)"))
 def q_filter_date_eq(spark, sf_dir):
-    """Chain on one date (the latest), compared on the raw DATE column so the
-    predicate reaches the Parquet scan; the date is a scalar subquery."""
-    ch = ctx(spark, sf_dir).chain
-    return ch.filter(F.col("trade_date") == ch.agg(F.max("trade_date")).scalar())
+    """Chain on one date (the latest): one year's partition, compared on the raw
+    DATE column so the predicate reaches the Parquet scan."""
+    from .operators.market import on_latest_date
+    return on_latest_date(ctx(spark, sf_dir).chain_years).drop("year")
 
 
 @register("filter_point", with_ctes(
@@ -273,10 +273,8 @@ def q_filter_point(spark, sf_dir):
     "(SELECT max(year(trade_date)) FROM chain))"))
 def q_filter_since(spark, sf_dir):
     """Rows after the watermark of everything stored before the last year."""
-    ch = ctx(spark, sf_dir).chain
-    last_year = ch.agg(F.max(F.year("trade_date"))).scalar()
-    wm = ch.filter(F.year("trade_date") < last_year).agg(F.max("trade_date")).scalar()
-    return ch.filter(F.col("trade_date") > wm)
+    from .operators.market import since_last_closed_year
+    return since_last_closed_year(ctx(spark, sf_dir).chain_years).drop("year")
 
 
 @register("validate_schema", with_ctes(
@@ -381,10 +379,14 @@ def q_validate_request(spark, sf_dir):
     return QA.validate_request(req.unionByName(bad))
 
 
-@register("run_counts", None)
+@register("run_counts", with_ctes(
+    "SELECT 'processed_options' AS dataset, count(*) AS rows, count(*) FILTER (WHERE settle IS NULL) AS null_settle, "
+    "count(*) FILTER (WHERE contracts IS NULL) AS null_contracts FROM p_options"))
 def q_run_counts(spark, sf_dir):
-    """Processed options with row/NULL counters observed in the same pass."""
-    return QA.run_counts(ctx(spark, sf_dir).processed.options, "processed_options", ["settle", "contracts"])
+    """Row and NULL counters of a sink, taken in the pass that writes it."""
+    df = QA.run_counts(ctx(spark, sf_dir).processed.options, "processed_options", ["settle", "contracts"])
+    WR.write_table(df, _out(spark, sf_dir, "run_counts"))
+    return QA.counters(df)
 
 
 # ---------------------------------------------------------------------------
@@ -615,6 +617,7 @@ def q_read_positions_csv(spark, sf_dir):
 def _landed_bhav(spark, sf_dir, layout: str) -> str:
     """Write the raw feed as CSV in one exchange layout; returns the folder."""
     path = _out(spark, sf_dir, f"bhav_{layout}")
+    layout = layout.split("_")[0]
     raw = FX.raw_bhav_legacy(ctx(spark, sf_dir).market).drop("l_orderkey", "l_linenumber", "l_extendedprice")
     if layout == "udiff":
         inv = {v: k for k, v in RD.UDIFF_RENAME.items()}
@@ -754,6 +757,25 @@ def q_curated_from_files(spark, sf_dir):
                     "div_yield", "rate", "iv")
 
 
+@register("audit_derivatives_feed", with_ctes(
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE settle IS NULL) AS null_CLOSE, count(*) FILTER (WHERE settle IS NULL) AS null_SETTLE_PR, "
+    "count(*) FILTER (WHERE expiry_date IS NULL) AS null_EXPIRY_DT, count(*) FILTER (WHERE instrument = 'FUTIDX') AS null_STRIKE_PR, "
+    "count(*) FILTER (WHERE option_type IS NULL) AS null_OPTION_TYP, count(*) FILTER (WHERE settle = 0) AS zero_close FROM raw_typed", _RAW))
+def q_audit_derivatives_feed(spark, sf_dir):
+    """NULL and zero audit of the landed exchange rows, before typing."""
+    ing = RD.read_bhavcopy_legacy(spark, _landed_bhav(spark, sf_dir, "legacy_audit"))
+    return QA.audit_feed(ing)
+
+
+@register("bond_daily_change", with_ctes(
+    "SELECT trade_date, tenor, price, CASE WHEN prev IS NOT NULL AND prev <> 0 THEN round((price - prev) / prev * 100e0, 2) END AS change_pct "
+    "FROM (SELECT *, lag(price) OVER (PARTITION BY tenor ORDER BY trade_date) AS prev FROM gbond_raw) x"))
+def q_bond_daily_change(spark, sf_dir):
+    """Daily bond change in %, on price, 2 dp."""
+    from .operators.market import bond_daily_change
+    return bond_daily_change(ctx(spark, sf_dir).market.gbond_raw)
+
+
 @register("missing_lot_sizes", with_ctes(
     "SELECT p.portfolio_id, p.symbol, p.trade_date, p.quantity, CASE WHEN p.symbol IN (SELECT symbol FROM lot_size) "
     "THEN 'no_period' ELSE 'unknown_symbol' END AS reason FROM pos_lot p WHERE p.lot_size_missing"))
@@ -855,7 +877,7 @@ _OPT_COLS = "trade_date, symbol, expiry_date, strike, option_type, settle"
 def q_incremental_hwm(spark, sf_dir):
     """Stored: each year up to day 300; new batch: everything -> only rows
     past each year's mark survive."""
-    p = ctx(spark, sf_dir).processed.options
+    p = ctx(spark, sf_dir).options_years
     stored = p.filter(F.dayofyear("trade_date") <= 300)
     return INC.incremental_hwm(p, stored).select(*[c.strip() for c in _OPT_COLS.split(",")])
 

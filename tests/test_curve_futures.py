@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.curve import interpolate_rate
 from riskloom.operators.pricing import futures_fair_value
 
-CURVES = {"normal": (6.440, 6.560, 6.566), "flat": (6.5, 6.5, 6.5), "steep": (4.0, 6.0, 8.0)}
+CURVES = {"normal": (5.125, 5.375, 5.5), "flat": (5.75, 5.75, 5.75), "steep": (3.0, 5.0, 9.0)}
 DTES = [0, 45, 91, 182, 365, 400, 730]
 
 
@@ -18,18 +18,18 @@ def _rates(spark, curve):
 
 def test_pillars_and_flat_ends(spark):
     r = _rates(spark, "steep")
-    assert r[0] == r[45] == r[91] == pytest.approx(0.04)
-    assert r[182] == pytest.approx(0.06)
-    assert r[365] == r[400] == r[730] == pytest.approx(0.08)
+    assert r[0] == r[45] == r[91] == pytest.approx(0.03)
+    assert r[182] == pytest.approx(0.05)
+    assert r[365] == r[400] == r[730] == pytest.approx(0.09)
 
 
 def test_linear_segments_and_monotone(spark):
     r = _rates(spark, "steep")
-    df = spark.createDataFrame([(d, 4.0, 6.0, 8.0) for d in range(0, 800)], "dte int, rate_3m double, rate_6m double, rate_1y double")
+    df = spark.createDataFrame([(d, 3.0, 5.0, 9.0) for d in range(0, 800)], "dte int, rate_3m double, rate_6m double, rate_1y double")
     vals = [x.rate for x in df.withColumn("rate", interpolate_rate()).orderBy("dte").collect()]
     assert all(b >= a - 1e-15 for a, b in zip(vals, vals[1:]))
-    assert vals[136] == pytest.approx(0.04 + (136 - 91) / 91 * 0.02)
-    assert _rates(spark, "flat")[400] == pytest.approx(0.065)
+    assert vals[136] == pytest.approx(0.03 + (136 - 91) / 91 * 0.02)
+    assert _rates(spark, "flat")[400] == pytest.approx(0.0575)
 
 
 def test_futures_fair_value(spark):

@@ -59,6 +59,17 @@ def test_year_predicate_prunes_partitions(spark, sf_small):
     assert ch.count() > 0
 
 
+def test_registered_queries_prune_by_year(spark, sf_small):
+    q = E.queries()
+    for name in ("filter_date_eq", "filter_since"):
+        q[name](spark, sf_small).count()
+        p = q[name](spark, sf_small)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "PartitionFilters: [isnotnull(year" in p, name
+    for name in ("latest_date_by_year", "available_years", "incremental_hwm"):
+        assert "year(trade_date" not in _plan(q[name](spark, sf_small)).split("HashAggregate")[1], name
+
+
 def test_var_plan_has_no_cartesian(spark, sf_small):
     p = _plan(E.queries()["portfolio_var"](spark, sf_small))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
