@@ -19,7 +19,8 @@ the 5 words within it whose hash is least.  Equal runs have equal anchors, so:
 4. covered spans return to their documents, which drop the words.
 
 Shards are routed, not broadcast: their number follows the corpus, so no bound
-holds for all of them together, while each stays near ``blobs.BUCKET_BYTES``.
+holds for all of them together, while each stays near ``blobs.BUCKET_BYTES``
+and each automaton near ``TREE_WORDS`` states.
 
 Cases: null or blank text has no words; rows with a null doc_id keep all words
 and cover nothing; rows of one doc_id do not cover each other; texts of
@@ -29,151 +30,16 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blobs
+from . import repeats
 from .columns import table
-from .shared import release, written
-from .words import Words, mix64, slices, sliding_argmin, windows_hash
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
-_UNSURE, _MARK, _KNOWN = 0, 1, 2
-_PIECE, _DONE = 0, 1
-SPANS = "doc_id long, first long, last long"
-
-
-class Runs:
-    """Stretches of neighbouring runs with one anchor, of many texts.
-
-    ``anchor``, ``begin`` and ``end`` (word positions: the stretch's runs cover
-    words begin..end-1) and ``text``, one entry per stretch.
-    """
-
-    def __init__(self, w: Words, size: int, anchor_words: int = ANCHOR_WORDS):
-        grams = windows_hash(w.hash, anchor_words)
-        at = sliding_argmin(mix64(grams), size - anchor_words + 1)
-        text = w.text_of(np.arange(len(at)))
-        inside = w.first[text + 1] >= np.arange(len(at)) + size
-        where = np.flatnonzero(inside)
-        if not len(where):
-            self.anchor = np.empty(0, np.uint64)
-            self.begin = self.end = self.text = np.empty(0, np.int64)
-            return
-        at, text = at[where], text[where]
-        new = np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
-        head = np.flatnonzero(new)
-        tail = np.concatenate((head[1:], [len(where)])) - 1
-        self.anchor, self.text = grams[at[head]], text[head]
-        self.begin, self.end = where[head], where[tail] + size
-
-
-def _scan(batches, work) -> Iterator[pa.RecordBatch]:
-    """Run ``work(ids, texts, *more)`` over slices of batches (doc_id, text, ...)."""
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        raw = [None if t is None else t.encode() for t in cols[1]]
-        for i, j in slices([len(t or b"") for t in raw]):
-            yield from work(cols[0][i:j], raw[i:j], *(c[i:j] for c in cols[2:]))
-
-
-def _pairs(a: np.ndarray, doc: np.ndarray) -> bytes:
-    return np.concatenate((a.view(np.int64), doc)).tobytes()
-
-
-def _unpair(data: list) -> tuple[np.ndarray, np.ndarray]:
-    got = [np.frombuffer(d, np.int64).reshape(2, -1) for d in data]
-    if not got:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate([g[0] for g in got]).view(np.uint64), np.concatenate([g[1] for g in got])
-
-
-def _group(a: np.ndarray) -> np.ndarray:
-    """Starts of the groups of equal values in a sorted array."""
-    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
-
-
-def _suspects(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """(doc_id, anchors): the anchors of each document that another document has too."""
-    def emit(batches):
-        def work(ids, texts):
-            runs = Runs(Words(texts), size)
-            doc = np.array(ids, np.int64)[runs.text]
-            order = np.lexsort((doc, runs.anchor))
-            a, doc = runs.anchor[order], doc[order]
-            one = np.concatenate(([True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])))[: len(a)]
-            a, doc = a[one], doc[one]
-            g = _group(a)
-            many = np.repeat(np.diff(np.append(g, len(a))) > 1, np.diff(np.append(g, len(a))))
-            lead = np.zeros(len(a), bool)
-            lead[g] = True
-            rows = []
-            for kind, which in ((_UNSURE, ~many), (_MARK, many & lead), (_KNOWN, many)):
-                x, y = a[which], doc[which]
-                key = mix64(y.view(np.uint64)) if kind == _KNOWN else x  # known ones only pass through
-                for k, sel in blobs.parts((key >> np.uint64(7)) % np.uint64(n), n):
-                    rows.append((k, kind, _pairs(x[sel], y[sel])))
-            yield blobs.batch(rows)
-        return _scan(batches, work)
-
-    def gather(t: pa.Table) -> pa.Table:
-        data = blobs.by_kind(t)
-        a, doc = _unpair(data.get(_UNSURE, []))
-        mark, _ = _unpair(data.get(_MARK, []))
-        order = np.argsort(a, kind="stable")
-        a, doc = a[order], doc[order]
-        g = _group(a)
-        if len(g):
-            n_ = np.diff(np.append(g, len(a)))
-            several = np.minimum.reduceat(doc, g) != np.maximum.reduceat(doc, g)
-            hit = np.repeat(several, n_) | np.isin(a, mark)
-            a, doc = a[hit], doc[hit]
-        known = _unpair(data.get(_KNOWN, []))
-        a, doc = np.concatenate((a, known[0])), np.concatenate((doc, known[1]))
-        order = np.argsort(doc, kind="stable")
-        a, doc = a[order], doc[order]
-        g = _group(doc)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(g, len(a)), pa.int32()), pa.array(a.view(np.int64)))
-        return pa.table([pa.array(doc[g], pa.int64()), lists], names=["doc_id", "anchors"])
-
-    packed = docs.mapInArrow(emit, blobs.SCHEMA)
-    some = packed.groupBy("bucket").applyInArrow(gather, "doc_id long, anchors array<long>")
-    return some.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-
-
-def _pack(doc, begin, size, words) -> bytes:
-    """Pieces of one shard: doc, first word, size, and their word ids in a row."""
-    head = np.stack((doc, begin, size)).astype(np.int64)
-    return len(doc).to_bytes(8, "little") + head.tobytes() + words.astype(np.uint32).tobytes()
-
-
-def _unpack(data: list) -> tuple[np.ndarray, np.ndarray]:
-    heads, words = [], []
-    for d in data:
-        n = int.from_bytes(d[:8], "little")
-        heads.append(np.frombuffer(d, np.int64, 3 * n, 8).reshape(3, n))
-        words.append(np.frombuffer(d, np.uint32, -1, 8 + 24 * n))
-    return np.concatenate(heads, 1), np.concatenate(words)
-
-
-def _flat(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices begin[i] .. begin[i] + size[i] - 1 of all i in a row."""
-    return np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-
-
-def _piece_hash(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of each piece words[begin : begin + size]."""
-    flat = _flat(begin, size)
-    place = (flat - np.repeat(begin, size)).astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum(size)[:-1]))
-    v = mix64(mix64(words[flat].astype(np.uint64)) + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return mix64(np.add.reduceat(v, at) + size.astype(np.uint64)) if len(size) else np.empty(0, np.uint64)
+TREE_WORDS = 100_000
 
 
 class SuffixAutomaton:
@@ -251,127 +117,35 @@ class SuffixAutomaton:
 
 
 def shard_spans(head: np.ndarray, words: np.ndarray, run: int) -> list[np.ndarray]:
-    """[docs, first, last]: covered word spans of one shard's pieces (rows doc, begin, size)."""
-    size = head[2]
-    at = np.concatenate(([0], np.cumsum(size)[:-1]))
-    key = _piece_hash(words, at, size)
-    order = np.lexsort((head[0], key))
-    key, doc = key[order], head[0][order]
-    g = _group(key)
-    n = np.diff(np.append(g, len(key)))
-    lead = np.repeat(doc[g], n)
-    later = doc > lead  # an equal piece of an earlier document covers all
-    out = [np.stack((doc, head[1][order], head[1][order] + size[order]))[:, later]]
-    rest = order[g]  # one piece of each kind, of its smallest document
-    same = np.flatnonzero(~later & (np.arange(len(doc)) != np.repeat(g, n)))  # repeats within that document
-    twins: dict[int, list[int]] = {}
-    for i in same:
-        twins.setdefault(int(order[g[np.searchsorted(g, i, side="right") - 1]]), []).append(int(order[i]))
-    rest = rest[np.argsort(head[0][rest], kind="stable")]
-    tree = SuffixAutomaton()
-    spans: list[tuple[int, int, int]] = []
-    flat = words.tolist()
-    for i in rest.tolist():
-        d, begin, a = int(head[0][i]), int(head[1][i]), int(at[i])
-        piece = flat[a:a + int(size[i])]
-        found = tree.first_docs(piece, run)
-        if None in found:
-            tree.add(piece, d)
-        for k, e in enumerate(found):
-            if e is not None and e < d:
-                for b in (begin, *(int(head[1][t]) for t in twins.get(i, ()))):
-                    spans.append((d, b + k, b + k + run))
-    if spans:
-        out.append(np.array(spans, np.int64).T)
-    return out
-
+    """[docs, first, last]: covered word spans of one shard's pieces (rows doc, begin, size, offset).
 
-def _spans(docs: DataFrame, suspects: DataFrame, n: int, run: int) -> DataFrame:
-    """(doc_id, first, last): covered spans, as word positions of the document."""
-    def emit(batches):
-        def work(ids, texts, anchors):
-            w = Words(texts)
-            runs = Runs(w, run)
-            ids = np.array(ids, np.int64)
-            keep = np.zeros(len(runs.anchor), bool)
-            edge = np.searchsorted(runs.text, np.arange(len(texts) + 1))
-            for t, mine in enumerate(anchors):
-                i, j = edge[t], edge[t + 1]
-                if j > i:
-                    keep[i:j] = np.isin(runs.anchor[i:j], np.array(mine, np.int64).view(np.uint64))
-            a, b, t = runs.anchor[keep], runs.begin[keep], runs.text[keep]
-            size, doc, begin = runs.end[keep] - b, ids[t], b - w.first[t]
-            word = w.hash.astype(np.uint32)
-            key = _piece_hash(word, b, size)
-            order = np.lexsort((doc, key))
-            g = _group(key[order])
-            m = np.diff(np.append(g, len(order)))
-            done = np.zeros(len(order), bool)
-            done[order] = doc[order] > np.repeat(doc[order][g], m)
-            rows = []
-            if done.any():
-                rows.append((int(ids[0] % n), _DONE, np.stack((doc, begin, begin + size))[:, done].tobytes()))
-            live = np.flatnonzero(~done)
-            for k, sel in blobs.parts((a[live] >> np.uint64(7)) % np.uint64(n), n):
-                sel = live[sel]
-                rows.append((k, _PIECE, _pack(doc[sel], begin[sel], size[sel], word[_flat(b[sel], size[sel])])))
-            yield blobs.batch(rows)
-        return _scan(batches, work)
-
-    def shard(t: pa.Table) -> pa.Table:
-        data = blobs.by_kind(t)
-        out = [np.frombuffer(d, np.int64).reshape(3, -1) for d in data.get(_DONE, [])]
-        if _PIECE in data:
-            out += shard_spans(*_unpack(data[_PIECE]), run)
-        got = np.concatenate(out, 1)
-        got = got[:, np.lexsort((got[2], got[1], got[0]))]
-        # join spans that touch, to send less
-        new = np.concatenate(([True], (got[0, 1:] != got[0, :-1]) | (got[1, 1:] > got[2, :-1]))) if got.shape[1] else np.empty(0, bool)
-        g = np.flatnonzero(new)
-        last = np.maximum.reduceat(got[2], g) if len(g) else got[2]
-        return pa.table([pa.array(got[0][g]), pa.array(got[1][g]), pa.array(last)], names=["doc_id", "first", "last"])
-
-    packed = docs.join(suspects, "doc_id").select("doc_id", "text", "anchors").mapInArrow(emit, blobs.SCHEMA)
-    return packed.groupBy("bucket").applyInArrow(shard, SPANS)
-
-
-def repeated_spans(docs: DataFrame, run: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, first, last) of (doc_id, text): words covered by runs that an earlier document has."""
-    real = docs.where("doc_id is not null and text is not null")
-    n = blobs.buckets_for(docs, "text", 0.8)
-    suspects = written(_suspects(real, n, run), "suspects")
-    release(docs.sparkSession)
-    spans = written(_spans(real, suspects, n, run), "spans")
-    release(docs.sparkSession, suspects)
-    return spans
-
-
-def _keep(text: str | None, gone) -> tuple[int, int, bytes]:
-    words = (text or "").encode().split()
-    n = len(words)
-    if gone:
-        drop = np.zeros(n + 1, np.int64)
-        for s in gone:
-            drop[s["first"]] += 1
-            drop[s["last"]] -= 1
-        words = [words[i] for i in np.flatnonzero(np.cumsum(drop[:-1]) == 0)]
-    return n, n - len(words), b" ".join(words)
+    Pieces of different anchors share no run, so anchors with one kind of piece
+    are done, and the others fill automata of about ``TREE_WORDS`` words.
+    """
+    pieces = repeats.Pieces(head, words)
+    groups = [g for g in pieces.by_anchor(words, min(ANCHOR_WORDS, run)) if len(g) > 1]
+    tree, flat = SuffixAutomaton(), words.tolist() if groups else []
+    owner, at = [], []
+    for group in groups:
+        if len(tree.size) > TREE_WORDS:
+            tree = SuffixAutomaton()
+        for i in group.tolist():
+            d, a = int(pieces.doc[i]), int(pieces.at[i])
+            piece = flat[a:a + int(pieces.size[i])]
+            found = tree.first_docs(piece, run)
+            if None in found:
+                tree.add(piece, d)
+            for k, e in enumerate(found):
+                if e is not None and e < d:
+                    owner.append(i)
+                    at.append(k)
+    first = np.array(at, np.int64)
+    return [pieces.later, pieces.spans(np.array(owner, np.int64), first, first + run)]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, text): texts of the kept words, joined by single spaces."""
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(text, run).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-
-    def rebuild(batches):
-        for b in batches:
-            got = [_keep(t, g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()),
-                 pa.array([x[2].decode() for x in got], pa.string())], ["doc_id", "n_words", "n_removed", "text"])
-
-    both = text.join(spans, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "gone")
-    return both.mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, text string")
+    return repeats.without_repeats(docs, id_col, text_col, run, min(ANCHOR_WORDS, run), shard_spans, share=0.8)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

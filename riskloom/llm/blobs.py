@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "bucket int, kind int, data binary"
 _NAMES = ["bucket", "kind", "data"]
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 
 
 def buckets_for(docs: DataFrame, text_col: str, share: float) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .shared import release, written
+from .shared import release, text_batches, written
 from .words import Words, mix64, salt, slices, sliding_argmin, windows_hash
 
 _UNSURE, _MARK, _KNOWN = 0, 1, 2
@@ -98,7 +98,7 @@ def suspects(docs: DataFrame, n: int, run: int, anchor_words: int) -> DataFrame:
             rows = []
             for kind, which in ((_UNSURE, ~many), (_MARK, many & lead), (_KNOWN, many)):
                 x, y = a[which], doc[which]
-                key = mix64(y.view(np.uint64)) if kind == _KNOWN else x  # known ones only pass through
+                key = x if kind != _KNOWN else mix64(y.view(np.uint64))  # known ones only pass through
                 for k, sel in blobs.parts((key >> np.uint64(7)) % np.uint64(n), n):
                     rows.append((k, kind, _pairs(x[sel], y[sel])))
             yield blobs.batch(rows)
@@ -118,6 +118,11 @@ def suspects(docs: DataFrame, n: int, run: int, anchor_words: int) -> DataFrame:
             a, doc = a[hit], doc[hit]
         known = _unpair(data.get(_KNOWN, []))
         a, doc = np.concatenate((a, known[0])), np.concatenate((doc, known[1]))
+        to = mix64(doc.view(np.uint64)) % np.uint64(n)
+        return pa.Table.from_batches([blobs.batch([(k, _KNOWN, _pairs(a[i], doc[i])) for k, i in blobs.parts(to, n)])])
+
+    def by_doc(t: pa.Table) -> pa.Table:
+        a, doc = _unpair(t["data"].to_pylist())
         order = np.argsort(doc, kind="stable")
         a, doc = a[order], doc[order]
         g = _group(doc)
@@ -125,8 +130,8 @@ def suspects(docs: DataFrame, n: int, run: int, anchor_words: int) -> DataFrame:
         return pa.table([pa.array(doc[g], pa.int64()), lists], names=["doc_id", "anchors"])
 
     packed = docs.mapInArrow(emit, blobs.SCHEMA)
-    some = packed.groupBy("bucket").applyInArrow(gather, "doc_id long, anchors array<long>")
-    return some.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    found = packed.groupBy("bucket").applyInArrow(gather, blobs.SCHEMA)
+    return found.groupBy("bucket").applyInArrow(by_doc, "doc_id long, anchors array<long>")
 
 
 def _pack(head: np.ndarray, words: np.ndarray) -> bytes:
@@ -251,7 +256,7 @@ def spans(docs: DataFrame, anchors: DataFrame, n: int, run: int, anchor_words: i
 
 def repeated_spans(docs: DataFrame, run: int, anchor_words: int, shard: Callable, share: float) -> DataFrame:
     """(doc_id, first, last) of (doc_id, text); ``share`` is about what is dealt out, as a part of the text's bytes."""
-    spark = docs.sparkSession
+    spark = text_batches(docs.sparkSession)
     real = docs.where("doc_id is not null and text is not null")
     n = blobs.buckets_for(docs, "text", share)
     anchors = written(suspects(real, n, run, anchor_words), "suspects")

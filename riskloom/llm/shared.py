@@ -19,6 +19,18 @@ def _folder(spark: SparkSession) -> str:
     return _runs[app]
 
 
+BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of texts by bytes: the default bounds rows, and
+    thousands of long texts at once are more than a Python worker should hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read again.
 
