@@ -53,20 +53,33 @@ def _small_star(e: DataFrame) -> DataFrame:
     return hung.union(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task contracts.
+LINKS_PER_TASK = 500_000
+
+
+def _print(e: DataFrame):
+    return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
+def components(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b); component is the least node.
 
-    Partitions contract their own links by union-find; large-star and
-    small-star rounds, which only join and aggregate, finish across
-    partitions.  Every round is written to the shared folder.
+    Tasks of ``links_per_task`` links contract them by union-find.  Where there
+    are several tasks, large-star and small-star rounds, which only join and
+    aggregate, finish across them.  Every round is written to the shared folder.
     """
     spark = links.sparkSession
-    stars = links.where("a <> b").select("a", "b").mapInPandas(_forest, "a long, b long")
-    e = written(stars.distinct(), "stars")
-    while True:
-        nxt = written(_small_star(_large_star(e)).where("a <> b").distinct(), "stars")
-        same = nxt.count() == e.count() and nxt.exceptAll(e).isEmpty()
-        release(spark, e)
-        e = nxt
-        if same:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    real = links.where("a <> b").select("a", "b")
+    tasks = -(-real.count() // links_per_task)
+    stars = real.coalesce(max(1, tasks)).mapInPandas(_forest, "a long, b long")
+    e = written(stars, "stars")
+    if tasks > 1:
+        e = written(e.distinct(), "stars")
+        mark = _print(e)
+        while True:
+            nxt = written(_small_star(_large_star(e)).where("a <> b").distinct(), "stars")
+            release(spark, e)
+            e, last, mark = nxt, mark, _print(nxt)
+            if mark == last:
+                break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

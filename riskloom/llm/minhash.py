@@ -12,11 +12,19 @@ together first and are one representative.  Representatives that share a band
 value are candidates; links are confirmed on the full sets.  A link between two
 documents that are already connected changes nothing, so candidates are tried
 in rounds, each only between different components: first each document with
-the earliest document it meets, then with the first of every band value, then with
-the first of another component, and last every pair that is left.  The last
+the earliest document it meets, then with the leader of every band value (the
+earliest, later the one with the fewest elements of its own), and last every
+pair of different components that the bounds below allow.  The last
 round makes the result whole; the earlier ones leave it little to do.  A group
 of copies costs work in proportion to its size.
 
+What keeps documents of such a group apart are words that only one of them has.
+After two rounds those elements are counted (``u``): two sets share at most
+``least(n - u)`` elements, so most documents that are left cannot reach the
+similarity with any other.  A parity mask of 1024 bits bounds each pair that
+remains: sets differ in at least as many elements as their masks in bits.
+Both bounds are exact; they only spare the verification of pairs that fail it.
+
 With 32 bands of 4 slots a pair at similarity 0.75 is missed with probability
 (1 - 0.75^4)^32 = 5e-6.
 
@@ -37,13 +45,14 @@ from pyspark.sql import functions as F
 
 from .columns import table
 from .components import components
-from .shared import release, written
+from .shared import release, text_batches, written
 from .words import Words, mix64, salt, slices, windows_hash
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 PERCENT = 75
+MASK = 16  # longs of a parity mask
 _SLICE = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +113,13 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return acc
 
 
+def parity_mask(s: np.ndarray) -> np.ndarray:
+    """64 * MASK bits: the parity of the elements of each hash class.  Masks of two
+    sets differ in no more bits than the sets differ in elements."""
+    odd = np.bincount((mix64(s.view(np.uint64)) % np.uint64(64 * MASK)).astype(np.int64), minlength=64 * MASK) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [None if t is None else t.encode() for t in batch.column(1).to_pylist()]
@@ -126,7 +142,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [s.astype(np.int64) for s in shingle_sets(raw[a:b])]
             at = np.cumsum([0] + [len(s) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["rep", "s"])
+            masks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MASK, pa.int32()),
+                                             pa.array(np.concatenate([parity_mask(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, masks], ["rep", "s", "m"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -140,62 +158,79 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _state(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Members (key, rep, n, comp) of band values that join different components."""
+    """Members (key, rep, n, u, comp, lead) of band values that may still join different components.
+
+    ``u`` counts elements that no other candidate has: a pair shares at most
+    ``least(n - u)`` elements.  Members that could not reach the similarity
+    even with the smallest set of their band value are left out.
+    """
     if comp is None:
         m = members.withColumn("comp", F.col("rep"))
     else:
         m = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "comp", F.coalesce("component", "rep")).drop("component")
-    span = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lead"))
-    return m.join(span.where("c0 <> c1").select("key", "lead"), "key").select("key", "rep", "n", "comp", "lead")
+    least = m.groupBy("key").agg(F.min("n").alias("n0"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    able = m.join(least.where("c0 <> c1"), "key").where(f"100 * (n - u) >= {PERCENT} * (greatest(n0, n - u) + u)")
+    span = able.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("u", "rep")).alias("l"))
+    open_ = span.where("c0 <> c1").select("key", F.col("l.rep").alias("lead"))
+    return able.drop("n0", "c0", "c1").join(open_, "key")
 
 
-def _leader(state: DataFrame) -> DataFrame:
-    """(key, lead, lead_comp, lead_n) of every band value."""
-    return state.where("rep = lead").select("key", F.col("comp").alias("lead_comp"), F.col("n").alias("lead_n")).distinct()
+def _own_elements(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, u): how many elements of each document of ``state`` no other one has."""
+    ids = state.select("rep").distinct()
+    each = sets.join(ids, "rep").select("rep", F.explode("s").alias("e"))
+    one = each.groupBy("e").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    return one.groupBy("rep").agg(F.count("*").alias("u"))
 
 
-def _with_leader(state: DataFrame) -> DataFrame:
-    return state.join(_leader(state), "key").where("comp <> lead_comp")
+def _able(x: str, y: str, masks: bool) -> str:
+    """Whether sizes, own elements and parity masks of two members allow the similarity."""
+    both = f"{x}n - {x}u, {y}n - {y}u"
+    if masks:
+        differ = " + ".join(f"bit_count({x}m[{i}] ^ {y}m[{i}])" for i in range(MASK))
+        both += f", ({x}n + {y}n - ({differ})) div 2"
+    return f"100 * least({both}) >= {PERCENT} * ({x}n + {y}n - least({both}))"
 
 
-def _alike(n1: str, n2: str) -> str:
-    return f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2})"
+def _with(state: DataFrame, lead: str) -> DataFrame:
+    """Pairs of each member with its band value's ``lead``, in different components."""
+    head = state.where(f"rep = {lead}").drop("rep", "lead", "second").dropDuplicates(["key"])
+    head = head.select("key", *[F.col(c).alias(f"l_{c}") for c in head.columns if c != "key"])
+    return state.join(head, "key").where("comp <> l_comp").where(_able("", "l_", "m" in state.columns))
 
 
-def _first_met(state: DataFrame) -> DataFrame:
-    near = _with_leader(state).where(_alike("n", "lead_n"))
-    return near.groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _all_leaders(state: DataFrame) -> DataFrame:
-    return _with_leader(state).where(_alike("n", "lead_n")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+def _first_met(state: DataFrame) -> DataFrame:
+    best = _with(state, "lead").groupBy("rep").agg(F.min("lead").alias("lead"))
+    return _ordered(best, "rep", "lead")
 
 
-def _second_leaders(state: DataFrame) -> DataFrame:
-    """The first document outside the leader's component with every other component's."""
-    second = _with_leader(state).groupBy("key").agg(F.min("rep").alias("second"))
-    mine = state.drop("lead").join(second, "key")
-    at = mine.where("rep = second").select("key", F.col("comp").alias("c2"), F.col("n").alias("n2")).distinct()
-    return mine.join(at, "key").where("comp <> c2").where(_alike("n", "n2")).select(
-        F.least("rep", "second").alias("a"), F.greatest("rep", "second").alias("b"))
+def _all_leaders(state: DataFrame) -> DataFrame:
+    return _ordered(_with(state, "lead"), "rep", "lead")
 
 
 def _all_pairs(state: DataFrame) -> DataFrame:
-    """Pairs of one band value in different components, sizes within the similarity."""
-    m = state.select("key", "rep", "n", "comp")
-    x, y = m.alias("x"), m.alias("y")
-    hit = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-                 & F.expr(_alike("x.n", "y.n")))
-    return hit.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    """Pairs of one band value in different components that the bounds allow."""
+    head = state.where("rep = lead").select("key", F.col("comp").alias("main")).distinct()
+    m = state.join(head, "key").withColumn("minor", F.col("comp") != F.col("main")).drop("lead", "main")
+    x, y = m.alias("x"), m.where("minor").alias("y")  # one of a pair is outside the leader's component
+    hit = x.join(y, F.expr("x.key = y.key and x.comp <> y.comp and (not x.minor or x.rep < y.rep) and "
+                           + _able("x.", "y.", "m" in state.columns)))
+    return _ordered(hit.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")), "x", "y")
 
 
-ROUNDS = (_first_met, _all_leaders, _second_leaders, _second_leaders, _all_pairs)
+ROUNDS = (_first_met, _all_leaders, _all_leaders, _all_pairs)
+#: From this round on, the elements that only one document has are counted.
+COUNTED = 2
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row."""
-    spark = docs.sparkSession
+    spark = text_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = written(text.mapInArrow(_signatures, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     real = sig.where("n > 0 and doc_id is not null")
@@ -205,12 +240,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(bands.join(shared, "key").select("key", "rep", "n"), "members")
     ids = members.select("rep").distinct()
     of_rep = text.join(ids, F.col("doc_id") == F.col("rep")).select("rep", "text")
-    sets = written(of_rep.mapInArrow(_sets, "rep long, s array<long>").dropDuplicates(["rep"]), "sets")
+    sets = written(of_rep.mapInArrow(_sets, "rep long, s array<long>, m array<long>").dropDuplicates(["rep"]), "sets")
     release(spark)
 
     comp, links, tested = None, None, None
-    for pick in ROUNDS:
-        state = written(_state(members, comp), "state")
+    rest = members.withColumn("u", F.lit(0).cast("long"))
+    for k, pick in enumerate(ROUNDS):
+        state = written(_state(rest, comp), "state")
+        if state.isEmpty():
+            release(spark, state)
+            break
+        if k == COUNTED:
+            own = written(_own_elements(state, sets), "own")
+            rest = state.drop("u", "comp", "lead").join(own, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+            rest = rest.join(sets.select("rep", "m"), "rep")
+            state = written(_state(rest, comp), "state")
         pairs = pick(state).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -219,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = written(verified(pairs, sets), "links")
             links = found if links is None else links.union(found)
             tested = pairs if tested is None else tested.union(pairs)
-            fresh = written(components(links), "components")
-            comp = fresh
-        release(spark, state)
+            comp = written(components(links), "components")
+        if k < COUNTED:
+            release(spark, state)
     release(spark, members, sets)
     group = reps.select("k1", "k2", "n", "rep")
     if comp is not None:

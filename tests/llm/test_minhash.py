@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import minhash
+from riskloom.llm.components import components
 from . import corpus
 
 
@@ -51,3 +52,21 @@ def test_nulls_repeats_empty_and_other_columns(spark, docs):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in got) == [
         (-1, 2, -1, True), (3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (7, 0, 7, True)]
     assert minhash.near_duplicates(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("per_task", [5, 1000])
+def test_components_across_tasks(spark, per_task):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(12)
+    got = {r.node: r.component for r in components(df, per_task).collect()}
+    want = corpus.components({x for p in links for x in p}, links)
+    assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_masks_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 3000):
+        a, b = (np.unique(rng.integers(0, 2 * n, n).astype(np.int64)) for _ in range(2))
+        bits = np.bitwise_count((minhash.parity_mask(a) ^ minhash.parity_mask(b)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(a, b))
