@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import table
+from .shared import text_batches
 from .words import Words, mix64, salt, slices, sliding_argmin
 
 EDIT_RATE = 0.2
@@ -172,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, item_words, end_word): documents that hold an item, and where its best match ends."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = docs.sparkSession.createDataFrame([], OUT)
+    out = text_batches(docs.sparkSession).createDataFrame([], OUT)
     for rows in _blocks(benchmark, item_col, item_text):
         def scan(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             items = Items(rows)

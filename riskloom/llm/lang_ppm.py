@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .columns import table
+from .shared import text_batches
 from .words import slices
 
 ORDER = 3
@@ -174,6 +175,7 @@ def predict(model: PPM, text: Column) -> Column:
 def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lang_col: str = "lang") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replaced where ``docs`` has such columns)."""
+    text_batches(docs.sparkSession)
     model = fit(labelled, id_col, text_col, lang_col)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_ppm")]
     return docs.select(*keep, predict(model, F.col(text_col)).alias("_ppm")).select(*keep, "_ppm.*")

@@ -144,17 +144,17 @@ WITH l AS (
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
 j AS (SELECT *, len(w) AS n FROM l WHERE len(w) >= {EXACT_WORDS}),
-f AS (SELECT w, n, min(ROW(doc_id, line)) AS at FROM j GROUP BY w, n),
+f AS (SELECT w, n, min(ROW(doc_id, line)) AS pos FROM j GROUP BY w, n),
 pairs AS (
-  SELECT a.w AS wa, a.at AS ata, b.w AS wb, b.at AS atb, a.n AS na,
+  SELECT a.w AS wa, a.pos AS ata, b.w AS wb, b.pos AS atb, a.n AS na,
          coalesce(list_position(list_transform(list_zip(a.w, b.w), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false), 0) AS p, b.n AS nb
-  FROM f a JOIN f b ON b.n >= {NEAR_WORDS} AND (a.n = b.n AND a.at < b.at OR a.n = b.n - 1)),
+  FROM f a JOIN f b ON b.n >= {NEAR_WORDS} AND (a.n = b.n AND a.pos < b.pos OR a.n = b.n - 1)),
 near AS (
-  SELECT CASE WHEN ata < atb THEN atb ELSE ata END AS at FROM pairs
+  SELECT CASE WHEN ata < atb THEN atb ELSE ata END AS pos FROM pairs
   WHERE p > 0 AND (na = nb AND wa[p + 1:] = wb[p + 1:] OR na = nb - 1 AND wa[p:] = wb[p + 1:])),
 gone AS (
   SELECT DISTINCT j.doc_id, j.line FROM j JOIN f ON j.w = f.w
-  WHERE ROW(j.doc_id, j.line) <> f.at OR f.at IN (SELECT at FROM near)),
+  WHERE ROW(j.doc_id, j.line) <> f.pos OR f.pos IN (SELECT pos FROM near)),
 kept AS (
   SELECT d.doc_id, string_agg(ls[i], chr(10) ORDER BY i) FILTER (WHERE g.line IS NULL) AS text,
          count(g.line) AS n_lines_removed
@@ -162,4 +162,5 @@ kept AS (
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) d
   LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.line = d.i - 1 GROUP BY d.doc_id)
 SELECT doc_id, n_lines_removed, coalesce(text, '') AS text FROM kept
+UNION ALL SELECT doc_id, 0, NULL FROM documents WHERE text IS NULL
 """

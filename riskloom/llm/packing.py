@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import computed, table, words_of
+from .shared import text_batches
 
 CAPACITY = 2048
 SHARD_DOCS = 20_000
@@ -143,6 +144,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``cluster_col`` names a long column of duplicate clusters; without it,
     texts with the same lower-case words are one cluster.
     """
+    text_batches(docs.sparkSession)
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
     cluster = F.col(cluster_col).cast("long") if cluster_col else F.lit(None).cast("long")
     words = computed(docs, F.col(id_col).cast("long").alias("doc_id"), source.alias("source"),
