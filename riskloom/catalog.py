@@ -1,4 +1,4 @@
-"""Registry of named queries: Spark implementation + independent oracle SQL.
+"""Registry of named queries: Spark implementation + oracle SQL.
 
 Each query is ``fn(spark, sf_dir) -> DataFrame`` over the whole input
 tables; ``oracle`` is DuckDB SQL over the same parquet tables (or None for

@@ -25,8 +25,7 @@ from ..functions.rounding import round_dec
 
 from ..dims import SYMBOLS
 from .portfolio import net_positions, resolve_positions
-from .scenario import (option_method, prepare_shocked_pricing, scenario_futures, scenario_option,
-                       with_base_price)
+from .scenario import SHOCKED_SPOT, option_method, prepare_shocked_pricing, scenario_option, with_base_price
 
 def daily_returns(spot: DataFrame, lookback: int = 252, as_of=None) -> DataFrame:
     """Per symbol: the last ``lookback + 1`` closes up to ``as_of`` (default:
@@ -90,6 +89,7 @@ def driver_map(spark, driver_symbol: str | None = "NIFTY") -> DataFrame:
 
 
 GROUP = ["portfolio_id", "trade_date"]
+FUTURES_LEG = "futures_linear"
 
 
 def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFrame, lots: DataFrame, spot: DataFrame,
@@ -129,18 +129,20 @@ def scenario_pnl_by_date(positions: DataFrame, chain: DataFrame, futures: DataFr
     live = option_method(opt).isin("full_reprice", "greeks_approx")
     o = opt.withColumn("method", option_method(opt)).filter(live)
     o = prepare_shocked_pricing(with_base_price(o).withColumns(zero_shocks)).join(drv, "symbol")
-    f = fut.filter(F.col("_matched")).join(drv, "symbol").withColumns(zero_shocks)
-    # the expansion multiplies every row by the number of scenarios, so the legs
-    # are spread first, each (portfolio, valuation date) in one place
-    priced_o = scenario_option(expand(o.repartition(n, *GROUP)), has_base=True, prepared=True)
-    priced_f = scenario_futures(expand(f.repartition(max(1, n // 4), *GROUP)))
-    moving = opt.filter(live).join(drv, "symbol").select(*GROUP, "driver_symbol").unionByName(
-        fut.filter(F.col("_matched")).join(drv, "symbol").select(*GROUP, "driver_symbol")).distinct()
-    still = expand(held.join(moving, [*GROUP, "driver_symbol"], "left_anti")).withColumn("pnl_total", F.lit(0.0))
-    keys = [*GROUP, "scenario_date"]
-    sums = [d.groupBy(*keys).agg(F.sum("pnl_total").alias("p")) for d in (priced_o, priced_f, still)]
-    u = sums[0].unionByName(sums[1]).unionByName(sums[2])
-    return u.groupBy(*keys).agg(F.sum("p").alias("portfolio_pnl"))
+    f = fut.filter(F.col("_matched")).join(drv, "symbol").withColumn("method", F.lit(FUTURES_LEG))
+    moving = o.select(*GROUP, "driver_symbol").unionByName(f.select(*GROUP, "driver_symbol")).distinct()
+    still = held.join(moving, [*GROUP, "driver_symbol"], "left_anti").withColumn("method", F.lit("none"))
+    # one pipeline for all legs, each (portfolio, valuation date) in one place: the
+    # expansion multiplies every row by the number of scenarios, and the sums
+    # over it need no exchange
+    keep = [*GROUP, "driver_symbol", "method", "spot", "multiplier"]
+    legs = o.unionByName(f.select(*keep), allowMissingColumns=True).unionByName(
+        still.select(*GROUP, "driver_symbol", "method"), allowMissingColumns=True)
+    x = expand(legs.repartition(n, *GROUP).withColumns(zero_shocks))
+    x = scenario_option(x, has_base=True, prepared=True)
+    linear = (F.expr(SHOCKED_SPOT) - F.col("spot")) * F.col("multiplier")
+    pnl = F.when(F.col("method") == FUTURES_LEG, linear).otherwise(F.coalesce("pnl_total", F.lit(0.0)))
+    return x.groupBy(*GROUP, "scenario_date").agg(F.sum(pnl).alias("portfolio_pnl"))
 
 
 def var_cvar(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl") -> DataFrame:

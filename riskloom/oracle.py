@@ -1,10 +1,12 @@
-"""Independent SQL text of the engine's layers, for the DuckDB oracle.
+"""SQL text of the engine's layers, for the DuckDB oracle.
 
 ``with_ctes(select)`` wraps a final SELECT with the fixture views, the
 processed and curated layers and the portfolio inputs, all as CTEs.  The
 pricing text (cumulative normal, Black-Scholes stages, curve) is the same
-text the Spark side uses through ``F.expr``; joins, windows, de-duplication
-and aggregation are written independently here in plain SQL.
+text the Spark side uses through ``F.expr``, so the oracle proves the plumbing
+and not the formulas (tests/test_pricing.py checks those against other
+arithmetic); joins, windows, de-duplication and aggregation are written
+independently here in plain SQL.
 """
 
 from __future__ import annotations
