@@ -9,7 +9,8 @@ to the input, dropped lines included.
 Equal lines first become one, with their earliest place.  Two lines at one word
 edit agree in their first or second half, so only lines that share a hashed
 half (of their own or one word less) with another line go on: they emit every
-one-word deletion as a hashed key.  Lines that share a deletion at one
+one-word deletion, from the half that may differ, as a hashed key.  A cheaper
+test comes first: the 4 or 8 words at either end, which one edit cannot change both.  Lines that share a deletion at one
 position, or one whose deletion is the other line, are at one edit; per
 key the earliest is found by aggregation, never by listing pairs.  The edit
 distance to that earliest line is then verified on the words themselves.
@@ -22,75 +23,130 @@ columns come back, whatever their names, with the text rewritten.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import computed, table, words_of
+from .columns import WHITE, WHITE_RUN, computed, let, table
 from .shared import release, written
 
 EDITS = 1
 EXACT_WORDS = 3
 NEAR_WORDS = 8
-KEY = ["h", "nw", "nc"]
+KEY = ["h", "nc"]
+_PLACE = 10 ** 10  # more than the lines of a document
+# Anything but single spaces between the words of the lines.
+_IRREGULAR = r"[\t\x0B\f\r]| [ \n]|\n |^ | $"
+# Words that open or close two lines at one edit; lines of more than twice as many use the longer gate.
+SHORT_GATE, LONG_GATE = 4, 8
+GATES = ["g0", "g1", "g2", "g3"]
+
+
+def _line(t: Column) -> Column:
+    """A line with its words joined by single spaces."""
+    return F.regexp_replace(F.btrim(t, F.lit(WHITE)), WHITE_RUN, " ")
+
+
+def _count(t: Column) -> Column:
+    """Words of such a line."""
+    return F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+
+
+def _first(t: Column, n) -> Column:
+    """The first n words of such a line, the last -n if n is negative."""
+    return F.call_function("substring_index", t, F.lit(" "), n if isinstance(n, Column) else F.lit(n))
 
 
-def _run(w: Column, start, length) -> Column:
-    return F.slice(w, start if isinstance(start, Column) else F.lit(start), length)
+def _more(t: Column, n: int) -> Column:
+    """Whether such a line has more than n words."""
+    return _first(t, n) != t
 
 
-def _halves(w: Column, n: Column) -> Column:
-    """Hashes of the halves of a line of n words, and as the longer of a pair n-1, n."""
-    p, q = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    return F.array(F.xxhash64(F.lit("p"), n, _run(w, 1, p)), F.xxhash64(F.lit("s"), n, _run(w, p + 1, n - p)),
-                   F.xxhash64(F.lit("p"), n - 1, _run(w, 1, q)), F.xxhash64(F.lit("s"), n - 1, _run(w, q + 2, n - q - 1)))
+def _gates(t: Column) -> list[Column]:
+    """Hashes of the words that open and close a line.
+
+    Two lines at one edit share the first or the last words: 4 where the
+    shorter has at least 7, 8 where it has at least 16.  A line of 17 words may be
+    one longer than its partner and has both.
+    """
+    def ends(k: int) -> list[Column]:
+        return [F.xxhash64(F.lit(k), _first(t, k)), F.xxhash64(F.lit(-k), _first(t, -k))]
+    near, long_ = _more(t, NEAR_WORDS - EDITS - 1), _more(t, 2 * LONG_GATE)
+    both = long_ & ~_more(t, 2 * LONG_GATE + 1)
+    out = [F.when(long_, x).when(near, y) for x, y in zip(ends(LONG_GATE), ends(SHORT_GATE))]
+    out += [F.when(both, y) for y in ends(SHORT_GATE)]
+    return [c.alias(name) for c, name in zip(out, GATES)]
+
+
+def _place() -> Column:
+    """Order of (doc_id, line) as one number."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(_PLACE).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
 
 
 def _lines(text: DataFrame) -> DataFrame:
-    """(doc_id, line, nw, nc, h, halves) of the lines that are judged."""
-    each = text.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = computed(each, "doc_id", "line", words_of(F.col("t")).alias("w")).where(F.size("w") >= EXACT_WORDS)
-    nw = F.size("w")
-    return words.select("doc_id", "line", nw.alias("nw"), F.length(F.array_join("w", "")).alias("nc"), F.xxhash64("w").alias("h"),
-                        F.when(nw >= NEAR_WORDS - EDITS, _halves(F.col("w"), nw)).alias("halves"))
+    """(doc_id, line, nc, h, gates) of the lines that are judged."""
+    docs = computed(text.where("doc_id is not null"), "doc_id", F.col("text").rlike(_IRREGULAR).alias("odd"),
+                    F.split("text", "\n").alias("raws"))
+    each = docs.select("doc_id", "odd", F.posexplode("raws").alias("line", "raw"))
+    t = each.select("doc_id", "line", F.when(F.col("odd"), _line(F.col("raw"))).otherwise(F.col("raw")).alias("t"))
+    t = t.where(_more(F.col("t"), EXACT_WORDS - 1))
+    return t.select("doc_id", "line", F.length("t").alias("nc"), F.xxhash64("t").alias("h"), *_gates(F.col("t")))
+
+
+def _shared(keys: DataFrame, key: str, of: str) -> DataFrame:
+    """Rows (key, of) of ``keys`` whose key another ``of`` has too."""
+    several = keys.groupBy(key).agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b").select(key)
+    return keys.join(several, key, "left_semi")
 
 
 def _candidates(first: DataFrame) -> DataFrame:
-    """Distinct lines that share a hashed half with another one."""
-    half = first.where("halves is not null").select(*KEY, "at", F.explode("halves").alias("g"))
-    shared = half.groupBy("g").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("g")
-    return half.join(shared, "g", "left_semi").select(*KEY, "at").distinct()
+    """(place) of distinct lines that share a gate with another one."""
+    gate = first.select("h", F.explode(F.array(*GATES)).alias("g")).where("g is not null")
+    return first.join(_shared(gate, "g", "h").select("h").distinct(), "h", "left_semi").select("place")
 
 
 def _texts(text: DataFrame, cand: DataFrame) -> DataFrame:
-    """(at, w): the words of candidate lines, cut from their first document."""
-    by_doc = cand.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line").alias("lines"))
-    hit = text.join(by_doc, "doc_id").select("doc_id", "lines", F.split("text", "\n").alias("t"))
-    each = computed(hit, "doc_id", F.transform("lines", lambda i: F.struct(i.alias("line"), F.get("t", i).alias("t"))).alias("x"))
-    one = each.select("doc_id", F.explode("x").alias("x")).select(F.struct("doc_id", F.col("x.line").alias("line")).alias("at"),
-                                                                words_of(F.col("x.t")).alias("w"))
-    return one.dropDuplicates(["at"])
+    """(id, place, t): candidate lines, cut from their first document, numbered in order of place."""
+    doc, line = F.floor(F.col("place") / _PLACE), F.pmod("place", F.lit(_PLACE))
+    by_doc = cand.select(doc.cast("long").alias("doc_id"), F.struct(line.cast("int").alias("line"), "place").alias("x"))
+    by_doc = by_doc.groupBy("doc_id").agg(F.collect_set("x").alias("xs"))
+    hit = text.join(by_doc, "doc_id").select("xs", F.split("text", "\n").alias("t"))
+    each = computed(hit, F.transform("xs", lambda x: F.struct(x["place"].alias("place"), F.get("t", x["line"]).alias("t"))).alias("x"))
+    one = each.select(F.inline("x")).dropDuplicates(["place"]).select("place", _line(F.col("t")).alias("t"))
+    return one.orderBy("place").select(F.monotonically_increasing_id().alias("id"), "place", "t")
+
+
+def _halves(lines: DataFrame) -> DataFrame:
+    """(id, pre, suf): lines whose first or last half (their own, or as the longer
+    of a pair n - 1, n) another line has too."""
+    t, n = F.col("t"), F.col("n")
+    out = []
+    for m in (n, n - 1):
+        p = (m / 2).cast("int")
+        out += [F.xxhash64(F.lit("p"), m, _first(t, p)), F.xxhash64(F.lit("s"), m, _first(t, p - m))]
+    half = lines.withColumn("n", _count(t)).select("id", F.posexplode(F.array(*out)).alias("kind", "g"))
+    hit = _shared(half.select("id", "g"), "g", "id").join(half, ["id", "g"])
+    return hit.groupBy("id").agg(F.max(F.col("kind") % 2 == 0).alias("pre"), F.max(F.col("kind") % 2 == 1).alias("suf"))
 
 
 def _near(lines: DataFrame) -> DataFrame:
-    """(at, seen): candidate lines with the earliest line that shares a deletion key."""
-    n = F.size("w")
-    cut = lambda i: F.concat(_run(F.col("w"), 1, i - 1), _run(F.col("w"), i + 1, F.size("w") - i))
-    variants = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
-        i.alias("i"), F.xxhash64(F.lit("i"), n - 1, cut(i)).alias("v")))
-    rows = computed(lines, "at", n.alias("n"), F.xxhash64(F.lit("i"), n, F.col("w")).alias("own"), variants.alias("vs"))
-    swap = F.transform("vs", lambda x: F.struct(F.xxhash64(F.lit("r"), x["i"], x["v"]).alias("key"), F.lit("r").alias("kind")))
-    drop = F.transform("vs", lambda x: F.struct(x["v"].alias("key"), F.lit("d").alias("kind")))
-    self_ = F.array(F.struct(F.col("own").alias("key"), F.lit("s").alias("kind")))
-    keys = rows.select("at", "n", F.inline(F.array_distinct(F.concat(swap, drop, self_))))
-    # a line is compared by replacement only from NEAR_WORDS words on; the longer of an insertion must have as many
-    keys = keys.where((F.col("kind") == "s") | (F.col("n") >= NEAR_WORDS))
-    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("at")))
-    best = keys.groupBy("key").agg(first("r").alias("r"), first("d").alias("d"), first("s").alias("s"), F.count("*").alias("c")).where("c > 1")
-    seen = F.when(F.col("kind") == "r", F.col("r")).when(F.col("kind") == "d", F.col("s")).otherwise(F.col("d"))
-    hits = keys.join(best, "key").select("at", seen.alias("seen")).where("seen < at")
-    return hits.groupBy("at").agg(F.min("seen").alias("seen"))
+    """(id, seen): candidate lines and the earliest line that shares a deletion with them."""
+    n = F.col("n")
+    rows = lines.join(_halves(lines), "id").withColumn("n", _count(F.col("t")))
+    # an equal first half leaves the second to differ, and the other way round
+    lo = F.when(F.col("suf"), F.lit(1)).otherwise(((n - 1) / 2).cast("int") + 1)
+    hi = F.when(F.col("pre"), n).otherwise((n / 2).cast("int") + 1)
+    at = rows.where(n >= NEAR_WORDS).select("id", "t", "n", F.explode(F.sequence(lo, hi)).alias("i"))
+    i = F.col("i")
+    left, right = _first(F.col("t"), i - 1), _first(F.col("t"), i - n)
+    cut = F.when(i == 1, right).when(i == n, left).otherwise(F.concat(left, F.lit(" "), right))
+    drops = written(at.select("id", "i", F.xxhash64(cut).alias("v")), "deletions")
+    whole = rows.select(F.col("id").alias("whole"), F.xxhash64("t").alias("v"))
+    same = drops.groupBy("v", "i").agg(F.min("id").alias("seen"), F.max("id").alias("last")).where("seen < last")
+    swapped = drops.join(same, ["v", "i"]).where("seen < id").select("id", "seen")
+    pairs = drops.join(whole, "v").select("id", "whole")
+    longer = pairs.where("whole < id").select("id", F.col("whole").alias("seen"))
+    shorter = pairs.where("id < whole").select(F.col("whole").alias("id"), F.col("id").alias("seen"))
+    return swapped.union(longer).union(shorter).groupBy("id").agg(F.min("seen").alias("seen"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -107,16 +163,19 @@ def dropped_lines(text: DataFrame) -> DataFrame:
     """(doc_id, line) of the lines to drop, of (doc_id, text)."""
     spark = text.sparkSession
     lines = written(_lines(text), "lines")
-    firsts = lines.groupBy(*KEY).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"))
-    first = written(firsts, "first-lines")
-    words = written(_texts(text, _candidates(first)), "line-words")
+    first = lines.withColumn("place", _place()).groupBy(*KEY).agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in GATES])
+    first = written(first, "first-lines")
+    texts = written(_texts(text, _candidates(first)), "line-texts")
     release(spark)
-    near = _near(words)
-    pairs = near.join(words, "at").join(words.select(F.col("at").alias("seen"), F.col("w").alias("v")), "seen")
-    bad = written(pairs.where(one_edit(F.col("w"), F.col("v"))).select("at"), "near-lines")
-    flagged = first.select(*KEY, "at").join(bad.withColumn("near", F.lit(True)), "at", "left")
-    hit = lines.select("doc_id", "line", *KEY).join(flagged, KEY)
-    return hit.where("near or at <> struct(doc_id, line)").select("doc_id", "line").distinct()
+    words = texts.select("id", "place", F.split("t", " ").alias("w"))
+    pairs = _near(texts).join(words, "id").join(words.select(F.col("id").alias("seen"), F.col("w").alias("v")), "seen")
+    bad = written(pairs.where(one_edit(F.col("w"), F.col("v"))).select("place"), "near-lines")
+    flagged = first.select(*KEY, F.col("place").alias("first")).join(
+        bad.select(F.col("place").alias("first"), F.lit(True).alias("near")), "first", "left")
+    hit = lines.select("doc_id", "line", *KEY).join(flagged, KEY).where(F.col("near") | (_place() != F.col("first")))
+    gone = written(hit.select("doc_id", "line").distinct(), "dropped-lines")
+    release(spark, lines, first, texts)
+    return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,9 +185,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at, body = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     both = docs.select(*own).join(gone, F.col(at).cast("long") == F.col("doc_id"), "left").drop("doc_id")
-    t = F.split(body, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(t) - 1), "gone")
-    new = F.when(F.col("gone").isNull(), F.col(body)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(t, i)), "\n"))
+
+    def rest(t: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(t) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(t, i)), "\n")
+    new = F.when(F.col("gone").isNull(), F.col(body)).otherwise(let(F.split(body, "\n"), rest))
     return computed(both, *(new.alias(body) if f"c{i}" == body else f"c{i}" for i in range(len(own))),
                     F.coalesce(F.size("gone"), F.lit(0)).alias("n_lines_removed")).toDF(*docs.columns, "n_lines_removed")
 
