@@ -46,7 +46,7 @@ class Rule:
 
 
 RULES = (
-    Rule("short_words", "word_chars / n_words", "<", 3.0),
+    Rule("short_words", "word_chars / n_words", "<", 2.5),
     Rule("long_words", "word_chars / n_words", ">", 12.0),
     Rule("symbols", "n_symbols / n_words", ">", 0.3),
     Rule("stop_words", "n_stop_words / n_words", "<", 0.04),
