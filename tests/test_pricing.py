@@ -124,3 +124,16 @@ def test_iv_batch_of_identical_rows(spark):
 def test_iv_never_nan(spark):
     out = _iv_frame(spark, [(float("nan"), 22000.0, 22000.0, 0.1, 0.065, 0.0123, "CE")])
     assert out[0].iv is None
+
+
+def test_greeks_are_finite_differences_of_the_reference_price(spark):
+    """Formulas against other arithmetic: erf prices, central differences."""
+    for r in _priced(spark):
+        call = r.option_type == "CE"
+        f = lambda S=r.spot, T=r.t_years, rate=r.rate, s=r.sigma: ref_price(S, r.strike, T, rate, r.q, s, call)  # noqa: B023, E731
+        h, d, v = 0.5, 1e-5, 1e-5
+        assert r._b_delta == pytest.approx((f(S=r.spot + h) - f(S=r.spot - h)) / (2 * h), rel=1e-5)
+        assert r._b_gamma == pytest.approx((f(S=r.spot + h) - 2 * f() + f(S=r.spot - h)) / h**2, rel=1e-3)
+        assert r._b_vega == pytest.approx((f(s=r.sigma + v) - f(s=r.sigma - v)) / (2 * v) / 100, rel=1e-5)
+        assert r._b_rho == pytest.approx((f(rate=r.rate + d) - f(rate=r.rate - d)) / (2 * d) / 100, rel=1e-5)
+        assert r._b_theta == pytest.approx(-(f(T=r.t_years + d) - f(T=r.t_years - d)) / (2 * d) / 365, rel=1e-3)
