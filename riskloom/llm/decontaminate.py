@@ -47,7 +47,7 @@ ANCHOR = 4
 MAX_WINDOW = 32
 BLOCK_WORDS = 1_000_000
 OUT = "doc_id long, item_id long, edits int, item_words int, end_word long"
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _FILTER = 1 << 20
 
 

@@ -45,7 +45,8 @@ MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _PAD = b"\n" * ORDER
 _SCORE_BYTES = 64
-_SPAN = 1 << 19
+_SPAN = 1 << 18
+_UNIT = 1024  # prices are kept in 1/1024 bit, so a table entry takes two bytes
 
 
 class PPM:
@@ -64,26 +65,37 @@ class PPM:
         self.counts = [np.unique(_grams(self.fold[x]), return_counts=True) for x in joined]
 
     def table(self) -> np.ndarray:
-        """``cost[gram, language]`` in bits, float32."""
-        out = np.empty((ALPHABET ** (ORDER + 1), len(self.langs)), np.float32)
+        """``cost[gram, language]`` in 1/1024 bit (at most 64 bits), uint16.
+
+        The highest order is priced one first byte at a time, to bound memory.
+        """
+        part = ALPHABET ** ORDER
+        out = np.empty((ALPHABET * part, len(self.langs)), np.uint16)
         for k, (grams, n) in enumerate(self.counts):
-            full = np.zeros(ALPHABET ** (ORDER + 1), np.float32)
-            full[grams] = n
-            cost = np.full(ALPHABET, np.log2(ALPHABET), np.float32)
-            for order in range(ORDER + 1):
-                c = full.reshape(-1, ALPHABET ** (order + 1)).sum(0).reshape(-1, ALPHABET)
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True).astype(np.float32)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    known = np.log2(total + kinds) - np.log2(c)
-                    escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0)
-                lower = np.broadcast_to(cost, (len(c) // max(1, len(cost) // ALPHABET), len(cost))).reshape(-1, ALPHABET)
-                cost = np.where(c > 0, known, escape + lower).reshape(-1)
-            cost = cost.reshape(-1, ALPHABET)
-            cost[:, -1] += np.float32(np.log2(self.rest))
-            out[:, k] = cost.reshape(-1)
+            cost = np.full(ALPHABET, np.log2(ALPHABET))
+            for order in range(ORDER):
+                size = ALPHABET ** (order + 1)
+                cost = _prices(np.bincount(grams % size, n, size), cost)
+            for i in range(ALPHABET):
+                mine = grams // part == i
+                top = _prices(np.bincount(grams[mine] % part, n[mine], part), cost)
+                top.reshape(-1, ALPHABET)[:, -1] += np.log2(self.rest)
+                out[i * part:(i + 1) * part, k] = np.minimum(np.rint(top * _UNIT), 65535)
         return out
 
 
+def _prices(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Bits of each gram from its counts and the prices one order lower."""
+    c = count.reshape(-1, ALPHABET)
+    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        known = np.log2(total + kinds) - np.log2(c)
+        escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0)
+    # the lower context is the longest proper suffix: its prices repeat for every first byte
+    low = np.resize(lower.reshape(-1, ALPHABET), c.shape)
+    return np.where(c > 0, known, escape + low).reshape(-1)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[int, tuple[PPM, np.ndarray]] = {}
@@ -111,8 +123,8 @@ def code_lengths(model: PPM, cost: np.ndarray, texts: list[bytes]) -> np.ndarray
         which = np.searchsorted(at, pos, side="right") - 1
         prices[pos - at[which] >= at[which + 1] - at[which] - ORDER] = 0
         edge = np.flatnonzero(np.diff(which, prepend=-1))
-        bits[which[edge]] += np.add.reduceat(prices, edge, axis=0, dtype=np.float64)
-    return bits
+        bits[which[edge]] += np.add.reduceat(prices, edge, axis=0, dtype=np.int64)
+    return bits / _UNIT
 
 
 def _cost(model: PPM) -> np.ndarray:

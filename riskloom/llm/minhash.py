@@ -53,7 +53,7 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 PERCENT = 75
 MASK = 16  # longs of a parity mask
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+_HASHED = 1 << 18  # bytes hashed at a time: powers and sums stay in cache
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -85,7 +86,7 @@ class Words:
         out = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(out):
-            j = int(np.searchsorted(self.start, self.start[i] + SLICE_BYTES))
+            j = int(np.searchsorted(self.start, self.start[i] + _HASHED))
             at = int(self.start[i])
             part = self.buf[at:int(self.end[j - 1])]
             up, down = _powers(len(part) + 1)
