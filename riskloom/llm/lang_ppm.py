@@ -181,7 +181,8 @@ def predict(model: PPM, text: Column) -> Column:
     def ppm(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             yield _predict(model, texts)
-    return ppm(F.when(text.rlike(r"\p{L}"), text))
+    # not to be repeated below a filter on its result
+    return ppm.asNondeterministic()(F.when(text.rlike(r"\p{L}"), text))
 
 
 def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
