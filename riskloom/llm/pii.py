@@ -216,5 +216,8 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymise(table(spark, sf_dir, "documents"))
-    n = {k: F.size(F.filter("findings", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS}
-    return out.select("doc_id", F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_found"), *n.values(), "text")
+
+    def count(kind: str) -> Column:
+        return F.coalesce(F.size(F.filter("findings", lambda x: x["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+    found = F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_found")
+    return out.select("doc_id", found, *map(count, KINDS), "text")

@@ -62,3 +62,10 @@ def test_nulls_repeats_empty_and_other_columns(spark):
     assert got[0].text is None and not got[0].findings
     assert got[1] == got[2] and got[1].text != "1.2.3.4"
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_query_counts_by_kind(spark, sf_small):
+    got = pii.op5_pii(spark, sf_small)
+    kinds = " + ".join(f"n_{k}" for k in pii.KINDS)
+    r = got.selectExpr("sum(n_found) AS n", f"sum({kinds}) AS m", "sum(n_email) AS e", "sum(n_card) AS c", "count(*) AS rows").first()
+    assert r.n == r.m > 0 and r.e > 0 and r.c > 0 and r.rows == 200
