@@ -1,7 +1,10 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame expressions only.
 
-One pattern finds candidates; each kind then has its own validation (Luhn,
-octet range, calendar, number ranges, mod 97).  A valid number or date is
+A candidate is validated (Luhn, octet range, calendar, number ranges, mod 97)
+before it takes its text, so an invalid one hides no valid value inside or beside
+it.  Octets, calendar and number ranges are part of the pattern.  Cards and IBANs
+are looked for at every start and with every end at a group border; those that
+pass are added to the row's pattern as they stand.  A valid number or date is
 permuted by a keyed Feistel network on its own format's domain, so the result
 is again valid, equal values get equal pseudonyms in every document, and
 different values stay different.  E-mail addresses and secrets, which have no
@@ -12,11 +15,14 @@ The network adds it modulo ``a`` and ``b`` in turn, a permutation of [0, a*b).
 
 Cases: null text stays null with no findings; texts are searched whole; equal
 rows give equal output; an empty table gives an empty result; other columns
-are not read.  Overlapping candidates: the leftmost, then the first kind, wins.
+are not read.  Overlapping valid candidates: the leftmost, then the first kind,
+then the longest wins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +35,27 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za
 SECRET = (r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
           r"[A-Za-z0-9_+/-]{16,256}={0,2}")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])"
-IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\d)"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]\d\d|\d{1,2})"
+IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+_YEAR = r"(?:1[89]|2[01])\d{2}"
+_LEAP = r"(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
+_DAYS = ((r"(?:0[13578]|1[02])", r"(?:0[1-9]|[12]\d|3[01])"), (r"(?:0[469]|11)", r"(?:0[1-9]|[12]\d|30)"), ("02", r"(?:0[1-9]|1\d|2[0-8])"))
+
+
+def _year_last(sep: str) -> list[str]:
+    """Dates 1800-2199 with the year last, month and day in either order."""
+    both = [f"{a}{sep}{b}" for m, d in _DAYS for a, b in ((m, d), (d, m))]
+    return [f"(?:{'|'.join(both)}){sep}{_YEAR}", f"(?:02{sep}29|29{sep}02){sep}{_LEAP}"]
+
+
+_YEAR_FIRST = [f"{_YEAR}-{m}-{d}" for m, d in _DAYS] + [f"{_LEAP}-02-29"]
+DATE = r"(?<![\d./-])(?:" + "|".join(_YEAR_FIRST + _year_last("/") + _year_last(r"\.")) + r")(?![./-]?\d)"
+SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = (r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
          r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
-PATTERN = "|".join((EMAIL, SECRET, IBAN, IP, DATE, SSN, CARD, PHONE))
+# The patterns before, between and after a row's valid IBANs and cards.
+_PARTS = ("|".join((EMAIL, SECRET)), "|".join((IP, DATE, SSN)), PHONE)
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 
 
@@ -179,17 +199,49 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.substr(F.repeat(h, 5), F.lit(1), F.length(value)))
 
 
+def _valid_iban(m: Column) -> Column:
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda s: _mod97(s) == 1)
+
+
+def _valid_card(m: Column) -> Column:
+    return let(_digits(m), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d) % 10 == 0))
+
+
+def _to_borders(run: Column) -> Column:
+    """``run`` and its beginnings that end before a space or hyphen."""
+    def upto(groups: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(groups)), lambda j: F.substr(run, F.lit(1), F.aggregate(
+            F.slice(groups, F.lit(1), j), F.lit(-1), lambda n, g: n + F.length(g) + 1)))
+    return let(F.split(run, "[ -]"), upto)
+
+
+def _valid(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """Distinct valid values at any start in ``text``, the longest first."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)))
+    hits = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.filter(_to_borders(r), valid))))
+    by_length = F.sort_array(F.transform(hits, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    return F.transform(by_length, lambda s: s["x"])
+
+
+def _pattern(ibans: Column, cards: Column) -> Column:
+    """The pattern of a row with these valid IBANs and cards; each of its matches is valid."""
+    def literal(before: str, values: Column, after: str) -> Column:
+        some = F.concat(F.lit(f"|{before}(?:"), F.array_join(values, "|"), F.lit(f"){after}|"))
+        return F.when(F.size(values) > 0, some).otherwise("|")
+    return F.concat(F.lit(_PARTS[0]), literal("(?<![A-Za-z0-9])", ibans, "(?![A-Za-z0-9])"), F.lit(_PARTS[1]),
+                    literal(r"(?<![\d.])", cards, r"(?!\d)"), F.lit(_PARTS[2]))
+
+
 def kind_of(m: Column) -> Column:
-    """Kind of a valid match, null for an invalid one."""
+    """Kind of a match of a row's pattern."""
     whole = lambda p: m.rlike("^(?:" + p + ")$")
-    area = F.substr(m, F.lit(1), F.lit(3))
     return (F.when(whole(EMAIL), "email")
             .when(whole(SECRET), "secret")
-            .when(whole(IBAN), F.when(_mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1, "iban"))
-            .when(whole(IP), F.when(F.forall(_octets(m), lambda x: x <= 255), "ip"))
-            .when(whole(DATE), F.when(_iso(m).isNotNull(), "date"))
-            .when(whole(SSN), F.when((area != "000") & (area != "666") & (area < "900") & ~m.rlike(r"-00-|-0000$"), "ssn"))
-            .when(whole(CARD) & (_luhn_sum(_digits(m)) % 10 == 0), "card")
+            .when(whole(IBAN), "iban")
+            .when(whole(IP), "ip")
+            .when(whole(DATE), "date")
+            .when(whole(SSN), "ssn")
+            .when(whole(CARD), "card")
             .when(whole(PHONE), "phone"))
 
 
@@ -204,12 +256,15 @@ def pseudonym(kind: Column, m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """(doc_id, text, findings): the rewritten text, and kind, match and pseudonym of each finding."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = computed(src, "doc_id", "text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("m"))
-    kinds = computed(found, "doc_id", "text", F.transform("m", lambda x: F.struct(x.alias("match"), kind_of(x).alias("kind"))).alias("m"))
-    new = computed(kinds, "doc_id", "text", F.transform("m", lambda x: F.struct(
+    text = F.col("text")
+    valid = computed(src, "doc_id", "text", _valid(text, IBAN, _valid_iban).alias("ibans"), _valid(text, CARD, _valid_card).alias("cards"))
+    pattern = computed(valid, "doc_id", "text", _pattern(F.col("ibans"), F.col("cards")).alias("p"))
+    found = computed(pattern, "doc_id", "text", F.regexp_extract_all("text", F.col("p"), F.lit(0)).alias("m"),
+                     F.split("text", F.col("p"), -1).alias("gaps"))
+    kinds = computed(found, "doc_id", "text", "gaps", F.transform("m", lambda x: F.struct(x.alias("match"), kind_of(x).alias("kind"))).alias("m"))
+    new = computed(kinds, "doc_id", "text", "gaps", F.transform("m", lambda x: F.struct(
         x["kind"].alias("kind"), x["match"].alias("match"), pseudonym(x["kind"], x["match"], key).alias("pseudonym"))).alias("m"))
-    gaps = F.split("text", F.lit(PATTERN), -1)
-    joined = F.array_join(F.zip_with(gaps, "m", lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
+    joined = F.array_join(F.zip_with("gaps", "m", lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
     return computed(new, "doc_id", F.when(F.size("m") > 0, joined).otherwise(F.col("text")).alias("text"),
                     F.filter("m", lambda x: x["kind"].isNotNull()).alias("findings"))
 

@@ -69,3 +69,33 @@ def test_query_counts_by_kind(spark, sf_small):
     kinds = " + ".join(f"n_{k}" for k in pii.KINDS)
     r = got.selectExpr("sum(n_found) AS n", f"sum({kinds}) AS m", "sum(n_email) AS e", "sum(n_card) AS c", "count(*) AS rows").first()
     assert r.n == r.m > 0 and r.e > 0 and r.c > 0 and r.rows == 200
+
+
+def test_values_beside_other_numbers(spark):
+    card, ssn = "4111 1111 1111 1111", "123-45-6789"
+    cases = [("4111111111111111 12/27", ["4111111111111111"]), (f"{card} 123", [card]), ("order 7 4111111111111111", ["4111111111111111"]),
+             (f"in 2019 {ssn}", [ssn]), ("212-555-0100 212-555-0101", ["212-555-0100", "212-555-0101"]),
+             ("4111111111111111 5500000000000004 4111111111111112", ["4111111111111111", "5500000000000004"]),
+             (f"{ssn} {ssn} {card}", [ssn, ssn, card]), ("DE89 3704 0044 0532 0130 2024", []),
+             ("BE68 5390 0754 7034 2024", ["BE68 5390 0754 7034"]), ("2021-02-30 2021-02-27", ["2021-02-27"])]
+    got = rewrite(spark, [t for t, _ in cases])
+    for i, (t, want) in enumerate(cases):
+        assert [f.match for f in got[i].findings] == want
+        for f in got[i].findings:
+            t = t.replace(f.match, f.pseudonym)
+        assert got[i].text == t
+
+
+def test_date_pattern_is_the_calendar():
+    import datetime
+    import re
+    from itertools import product
+    for y, m, d in product((1799, 1800, 1896, 1900, 1999, 2000, 2004, 2100, 2199, 2200), range(14), range(33)):
+        def ok(m, d):
+            try:
+                return 1800 <= datetime.date(y, m, d).year <= 2199
+            except ValueError:
+                return False
+        assert bool(re.search(pii.DATE, f"{y}-{m:02}-{d:02}")) == ok(m, d)
+        for sep in "/.":
+            assert bool(re.search(pii.DATE, f"{m:02}{sep}{d:02}{sep}{y}")) == (ok(m, d) or ok(d, m))
