@@ -8,7 +8,8 @@ pass are added to the row's pattern as they stand.  A valid number or date is
 permuted by a keyed Feistel network on its own format's domain, so the result
 is again valid, equal values get equal pseudonyms in every document, and
 different values stay different.  E-mail addresses and secrets, which have no
-numeric domain, get a keyed hash in the same shape.  Invalid candidates stay.
+numeric domain, get a keyed hash in the same shape; a secret is taken to its end.
+Letters in an IBAN's account stay where they are.  Invalid candidates stay.
 
 Round function: 60 bits of SHA-256 over key, domain, round and the other half.
 The network adds it modulo ``a`` and ``b`` in turn, a permutation of [0, a*b).
@@ -33,10 +34,10 @@ ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
 SECRET = (r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
-          r"[A-Za-z0-9_+/-]{16,256}={0,2}")
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])"
+          r"[A-Za-z0-9_+/-]{16}[A-Za-z0-9_+/.~-]*(?<![.~])={0,2}")
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]\d\d|\d{1,2})"
-IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+IP = rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 _YEAR = r"(?:1[89]|2[01])\d{2}"
 _LEAP = r"(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
 _DAYS = ((r"(?:0[13578]|1[02])", r"(?:0[1-9]|[12]\d|3[01])"), (r"(?:0[469]|11)", r"(?:0[1-9]|[12]\d|30)"), ("02", r"(?:0[1-9]|1\d|2[0-8])"))
@@ -49,11 +50,11 @@ def _year_last(sep: str) -> list[str]:
 
 
 _YEAR_FIRST = [f"{_YEAR}-{m}-{d}" for m, d in _DAYS] + [f"{_LEAP}-02-29"]
-DATE = r"(?<![\d./-])(?:" + "|".join(_YEAR_FIRST + _year_last("/") + _year_last(r"\.")) + r")(?![./-]?\d)"
-SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
+DATE = r"(?=\d\d[\d./])(?<![\d./-])(?:" + "|".join(_YEAR_FIRST + _year_last("/") + _year_last(r"\.")) + r")(?![./-]?\d)"
+SSN = r"(?=\d)(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = (r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
-         r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
+         r"|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
 # The patterns before, between and after a row's valid IBANs and cards.
 _PARTS = ("|".join((EMAIL, SECRET)), "|".join((IP, DATE, SSN)), PHONE)
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
@@ -173,12 +174,16 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """An IBAN with the digits of its account permuted, its letters in place."""
     plain = F.replace(m, F.lit(" "), F.lit(""))
 
     def new(s: Column) -> Column:
-        body = feistel_digits(F.substr(s, F.lit(5)), "iban", key)
-        zero = F.concat(F.substr(s, F.lit(1), F.lit(2)), F.lit("00"), body)
-        return F.concat(F.lpad((98 - _mod97(zero)).cast("string"), 2, "0"), body)
+        body = F.substr(s, F.lit(5))
+
+        def checked(d: Column) -> Column:
+            zero = F.concat(F.substr(s, F.lit(1), F.lit(2)), F.lit("00"), _fill(body, d))
+            return F.concat(F.lpad((98 - _mod97(zero)).cast("string"), 2, "0"), d)
+        return let(feistel_digits(_digits(body), "iban", key), checked)
     return F.concat(F.substr(m, F.lit(1), F.lit(2)), _fill(F.substr(m, F.lit(3)), let(plain, new)))
 
 
@@ -194,13 +199,14 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"([A-Za-z0-9_+/-]{16,256}={0,2})$", 1)
+    value = F.regexp_extract(m, r"([A-Za-z0-9_+/-]{16}[A-Za-z0-9_+/.~-]*={0,2})$", 1)
     h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256)
-    return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.substr(F.repeat(h, 5), F.lit(1), F.length(value)))
+    return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.substr(F.repeat(h, (F.length(value) / 64).cast("int") + 1), F.lit(1), F.length(value)))
 
 
 def _valid_iban(m: Column) -> Column:
-    return let(F.replace(m, F.lit(" "), F.lit("")), lambda s: _mod97(s) == 1)
+    """15 to 34 characters, two digits or more after the check digits, and mod 97."""
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.length(s).between(15, 34) & (F.length(_digits(s)) >= 4) & (_mod97(s) == 1))
 
 
 def _valid_card(m: Column) -> Column:

@@ -99,3 +99,20 @@ def test_date_pattern_is_the_calendar():
         assert bool(re.search(pii.DATE, f"{y}-{m:02}-{d:02}")) == ok(m, d)
         for sep in "/.":
             assert bool(re.search(pii.DATE, f"{m:02}{sep}{d:02}{sep}{y}")) == (ok(m, d) or ok(d, m))
+
+
+def test_ibans_with_letters_long_secrets_and_spaced_phones(spark):
+    value = "aB3_" * 100 + "." + "xyZ9" * 50 + "=="
+    cases = [(f"pay {x} PAID NOW", x, "iban") for x in
+             ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606",
+              "IT60 X054 2811 1010 0000 0123 456", "MT84 MALT 0110 0001 2345 MTLC AST0 01S")]
+    cases += [("call 212 555 0100 now", "212 555 0100", "phone"), (f"see token={value}. Next", f"token={value}", "secret")]
+    got = rewrite(spark, [t for t, _, _ in cases])
+    for i, (t, v, kind) in enumerate(cases):
+        (f,) = got[i].findings
+        assert (f.kind, f.match) == (kind, v) and f.pseudonym != v and len(f.pseudonym) == len(v)
+        assert got[i].text == t.replace(v, f.pseudonym)
+        if kind == "iban":
+            assert "".join(c for c in f.pseudonym if c.isalpha()) == "".join(c for c in v if c.isalpha())
+            s = f.pseudonym.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
