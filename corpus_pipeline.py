@@ -47,8 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")))  # documents without id go by their text
+    keyed = docs.select(key.alias("key"), "text")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    hit = written(found.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return docs.join(hit, key == F.col("_hit"), "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

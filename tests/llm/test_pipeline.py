@@ -63,3 +63,12 @@ def test_empty_documents(spark, tmp_path):
     cp.table(spark, sf, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     cp.table(spark, sf, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_contaminated_documents_without_id_go(spark, tmp_path):
+    sf, items = table(spark, tmp_path)
+    dirty, clean = f"before {items[0][1]} after", "nothing of that kind is in here"
+    rows = [(None, dirty, 0), (None, dirty, 1), (None, clean, 2), (None, None, 3), (42, clean, 4), (7, dirty, 5)]
+    docs = spark.createDataFrame([(i, t, None, None, n) for i, t, n in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_chars for r in cp.decontamination(spark, docs, sf).collect()) == [2, 3, 4]
