@@ -297,8 +297,8 @@ def q_var_cvar(spark, sf_dir):
     "SELECT portfolio_id, trade_date, scenario_date, _p AS pnl, CAST(rk AS INT) AS loss_rank FROM (SELECT *, row_number() OVER "
     "(PARTITION BY portfolio_id, trade_date ORDER BY _p, scenario_date) AS rk FROM r) x WHERE rk <= 5", _PNL_R))
 def q_scenario_rank(spark, sf_dir):
-    """The five worst scenarios of every portfolio on every valuation date."""
-    return VR.scenario_rank(_pnl(spark, sf_dir), VR.GROUP, top=5)
+    """Every scenario of every portfolio on every valuation date, worst first."""
+    return VR.scenario_rank(_pnl(spark, sf_dir), VR.GROUP)
 
 
 @register("worst_best_days", with_ctes(

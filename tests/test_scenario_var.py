@@ -75,3 +75,12 @@ def test_scenarios_end_at_the_valuation_date(spark):
     assert [(x.n, x.scenario_date) for x in r.orderBy("n").collect()] == [(1, day(2)), (2, day(3)), (3, day(5))]
     asked = spark.createDataFrame([("NIFTY", day(i)) for i in (1, 3, 4, 9)], "driver_symbol string, trade_date date")
     assert {x.trade_date: x.last_n for x in last_known(r, asked).collect()} == {day(1): 0, day(3): 2, day(4): 2, day(9): 3}
+
+
+def test_scenario_rank_query_keeps_every_scenario(spark, sf_small):
+    from riskloom import queryset as Q
+    ranked = Q.q_scenario_rank(spark, sf_small)
+    group = ["portfolio_id", "trade_date"]
+    got = {tuple(r[:2]): tuple(r[2:]) for r in ranked.groupBy(*group).agg(F.count("*"), F.max("loss_rank"), F.countDistinct("loss_rank")).collect()}
+    want = {tuple(r[:2]): (r[2],) * 3 for r in Q._pnl(spark, sf_small).groupBy(*group).count().collect()}
+    assert got == want and max(n for n, _, _ in want.values()) > 5
