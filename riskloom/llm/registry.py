@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (automaton, chat_format, decontaminate, fill_in_middle, lang_ppm, line_dedup, minhash, packing, pii, quality_rules,
-               suffix_array)
+from . import (automaton, chat_format, conversation_repair, decontaminate, fill_in_middle, lang_ppm, line_dedup, minhash,
+               packing, pii, quality_rules, suffix_array)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_language_id": lang_ppm.op8_language_id,
     "op9_substring_dedup": automaton.op9_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
@@ -30,6 +31,7 @@ ORACLE = {
     "op4_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.oracle(),
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
