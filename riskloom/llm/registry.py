@@ -1,7 +1,7 @@
 """Queries of the text operators and the pipeline, and their SQL where SQL can express them.
 
-Without SQL: packing, near-duplicates, PII, suffix arrays, language ID,
-substring dedup and decontamination are tested against brute force.
+Without SQL: packing, near-duplicates, PII, suffix arrays, language ID, substring
+dedup, decontamination and toxicity are tested against brute force.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import (automaton, chat_format, conversation_repair, decontaminate, fill_in_middle, lang_ppm, line_dedup, minhash,
-               packing, pii, quality_rules, suffix_array)
+               packing, pii, quality_rules, suffix_array, toxicity)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_toxicity": toxicity.op13_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
