@@ -85,18 +85,23 @@ class Context:
     def positions(self) -> DataFrame:
         return self.layers.positions
 
-    def scenario_pnl(self, lookback: int, driver: str | None) -> DataFrame:
-        """Scenario PnL of every portfolio and valuation date, stored on first use."""
-        from .operators.var import scenario_pnl_by_date
+    def scenario_vectors(self, lookback: int, driver: str | None) -> DataFrame:
+        """Scenario PnL of every portfolio and valuation date, one array each, stored on first use."""
+        from .operators.var import scenario_vectors
         from .sources.writers import write_table
         key = (lookback, driver)
         if key not in self._pnl:
             path = f"{self.layers.root}/risk/pnl_{lookback}_{driver or 'own'}"
-            write_table(scenario_pnl_by_date(self.positions, self.chain_keyed, self.futures, self.processed.lot_size,
-                                             self.processed.spot, lookback, driver), path)
+            write_table(scenario_vectors(self.positions, self.chain_keyed, self.futures, self.processed.lot_size,
+                                         self.processed.spot, lookback, driver), path)
             self._pnl[key] = self.spark.read.parquet(path)
         return self._pnl[key]
 
+    def scenario_pnl(self, lookback: int, driver: str | None) -> DataFrame:
+        """The same, one row per scenario."""
+        from .operators.var import flat_pnl
+        return flat_pnl(self.scenario_vectors(lookback, driver))
+
 
 _CTX: dict[tuple[str, str], Context] = {}
 

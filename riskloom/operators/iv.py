@@ -1,40 +1,24 @@
-"""Implied volatility: the one Arrow-batched Python step of the engine.
-
-Solving for sigma needs an iteration per row, which Spark SQL can only
-express with an interpreted higher-order lambda (``aggregate(sequence…)``),
-an order of magnitude slower than a vectorised numpy loop.  So the solver
-is a scalar ``pandas_udf``: Spark ships only the seven argument columns to
-Python in Arrow batches and gets one column back — the wide chain row never
-leaves the JVM and no join is needed to re-attach the result.
-
-Method (fixed): guarded bisection on [0.001, 5.0], 60 halvings
-(5 / 2^60 is below double resolution), decision ``price(mid) > target →
-hi = mid else lo = mid``, answer ``(lo + hi) / 2``.  A row gets an IV only
-if it passes :func:`iv_valid`, the target is bracketed by the prices at the
-two bounds, and the repriced residual is below 1e-6; otherwise NULL.
+"""Implied volatility as Columns: no loop, no Python worker.
+
+:func:`with_implied_vol` runs the stages of ``functions.impliedvol`` (a rational first
+guess, three third-order Householder steps) and keeps the root if it reprices
+within 1e-6 and lies in [0.001, 5].  Rows whose price does not determine the volatility
+in double precision take the bisection that defines the answer there; its
+expression sits in a CASE branch, so other rows do not pay for it.  A row gets an IV
+only if it passes :func:`iv_valid`; otherwise NULL.
+
+:func:`solve_iv_np` is the same definition by bisection in numpy, for the tests.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import normal as _normal
+from ..functions.blackscholes import apply_stages, stage_columns
+from ..functions.impliedvol import BISECTIONS, IV_LOWER, IV_UPPER, TOLERANCE, bisection_sql, iv_stages
 from ..functions.normal import norm_cdf_np
-from ..shipping import ship_by_value
-
-# The UDF is pickled by value (with the numpy kernels it calls), so executors
-# need no copy of this package on their path.
-ship_by_value(_normal)
-ship_by_value(__name__)
-
-IV_LOWER = 0.001
-IV_UPPER = 5.0
-BISECTIONS = 60
-TOLERANCE = 1e-6
 
 
 def bs_price_np(S, K, T, r, q, sigma, w):
@@ -92,15 +76,6 @@ def solve_iv_np(px, S, K, T, r, q, is_call, valid) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _iv_udf(px: pd.Series, S: pd.Series, K: pd.Series, T: pd.Series, r: pd.Series,
-            q: pd.Series, is_call: pd.Series, valid: pd.Series) -> pd.Series:
-    f = lambda s: s.to_numpy(dtype=np.float64, na_value=np.nan)
-    v = valid.fillna(False).to_numpy(dtype=bool)
-    iv = solve_iv_np(f(px), f(S), f(K), f(T), f(r), f(q), is_call.fillna(False).to_numpy(dtype=bool), v)
-    return pd.Series(iv)
-
-
 def iv_valid(settle="settle", S="spot", K="strike", T="t_years", r="rate", q="q",
              option_type="option_type") -> Column:
     """Row can carry an IV: live, positive inputs, CE/PE, settle not below
@@ -118,11 +93,13 @@ def iv_valid(settle="settle", S="spot", K="strike", T="t_years", r="rate", q="q"
     )
 
 
-def implied_vol(settle="settle", S="spot", K="strike", T="t_years", r="rate", q="q",
-                option_type="option_type", valid: Column | None = None) -> Column:
-    """Column with the implied volatility (NULL where not solvable)."""
-    valid = iv_valid(settle, S, K, T, r, q, option_type) if valid is None else valid
-    raw = _iv_udf(F.col(settle), F.col(S), F.col(K), F.col(T), F.col(r), F.col(q),
-                  F.col(option_type) == "CE", valid)
-    # the Arrow step returns NaN for "no solution"; the engine's missing is NULL
-    return F.nanvl(raw, F.lit(None).cast("double"))
+def with_implied_vol(df: DataFrame, out: str = "iv", settle="settle", S="spot", K="strike", T="t_years", r="rate", q="q",
+                     option_type="option_type") -> DataFrame:
+    """Add ``out``: the implied volatility (NULL where not solvable)."""
+    ok = "_iv_ok"
+    stages = iv_stages(settle, S, K, T, r, q, f"{option_type} = 'CE'", ok)
+    d = apply_stages(df.withColumn(ok, iv_valid(settle, S, K, T, r, q, option_type)), stages)
+    d = d.withColumn(out, F.expr(
+        f"CASE WHEN _iv_well THEN CASE WHEN _iv_fit AND _iv_sig BETWEEN {IV_LOWER!r}D AND {IV_UPPER!r}D THEN _iv_sig END "
+        f"WHEN {ok} THEN {bisection_sql(settle, S, K, r, q)} END"))
+    return d.drop(ok, *stage_columns(stages))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blackscholes import with_bs_greeks, with_bs_price
 from ..functions.curve import interpolate_rate
-from .iv import implied_vol, iv_valid
+from .iv import iv_valid, with_implied_vol
 
 GREEKS = ["delta", "gamma", "vega", "theta", "rho"]
 
@@ -31,8 +31,7 @@ def curate_greeks(df: DataFrame) -> DataFrame:
 
     Expects spot, strike, settle, dte, option_type, rate, div_yield (%).
     """
-    df = with_model_inputs(df)
-    df = df.withColumn("iv", implied_vol())
+    df = with_implied_vol(with_model_inputs(df))
     df = with_bs_greeks(df, "spot", "strike", "t_years", "rate", "q", "iv",
                         "option_type = 'CE'")
     return df.drop("t_years", "q")

@@ -27,7 +27,8 @@ def _price_sql(src: str, sigma: str, p: str) -> str:
                                      "option_type = 'CE'", p))
 
 
-def _iv_ctes() -> list[tuple[str, str]]:
+def iv_ctes(base: str = "c_base", p: str = "iv") -> list[tuple[str, str]]:
+    """Bisection over the valid rows of ``base``, as CTEs named with ``p``; ``{p}_out`` has the key and the volatility."""
     valid = (
         "(t_years > 0 AND settle > 0 AND spot > 0 AND strike > 0 AND option_type IN ('CE','PE') "
         "AND settle >= (CASE WHEN option_type = 'CE' "
@@ -35,21 +36,21 @@ def _iv_ctes() -> list[tuple[str, str]]:
         "ELSE greatest(strike * exp(-rate * greatest(t_years, 1e-10)) - spot * exp(-q * greatest(t_years, 1e-10)), 0e0) END)"
         f" - {TOLERANCE!r})"
     )
-    lo_src = f"(SELECT {IV_IN_COLS} FROM c_base WHERE {valid})"
+    lo_src = f"(SELECT {IV_IN_COLS} FROM {base} WHERE {valid})"
     lo = _price_sql(lo_src, f"{IV_LOWER!r}e0", "_lo")
     both = _price_sql(f"(SELECT {IV_IN_COLS}, _lo_price FROM {lo} AS l)", f"{IV_UPPER!r}e0", "_hi")
-    step_src = f"(SELECT {IV_IN_COLS}, k, lo, hi, (lo + hi) / 2e0 AS m FROM iv_bis WHERE k < {BISECTIONS})"
+    step_src = f"(SELECT {IV_IN_COLS}, k, lo, hi, (lo + hi) / 2e0 AS m FROM {p}_bis WHERE k < {BISECTIONS})"
     step = _price_sql(step_src, "m", "_m")
-    final_src = f"(SELECT {IV_IN_COLS}, (lo + hi) / 2e0 AS sig FROM iv_bis WHERE k = {BISECTIONS})"
+    final_src = f"(SELECT {IV_IN_COLS}, (lo + hi) / 2e0 AS sig FROM {p}_bis WHERE k = {BISECTIONS})"
     final = _price_sql(final_src, "sig", "_f")
     return [
-        ("iv_start", f"SELECT {IV_IN_COLS} FROM {both} AS b "
+        (f"{p}_start", f"SELECT {IV_IN_COLS} FROM {both} AS b "
                      "WHERE _lo_price - settle <= 0e0 AND _hi_price - settle >= 0e0"),
-        ("iv_bis", f"SELECT {IV_IN_COLS}, 0 AS k, {IV_LOWER!r}e0 AS lo, {IV_UPPER!r}e0 AS hi FROM iv_start "
+        (f"{p}_bis", f"SELECT {IV_IN_COLS}, 0 AS k, {IV_LOWER!r}e0 AS lo, {IV_UPPER!r}e0 AS hi FROM {p}_start "
                    f"UNION ALL SELECT {IV_IN_COLS}, k + 1 AS k, "
                    "CASE WHEN _m_price > settle THEN lo ELSE m END AS lo, "
                    f"CASE WHEN _m_price > settle THEN m ELSE hi END AS hi FROM {step} AS s"),
-        ("iv_out", f"SELECT {KEY5}, sig AS iv FROM {final} AS f WHERE abs(_f_price - settle) < {TOLERANCE!r}"),
+        (f"{p}_out", f"SELECT {KEY5}, sig AS iv FROM {final} AS f WHERE abs(_f_price - settle) < {TOLERANCE!r}"),
     ]
 
 
@@ -92,7 +93,7 @@ WHERE r.rate_3m IS NOT NULL AND r.rate_6m IS NOT NULL AND r.rate_1y IS NOT NULL"
     ("c_base", f"""SELECT o.*, m.spot, m.div_yield, {interpolate_rate_sql('o.dte', 'm.rate_3m', 'm.rate_6m', 'm.rate_1y')} AS rate,
   o.dte / 365e0 AS t_years, m.div_yield / 100e0 AS q
 FROM p_options o JOIN p_mkt m ON o.trade_date = m.trade_date AND o.symbol = m.symbol"""),
-    *_iv_ctes(),
+    *iv_ctes(),
     ("c_iv", f"""SELECT b.*, i.iv FROM c_base b LEFT JOIN iv_out i ON b.trade_date = i.trade_date
   AND b.symbol = i.symbol AND b.expiry_date = i.expiry_date AND b.strike = i.strike AND b.option_type = i.option_type"""),
     ("chain", f"""SELECT {CHAIN_COLS}, iv, _g_delta AS delta, _g_gamma AS gamma, _g_vega AS vega,

@@ -248,6 +248,10 @@ def _pnl(spark, sf_dir, driver="NIFTY"):
     return ctx(spark, sf_dir).scenario_pnl(LOOKBACK, driver)
 
 
+def _vectors(spark, sf_dir, driver="NIFTY"):
+    return ctx(spark, sf_dir).scenario_vectors(LOOKBACK, driver)
+
+
 def _pnl_r(driver="NIFTY"):
     return [O.RETURNS_ALL, ("r", f"SELECT portfolio_id, trade_date, scenario_date, {RD('portfolio_pnl', 2)} AS _p "
                                  f"FROM {O.scenario_pnl_sql(LOOKBACK, driver)} AS s")]
@@ -282,7 +286,7 @@ def q_scenario_cross(spark, sf_dir):
 @register("portfolio_var", with_ctes(O.var_cvar_sql("r"), _PNL_R))
 def q_portfolio_var(spark, sf_dir):
     """VaR and CVaR of every portfolio on every valuation date."""
-    return VR.var_cvar(_pnl(spark, sf_dir), VR.GROUP)
+    return VR.var_cvar_vectors(_vectors(spark, sf_dir))
 
 
 @register("var_cvar", with_ctes(
@@ -290,15 +294,15 @@ def q_portfolio_var(spark, sf_dir):
     f"{RD('-quantile_cont(_p, 0.01)', 2)} AS var_99 FROM r GROUP BY 1", _PNL_R))
 def q_var_cvar(spark, sf_dir):
     """The VaR aggregate over a stored PnL table: all valuation dates of a portfolio pooled."""
-    return VR.var_cvar(_pnl(spark, sf_dir)).select("portfolio_id", "scenario_count", "var_95", "var_99")
+    return VR.pooled_var(_pnl(spark, sf_dir))
 
 
 @register("scenario_rank", with_ctes(
     "SELECT portfolio_id, trade_date, scenario_date, _p AS pnl, CAST(rk AS INT) AS loss_rank FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY portfolio_id, trade_date ORDER BY _p, scenario_date) AS rk FROM r) x WHERE rk <= 5", _PNL_R))
+    "(PARTITION BY portfolio_id, trade_date ORDER BY _p, scenario_date) AS rk FROM r) x", _PNL_R))
 def q_scenario_rank(spark, sf_dir):
     """Every scenario of every portfolio on every valuation date, worst first."""
-    return VR.scenario_rank(_pnl(spark, sf_dir), VR.GROUP)
+    return VR.rank_vectors(_vectors(spark, sf_dir))
 
 
 @register("worst_best_days", with_ctes(
@@ -306,7 +310,7 @@ def q_scenario_rank(spark, sf_dir):
     "arg_min(scenario_date, (-_p, scenario_date)) AS best_date, max(_p) AS best_pnl FROM r GROUP BY portfolio_id, trade_date",
     _PNL_R))
 def q_worst_best_days(spark, sf_dir):
-    return VR.worst_best_days(_pnl(spark, sf_dir), VR.GROUP)
+    return VR.worst_best_vectors(_vectors(spark, sf_dir))
 
 
 @register("pnl_histogram", with_ctes(
@@ -660,7 +664,7 @@ def q_distinct_expiries(spark, sf_dir):
 def q_portfolio_var_per_symbol(spark, sf_dir):
     """VaR with every leg shocked by its own index's returns (the
     alternative to one driver index for all legs)."""
-    return VR.var_cvar(_pnl(spark, sf_dir, None), VR.GROUP)
+    return VR.var_cvar_vectors(_vectors(spark, sf_dir, None))
 
 
 @register("mtm_futures_settle", with_ctes(

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from . import fixtures as FX
 from .catalog import ctx, register
 from .dims import SYMBOLS
+from .functions.curve import interpolate_rate_sql
 from .operators import clean as CL
 from .operators import freshness as FR
 from .operators import joins as JN
 from .operators import quality as QA
 from .operators.dedupe import dedupe_first, symbol_set_difference, union_append
-from .oracle import with_ctes
+from .oracle import iv_ctes, with_ctes
 from .schemas import OPTIONS_KEY
 from .sources import readers as RD
 from .sources import writers as WR
@@ -737,24 +738,24 @@ for _name, _sql in _FILE_TABLES.items():
     register(f"processed_{_name}_from_files", with_ctes(_sql, _FILES))(_file_table(_name))
 
 
+_F_KEY = "f.trade_date = i.trade_date AND f.symbol = i.symbol AND f.expiry_date = i.expiry_date AND f.strike = i.strike AND f.option_type = i.option_type"
+_CURATED_FILES = _FILES + [
+    ("f_base", f"SELECT o.*, m.spot, m.div_yield, {interpolate_rate_sql('o.dte', 'm.rate_3m', 'm.rate_6m', 'm.rate_1y')} AS rate, "
+     "o.dte / 365e0 AS t_years, m.div_yield / 100e0 AS q FROM f_opt o JOIN p_mkt m ON o.trade_date = m.trade_date AND o.symbol = m.symbol"),
+    *iv_ctes("f_base", "fiv")]
+
+
 @register("curated_from_files", with_ctes(
-    "SELECT o.trade_date, o.symbol, o.expiry_date, o.strike, o.option_type, o.open, o.settle, o.dte, m.spot, m.div_yield, "
-    "CASE WHEN c.settle = o.settle THEN c.rate END AS rate, CASE WHEN c.settle = o.settle THEN c.iv END AS iv "
-    "FROM f_opt o JOIN p_mkt m ON o.trade_date = m.trade_date AND o.symbol = m.symbol JOIN chain c ON "
-    "o.trade_date = c.trade_date AND o.symbol = c.symbol AND o.expiry_date = c.expiry_date AND o.strike = c.strike "
-    "AND o.option_type = c.option_type WHERE c.settle = o.settle", _FILES))
+    "SELECT f.trade_date, f.symbol, f.expiry_date, f.strike, f.option_type, f.open, f.settle, f.dte, f.spot, f.div_yield, f.rate, i.iv "
+    f"FROM f_base f LEFT JOIN fiv_out i ON {_F_KEY}", _CURATED_FILES))
 def q_curated_from_files(spark, sf_dir):
-    """Landed files -> processed -> curated in one job; the contracts whose price
-    also won in the fixture's chain, which the oracle can price."""
+    """Landed files -> processed -> curated in one job: the whole option chain."""
     from .plans.daily import run_daily
-    c = ctx(spark, sf_dir)
     root = _out(spark, sf_dir, "daily_job")
     run_daily(spark, _land(spark, sf_dir, "files_daily"), root, mode="full")
     got = spark.read.parquet(os.path.join(root, "curated", "option_chain"))
-    same = c.chain.select("trade_date", "symbol", "expiry_date", "strike", "option_type", F.col("settle").alias("s"))
-    j = got.join(same, ["trade_date", "symbol", "expiry_date", "strike", "option_type"]).filter("settle = s")
-    return j.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "open", "settle", "dte", "spot",
-                    "div_yield", "rate", "iv")
+    return got.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "open", "settle", "dte", "spot",
+                      "div_yield", "rate", "iv")
 
 
 @register("audit_derivatives_feed", with_ctes(

@@ -9,7 +9,7 @@ from .catalog import ctx, register
 from .functions.blackscholes import apply_stages, bs_stages, greek_stages, stage_columns, stages_sql
 from .functions.normal import cdf_stages, pdf_sql
 from .operators import pricing as PR
-from .operators.iv import implied_vol, iv_valid
+from .operators.iv import iv_valid, with_implied_vol
 from .oracle import with_ctes
 
 KEY = ["trade_date", "symbol", "expiry_date", "strike", "option_type"]
@@ -41,7 +41,7 @@ def q_iv_valid(spark, sf_dir):
 
 @register("implied_vol", with_ctes(f"SELECT {KEYS}, iv FROM c_iv"))
 def q_implied_vol(spark, sf_dir):
-    return _base(spark, sf_dir).select(*KEY, implied_vol().alias("iv"))
+    return with_implied_vol(_base(spark, sf_dir)).select(*KEY, "iv")
 
 
 _X = "ln(spot / strike) * 10e0"

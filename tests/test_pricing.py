@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.blackscholes import apply_stages, bs_stages, greek_stages
 from riskloom.functions.normal import cdf_stages, norm_cdf_np
-from riskloom.operators.iv import bs_price_np, implied_vol, solve_iv_np
+from riskloom.operators.iv import bs_price_np, iv_valid, solve_iv_np, with_implied_vol
 
 
 def ref_price(S, K, T, r, q, s, call):
@@ -92,7 +92,7 @@ def test_iv_round_trip_numpy():
 def _iv_frame(spark, rows):
     df = spark.createDataFrame(rows, "settle double, spot double, strike double, t_years double, rate double, "
                                      "q double, option_type string")
-    return df.withColumn("iv", implied_vol()).collect()
+    return with_implied_vol(df).collect()
 
 
 def test_iv_spark_round_trip_and_invalid_rows(spark):
@@ -126,6 +126,46 @@ def test_iv_never_nan(spark):
     assert out[0].iv is None
 
 
+def _grid():
+    """Prices of a wide grid, out to volatilities and moneyness where they say nothing, and off by a little."""
+    rows = []
+    for m in (0.5, 0.8, 0.95, 0.999, 1.0, 1.001, 1.05, 1.3, 2.0):
+        for T in (1 / 365, 7 / 365, 0.25, 2.0):
+            for s in (0.001, 0.0011, 0.01, 0.05, 0.2, 0.6, 1.5, 4.0, 5.0):
+                for call in (True, False):
+                    px = ref_price(22000.0, 22000.0 * m, T, 0.065, 0.0123, s, call)
+                    rows += [(px + e, 22000.0, 22000.0 * m, T, 0.065, 0.0123, "CE" if call else "PE") for e in (0.0, 1e-7, 0.05)]
+    rows += [(px, S, S, T, 0.0, 0.0, "CE") for px, S, T in ((400.0, 20000.0, 0.1), (1e-9, 20000.0, 0.1), (0.05, 1.0, 0.1))]  # ln(S/K) = 0
+    return rows
+
+
+def test_iv_equals_bisection_where_the_price_decides_and_reprices_everywhere(spark):
+    rows = _grid()
+    df = spark.createDataFrame(rows, "settle double, spot double, strike double, t_years double, rate double, q double, option_type string")
+    got = with_implied_vol(df.withColumn("ok", iv_valid())).collect()
+    a = {k: np.array([getattr(r, k) for r in got], float) for k in ("settle", "spot", "strike", "t_years", "rate", "q")}
+    call, ok = np.array([r.option_type == "CE" for r in got]), np.array([r.ok for r in got])
+    iv = np.array([np.nan if r.iv is None else r.iv for r in got])
+    want = solve_iv_np(a["settle"], a["spot"], a["strike"], a["t_years"], a["rate"], a["q"], call, ok)
+    w = np.where(call, 1.0, -1.0)
+    price = lambda s: bs_price_np(a["spot"], a["strike"], a["t_years"], a["rate"], a["q"], s, w)
+    both = ~np.isnan(iv) & ~np.isnan(want)
+    assert both.sum() > 1000
+    assert np.max(np.abs(price(iv) - a["settle"])[~np.isnan(iv)]) < 1e-6
+    # without an answer only at the ends of the interval, where one rounding decides
+    edge = np.minimum(np.abs(price(np.full(len(iv), 0.001)) - a["settle"]), np.abs(price(np.full(len(iv), 5.0)) - a["settle"])) < 1e-9
+    assert np.all(edge | (np.isnan(iv) == np.isnan(want)))
+    vega = (price(iv + 1e-4) - price(iv - 1e-4)) / 2e-4
+    sharp = both & (vega > 1e-3 * a["spot"])
+    assert sharp.sum() > 700 and np.max(np.abs(iv - want)[sharp]) < 1e-10
+
+
+def test_curated_chain_has_no_python_node(spark, sf_small):
+    import __spark_entry__ as entry
+    plan = entry.queries()["curate_greeks"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_greeks_are_finite_differences_of_the_reference_price(spark):
     """Formulas against other arithmetic: erf prices, central differences."""
     for r in _priced(spark):

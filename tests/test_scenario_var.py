@@ -84,3 +84,76 @@ def test_scenario_rank_query_keeps_every_scenario(spark, sf_small):
     got = {tuple(r[:2]): tuple(r[2:]) for r in ranked.groupBy(*group).agg(F.count("*"), F.max("loss_rank"), F.countDistinct("loss_rank")).collect()}
     want = {tuple(r[:2]): (r[2],) * 3 for r in Q._pnl(spark, sf_small).groupBy(*group).count().collect()}
     assert got == want and max(n for n, _, _ in want.values()) > 5
+
+
+def _by_rows(c, lookback, driver):
+    """Scenario PnL with one row per leg and scenario, through the single-contract operator."""
+    from riskloom.operators import var as V
+    from riskloom.operators.portfolio import net_positions, resolve_positions
+    spark = c.spark
+    opt, fut = resolve_positions(net_positions(c.positions), c.chain_keyed, c.futures, c.processed.lot_size)
+    r, drv = numbered_returns(c.processed.spot), V.driver_map(spark, driver)
+
+    def expand(d):
+        known = last_known(r, d.select("trade_date", "symbol").distinct().join(drv, "symbol"))
+        d = d.join(drv, "symbol").join(known, ["driver_symbol", "trade_date"]).join(r.withColumnRenamed("driver_symbol", "drv"), (
+            F.col("driver_symbol") == F.col("drv")) & (F.col("n") <= F.col("last_n")) & (F.col("n") > F.col("last_n") - lookback))
+        return d.withColumns({"vol_shock_abs": F.lit(0.0), "rate_shock_bps": F.lit(0.0)})
+    cols = ["portfolio_id", "trade_date", "scenario_date", "pnl_total"]
+    u = scenario_option(expand(opt)).select(*cols).unionByName(scenario_futures(expand(fut)).select(*cols))
+    return u.groupBy(*cols[:3]).agg(F.sum("pnl_total").alias("want"))
+
+
+@pytest.mark.parametrize("driver,lookback", [("NIFTY", 30), (None, 17)])
+def test_vectors_equal_row_by_row_pricing(spark, sf_small, driver, lookback):
+    from riskloom import catalog
+    from riskloom.operators import var as V
+    c = catalog.ctx(spark, sf_small)
+    v = V.scenario_vectors(c.positions, c.chain_keyed, c.futures, c.processed.lot_size, c.processed.spot, lookback, driver, partitions=5)
+    key = ["portfolio_id", "trade_date", "scenario_date"]
+    both = V.flat_pnl(v).join(_by_rows(c, lookback, driver), key, "full").select(
+        F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.abs(F.col("portfolio_pnl") - F.col("want")), F.lit(1e9))).alias("d")).first()
+    assert both.n > 1000 and both.d < 1e-6
+    flat = V.flat_pnl(v)
+    for a, b in ((V.var_cvar_vectors(v), V.var_cvar(flat, V.GROUP)), (V.rank_vectors(v), V.scenario_rank(flat, V.GROUP)),
+                 (V.worst_best_vectors(v), V.worst_best_days(flat, V.GROUP))):
+        a, b = a.select(*b.columns), b
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_a_hot_portfolio_or_date_makes_no_hot_task(spark):
+    from riskloom.operators import var as V
+    legs = spark.range(60000).selectExpr(
+        "if(id % 3 = 0, 1, id % 997) as portfolio_id", "date_add(date'2024-01-01', cast(if(id % 3 = 0, 7, id % 200) as int)) as trade_date",
+        "'NIFTY' as symbol", "date'2025-01-01' as expiry_date", "cast(id % 5000 as double) as strike", "'CE' as option_type")
+    sizes = legs.groupBy("trade_date").agg(F.count(F.lit(1)).alias("legs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = V.dealt(legs, sizes, 8)
+        n = sorted(r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect())
+        whole = d.select("trade_date", "strike", F.spark_partition_id().alias("p")).distinct()
+        assert whole.groupBy("trade_date", "strike").count().where("count > 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(n) == 8 and n[-1] <= 2 * n[4]
+
+
+def test_exact_ranks_by_counting(spark):
+    from riskloom.operators import var as V
+    rng = np.random.default_rng(3)
+    groups = {1: rng.integers(-10**12, 10**12, 500), 2: np.array([5]), 3: np.repeat([-7, 0, 7], 40), 4: rng.integers(0, 50, 300)}
+    df = spark.createDataFrame([(g, int(x)) for g, xs in groups.items() for x in xs] + [(1, None)], "g int, v long")
+    ranks = [(g, f"r{k}", k) for g, xs in groups.items() for k in {0, len(xs) // 20, len(xs) - 1}]
+    got = V.exact_ranks(df, ["g"], "v", spark.createDataFrame(ranks, "g int, target string, rank long"), bins=16)
+    assert {(r.g, r.target): r.value for r in got.collect()} == {(g, t): int(np.sort(groups[g])[k]) for g, t, k in ranks}
+
+
+def test_pooled_var_against_numpy(spark):
+    from riskloom.operators import var as V
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x)) for g, s in ((1, 1e4), (2, 3.0), (3, 0.0)) for x in np.round(rng.normal(0, 1, 1000) * s, 2)]
+    out = V.pooled_var(spark.createDataFrame(rows, "portfolio_id int, portfolio_pnl double")).collect()
+    for r in out:
+        x = np.array([v for g, v in rows if g == r.portfolio_id])
+        assert r.scenario_count == 1000
+        assert r.var_95 == pytest.approx(-np.percentile(x, 5), abs=0.0051) and r.var_99 == pytest.approx(-np.percentile(x, 1), abs=0.0051)
