@@ -1,8 +1,8 @@
 """Implied volatility as Columns: no loop, no Python worker.
 
 :func:`with_implied_vol` runs the stages of ``functions.impliedvol`` (a rational first
-guess, three third-order Householder steps) and keeps the root if it reprices
-within 1e-6 and lies in [0.001, 5].  Rows whose price does not determine the volatility
+guess, two third-order Householder steps; a settled root reprices within 1e-6) and
+keeps the root if it lies in [0.001, 5].  Rows whose price does not determine the volatility
 in double precision take the bisection that defines the answer there; its
 expression sits in a CASE branch, so other rows do not pay for it.  A row gets an IV
 only if it passes :func:`iv_valid`; otherwise NULL.
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blackscholes import apply_stages, stage_columns
+from ..functions.blackscholes import apply_stages
 from ..functions.impliedvol import BISECTIONS, IV_LOWER, IV_UPPER, TOLERANCE, bisection_sql, iv_stages
 from ..functions.normal import norm_cdf_np
 
@@ -98,8 +98,13 @@ def with_implied_vol(df: DataFrame, out: str = "iv", settle="settle", S="spot",
     """Add ``out``: the implied volatility (NULL where not solvable)."""
     ok = "_iv_ok"
     stages = iv_stages(settle, S, K, T, r, q, f"{option_type} = 'CE'", ok)
-    d = apply_stages(df.withColumn(ok, iv_valid(settle, S, K, T, r, q, option_type)), stages)
-    d = d.withColumn(out, F.expr(
-        f"CASE WHEN _iv_well THEN CASE WHEN _iv_fit AND _iv_sig BETWEEN {IV_LOWER!r}D AND {IV_UPPER!r}D THEN _iv_sig END "
-        f"WHEN {ok} THEN {bisection_sql(settle, S, K, r, q)} END"))
-    return d.drop(ok, *stage_columns(stages))
+    # the row itself travels as one struct, so a stage copies it as bytes and not column by column
+    need = list(dict.fromkeys((settle, S, K, T, r, q, option_type)))
+    kept = [c for c in df.columns if c != out]
+    d = df.select(F.struct(*kept).alias("_iv_row"), *need, iv_valid(settle, S, K, T, r, q, option_type).alias(ok))
+    d = apply_stages(d, stages)
+    # through a generator: a filter on the result must not copy the stages into itself
+    iv = F.expr(
+        f"CASE WHEN _iv_well THEN CASE WHEN _iv_sig BETWEEN {IV_LOWER!r}D AND {IV_UPPER!r}D THEN _iv_sig END "
+        f"WHEN {ok} THEN {bisection_sql(settle, S, K, r, q)} END")
+    return d.select("_iv_row", F.explode(F.array(iv)).alias(out)).select("_iv_row.*", out)

@@ -166,6 +166,15 @@ def test_curated_chain_has_no_python_node(spark, sf_small):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_filters_on_the_volatility_do_not_copy_the_stages(spark):
+    T = 30 / 365.0
+    rows = [(ref_price(22000.0, 22000.0, T, 0.065, 0.0123, s, True), 22000.0, 22000.0, T, 0.065, 0.0123, "CE") for s in (0.1, 0.2)]
+    df = spark.createDataFrame(rows + [(0.0, 1.0, 1.0, T, 0.0, 0.0, "CE")], "settle double, spot double, strike double, "
+                               "t_years double, rate double, q double, option_type string")
+    assert with_implied_vol(df).where("iv is not null and iv > 0.15").count() == 1
+    assert with_implied_vol(df).where("iv is null").count() == 1
+
+
 def test_greeks_are_finite_differences_of_the_reference_price(spark):
     """Formulas against other arithmetic: erf prices, central differences."""
     for r in _priced(spark):
