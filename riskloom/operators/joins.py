@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def pivot_tenors(gbond: DataFrame, value: str = "yield_pct") -> DataFrame:
@@ -71,20 +71,48 @@ def unmatched_market_data(contracts: DataFrame, spot: DataFrame, div_yield: Data
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_s", "_y", "_r")
 
 
+def _month(c: Column) -> Column:
+    return (F.year(c) * 12 + F.month(c)).cast("int")
+
+
+def interval_join(df: DataFrame, periods: DataFrame, key: str, values: Sequence[str], date_col: str = "trade_date") -> DataFrame:
+    """Left join of each row to the period [start_date, end_date | open] of its ``key`` that contains its date.
+
+    For schedules of any size, without a hint: a closed period becomes one row per
+    month, so the join is an equi-join on (key, month) with the dates as residual; a
+    row has one month, and periods of a key never overlap, so no row meets two.  An
+    open period is the only one of its key and joins on the key.  The planner
+    broadcasts a small schedule and merges a large one (AQE splits hot keys).
+    """
+    closed = periods.where("end_date is not null and end_date >= start_date").select(
+        F.col(key).alias("_k"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"), *[F.col(v).alias(f"_c_{v}") for v in values],
+        F.explode(F.sequence(_month(F.col("start_date")), _month(F.col("end_date")))).alias("_m"))
+    opened = periods.where("end_date is null").select(F.col(key).alias("_ok"), F.col("start_date").alias("_os"),
+                                                      *[F.col(v).alias(f"_o_{v}") for v in values])
+    d = df.withColumn("_month", _month(F.col(date_col)))
+    d = d.join(closed, (F.col(key) == F.col("_k")) & (F.col("_month") == F.col("_m")) & F.col(date_col).between(F.col("_s"), F.col("_e")), "left")
+    d = d.join(opened, (F.col(key) == F.col("_ok")) & (F.col(date_col) >= F.col("_os")), "left")
+    return d.select(*[F.col(c) for c in df.columns if c not in values], *[F.coalesce(f"_c_{v}", f"_o_{v}").alias(v) for v in values])
+
+
 def lot_size_asof(df: DataFrame, lots: DataFrame, date_col: str = "trade_date",
-                  default: int = 1) -> DataFrame:
+                  default: int = 1, configuration: bool = True) -> DataFrame:
     """Interval join: lot size whose [start, end|open] contains ``date_col``.
 
-    Broadcast hash join on symbol with the range as residual condition (the
-    lot table is configuration: tens of rows).  No match -> ``default`` and
+    ``configuration`` says that the schedule is configuration (tens of rows): a
+    broadcast hash join on symbol with the range as residual condition.  Otherwise
+    ``interval_join`` takes a schedule of any size.  No match -> ``default`` and
     ``lot_size_missing = true``.  Periods never overlap (``lot_size_overlaps``)
     so there is at most one match.
     """
-    lt = lots.select(F.col("symbol").alias("_ls_symbol"), F.col("start_date").alias("_ls_start"),
-                     F.col("end_date").alias("_ls_end"), F.col("lot_size").alias("_ls_lot"))
-    cond = ((F.col("symbol") == F.col("_ls_symbol")) & (F.col("_ls_start") <= F.col(date_col))
-            & (F.col("_ls_end").isNull() | (F.col("_ls_end") >= F.col(date_col))))
-    j = df.join(F.broadcast(lt), cond, "left")
+    if configuration:
+        lt = lots.select(F.col("symbol").alias("_ls_symbol"), F.col("start_date").alias("_ls_start"),
+                         F.col("end_date").alias("_ls_end"), F.col("lot_size").alias("_ls_lot"))
+        cond = ((F.col("symbol") == F.col("_ls_symbol")) & (F.col("_ls_start") <= F.col(date_col))
+                & (F.col("_ls_end").isNull() | (F.col("_ls_end") >= F.col(date_col))))
+        j = df.join(F.broadcast(lt), cond, "left")
+    else:
+        j = interval_join(df, lots.withColumnRenamed("lot_size", "_ls_lot"), "symbol", ["_ls_lot"], date_col)
     return j.withColumns({
         "lot_size": F.coalesce(F.col("_ls_lot"), F.lit(default)).cast("int"),
         "lot_size_missing": F.col("_ls_lot").isNull(),
@@ -104,8 +132,10 @@ def missing_lot_sizes(df: DataFrame, lots: DataFrame, date_col: str = "trade_dat
     return j.withColumn("reason", reason).drop("_known", "lot_size", "lot_size_missing")
 
 
-def strike_interval_lookup(df: DataFrame, steps: DataFrame, date_col: str = "trade_date") -> DataFrame:
-    """Strike grid step valid for (symbol, date); NULL if none."""
+def strike_interval_lookup(df: DataFrame, steps: DataFrame, date_col: str = "trade_date", configuration: bool = True) -> DataFrame:
+    """Strike grid step valid for (symbol, date); NULL if none.  ``configuration`` as in ``lot_size_asof``."""
+    if not configuration:
+        return interval_join(df, steps, "symbol", ["strike_step"], date_col)
     st = steps.select(F.col("symbol").alias("_si_symbol"), F.col("start_date").alias("_si_start"),
                       F.col("end_date").alias("_si_end"), "strike_step")
     cond = ((F.col("symbol") == F.col("_si_symbol")) & (F.col("_si_start") <= F.col(date_col))

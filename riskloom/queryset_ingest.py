@@ -927,7 +927,7 @@ def q_idempotency(spark, sf_dir):
     snap = _out(spark, sf_dir, "idem_snapshot")
     spark.read.parquet(path).write.mode("overwrite").parquet(snap)
     INC.upsert_partitioned(spark, b, path, OPTIONS_KEY, ["_seq"], "first")
-    diff = INC.same_rows(spark.read.parquet(snap), spark.read.parquet(path))
+    diff = INC.same_rows_by_year(spark.read.parquet(snap), spark.read.parquet(path))
     return diff.select(*[c.strip() for c in _OPT_COLS.split(",")], "_side")
 
 
@@ -936,17 +936,17 @@ def q_idempotency(spark, sf_dir):
     "(PARTITION BY trade_date, symbol, expiry_date, strike, option_type ORDER BY l_orderkey, l_linenumber, "
     "l_extendedprice) AS rn FROM raw_typed WHERE instrument = 'OPTIDX') x WHERE rn = 1", _RAW))
 def q_stream_landing_files(spark, sf_dir):
-    """Raw feed landed as one CSV folder per month; an availableNow file
-    stream types, de-duplicates (keep-first by arrival) and upserts every
-    micro-batch into the year-partitioned options table."""
-    from pyspark.sql import types as T
-
+    """Raw feed landed as one CSV folder per month, the columns of every other month
+    in another order; an availableNow stream reads each file by its own header, drops
+    repeated records, types, and upserts (keep-first by arrival) every micro-batch into
+    the year-partitioned options table."""
     from .streaming.landing import run_landing_to_table
     root = _out(spark, sf_dir, "landing")
     raw = FX.raw_bhav_legacy(ctx(spark, sf_dir).market).withColumn("_m", F.substring("TradDt", 1, 7))
-    raw.write.mode("overwrite").partitionBy("_m").option("header", True).csv(os.path.join(root, "files"))
     cols = [c for c in raw.columns if c != "_m"]
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
+    odd = F.pmod(F.hash("_m"), F.lit(2)) == 1
+    for name, part, order in (("a", raw.where(odd), cols), ("b", raw.where(~odd), cols[::-1])):
+        part.select(*order, "_m").write.mode("overwrite").partitionBy("_m").option("header", True).csv(os.path.join(root, "files", name))
     table = os.path.join(root, "table")
 
     def transform(batch):
@@ -954,7 +954,7 @@ def q_stream_landing_files(spark, sf_dir):
         return t.filter(F.col("instrument") == "OPTIDX").select(
             "trade_date", "symbol", "expiry_date", "strike", "option_type", "settle", *IDS)
 
-    run_landing_to_table(spark, os.path.join(root, "files"), schema, table, os.path.join(root, "checkpoint"),
+    run_landing_to_table(spark, os.path.join(root, "files"), cols, table, os.path.join(root, "checkpoint"),
                          transform, OPTIONS_KEY, ["l_orderkey", "l_linenumber", "l_extendedprice"])
     return spark.read.parquet(table).select("trade_date", "symbol", "expiry_date", "strike", "option_type", "settle")
 

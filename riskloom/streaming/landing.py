@@ -1,47 +1,130 @@
-"""Landing-folder stream: daily exchange files -> upserted processed table.
-
-A Structured Streaming file source over the landing folder (explicit
-schema), ``trigger(availableNow=True)`` so a scheduled run processes
-everything that landed since the last checkpoint and stops, and a
-``foreachBatch`` sink that types, de-duplicates and upserts each micro-batch
-into the year-partitioned table.  Re-running with the same checkpoint is a
-no-op (files are tracked by the source), so the job is idempotent and
-survives restarts and lost executors.
+"""Landing-folder stream: exchange files of several feeds and layouts -> upserted tables.
+
+One Structured Streaming file source over the landing folder.  Each file is
+read as text, and its own first line says what its columns are called, so files
+of both exchange layouts, of other feeds and with columns in any order go through one
+stream; a positional schema is laid over nothing.  ``Feed.needs`` (column names)
+decides which feed a file belongs to; files of no feed are listed in the ``unmatched``
+table.
+
+Repeated rows (a file delivered twice, under any name) are dropped by
+``dropDuplicatesWithinWatermark`` before the sink: the state holds a hash per row for
+``remember`` after its arrival, by the clock of the stream, so no row is ever late.
+What is left (corrections, the same contract in two files) is decided by the upsert:
+arrival order within a batch, stored rows before new ones.
+
+``trigger(availableNow=True)`` processes what has landed since the last checkpoint and
+stops; files and hashes are in the checkpoint, so a re-run is a no-op and a restart
+goes on where the last one stopped.  A file is one row until it is cut into lines: files
+are as large as one trading day.  Quoted values may hold commas, not line breaks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field as _field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .incremental import upsert_partitioned
 
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+ARRIVAL = ["_file", "_row"]
+UNMATCHED = "unmatched"
+
+
+@dataclass(frozen=True)
+class Feed:
+    """Files whose header has all of ``needs``; ``transform`` types their records for the table at ``path``."""
+
+    name: str
+    needs: Sequence[str]
+    transform: Callable[[DataFrame], DataFrame]
+    path: str
+    keys: Sequence[str]
+    order: Sequence[str] = _field(default=tuple(ARRIVAL))
+    keep: str = "first"
+    date_col: str = "trade_date"
+
+
+def _cells(line: Column) -> Column:
+    """Values of a CSV line: trimmed, without their quotes."""
+    return F.transform(F.split(line, _COMMA, -1), lambda x: F.replace(
+        F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
+
+def value_of(name: str) -> Column:
+    """Value of the named column of a record; NULL where the file lacks it or it is empty."""
+    at = F.array_position("_header", name).cast("int")
+    return F.when(at > 0, F.nullif(F.trim(F.get("_cells", at - 1)), F.lit("")))
+
+
+def named(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Records as text columns, whatever their order in the file, with their place of arrival."""
+    return records.select(*[value_of(c).alias(c) for c in columns], *ARRIVAL)
 
-def landing_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "csv",
+
+def records(files: DataFrame) -> DataFrame:
+    """(_file, _row, _header, _cells) of whole-text files; empty lines and files without a row give nothing."""
+    lines = F.split(F.regexp_replace("value", "^\\uFEFF", ""), "\r?\n")
+    d = files.select(F.col("_metadata.file_path").alias("_file"), lines.alias("_lines"))
+    d = d.select("_file", _cells(F.get("_lines", F.lit(0))).alias("_header"), F.posexplode("_lines").alias("_row", "_line"))
+    return d.where("_row > 0 and trim(_line) <> ''").select("_file", F.col("_row").cast("long").alias("_row"), "_header",
+                                                            _cells(F.col("_line")).alias("_cells"))
+
+
+def feed_of(feeds: Sequence[Feed]) -> Column:
+    """Name of the first feed that the header fits, NULL if none."""
+    out = F.lit(None).cast("string")
+    for f in reversed(feeds):
+        fits = F.size(F.array_except(F.array(*[F.lit(c) for c in f.needs]), "_header")) == 0
+        out = F.when(fits, F.lit(f.name)).otherwise(out)
+    return out
+
+
+def landing_stream(spark: SparkSession, folder: str, feeds: Sequence[Feed], remember: str = "30 days",
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt)
-    if fmt == "csv":
-        r = r.option("header", True).option("mode", "PERMISSIVE")
+    """Records of the landed files with their feed, each different record once."""
+    r = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(folder)
+    d = records(r.load(folder)).withColumn("_feed", feed_of(feeds))
+    # the same record whatever the order of its columns
+    pairs = F.array_sort(F.zip_with("_header", "_cells", lambda h, c: F.concat_ws("=", h, c)))
+    d = d.withColumns({"_hash": F.sha2(F.to_json(pairs), 256), "_arrived": F.current_timestamp()})
+    return d.withWatermark("_arrived", remember).dropDuplicatesWithinWatermark(["_feed", "_hash"])
 
 
-def run_landing_to_table(spark: SparkSession, landing: str, schema: T.StructType, table_path: str,
-                         checkpoint: str, transform, keys: Sequence[str], order: Sequence[str],
-                         keep: str = "first", date_col: str = "trade_date") -> int:
-    """Process all landed files into ``table_path``; returns micro-batches run."""
-    batches = {"n": 0}
+def run_feeds(spark: SparkSession, landing: str, feeds: Sequence[Feed], checkpoint: str, unmatched: str | None = None,
+              remember: str = "30 days", max_files_per_trigger: int | None = None) -> dict[str, int]:
+    """Process all landed files into the feeds' tables; returns the new records by feed."""
+    seen: dict[str, int] = {}
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        typed = transform(batch.withColumn("_ingest_file", F.input_file_name()))
-        upsert_partitioned(spark, typed, table_path, keys, order, keep, date_col)
-        batches["n"] += 1
+        batch = batch.drop("_hash", "_arrived").persist()
+        try:
+            here = {r["_feed"] or UNMATCHED: r["count"] for r in batch.groupBy("_feed").count().collect()}
+            for f in feeds:
+                if f.name in here:
+                    upsert_partitioned(spark, f.transform(batch.where(F.col("_feed") == f.name)), f.path, f.keys, f.order, f.keep, f.date_col)
+            if unmatched and UNMATCHED in here:
+                lost = batch.where("_feed is null").groupBy("_file").agg(F.first("_header").alias("header"), F.count(F.lit(1)).alias("rows"))
+                lost.write.mode("overwrite").parquet(f"{unmatched}/epoch={epoch_id}")
+            for name, n in here.items():
+                seen[name] = seen.get(name, 0) + n
+        finally:
+            batch.unpersist()
 
-    q = (landing_stream(spark, landing, schema).writeStream.foreachBatch(sink)
+    q = (landing_stream(spark, landing, feeds, remember, max_files_per_trigger).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return batches["n"]
+    return seen
+
+
+def run_landing_to_table(spark: SparkSession, landing: str, columns: Sequence[str], table_path: str,
+                         checkpoint: str, transform, keys: Sequence[str], order: Sequence[str],
+                         keep: str = "first", date_col: str = "trade_date") -> int:
+    """One feed: files that have ``columns`` (in any order) into ``table_path``; returns the new records."""
+    feed = Feed("table", columns, lambda d: transform(named(d, columns)), table_path, keys, order, keep, date_col)
+    return run_feeds(spark, landing, [feed], checkpoint).get("table", 0)

@@ -83,3 +83,39 @@ def test_sync_report_statuses(spark):
     assert st == {"x": "IN SYNC", "y": "OUT OF SYNC", "z": "NO DATA"}
     st2 = {r.dataset: (r.status, r.expected_date) for r in sync_report(lat, "2024-01-04", "2024-01-04").collect()}
     assert st2["y"][0] == "NO DATA" and st2["x"] == ("IN SYNC", dt.date(2024, 1, 4))
+
+
+def _schedule(spark, n=300):
+    """Periods without overlap for many symbols: gaps, one-day periods, an open end for some, an empty period."""
+    import datetime as dt
+    import random
+    rng, rows = random.Random(5), []
+    for k in range(n):
+        day = dt.date(2019, 1, 1) + dt.timedelta(rng.randint(0, 300))
+        for i in range(rng.randint(1, 6)):
+            end = day + dt.timedelta(rng.choice([0, 3, 40, 400]))
+            rows.append((f"S{k}", day, end, 10 * i + 5))
+            day = end + dt.timedelta(rng.choice([1, 1, 90]))
+        if k % 3:
+            rows.append((f"S{k}", day, None, 99))
+        rows.append((f"S{k}", dt.date(2018, 5, 2), dt.date(2018, 5, 1), 7))
+    return spark.createDataFrame(rows, "symbol string, start_date date, end_date date, lot_size int")
+
+
+def test_interval_join_of_a_large_schedule_equals_the_broadcast_one(spark):
+    from riskloom.operators.joins import lot_size_asof, strike_interval_lookup
+    lots = _schedule(spark)
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 'S1', concat('S', id % 310)) as symbol",
+                                      "if(id % 97 = 0, null, date_add(date'2018-04-01', cast(id * 7 % 2500 as int))) as trade_date")
+    a, b = (lot_size_asof(df, lots, configuration=c) for c in (True, False))
+    assert b.count() == 6000 and b.select("id").distinct().count() == 6000
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
+    steps = lots.withColumnRenamed("lot_size", "strike_step")
+    c, d = (strike_interval_lookup(df, steps, configuration=x) for x in (True, False))
+    assert c.exceptAll(d.select(*c.columns)).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lot_size_asof(df, lots, configuration=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan

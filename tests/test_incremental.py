@@ -50,24 +50,22 @@ def test_hwm_passes_only_later_rows(spark):
 
 
 def test_landing_stream_rerun_is_noop(spark):
-    from pyspark.sql import types as T
-
     from riskloom.streaming.landing import run_landing_to_table
     root = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
     land = os.path.join(root, "landing")
     rows = [("2024-01-02", "a", "1.5", "1"), ("2024-01-02", "a", "2.5", "2"), ("2024-02-01", "b", "x", "1")]
     spark.createDataFrame(rows, "d string, k string, v string, seq string").write.option("header", True).csv(land)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("d", "k", "v", "seq")])
+    cols = ["seq", "d", "v", "k"]
 
     def transform(b):
         return b.select(F.to_date("d").alias("trade_date"), "k", F.col("v").try_cast("double").alias("v"),
                         F.col("seq").cast("int").alias("seq"))
 
     table, ck = os.path.join(root, "table"), os.path.join(root, "ck")
-    n1 = run_landing_to_table(spark, land, schema, table, ck, transform, KEYS, ["seq"])
+    n1 = run_landing_to_table(spark, land, cols, table, ck, transform, KEYS, ["seq"])
     first = {r.k: r.v for r in spark.read.parquet(table).collect()}
     assert n1 >= 1 and first == {"a": 1.5, "b": None}
-    n2 = run_landing_to_table(spark, land, schema, table, ck, transform, KEYS, ["seq"])
+    n2 = run_landing_to_table(spark, land, cols, table, ck, transform, KEYS, ["seq"])
     assert n2 == 0 and spark.read.parquet(table).count() == 2
 
 
@@ -122,3 +120,25 @@ def test_session_setting_is_left_alone(spark):
     path = os.path.join(scratch_path(spark, f"test-conf-{uuid.uuid4().hex}"), "t")
     upsert_partitioned(spark, _rows(spark, [(dt.date(2020, 1, 5), "a", 1.0, 0)]), path, KEYS)
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_fingerprints_find_changed_repeated_and_swapped_rows(spark):
+    from riskloom.streaming.incremental import changed_years, fingerprint, same_rows_by_year
+    base = spark.range(2000).selectExpr("date_add(date'2019-06-01', cast(id % 1200 as int)) as trade_date", "concat('k', id) as k",
+                                        "cast(id * 1.5 as double) as v", "if(id % 7 = 0, null, 'x') as a", "if(id % 7 = 0, 'x', null) as b")
+    shuffled = base.orderBy(F.rand(3)).repartition(5)
+    assert changed_years(base, shuffled).count() == 0 and same_rows_by_year(base, shuffled).count() == 0
+    in_2020 = "year(trade_date) = 2020"
+    cases = {
+        "changed": base.withColumn("v", F.expr("if(k = 'k300', v + 1e-9, v)")),
+        "repeated": base.union(base.where("k = 'k300'")),
+        "missing": base.where("k <> 'k300'"),
+        "swapped": base.withColumn("v", F.expr("case k when 'k300' then 451.5 when 'k301' then 450.0 else v end")),
+        "null moved": base.withColumns({"a": F.expr("if(k = 'k301', b, a)"), "b": F.expr("if(k = 'k301', a, b)")}),
+    }
+    for name, other in cases.items():
+        assert [r.year for r in changed_years(base, other).collect()] == [2020], name
+        assert same_rows_by_year(base, other).count() > 0, name
+        assert same_rows_by_year(base.where(f"not {in_2020}"), other.where(f"not {in_2020}")).count() == 0
+    plan = fingerprint(base)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count(1)" in plan and "SortMergeJoin" not in plan
