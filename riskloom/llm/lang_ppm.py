@@ -25,6 +25,7 @@ gives an empty result.  Texts are scored whole, in slices of bounded memory.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,10 @@ class PPM:
         self.fold = fold[_LOWER]
         self.rest = max(1, 256 - len(top))
         self.counts = [np.unique(_grams(self.fold[x]), return_counts=True) for x in joined]
+        content = hashlib.sha256(repr((self.langs, self.rest, self.fold.tolist())).encode())
+        for grams, n in self.counts:
+            content.update(grams.tobytes() + n.tobytes())
+        self.key = content.hexdigest()  # all that the price table is made of
 
     def table(self) -> np.ndarray:
         """``cost[gram, language]`` in 1/1024 bit (at most 64 bits), uint16.
@@ -98,7 +103,7 @@ def _prices(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_tables: dict[int, tuple[PPM, np.ndarray]] = {}
+_tables: dict[str, np.ndarray] = {}
 
 
 def _grams(f: np.ndarray) -> np.ndarray:
@@ -128,11 +133,10 @@ def code_lengths(model: PPM, cost: np.ndarray, texts: list[bytes]) -> np.ndarray
 
 
 def _cost(model: PPM) -> np.ndarray:
-    key = hash((tuple(model.langs), *(int(g.sum()) ^ len(g) for g, _ in model.counts)))
-    if key not in _tables:
+    if model.key not in _tables:
         _tables.clear()
-        _tables[key] = (model, model.table())
-    return _tables[key][1]
+        _tables[model.key] = model.table()
+    return _tables[model.key]
 
 
 def _predict(model: PPM, texts: pa.Array) -> pa.Array:

@@ -78,3 +78,12 @@ def test_nulls_letters_repeats_and_clashing_names(spark):
     none = p.language_id(df, df.where("false"))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert p.language_id(df.limit(0), df).count() == 0
+
+
+def test_models_with_equal_grams_and_other_counts_have_their_own_prices():
+    a = p.PPM({"x": [b"ab ab ba"], "y": [b"cd"]})
+    b = p.PPM({"x": [b"ab ab ba", b"ab ab ba"], "y": [b"cd"]})
+    assert all(np.array_equal(m[0], n[0]) for m, n in zip(a.counts, b.counts)) and a.key != b.key
+    assert np.array_equal(p._cost(a), a.table())
+    assert np.array_equal(p._cost(b), b.table()) and not np.array_equal(p._cost(b), a.table())
+    assert np.array_equal(p._cost(p.PPM({"x": [b"ab ab ba"], "y": [b"cd"]})), a.table())
