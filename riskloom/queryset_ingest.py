@@ -153,12 +153,14 @@ def q_drop_columns(spark, sf_dir):
     return j.select("trade_date", "symbol", "expiry_date", "strike", "option_type", "dte", "spot", "div_yield", "rate")
 
 
-@register("clean_headers", None)
+@register("clean_headers", with_ctes(
+    "SELECT symbol AS SYMBL, CASE WHEN l_linenumber % 2 = 0 THEN strftime(expiry_date, '%Y-%m-%d') "
+    "ELSE upper(strftime(expiry_date, '%d-%b-%Y')) END AS XPRYDT, settle AS STTLMPRIC FROM raw_typed", _RAW))
 def q_clean_headers(spark, sf_dir):
-    """Header cleanup on the raw feed (names only; rows-only check)."""
+    """Header cleanup on the raw feed: padded names, stripped and upper-cased."""
     raw = FX.raw_bhav_legacy(ctx(spark, sf_dir).market)
     padded = raw.toDF(*[f" {c} " for c in raw.columns])
-    return CL.clean_headers(padded, "upper").select("SYMBL", "XPRYDT", "STTLMPRIC")
+    return CL.clean_headers(padded, "upper").select("SYMBL", "XPRYDT", F.col("STTLMPRIC").try_cast("double").alias("STTLMPRIC"))
 
 
 @register("trim_upper", with_ctes(
@@ -787,13 +789,23 @@ def q_missing_lot_sizes(spark, sf_dir):
         "portfolio_id", "symbol", "trade_date", "quantity", "reason")
 
 
-@register("run_manifest", None)
+MANIFEST = {"model": "black-scholes-merton", "day_count": 365, "interpolation": "linear-3-pillar", "lookback": 252, "driver_symbol": "NIFTY"}
+
+
+def _manifest_sql():
+    from . import oracle as O
+    from .queryset import _PNL_R
+    params = ", ".join(f"'{k}': {v!r}" for k, v in MANIFEST.items())
+    cols = ["portfolio_id", "trade_date", "scenario_count", "var_95", "var_99", "cvar_95", "cvar_99", "mean_pnl", "min_pnl", "max_pnl"]
+    row = ", ".join(f"'{c}': {c}" for c in cols)
+    return with_ctes(f"SELECT CAST(to_json({{'params': {{{params}}}, 'summary': {{{row}}}}}) AS VARCHAR) AS value FROM ({O.var_cvar_sql('r')}) v", _PNL_R)
+
+
+@register("run_manifest", _manifest_sql())
 def q_run_manifest(spark, sf_dir):
     """One JSON audit line per portfolio of a VaR run (parameters + summary)."""
     from .queryset import q_portfolio_var
-    m = WR.run_manifest(q_portfolio_var(spark, sf_dir),
-                        {"model": "black-scholes-merton", "day_count": 365, "interpolation": "linear-3-pillar",
-                         "lookback": 252, "driver_symbol": "NIFTY"})
+    m = WR.run_manifest(q_portfolio_var(spark, sf_dir), MANIFEST)
     WR.write_manifest(m, _out(spark, sf_dir, "manifest"))
     return m
 
