@@ -343,6 +343,12 @@ def var_cvar(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl")
     )
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"ranks/{uuid.uuid4().hex}")
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
 def exact_ranks(values: DataFrame, by: list[str], value: str, ranks: DataFrame, bins: int = 1024) -> DataFrame:
     """(by, target, value): the ``rank``-th smallest (from 0) of the integer column ``value`` in each group, for
     each (by, target, rank) of ``ranks``; exact, for groups of any size.
@@ -352,7 +358,6 @@ def exact_ranks(values: DataFrame, by: list[str], value: str, ranks: DataFrame,
     10^12 takes four rounds.  A round's state is one number per target and part (combined
     before the shuffle); no group is sorted or gathered.
     """
-    spark = values.sparkSession
     v = values.select(*by, F.col(value).cast("long").alias("_v")).where("_v is not null")
     span = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     at = ranks.join(span, by).select(*by, "target", F.col("rank").cast("long").alias("_rank"), "_lo", "_hi")
@@ -361,19 +366,18 @@ def exact_ranks(values: DataFrame, by: list[str], value: str, ranks: DataFrame,
     for _ in range(max(1, math.ceil(math.log(widest, bins) - 1e-9))):
         # part i covers [lo + i * step, lo + (i + 1) * step)
         at = at.withColumn("_step", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(bins)).cast("long"))
-        inside = v.join(at.drop("_rank"), by).where("_v between _lo and _hi")
-        counts = inside.groupBy(*key, F.expr("(_v - _lo) div _step").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*key).orderBy("_bin")
+        spans = at.select(*by, "_lo", "_hi", "_step").distinct()  # targets share their first interval
+        inside = v.join(spans, by).where("_v between _lo and _hi")
+        of = [*by, "_lo", "_hi"]
+        counts = inside.groupBy(*of, F.expr("(_v - _lo) div _step").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*of).orderBy("_bin")
         counts = counts.withColumn("_upto", F.sum("_n").over(w))
-        hit = counts.join(at, key).where("_upto > _rank").groupBy(*key).agg(
+        hit = counts.join(at, of).where("_upto > _rank").groupBy(*key).agg(
             F.min_by(F.struct("_bin", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_lo", "_hi", "_step"), "_bin").alias("x"))
         first = F.col("x._lo") + F.col("x._bin") * F.col("x._step")
         at = hit.select(*key, F.col("x._rank").alias("_rank"), first.alias("_lo"),
                         F.least(F.col("x._hi"), first + F.col("x._step") - 1).alias("_hi"))
-        # stored, so that the planner knows its bytes and broadcasts it where it is small
-        path = scratch_path(spark, f"ranks/{uuid.uuid4().hex}")
-        write_table(at, path)
-        at = spark.read.parquet(path)
+        at = _stored(at)  # so that the planner knows its bytes and broadcasts it where it is small
     return at.select(*key, F.col("_lo").alias("value"))
 
 
@@ -381,7 +385,7 @@ def pooled_var(pnl: DataFrame, by=("portfolio_id",), value: str = "portfolio_pnl
     """``scenario_count``, ``var_95`` and ``var_99`` per group of any size (all valuation dates of a portfolio
     pooled), with linear interpolation between the exact ranks; PnL rounded to 2 dp first."""
     by = [by] if isinstance(by, str) else list(by)
-    cents = pnl.select(*by, F.round(round_dec(F.col(value), 2) * 100).cast("long").alias("cents"))
+    cents = _stored(pnl.select(*by, F.round(round_dec(F.col(value), 2) * 100).cast("long").alias("cents")))  # rounded once, read every round
     g = cents.where("cents is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("scenario_count"))
     targets = []
     for name, share in (("95", 0.05), ("99", 0.01)):
