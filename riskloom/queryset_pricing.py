@@ -52,7 +52,7 @@ _X = "ln(spot / strike) * 10e0"
     + stages_sql(f"(SELECT {KEYS}, {_X} AS x FROM chain)", cdf_stages({"_n_cdf": "x"}, "_n")) + " AS z"))
 def q_norm_cdf(spark, sf_dir):
     """N(x) and n(x) for x = 10 ln(S/K) of every chain row."""
-    d = ctx(spark, sf_dir).chain.select(*KEY, F.expr(_X).alias("x"))
+    d = ctx(spark, sf_dir).chain_view.select(*KEY, F.expr(_X).alias("x"))
     st = cdf_stages({"_n_cdf": "x"}, "_n")
     d = apply_stages(d, st)
     return d.select(*KEY, "x", F.col("_n_cdf").alias("cdf"), F.expr(pdf_sql("x")).alias("pdf"))
@@ -67,7 +67,7 @@ _PRICE_IN = f"(SELECT {KEYS}, spot, dte / 365e0 AS t_years, rate, div_yield / 10
     + " AS z"))
 def q_bs_price(spark, sf_dir):
     """Closed-form price of every chain contract at a flat 20% vol."""
-    d = PR.with_model_inputs(ctx(spark, sf_dir).chain).select(*KEY, "spot", "t_years", "rate", "q")
+    d = PR.with_model_inputs(ctx(spark, sf_dir).chain_view).select(*KEY, "spot", "t_years", "rate", "q")
     st = bs_stages("spot", "strike", "t_years", "rate", "q", FIXED_VOL, "option_type = 'CE'", "_b")
     return apply_stages(d, st).select(*KEY, F.col("_b_price").alias("price"))
 
@@ -77,7 +77,7 @@ def q_bs_price(spark, sf_dir):
     + stages_sql(_PRICE_IN, bs_stages("spot", "strike", "t_years", "rate", "q", FIXED_VOL, "option_type = 'CE'", "_b")
                  + greek_stages("spot", "strike", "rate", "q", "_b")) + " AS z"))
 def q_bs_greeks(spark, sf_dir):
-    d = PR.with_model_inputs(ctx(spark, sf_dir).chain).select(*KEY, "spot", "t_years", "rate", "q")
+    d = PR.with_model_inputs(ctx(spark, sf_dir).chain_view).select(*KEY, "spot", "t_years", "rate", "q")
     st = bs_stages("spot", "strike", "t_years", "rate", "q", FIXED_VOL, "option_type = 'CE'", "_b") + \
         greek_stages("spot", "strike", "rate", "q", "_b")
     d = apply_stages(d, st)
@@ -99,7 +99,7 @@ def q_futures_fair_value(spark, sf_dir):
     "max(div_yield) AS div_yield, max(dte) AS dte FROM chain GROUP BY 1, 2, 3, 4) g "
     "WHERE call IS NOT NULL AND put IS NOT NULL"))
 def q_put_call_parity_residual(spark, sf_dir):
-    return PR.put_call_parity_residual(ctx(spark, sf_dir).chain)
+    return PR.put_call_parity_residual(ctx(spark, sf_dir).chain_view)
 
 
 @register("reprice_residual", with_ctes(
@@ -108,11 +108,11 @@ def q_put_call_parity_residual(spark, sf_dir):
                  "FROM chain WHERE iv IS NOT NULL)",
                  bs_stages("spot", "strike", "t_years", "rate", "q", "iv", "option_type = 'CE'", "_r")) + " AS z"))
 def q_reprice_residual(spark, sf_dir):
-    d = PR.reprice_residual(ctx(spark, sf_dir).chain)
+    d = PR.reprice_residual(ctx(spark, sf_dir).chain_view)
     return d.select(*KEY, "settle", "iv", "model_price", "residual")
 
 
 @register("norm_pdf", with_ctes(f"SELECT {KEYS}, x, {pdf_sql('x')} AS pdf FROM (SELECT {KEYS}, {_X} AS x FROM chain) z"))
 def q_norm_pdf(spark, sf_dir):
-    d = ctx(spark, sf_dir).chain.select(*KEY, F.expr(_X).alias("x"))
+    d = ctx(spark, sf_dir).chain_view.select(*KEY, F.expr(_X).alias("x"))
     return d.select(*KEY, "x", F.expr(pdf_sql("x")).alias("pdf"))
