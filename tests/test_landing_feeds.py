@@ -1,4 +1,5 @@
 import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -64,3 +65,25 @@ def test_feeds_layouts_and_repeated_files_equal_the_batch_job(spark):
     assert (str(bond.trade_date), bond.tenor, bond.price) == ("2024-01-02", "3m", 6.9)
     lost = spark.read.parquet(os.path.join(root, "unmatched")).collect()
     assert [(r.header, r.rows) for r in lost] == [(["a", "b"], 2)]
+
+
+def test_a_record_does_not_carry_the_lines_of_its_file(spark):
+    from riskloom.streaming.landing import records
+    root = scratch_path(spark, f"test-lines-{uuid.uuid4().hex}")
+    _put(root, "a.csv", ["a", "b"], [(1, 2), (3, 4), (5, 6)])
+    d = records(spark.read.format("text").option("wholetext", True).load(root))
+    assert [(r._row, r._header, r._cells) for r in d.orderBy("_row").collect()] == [
+        (1, ["a", "b"], ["1", "2"]), (2, ["a", "b"], ["3", "4"]), (3, ["a", "b"], ["5", "6"])]
+    # the generator drops its input, all lines of the file, from its output rows
+    assert re.search(r"Generate posexplode\(_lines#\d+\), \[\d+\]", d._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_seen_records_are_kept_on_disk(spark):
+    from riskloom.streaming.landing import STATE
+    root = scratch_path(spark, f"test-state-{uuid.uuid4().hex}")
+    _put(os.path.join(root, "in"), "a.csv", LEGACY, _contracts(2, "NIFTY", 100))
+    assert run_feeds(spark, os.path.join(root, "in"), exchange_feeds(os.path.join(root, "out")), os.path.join(root, "ck")) == {"derivatives": 5}
+    state = os.path.join(root, "ck", "state", "0")
+    names = [f for d, _, fs in os.walk(state.removeprefix("file:")) for f in fs]
+    assert any(f.endswith((".changelog", ".zip")) for f in names) and not any(f.endswith((".delta", ".snapshot")) for f in names)
+    assert all(spark.conf.get(k, None) != v for k, v in STATE.items() if "provider" in k)
