@@ -46,7 +46,8 @@ def processed_tables(spark: SparkSession, landing: Landing) -> dict[str, DataFra
     if landing.bhav_legacy or landing.bhav_udiff:
         typed = RD.type_bhav(RD.read_bhavcopy(spark, landing.bhav_legacy, landing.bhav_udiff))
         out["options"], out["futures"] = P.processed_derivatives(typed, order)
-        out["trade_calendar"] = P.processed_trade_calendar(out["options"], out["futures"])
+        # dates and symbols are the same before de-duplication, and need no shuffle of the rows
+        out["trade_calendar"] = P.processed_trade_calendar(*P.known_derivatives(typed))
     if landing.index_close:
         spot, vix = RD.read_index_close_csv(spark, landing.index_close)
         out["index_spot"], out["vix"] = P.processed_index_spot(spot, order), P.processed_vix(vix, order)

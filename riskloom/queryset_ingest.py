@@ -691,9 +691,9 @@ def _land(spark, sf_dir, name):
 
     def put(df, feed):
         path = os.path.join(root, feed)
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
         return path
-    raw = FX.raw_bhav_legacy(m).orderBy(*IDS).drop(*IDS)
+    raw = FX.raw_bhav_legacy(m, IDS).drop(*IDS)
     g = m.gbond_raw.select("tenor", F.date_format("trade_date", "dd-MM-yyyy").alias("Date"),
                            *[F.col("price").cast("string").alias(c) for c in ("Price", "Open", "High", "Low")],
                            F.lit("0%").alias("Change %"))

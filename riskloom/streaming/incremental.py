@@ -98,7 +98,7 @@ def upsert_partitioned(spark: SparkSession, batch: DataFrame, path: str, keys: S
             staged = spark.read.parquet(stage).drop("year")
             if check:
                 check(staged)
-            write_year_partitioned(staged, path, list(keys), date_col, replace="years")
+            write_year_partitioned(staged, path, list(keys), date_col, replace="years", rebalance=False)  # staged balanced
     finally:
         storage.delete(spark, stage)
 
