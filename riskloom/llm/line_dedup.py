@@ -128,8 +128,8 @@ def _halves(lines: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.max(F.col("kind") % 2 == 0).alias("pre"), F.max(F.col("kind") % 2 == 1).alias("suf"))
 
 
-def _near(lines: DataFrame) -> DataFrame:
-    """(id, seen): candidate lines and the earliest line that shares a deletion with them."""
+def _near(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, seen): candidate lines and the earliest line that shares a deletion with them; and the stored deletions."""
     n = F.col("n")
     rows = lines.join(_halves(lines), "id").withColumn("n", _count(F.col("t")))
     # an equal first half leaves the second to differ, and the other way round
@@ -140,13 +140,14 @@ def _near(lines: DataFrame) -> DataFrame:
     left, right = _first(F.col("t"), i - 1), _first(F.col("t"), i - n)
     cut = F.when(i == 1, right).when(i == n, left).otherwise(F.concat(left, F.lit(" "), right))
     drops = written(at.select("id", "i", F.xxhash64(cut).alias("v")), "deletions")
+    release(lines.sparkSession)  # the halves: several times the deletions
     whole = rows.select(F.col("id").alias("whole"), F.xxhash64("t").alias("v"))
     same = drops.groupBy("v", "i").agg(F.min("id").alias("seen"), F.max("id").alias("last")).where("seen < last")
     swapped = drops.join(same, ["v", "i"]).where("seen < id").select("id", "seen")
     pairs = drops.join(whole, "v").select("id", "whole")
     longer = pairs.where("whole < id").select("id", F.col("whole").alias("seen"))
     shorter = pairs.where("id < whole").select(F.col("whole").alias("id"), F.col("id").alias("seen"))
-    return swapped.union(longer).union(shorter).groupBy("id").agg(F.min("seen").alias("seen"))
+    return swapped.union(longer).union(shorter).groupBy("id").agg(F.min("seen").alias("seen")), drops
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -165,16 +166,19 @@ def dropped_lines(text: DataFrame) -> DataFrame:
     lines = written(_lines(text), "lines")
     first = lines.withColumn("place", _place()).groupBy(*KEY).agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in GATES])
     first = written(first, "first-lines")
+    release(spark)
     texts = written(_texts(text, _candidates(first)), "line-texts")
     release(spark)
     words = texts.select("id", "place", F.split("t", " ").alias("w"))
-    pairs = _near(texts).join(words, "id").join(words.select(F.col("id").alias("seen"), F.col("w").alias("v")), "seen")
+    near, drops = _near(texts)
+    pairs = near.join(words, "id").join(words.select(F.col("id").alias("seen"), F.col("w").alias("v")), "seen")
     bad = written(pairs.where(one_edit(F.col("w"), F.col("v"))).select("place"), "near-lines")
+    release(spark, drops, texts)
     flagged = first.select(*KEY, F.col("place").alias("first")).join(
         bad.select(F.col("place").alias("first"), F.lit(True).alias("near")), "first", "left")
     hit = lines.select("doc_id", "line", *KEY).join(flagged, KEY).where(F.col("near") | (_place() != F.col("first")))
     gone = written(hit.select("doc_id", "line").distinct(), "dropped-lines")
-    release(spark, lines, first, texts)
+    release(spark, lines, first, bad)
     return gone
 
 

@@ -71,3 +71,15 @@ def test_nulls_repeats_empty_and_other_columns(docs):
 def test_plan_has_no_python(docs):
     plan = d.line_dedup(docs(lines(3, 10)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_only_the_dropped_lines_stay_stored(spark, docs):
+    """Deletions outweigh the text: they must not stay on disk while the texts are joined, nor after the query."""
+    import os
+
+    from riskloom.llm.shared import _folder
+    root = _folder(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert d.line_dedup(docs(lines(8))).count() == len(lines(8))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == {"dropped-lines"}
