@@ -590,11 +590,12 @@ def q_dim_from_config(spark, sf_dir):
 
 @register("write_single_table", with_ctes(_CAL_SQL))
 def q_write_single_table(spark, sf_dir):
-    """The processed trade calendar (a small dimension) written as one file."""
+    """The processed trade calendar (a small dimension) written as one file.
+    Repeated keys have the same date and symbol, so rows are not de-duplicated first."""
     from .plans.processed import processed_trade_calendar
-    p = ctx(spark, sf_dir).processed
+    m = ctx(spark, sf_dir).market
     path = _out(spark, sf_dir, "trade_calendar_single")
-    WR.write_single_table(processed_trade_calendar(p.options, p.futures), path)
+    WR.write_single_table(processed_trade_calendar(m.options, m.futures), path)
     return spark.read.parquet(path)
 
 

@@ -46,3 +46,17 @@ def test_dedupe_order_columns_are_carried_once(spark):
     assert got("first") == {(1, None, "c", 6), (None, 3, "d", 7)}
     assert got("last") == {(1, 2, "b", None), (None, 3, "d", 7)}
     assert [tuple(r) for r in dedupe(d.select("k", "o"), ["k"], ["o"]).where("k = 1").collect()] == [(1, None)]
+
+
+def test_trade_calendar_file_needs_no_deduplicated_rows(spark, sf_small, monkeypatch):
+    """Dates and symbols are the same before de-duplication, whose arrival order is then not read."""
+    import __spark_entry__ as E
+    from riskloom.sources import writers as W
+    plans, write = [], W.write_single_table
+
+    def seen(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, path)
+    monkeypatch.setattr(W, "write_single_table", seen)
+    rows = E.queries()["write_single_table"](spark, sf_small).collect()
+    assert rows and "l_shipdate" in plans[0] and "l_extendedprice" not in plans[0]
