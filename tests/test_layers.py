@@ -55,7 +55,7 @@ def test_trade_calendar_file_needs_no_deduplicated_rows(spark, sf_small, monkeyp
     plans, write = [], W.write_single_table
 
     def seen(df, path):
-        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
         write(df, path)
     monkeypatch.setattr(W, "write_single_table", seen)
     rows = E.queries()["write_single_table"](spark, sf_small).collect()
