@@ -160,6 +160,20 @@ def test_iv_equals_bisection_where_the_price_decides_and_reprices_everywhere(spa
     assert sharp.sum() > 700 and np.max(np.abs(iv - want)[sharp]) < 1e-10
 
 
+def test_rows_whose_steps_have_not_settled_take_another_and_no_bisection(spark, monkeypatch):
+    """The price decides their volatility: the next step finds it, 60 halvings are not needed."""
+    from riskloom.operators import iv as IV
+    cols = "settle double, spot double, strike double, t_years double, rate double, q double, option_type string"
+    rows = [(426.01081119784254, 21418.224, 21900.0, 360 / 365, 0.0572, 0.0168, "CE"),
+            (143.01425780743773, 20535.5264, 20500.0, 24 / 365, 0.055855, 0.0084, "CE"),
+            (550.968203026858, 23559.2901, 23150.0, 32 / 365, 0.060055, 0.0116, "CE")]
+    want = [r.iv for r in with_implied_vol(spark.createDataFrame(rows, cols)).collect()]
+    a = np.array([r[:6] for r in rows]).T
+    assert np.allclose(want, solve_iv_np(*a, np.full(3, True), np.full(3, True)), rtol=0, atol=1e-10)
+    monkeypatch.setattr(IV, "bisection_sql", lambda *a: "CAST(NULL AS DOUBLE)")
+    assert [r.iv for r in with_implied_vol(spark.createDataFrame(rows, cols)).collect()] == want
+
+
 def test_curated_chain_has_no_python_node(spark, sf_small):
     import __spark_entry__ as entry
     plan = entry.queries()["curate_greeks"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
