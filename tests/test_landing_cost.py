@@ -29,3 +29,12 @@ def test_feed_rows_are_sorted_before_they_are_text(spark, sf_small):
     assert got == sorted(got) and len(got) == FX.raw_bhav_legacy(m).count()
     plan = d.drop(*ids)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("TradDt") < plan.index("Sort [") and "TradDt" not in plan[plan.index("Sort ["):]
+
+
+def test_stream_lands_compressed_files(spark, sf_small):
+    from riskloom.queryset_ingest import _out, q_stream_landing_files
+    m = FX.Market(spark, sf_small)
+    assert q_stream_landing_files(spark, sf_small).count() > 0
+    files = spark.read.format("text").option("recursiveFileLookup", True).load(os.path.join(_out(spark, sf_small, "landing"), "files"))
+    assert all(f.endswith(".gz") for f in files.inputFiles())
+    assert files.where("not value like '%TradDt%'").count() == FX.raw_bhav_legacy(m).count()

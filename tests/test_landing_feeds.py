@@ -87,3 +87,41 @@ def test_seen_records_are_kept_on_disk(spark):
     names = [f for d, _, fs in os.walk(state.removeprefix("file:")) for f in fs]
     assert any(f.endswith((".changelog", ".zip")) for f in names) and not any(f.endswith((".delta", ".snapshot")) for f in names)
     assert all(spark.conf.get(k, None) != v for k, v in STATE.items() if "provider" in k)
+
+
+def test_table_does_not_depend_on_how_files_fall_into_batches(spark, monkeypatch):
+    from riskloom.streaming import landing as L
+    root = scratch_path(spark, f"test-batches-{uuid.uuid4().hex}")
+    cols = ["trade_date", "symbol", "price", "seq"]
+    for i, (name, rows) in enumerate((("a.csv", [("2024-01-02", "X", 5, 50), ("2024-01-02", "Y", 6, 60), ("2023-01-02", "X", 7, 70)]),
+                                      ("b.csv", [("2024-01-02", "X", 1, 10), ("2024-01-02", "Y", 9, 90), ("2023-01-02", "X", 7, 70)]))):
+        _put(os.path.join(root, "in"), name, cols, rows)
+        os.utime(os.path.join(root, "in", name), (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def transform(d):
+        return d.select(F.col("trade_date").cast("date").alias("trade_date"), "symbol", F.col("price").cast("double").alias("price"),
+                        F.col("seq").cast("long").alias("seq"))
+
+    def run(bytes_, name):
+        monkeypatch.setattr(L, "BATCH_BYTES", bytes_)
+        at = [os.path.join(root, f"{x}-{name}") for x in ("table", "ck")]
+        n = L.run_landing_to_table(spark, os.path.join(root, "in"), cols, *at, transform, ["trade_date", "symbol"], ["seq"], stored_first=False)
+        batches = [f for f in os.listdir(os.path.join(at[1], "commits").removeprefix("file:")) if f.isdigit()]
+        got = spark.read.parquet(at[0]).select(F.col("trade_date").cast("string"), "symbol", "price", "seq").collect()
+        return n, len(batches), sorted(tuple(r) for r in got)
+    one, many = run(1 << 20, "one"), run(1, "many")
+    assert many[1] > one[1] and one[0] == many[0] == 5
+    assert one[2] == many[2] == [("2023-01-02", "X", 7.0, 70), ("2024-01-02", "X", 1.0, 10), ("2024-01-02", "Y", 6.0, 60)]
+    # nothing of the batches is left beside the tables and checkpoints
+    left = scratch_path(spark, "landing").removeprefix("file:")
+    assert not os.path.exists(left) or not os.listdir(left)
+
+
+def test_lines_are_shuffled_as_text_and_cut_as_before(spark):
+    from riskloom.streaming import landing as L
+    root = scratch_path(spark, f"test-cut-{uuid.uuid4().hex}")
+    _put(root, "a.csv", ["a", " b", "c"], [("0", " 1 2 ", ""), ('"x ""y"" "', "1,5", "3"), ("2", "11", "200")])
+    d = L.landing_stream(spark, root, [L.Feed("t", ["a", "b"], lambda r: r, "", ["a"])])
+    assert not [f.name for f in d.schema if f.dataType.typeName() == "array"]
+    got = L.cut(L.lines(L.texts(spark.read.format("text").option("wholetext", True).load(root)))).orderBy("_row").collect()
+    assert [(r._header, r._cells) for r in got] == [(["a", "b", "c"], x) for x in (["0", "1 2", ""], ['x "y" ', "1,5", "3"], ["2", "11", "200"])]
