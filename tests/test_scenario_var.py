@@ -157,3 +157,25 @@ def test_pooled_var_against_numpy(spark):
         x = np.array([v for g, v in rows if g == r.portfolio_id])
         assert r.scenario_count == 1000
         assert r.var_95 == pytest.approx(-np.percentile(x, 5), abs=0.0051) and r.var_99 == pytest.approx(-np.percentile(x, 1), abs=0.0051)
+
+
+def test_pooled_var_has_the_whole_aggregate(spark):
+    """Tail means, mean and bounds of each group, as ``var_cvar`` and numpy have them; ties at the quantile and groups of one."""
+    from riskloom.operators import var as V
+    rng = np.random.default_rng(5)
+    groups = {1: np.round(rng.normal(0, 1e4, 1001), 2), 2: np.round(rng.normal(0, 0.05, 900), 2), 3: np.zeros(50), 4: np.array([-3.25]),
+              5: np.repeat([-9.0, -1.5, 2.0], [10, 90, 101])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "portfolio_id int, portfolio_pnl double")
+    nobody = V.pooled_var(spark.createDataFrame([(None, -2.0), (None, 4.0), (7, 1.0)], df.schema)).collect()
+    assert {r.portfolio_id: (r.scenario_count, r.mean_pnl, r.min_pnl) for r in nobody} == {None: (2, 1.0, -2.0), 7: (1, 1.0, 1.0)}
+    got = {r.portfolio_id: r for r in V.pooled_var(df).collect()}
+    same = {r.portfolio_id: r for r in V.var_cvar(df).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        r = got[g].asDict()
+        for name, share in (("95", 5), ("99", 1)):
+            q = np.percentile(x, share)
+            tail = x[x < q]
+            assert r[f"cvar_{name}"] == pytest.approx(-(tail.mean() if len(tail) else q), abs=0.0051)
+        assert r["mean_pnl"] == pytest.approx(x.mean(), abs=0.0051) and (r["min_pnl"], r["max_pnl"]) == (x.min(), x.max())
+        assert r == pytest.approx(same[g].asDict(), abs=0.0051)
