@@ -197,3 +197,51 @@ def test_query_finds_toxic_words_of_rare_languages(spark, tmp_path):
     got = {r.doc_id: r for r in tx.op13_toxicity(spark, str(tmp_path)).collect()}
     held = [(got[i], b) for i, _, b in rows if got[i].held_out]
     assert len(got) == 900 and sum(r.predicted == b for r, b in held) >= 0.97 * len(held)
+
+
+def brute_mixture(docs, labelled, k, pair_k, share):
+    """Value of each text by dictionaries: every word and pair pays, mixture of the classes, normalised by the left word."""
+    seen = {c: (defaultdict(set), defaultdict(set)) for c in (True, False)}
+    for text, toxic in labelled:
+        w = words(text)
+        for u, v, x in zip([None, None, *w], [None, *w], w):
+            seen[toxic][0][x].add((u, v))
+            seen[toxic][1][v, x].add(u)
+    rest = {c: [{a: len(s) - 1 for a, s in level.items() if len(s) > 1} for level in seen[c]] for c in seen}
+    balance = [sum(rest[True][i].values()) / sum(rest[False][i].values()) for i in (0, 1)]
+
+    def g(v, w):
+        t, o = ([rest[c][i].get(a, 0) for i, a in enumerate((w, (v, w)))] for c in (True, False))
+        r = math.sqrt((t[0] + k) / (o[0] * balance[0] + k))
+        return 1 - share + share * (t[1] + pair_k * r) / (o[1] * balance[1] + pair_k / r)
+    n = {a: rest[True][1].get(a, 0) + rest[False][1].get(a, 0) for c in rest for a in rest[c][1]}
+    mean = sum(n[v, w] * g(v, w) for v, w in n) / sum(n.values())
+    after = defaultdict(list)
+    for v, w in n:
+        after[v].append((n[v, w], g(v, w) / mean))
+    z = {v: math.log((sum(a * b for a, b in x) + 1) / (sum(a for a, _ in x) + 1)) for v, x in after.items()}
+    return [sum(math.log(g(v, w)) - z.get(w, 0.0) for v, w in zip([None, *words(t)], words(t))) / (len(words(t)) + tx.PRIOR_WORDS) for t in docs]
+
+
+@pytest.mark.parametrize("block,bucket", [(tx.BLOCK_WORDS, tx.BUCKET_BYTES), (300, 1000)])
+def test_mixture_prices_every_word_as_brute_force(tables, monkeypatch, block, bucket):
+    monkeypatch.setattr(tx, "BLOCK_WORDS", block)
+    monkeypatch.setattr(tx, "BUCKET_BYTES", bucket)
+    rows, docs, labelled, learn = tables
+    have = {r.doc_id: r for r in tx.toxicity(docs, labelled, order=2, k=1.0, pair_k=3.0, share=0.05).collect()}
+    for i, v in enumerate(brute_mixture([t for t, _ in rows], [(t, b == 1) for _, t, b in learn], 1.0, 3.0, 0.05)):
+        assert have[None if i == 5 else i].value == pytest.approx(v, abs=1e-6)
+
+
+def test_query_leaves_no_word_out(spark, tmp_path):
+    """Words that lean to a class by less than a factor of two decide, if there are many of them."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        bad = i % 2 == 0
+        rows.append((i, " ".join(rng.choice("abcdefgh"[:4] if rng.random() < (0.6 if bad else 0.4) else "efgh") + str(rng.randrange(6)) for _ in range(300)), int(bad)))
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, b) for i, _, b in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in tx.op13_toxicity(spark, str(tmp_path)).collect()}
+    held = [(got[i], b) for i, _, b in rows if got[i].held_out]
+    assert sum(r.predicted == b for r, b in held) >= 0.9 * len(held)
